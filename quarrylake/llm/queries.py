@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact_dedup
 from .packing import op10_packing
 from .simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_packing": op10_packing,
 }
