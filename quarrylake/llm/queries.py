@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact_dedup
+from .katz import op9_katz
 from .packing import op10_packing
 from .simhash import op1_simhash
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
 
