@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact_dedup
 from .katz import op9_katz
+from .langid import op3_language
 from .packing import op10_packing
 from .simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_language": op3_language,
     "op6_exact_dedup": OP6_SQL,
 }
