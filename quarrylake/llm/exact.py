@@ -147,11 +147,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = plain.join(groups.select("fp"), "fp", "left_anti")
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
 
-    texts = fingerprints(docs, id_col, text_col, with_text=True, huge=huge).join(groups, "fp")
-    member = texts.select("fp", "id", "sha256", "text", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first"))
-    # One text of each group goes ahead to each of its salts.
-    lead = texts.where(F.col("id").eqNullSafe(F.col("top"))).groupBy("fp").agg(F.min("text").alias("text"), F.first("salts").alias("salts"))
-    lead = lead.select("fp", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("sha256"), "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("first"))
+    # Each text is moved once, at any size of `groups`: to its fingerprint, where those that occur once are dropped.
+    texts = fingerprints(docs, id_col, text_col, with_text=True, huge=huge).join(groups.hint("shuffle_hash"), "fp")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first")))
+    # The row with the largest id also goes ahead of the others to each salt of its group.
+    ahead = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(True).alias("first")))
+    places = F.when(F.col("id").eqNullSafe(F.col("top")), F.concat(ahead, own)).otherwise(own)
+    member = texts.select("fp", "id", "sha256", "text", F.explode(places).alias("place")).select("fp", "id", "sha256", "text", "place.salt", "place.first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, text = None, ""
@@ -160,7 +162,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("fp", "salt", "first", "id", "sha256", "text")}
                 if row["first"]:
-                    key, text = (row["fp"], row["salt"]), row["text"]
+                    if key != (row["fp"], row["salt"]):  # if rows share the largest id, the least text leads in each salt
+                        key, text = (row["fp"], row["salt"]), row["text"]
                     continue
                 assert key == (row["fp"], row["salt"]), "a group came without its first text"
                 rows["id"].append(row["id"])
@@ -169,7 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 rows["class"].append(row["fp"] + ("" if _same(row["text"], text) else ":" + _normal(row["text"]).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("id", pa.int64()), ("sha256", pa.string()), ("class", pa.string())]))
 
-    dealt = member.unionByName(lead).repartition("fp", "salt").sortWithinPartitions("fp", "salt", F.desc("first"))
+    dealt = member.repartition("fp", "salt").sortWithinPartitions("fp", "salt", F.desc("first"), F.when(F.col("first"), F.col("text")))
     compared = stored(dealt.mapInArrow(run, "id long, sha256 string, class string"), "compared")
     classes = compared.groupBy("class").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
     several = compared.join(classes, "class").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256")
