@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .embed import OP5_SQL, op5_cross_polytope
 from .exact import OP6_SQL, op6_exact_dedup
 from .katz import op9_katz
 from .langid import op3_language
@@ -17,11 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
+    "op5_cross_polytope": op5_cross_polytope,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_cross_polytope": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
