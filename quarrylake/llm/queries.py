@@ -13,11 +13,13 @@ from .katz import op9_katz
 from .langid import op3_language
 from .packing import op10_packing
 from .simhash import op1_simhash
+from .tokenfile import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
+    "op4_token_files": op4_token_files,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_katz": op9_katz,
