@@ -14,6 +14,7 @@ from .langid import op3_language
 from .packing import op10_packing
 from .simhash import op1_simhash
 from .tokenfile import op4_token_files
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
