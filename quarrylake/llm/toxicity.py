@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, stored
 from .tokens import slices
 
 #: Cells of the table of n-gram counts, whatever the corpus.
@@ -20,6 +20,8 @@ CELLS = 1 << 19
 ORDER = 4
 #: Bound of the labelled sample that the classifier is fitted on: documents of each label, by hash.
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
+#: Features of a support that chance is expected to give at most, by their number among clean texts.
+CHANCE = 0.5
 #: Tokens that a Python worker remembers.
 KEEP = 400_000
 PREFIXES = range(3, 9)
@@ -241,45 +243,47 @@ def labelled_features(docs: DataFrame, counts: np.ndarray, letters: int) -> Data
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """The model: character counts of all rows that `learn` admits, and features chosen on a bounded sample of their labels.
 
-    Of distinct texts with equal labels, the TOXIC_DOCS and CLEAN_DOCS first by
-    hash. Features are taken one by one: the one that most of the toxic texts not
-    yet explained have (ties: the longer prefix, then by name), as long as it
-    explains two of them and hardly any clean text has it. A text with any label 1
-    counts as toxic. Null texts and labels are left out.
+    Of the labelled texts, those whose two least word hashes agree (copies and
+    most near copies do) count once; of these the TOXIC_DOCS and CLEAN_DOCS first
+    by hash are taken. A group with any label 1 counts as toxic. A feature is
+    taken if chance would hardly give any feature so many toxic texts and so few
+    clean ones, and if no better one begins with it or begins it. Null texts and
+    labels are left out.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts, letters = character_counts(rows)
     marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    known = marks.join(rows, "id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
+    hashes = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))
+    alike = F.xxhash64(F.array_min(hashes), F.array_max(hashes))
+    known = marks.join(rows, "id").groupBy(alike.alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("id", F.struct("toxic", "id")).alias("id"))
     sample = known.where("toxic = 1").orderBy("h").limit(TOXIC_DOCS).unionByName(known.where("toxic = 0").orderBy("h").limit(CLEAN_DOCS))
+    sample = stored(sample, "sample")
     number = {t: n for t, n in known.groupBy("toxic").agg(F.count("*")).collect()}
-    texts = rows.join(sample.select("id", "toxic"), "id").dropDuplicates(["id"])
-    found = labelled_features(texts.select("text", "toxic"), counts, letters)
-    # One row for each feature that two toxic texts of the sample have; the lists are as long as the sample at most.
-    one = found.where("toxic = 1").select(F.monotonically_increasing_id().alias("row"), F.explode("features").alias("f"))
-    often = one.groupBy("f").agg(F.sort_array(F.collect_list("row")).alias("rows")).where("size(rows) > 1")
-    clean = found.where("toxic = 0").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("clean"))
-    table = often.join(clean, "f", "left").withColumn("clean", F.coalesce("clean", F.lit(0))).where("clean <= 2 + size(rows) / 20").toArrow()
-    weights: dict[str, float] = {}
     toxic_n, clean_n = number.get(1, 0), number.get(0, 0)
     if not toxic_n:
         return ToxicityModel(counts, letters, {}, 0.0)
-    scale = max(1.0, clean_n / CLEAN_DOCS) / max(1.0, toxic_n / TOXIC_DOCS)
-    members = {f: (set(r), c) for f, r, c in zip(*(table.column(k).to_pylist() for k in ("f", "rows", "clean")))}
-    unexplained = set().union(*(r for r, _ in members.values())) if members else set()
-    while members:
-        members = {f: x for f, x in members.items() if len(x[0] & unexplained) > 1}
-        if not members:
-            break
-        best = max(members, key=lambda f: (len(members[f][0] & unexplained) - 3 * members[f][1], not f.endswith("$"), len(f), f))
-        rows_of, clean_of = members.pop(best)
-        p = (len(rows_of) + 0.5) / (len(rows_of) + clean_of * scale + 1)
-        if p < 0.75:
-            continue
-        weights[best] = p
-        unexplained -= rows_of
-    leak = (min(len(unexplained), toxic_n) + 0.5) / (clean_n + 1)
-    return ToxicityModel(counts, letters, weights, min(0.4, leak))
+    texts = rows.join(sample.select("id", "toxic"), "id").dropDuplicates(["id"])
+    found = stored(labelled_features(texts.select("text", "toxic"), counts, letters), "features")
+    table = stored(found.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "feature-counts")
+    # How many features so many clean texts have: at most CLEAN_DOCS rows.
+    usual = dict(table.where("clean > 0").groupBy("clean").agg(F.count("*")).collect())
+    toxic_s, clean_s = min(toxic_n, TOXIC_DOCS), min(clean_n, CLEAN_DOCS)
+    odds = toxic_s / max(clean_s, 1)
+    larger, above = {}, 0
+    for n in range(max(usual, default=0), 0, -1):
+        above = max(above, usual.get(n, 0))
+        larger[n] = above
+    enough = next((n for n in range(2, toxic_s + 1) if larger.get(n, 1) * odds**n < CHANCE), toxic_s + 1) if odds < 1 else 20
+    scale = (clean_n / max(clean_s, 1)) / (toxic_n / toxic_s)
+    good = table.where((F.col("toxic") >= enough) & (F.col("clean") * 10 * scale <= F.col("toxic"))).toArrow().to_pylist()
+    good.sort(key=lambda x: (3 * x["clean"] - x["toxic"], x["f"].endswith("$"), -len(x["f"]), x["f"]))
+    weights: dict[str, float] = {}
+    for x in good:
+        if not any(x["f"].startswith(f) or f.startswith(x["f"].rstrip("$")) for f in weights):
+            weights[x["f"]] = (x["toxic"] + 0.5) / (x["toxic"] + x["clean"] * scale + 1)
+    chosen = F.array(*[F.lit(f) for f in weights]).cast("array<string>")
+    left = found.where((F.col("toxic") == 1) & ~F.arrays_overlap("features", chosen)).count()
+    return ToxicityModel(counts, letters, weights, min(0.4, (left * toxic_n / toxic_s + 0.5) / (clean_n + 1)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
