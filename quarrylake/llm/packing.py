@@ -173,7 +173,11 @@ _NAMES = ["id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
 _TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packed(documents(spark, sf_dir), word_bpe_path())
+def pieces(docs: DataFrame, path: str) -> DataFrame:
+    """packed() with a checksum of each piece's ids in the place of the ids."""
     length = (F.octet_length("ids") / 4).cast("long")
-    return found.select(F.col("id").alias("doc_id"), "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed(docs, path).select(F.col("id").alias("doc_id"), "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(documents(spark, sf_dir), word_bpe_path())

@@ -43,16 +43,17 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): one row for each row of `docs`; fp is the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, ...): one row for each row of `docs`, with the columns named in `keep`; fp is the fingerprint as a signed
+    long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, "id long, fp long" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:]))
 
 
 def probe_radii(segments: int, distance: int) -> list[int]:
