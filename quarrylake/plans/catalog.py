@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urls
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (urls,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for module in MODULES for name, q in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
