@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urls
+from . import texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls,)
+MODULES = (urls, texts)
 
 
 def queries() -> dict[str, Query]:
