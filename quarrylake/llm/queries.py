@@ -11,6 +11,7 @@ from .embed import OP5_SQL, op5_cross_polytope
 from .exact import OP6_SQL, op6_exact_dedup
 from .katz import op9_katz
 from .langid import op3_language
+from .license import op7_license
 from .packing import op10_packing
 from .simhash import op1_simhash
 from .tokenfile import op4_token_files
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license": op7_license,
     "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
