@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts, urls
+from . import ranking, texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts)
+MODULES = (urls, texts, ranking)
 
 
 def queries() -> dict[str, Query]:
