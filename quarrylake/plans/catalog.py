@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, texts, urls
+from . import ranking, research, texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking)
+MODULES = (urls, texts, ranking, research)
 
 
 def queries() -> dict[str, Query]:
