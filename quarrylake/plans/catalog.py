@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, research, texts, urls
+from . import ranking, research, state, texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research)
+MODULES = (urls, texts, ranking, research, state)
 
 
 def queries() -> dict[str, Query]:
