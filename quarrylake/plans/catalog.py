@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import questions, ranking, research, state, texts, urls
+from . import pages, payloads, questions, ranking, research, state, texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research, state, questions)
+MODULES = (urls, texts, ranking, research, state, questions, payloads, pages)
 
 
 def queries() -> dict[str, Query]:
