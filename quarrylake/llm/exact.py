@@ -98,7 +98,7 @@ def _huge(long: DataFrame, huge: int) -> DataFrame:
     """(key, fp, sha256) of long texts: each cut of `huge` characters is hashed apart, then moved to its place and summed."""
     step = huge
     cuts = long.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / step).cast("int")), lambda i: F.substring("text", i * step + 1, F.lit(step)))).alias("part", "cut"), F.octet_length("text").alias("n"))
-    cuts = cuts.withColumn("bytes", F.octet_length("cut")).repartition("key", "part")
+    cuts = cuts.withColumn("bytes", F.octet_length("cut").cast("long")).repartition("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
