@@ -21,21 +21,22 @@ SHARD_TOKENS = 1_500_000
 def term_statistics(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
     """Document frequencies of all ids, number of documents, mean length: over all rows of `tokens`.
 
-    Each task counts in one array of the vocabulary's size; the driver gets one number per id of the vocabulary.
+    The tasks that encoded have counted their documents; the driver gets one number per id of the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                df[np.unique(np.frombuffer(x.as_buffer(), "<u4"))] += 1
+                pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
+                df[pairs[:, 0]] += pairs[:, 1]
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "df"])
 
     df = np.zeros(vocabulary, np.int64)
-    counts = tokens.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = tokens.where("df IS NOT NULL").select("df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
-    n, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, total = tokens.where("n IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     return df, n, total / max(n, 1)
 
 
@@ -50,7 +51,7 @@ class Shard:
             t, c = np.unique(x, return_counts=True)
             terms.append(t), counts.append(c), docs.append(np.full(len(t), i, np.int32))
         self.terms = terms
-        term, doc = np.concatenate(terms), np.concatenate(docs)
+        term, doc = np.concatenate(terms).astype(np.int64), np.concatenate(docs)
         tf = np.concatenate(counts).astype(np.float32)
         norm = (K1 * (1 - B + B * self.size / mean_length)).astype(np.float32)
         order = np.argsort(term, kind="stable")
@@ -59,12 +60,19 @@ class Shard:
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's terms."""
+        """BM25 of every document that the index still has for the seed's terms."""
         begin, end = self.first[self.terms[seed]], self.first[self.terms[seed] + 1]
         n = end - begin
         at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.doc[at], self.weight[at], minlength=len(self.texts))
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Drops the postings of used documents."""
+        kept = unused[self.doc]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.first = before[self.first]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Windows as lists of (document, start, length); all but the last are full.
 
@@ -74,8 +82,12 @@ class Shard:
         """
         unused = np.ones(len(self.texts), bool)
         after: tuple[int, int] | None = None
-        first = 0
+        first, indexed = 0, len(unused)
         while True:
+            left = int(unused.sum())
+            if left * 2 < indexed:
+                self.keep(unused)
+                indexed = left
             if after is None:
                 while first < len(unused) and not unused[first]:
                     first += 1
@@ -134,7 +146,9 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
     """
     spark = docs.sparkSession
     tokens = stored(encoded(docs, path, end, id_col, text_col), "tokens")
-    df, n, mean_length = term_statistics(tokens, load(path).get_vocab_size())
+    vocabulary = load(path).get_vocab_size()
+    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    df, n, mean_length = term_statistics(tokens, vocabulary)
     total = int(round(n * mean_length))
     shards = max(1, -(-total // shard_tokens))
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -147,7 +161,7 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
             for one in [pieces] if sum(x[2] for x in pieces) == window else powers(pieces):
                 offset = 0
                 for doc, start, length in one:
-                    rows.append((ids[doc], start, texts[doc][start : start + length].tobytes(), len(texts[doc]), sequence, offset))
+                    rows.append((ids[doc], start, texts[doc][start : start + length].astype("<u4").tobytes(), len(texts[doc]), sequence, offset))
                     offset += length
                 sequence += 1
             if len(rows) >= 1000:
@@ -160,12 +174,12 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
         ids, texts = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            texts += [np.frombuffer(x.as_buffer(), "<u4").copy() for x in batch.column(1)]
+            texts += [np.frombuffer(x.as_buffer(), width).copy() for x in batch.column(1)]
         if texts:
             yield from pack(TaskContext.get().partitionId(), ids, texts)
 
     # The ids of a text join its key so that rows with a null id spread too.
-    dealt = tokens.select("id", "ids").repartition(shards, F.xxhash64("id", "ids")).sortWithinPartitions("id", "ids")
+    dealt = tokens.where("n IS NOT NULL").select("id", "ids").repartition(shards, F.xxhash64("id", "ids")).sortWithinPartitions("id", "ids")
     return dealt.mapInArrow(run, "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
