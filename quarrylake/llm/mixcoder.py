@@ -111,17 +111,22 @@ class _Coder:
         self.range[some] = part * width
 
     def settle(self) -> None:
-        """Units that are settled leave; a small range that straddles a unit's border is cut there."""
+        """Units that are settled leave; a small range that straddles a unit's border is cut there.
+
+        A range of 2**48 stays though its unit is settled: shifted, it would be 2**64.
+        """
         low, size = self.low, self.range
-        lanes = np.flatnonzero(((low ^ (low + (size - _ONE))) < TOP) | (size < BOT))
-        low, size = low[lanes], size[lanes]
+        same = ((low ^ (low + (size - _ONE))) < TOP) & (size < TOP)
+        lanes = np.flatnonzero(same | (size < BOT))
+        low, size, same = low[lanes], size[lanes], same[lanes]
         while len(lanes):
-            size = np.where((low ^ (low + (size - _ONE))) < TOP, size, (~low + _ONE) & (BOT - _ONE))
+            size = np.where(same, size, (~low + _ONE) & (BOT - _ONE))
             self.pass_unit(lanes, low >> _DOWN)
             low, size = low << _UNIT, size << _UNIT
             self.low[lanes], self.range[lanes] = low, size
-            more = ((low ^ (low + (size - _ONE))) < TOP) | (size < BOT)
-            lanes, low, size = lanes[more], low[more], size[more]
+            same = ((low ^ (low + (size - _ONE))) < TOP) & (size < TOP)
+            more = same | (size < BOT)
+            lanes, low, size, same = lanes[more], low[more], size[more], same[more]
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray) -> None:
         raise NotImplementedError

@@ -51,6 +51,15 @@ def test_coder_round_trip(n):
     assert n < 5000 or len(mixcoder.encode(text, 49408)[2]) < n * 2
 
 
+def test_ranges_that_are_powers_of_two():
+    """A lane cut to a range of 1 passes through 2**16, 2**32 and 2**48, and stays there."""
+    writer = mixcoder._Writer(3, 10)
+    writer.low[:] = [(1 << 48) - 1, (5 << 48) - (1 << 16), 0]
+    writer.range[:] = [1 << 20, 1 << 30, (1 << 64) - 1]
+    writer.settle()
+    assert writer.range.tolist() == [1 << 48, 1 << 48, (1 << 64) - 1] and writer.n.tolist() == [3, 2, 0]
+
+
 def test_damage_is_noticed():
     block = tokenfile.pack_block([1, None], [3, 2], np.array([5, 6, 7, 8, 9]), 49408)
     whole = __import__("struct").pack(tokenfile.HEAD, tokenfile.MAGIC, 49408) + block
