@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +33,44 @@ ALIKE = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о":
 COST_LEET, COST_MASK, COST_DROP, COST_BREAK, COST_ALIKE = 1.0, 2.5, 0.7, 2.0, 0.5
 COST_ONE_OF_MANY, COST_TWO_OF_MANY, COST_ONE_OF_TWO = 0.3, 0.6, 2.5
 EDGES = ".,;:!?\"'()[]{}<>/\\~^=_-%&*#`«»“”‘’…¿¡"
+_RUN = re.compile(r"(.)\1\1")
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 
+#: Multiplier of the hash of n-grams; all of it is arithmetic on 64 bits.
+_STEP = 0x9E3779B1
+#: Stands for a word's beginning and its end.
+EDGE = "\0"
+
+
 def _cell(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass")) % CELLS
+    h = 0
+    for c in gram:
+        h = (h * _STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+    return (h ^ h >> 29) % CELLS
+
+
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def _count(text: str, letter: np.ndarray, counts: np.ndarray) -> None:
+    """Adds the n-grams of a text's runs of letters to the counts; the last count is that of all letters and edges."""
+    codes = np.frombuffer(("\0" + text + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(letter[codes], codes, 0)
+    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.uint64)
+    counts[CELLS] += len(codes)
+    h = np.zeros(len(codes), np.uint64)
+    for k in range(ORDER):
+        n = len(codes) - k
+        if n <= 0:
+            return
+        h = h[:n] * np.uint64(_STEP) + codes[k:] + np.uint64(1)
+        cells = ((h ^ (h >> np.uint64(29))) & np.uint64(CELLS - 1)).astype(np.int64)
+        for j in range(1, k):  # an edge may only be the first or the last
+            cells[codes[j : n + j] == 0] = -1
+        cells = cells[cells >= 0]
+        counts[:CELLS] += np.bincount(cells, minlength=CELLS)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,7 +85,7 @@ def _plain(token: str) -> bool:
 
 
 class CharacterModel:
-    """Interpolated character n-grams of words, from a table of hashed counts. ^ begins a word and $ ends it."""
+    """Interpolated character n-grams of words, from a table of hashed counts."""
 
     def __init__(self, counts: np.ndarray, letters: int):
         self.counts, self.total = counts, max(letters, 1)
@@ -77,35 +110,9 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarra
     """Counts of all n-grams up to ORDER of all words of all rows, in CELLS cells, and the number of letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(CELLS + 1, np.int64), Counter()
-
-        def add() -> None:
-            for w, n in total.items():
-                padded = f"^{w}$"
-                counts[CELLS] += n * (len(w) + 1)
-                for i in range(len(padded)):
-                    for k in range(1, min(ORDER, len(padded) - i) + 1):
-                        counts[_cell(padded[i : i + k])] += n
-            total.clear()
-
+        counts, letter = np.zeros(CELLS + 1, np.int64), _letters()
         for batch in slices(batches, 0, 2_000_000):
-            for text in batch.column(0).to_pylist():
-                total.update(words_of(text))
-            if len(total) > 100_000:
-                clean = Counter()
-                for w, n in total.items():
-                    w = w.strip(EDGES)
-                    if len(w) <= 40 and w.isalpha():
-                        clean[w] += n
-                total = clean
-                add()
-        clean = Counter()
-        for w, n in total.items():
-            w = w.strip(EDGES)
-            if len(w) <= 40 and w.isalpha():
-                clean[w] += n
-        total = clean
-        add()
+            _count("\0".join(x or "" for x in batch.column(0).to_pylist()).lower(), letter, counts)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["cell", "n"])
 
@@ -122,7 +129,7 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
     or a break between words; with `breaks` a word may also end anywhere, as in
     letters set apart.
     """
-    beam: dict[str, tuple[float, str]] = {"^": (0.0, "")}  # last characters -> (cost, text so far)
+    beam: dict[str, tuple[float, str]] = {EDGE: (0.0, "")}  # last characters -> (cost, text so far)
     i = 0
     while i < len(token):
         c, n = token[i], 1
@@ -143,24 +150,24 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
                 if n >= 2:
                     options.append((cost + 0.5, letter * 2))
             options.append((COST_DROP, ""))
-            options.append((COST_BREAK, "$"))
+            options.append((COST_BREAK, EDGE))
         new: dict[str, tuple[float, str]] = {}
         for last, (cost, text) in beam.items():
             for more, letters in options:
                 _extend(new, model, last, cost + more, text, letters)
-                if breaks and letters and letters != "$" and last != "^":
-                    ended = cost + 0.5 - model.log(last[1 - ORDER :], "$")
-                    _extend(new, model, "^", ended + more, text + " ", letters)
+                if breaks and letters and letters != EDGE and last != EDGE:
+                    ended = cost + 0.5 - model.log(last[1 - ORDER :], EDGE)
+                    _extend(new, model, EDGE, ended + more, text + " ", letters)
         beam = dict(sorted(new.items(), key=lambda x: (x[1][0], x[0]))[:24])
-    best = min(((cost - model.log(last[1 - ORDER :], "$") if last != "^" else cost, text) for last, (cost, text) in beam.items()), default=(0.0, ""))
+    best = min(((cost - model.log(last[1 - ORDER :], EDGE) if last != EDGE else cost, text) for last, (cost, text) in beam.items()), default=(0.0, ""))
     return best[1].split()
 
 
 def _extend(new: dict, model: CharacterModel, last: str, cost: float, text: str, letters: str) -> None:
-    if letters == "$":
-        if last != "^":
-            cost -= model.log(last[1 - ORDER :], "$")
-            last, text = "^", text + " "
+    if letters == EDGE:
+        if last != EDGE:
+            cost -= model.log(last[1 - ORDER :], EDGE)
+            last, text = EDGE, text + " "
     else:
         for c in letters:
             cost -= model.log(last[1 - ORDER :], c)
@@ -169,7 +176,7 @@ def _extend(new: dict, model: CharacterModel, last: str, cost: float, text: str,
         new[last] = (cost, text)
 
 
-def features(words: list[str]) -> set[str]:
+def features(words: Iterable[str]) -> set[str]:
     """Prefixes of each word, and each word as a whole (with a mark after it)."""
     out = set()
     for w in words:
@@ -186,7 +193,7 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         bare = token.strip(EDGES)
-        if _plain(bare):
+        if bare.isascii() and bare.isalpha() and not _RUN.search(bare) or _plain(bare):
             return [bare]
         if not any(c.isalpha() for c in token):
             return []
@@ -223,28 +230,32 @@ class ToxicityModel:
         self.counts, self.letters, self.weights, self.leak = counts, letters, weights, leak
 
 
-def labelled_features(docs: DataFrame, counts: np.ndarray, letters: int) -> DataFrame:
-    """(toxic, features): for each row (text, toxic) the hashes of its restored words' features."""
+def feature_counts(docs: DataFrame, counts: np.ndarray, letters: int) -> DataFrame:
+    """(f, toxic, clean): how many texts of either label, of rows (text, toxic), have each feature in their restored words."""
     table = docs.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharacterModel(table.value, letters))
+        seen = (Counter(), Counter())
         for batch in slices(batches, 0, 1_000_000):
-            found = []
-            for text in batch.column(0).to_pylist():
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words_of(text)
-                words = [w for t in set(tokens) for w in restorer.words(t)] + [w for r in restorer.spaced(tokens) for w in r]
-                found.append(sorted(features(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["toxic", "features"])
+                words = {w for t in set(tokens) for w in restorer.words(t)} | {w for r in restorer.spaced(tokens) for w in r}
+                seen[toxic].update(features(words))
+        names = sorted(seen[0].keys() | seen[1].keys())
+        for i in range(0, len(names), 100_000):
+            some = names[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([seen[1][f] for f in some], pa.int64()), pa.array([seen[0][f] for f in some], pa.int64())], names=["f", "toxic", "clean"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "toxic int, features array<string>")
+    each = docs.select("text", "toxic").mapInArrow(run, "f string, toxic long, clean long")
+    return each.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """The model: character counts of all rows that `learn` admits, and features chosen on a bounded sample of their labels.
 
-    Of the labelled texts, those whose two least word hashes agree (copies and
-    most near copies do) count once; of these the TOXIC_DOCS and CLEAN_DOCS first
+    Of the labelled texts, those whose least and greatest word hashes agree (copies
+    and most near copies do) count once; of these the TOXIC_DOCS and CLEAN_DOCS first
     by hash are taken. A group with any label 1 counts as toxic. A feature is
     taken if chance would hardly give any feature so many toxic texts and so few
     clean ones, and if no better one begins with it or begins it. Null texts and
@@ -253,18 +264,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     rows = docs.where(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts, letters = character_counts(rows)
     marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    hashes = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))
-    alike = F.xxhash64(F.array_min(hashes), F.array_max(hashes))
-    known = marks.join(rows, "id").groupBy(alike.alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("id", F.struct("toxic", "id")).alias("id"))
-    sample = known.where("toxic = 1").orderBy("h").limit(TOXIC_DOCS).unionByName(known.where("toxic = 0").orderBy("h").limit(CLEAN_DOCS))
-    sample = stored(sample, "sample")
+    words = F.split(F.lower("text"), r"\s+")
+    one, two = F.transform(words, lambda w: F.xxhash64(w)), F.transform(words, lambda w: F.hash(w))
+    alike = rows.select("id", F.xxhash64(F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two)).alias("h"))
+    known = stored(marks.join(alike, "id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.max_by("id", F.struct("toxic", "id")).alias("id")), "labelled")
     number = {t: n for t, n in known.groupBy("toxic").agg(F.count("*")).collect()}
     toxic_n, clean_n = number.get(1, 0), number.get(0, 0)
     if not toxic_n:
         return ToxicityModel(counts, letters, {}, 0.0)
-    texts = rows.join(sample.select("id", "toxic"), "id").dropDuplicates(["id"])
-    found = stored(labelled_features(texts.select("text", "toxic"), counts, letters), "features")
-    table = stored(found.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "feature-counts")
+    sample = known.where("toxic = 1").orderBy("h").limit(TOXIC_DOCS).unionByName(known.where("toxic = 0").orderBy("h").limit(CLEAN_DOCS))
+    sample = F.broadcast(sample.select("id", "toxic"))  # TOXIC_DOCS + CLEAN_DOCS rows at most
+    texts = stored(rows.join(sample, "id").dropDuplicates(["id"]), "sample")
+    table = stored(feature_counts(texts, counts, letters).where("toxic > 0 OR clean > 1"), "features")
     # How many features so many clean texts have: at most CLEAN_DOCS rows.
     usual = dict(table.where("clean > 0").groupBy("clean").agg(F.count("*")).collect())
     toxic_s, clean_s = min(toxic_n, TOXIC_DOCS), min(clean_n, CLEAN_DOCS)
@@ -281,9 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     for x in good:
         if not any(x["f"].startswith(f) or f.startswith(x["f"].rstrip("$")) for f in weights):
             weights[x["f"]] = (x["toxic"] + 0.5) / (x["toxic"] + x["clean"] * scale + 1)
-    chosen = F.array(*[F.lit(f) for f in weights]).cast("array<string>")
-    left = found.where((F.col("toxic") == 1) & ~F.arrays_overlap("features", chosen)).count()
-    return ToxicityModel(counts, letters, weights, min(0.4, (left * toxic_n / toxic_s + 0.5) / (clean_n + 1)))
+    model = ToxicityModel(counts, letters, weights, 0.0)
+    left = score(texts.where("toxic = 1"), model, "id", "text").where("score = 0").count()
+    model.leak = min(0.4, (left * toxic_n / toxic_s + 0.5) / (clean_n + 1))
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -300,13 +312,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         restorer = Restorer(CharacterModel(known.counts, known.letters))
         seen: set[str] = set()
         marked: dict[str, set[str]] = {}
+        begins = tuple(sorted({f.rstrip("$")[:3] for f in known.weights}))
         for batch in slices(batches, 1, 2_000_000):
             scores = []
             for text in batch.column(1).to_pylist():
                 tokens = words_of(text)
                 distinct = set(tokens)
                 for t in distinct - seen:
-                    hits = features(restorer.words(t)) & known.weights.keys()
+                    words = [w for w in restorer.words(t) if w.startswith(begins)]
+                    hits = words and features(words) & known.weights.keys()
                     if hits:
                         marked[t] = hits
                 seen |= distinct
