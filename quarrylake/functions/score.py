@@ -24,10 +24,9 @@ def round4(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
 
 
-def specificity(url: Column, title: Column, question: Column) -> Column:
+def specificity(url: Column, title: Column, question: Column, terms: Column) -> Column:
     """Below one for hubs, disambiguations, bare home pages and dictionaries."""
     low, path = F.lower(F.trim(title)), U.path(url)
-    terms = T.terms(question)
     hub = low.startswith(HUB_TITLES[0])
     for p in HUB_TITLES[1:]:
         hub = hub | low.startswith(p)
@@ -42,17 +41,18 @@ def overlap(question_terms: Column, text: Column) -> Column:
     return F.when(F.size(question_terms) > 0, F.size(F.array_intersect(question_terms, T.terms(text))) / F.size(question_terms)).otherwise(F.lit(0.0))
 
 
-def relevance(best_rank: Column, title: Column, snippet: Column, question: Column, url: Column) -> Column:
-    """Half the reciprocal rank and half the overlap of terms (with quoted phrases less, for the phrases found), times specificity."""
-    q = T.terms(question)
+def relevance(best_rank: Column, title: Column, snippet: Column, question: Column, q: Column, phrases: Column, url: Column) -> Column:
+    """Half the reciprocal rank and half the overlap of terms (with quoted phrases less, for the phrases found), times specificity.
+
+    q and phrases are the question's terms and quoted phrases, which are worked out once for each question.
+    """
     in_title, in_snippet = overlap(q, title), overlap(q, snippet)
     lap = F.when(F.trim(snippet) != "", 0.4 * in_title + 0.6 * in_snippet).otherwise(in_title)
-    phrases = T.quoted(question)
     hay = F.lower(F.concat(title, F.lit(" "), snippet))
     found = F.size(F.filter(phrases, lambda p: F.contains(hay, F.lower(p))))
     rank = 1.0 / F.greatest(best_rank, F.lit(1))
     base = F.when(F.size(phrases) > 0, 0.5 * rank + 0.35 * lap + 0.15 * found / F.greatest(F.size(phrases), F.lit(1))).otherwise(0.5 * rank + 0.5 * lap)
-    return round4(F.least(F.lit(1.0), F.least(F.lit(1.0), base) * specificity(url, title, question)))
+    return round4(F.least(F.lit(1.0), F.least(F.lit(1.0), base) * specificity(url, title, question, q)))
 
 
 def freshness(published: Column, today: Column, half_life: float = HALF_LIFE_DAYS) -> Column:

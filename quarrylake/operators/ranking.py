@@ -32,14 +32,15 @@ def merge_canonical(hits: DataFrame) -> DataFrame:
 def score_groups(groups: DataFrame, questions: DataFrame, today: Column) -> DataFrame:
     """Adds the factors and the score of each group. `questions` has question_id and question; it is small next to groups."""
     engines = groups.select("question_id", F.explode(F.map_keys("engine_ranks")).alias("e")).groupBy("question_id").agg(F.countDistinct("e").alias("engines"))
-    g = groups.join(questions, "question_id").join(engines, "question_id")
-    g = g.withColumn("relevance", C.relevance(F.col("best_rank"), F.col("title"), F.col("snippet"), F.col("question"), F.col("url")))
+    asked = questions.select("question_id", "question", T.terms(F.col("question")).alias("q_terms"), T.quoted(F.col("question")).alias("phrases"))
+    g = groups.join(asked, "question_id").join(engines, "question_id")
+    g = g.withColumn("relevance", C.relevance(F.col("best_rank"), F.col("title"), F.col("snippet"), F.col("question"), F.col("q_terms"), F.col("phrases"), F.col("url")))
     flagged = F.exists(T.flags(F.concat_ws(" ", "title", "snippet")), lambda f: f.startswith("prompt_injection:"))
     g = g.withColumn("relevance", F.when(flagged, C.round4(F.col("relevance") * C.FLAGGED_FACTOR)).otherwise(F.col("relevance")))
     g = g.withColumn("relevance", F.when(U.is_test_host(F.col("url")), C.round4(F.col("relevance") * C.FLAGGED_FACTOR)).otherwise(F.col("relevance")))
     g = g.withColumn("authority", U.authority(F.col("url"))).withColumn("agreement", C.round4(F.size("engine_ranks") / F.col("engines")))
     g = g.withColumn("freshness", C.gated_freshness(F.col("relevance"), C.freshness(F.col("published_at"), today)))
-    return g.withColumn("score", C.combine({k: F.col(k) for k in C.WEIGHTS}))
+    return g.withColumn("score", C.combine({k: F.col(k) for k in C.WEIGHTS})).drop("q_terms", "phrases")
 
 
 def top_k(scored: DataFrame, k: int, capped: Column | None = None, cap: int = 2, offset: int = 0) -> DataFrame:
