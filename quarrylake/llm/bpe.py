@@ -10,12 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import WordEncoder, load, word_bpe_path
-from .wordtable import answered, asked, met, placed, shards_for
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").split()
+from .tokens import encoder, load, word_bpe_path
+from .wordtable import answered, met, shards_for, split_blocks
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -34,7 +30,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def make() -> Callable:
-        coder, known = WordEncoder(path), {}
+        coder, known = encoder(path), {}
 
         def reply(words: list[bytes], _: None) -> object:
             missing = [w for w in words if w not in known]
@@ -45,13 +41,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return reply
 
     def use(block: int, held: dict[int, object], places: tuple) -> Iterator[pa.RecordBatch]:
-        dtype = WordEncoder(path).dtype
+        dtype = encoder(path).dtype
         table: list[bytes] = []
         for shard in sorted(held):
             sizes, ids = held[shard]
             ends = np.cumsum(sizes)
             table += [ids[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
-        names, lengths, at, _ = places
+        names, lengths, at, order = places
+        table = [table[i] for i in order.tolist()]
         get, begin, out = table.__getitem__, 0, []
         for n in lengths.tolist():
             out.append(np.frombuffer(b"".join(map(get, at[begin : begin + n].tolist())), dtype))
@@ -62,8 +59,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 512], pa.int64()), ids], names=["id", "ids"])
 
-    answers = answered(asked(rows, _words, shards), shards, make)
-    return met(answers, placed(rows, _words, shards), shards, use, "id long, ids array<int>")
+    def split(text: str | None) -> list[bytes]:
+        return encoder(path).split(text)
+
+    questions, places = split_blocks(rows, split, shards, "words")
+    return met(answered(questions, shards, make), places, shards, use, "id long, ids array<int>")
 
 
 def pieces(path: str) -> list[str]:
@@ -72,6 +72,14 @@ def pieces(path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
 
+def _joined(ids: np.ndarray, sizes: np.ndarray, begins: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the pieces of ids, one after another, and where each ends. Each piece has a space after it."""
+    n = sizes[ids]
+    ends = np.cumsum(n)
+    at = np.repeat(begins[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+    return letters[at], ends
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, text): the text of each array of ids, as the tokenizer's decode(ids, skip_special_tokens=False).
 
@@ -83,12 +91,23 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
         raise ValueError("only tokenizers whose pieces are joined by spaces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = pieces(path).__getitem__
+        table = [p.encode("utf-8") + b" " for p in pieces(path)]
+        sizes = np.array([len(p) for p in table])
+        begins, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [" ".join(map(get, x.values.to_pylist())) if x.is_valid else "" for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.large_string()).cast(pa.string())], names=["id", "ids", "text"])
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                n = np.array([len(x) if x.is_valid else 0 for x in lists])
+                text, ends = _joined(ids, sizes, begins, letters)
+                ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+                # The space after a text's last piece goes.
+                keep = np.ones(len(text), bool)
+                keep[ends[1:][n > 0] - 1] = False
+                offsets = ends - np.concatenate([[0], np.cumsum(n > 0)])
+                texts = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text[keep]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts.cast(pa.string())], names=["id", "ids", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, "id long, ids array<int>, text string")

@@ -18,17 +18,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back.
+#: Bytes of a batch that goes to a Python worker. Spark's own limit lets a task hold several times 64 MB beside its heap.
+BATCH_BYTES = 16_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches with texts of any length small; a lower limit that is already set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back, in a folder for each value of `by` if given.
 
     Later steps then depend on files that every executor can read, so a lost
     executor costs no recomputation of what came before.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, small_batches, stored
 
 #: Primes below 2**31 and a base for each: together a fingerprint of 124 bits.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text of more than `huge` characters is cut in Spark; its chunks are hashed
     wherever Spark puts them and their shifted hashes are summed.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

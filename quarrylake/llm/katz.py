@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, stored
-from .wordtable import NAMES, SCHEMA, asked, met, placed, row, shards_for, unpack
+from .common import documents, fold, forget, stored
+from .wordtable import NAMES, SCHEMA, met, row, shards_for, split_blocks, unpack
 
 #: Counts above this are not discounted.
 K = 5
@@ -61,11 +62,10 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _count(ids: list, texts: list[list[bytes]], held: list[bool]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+    out: Counter[bytes] = Counter()
     for words, out_of in zip(texts, held):
         if not out_of:
-            for w in words:
-                out[w] = out.get(w, 0) + 1
+            out.update(words)
     return out
 
 
@@ -103,14 +103,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     def weigh(ids: list, texts: list[list[bytes]]) -> dict[bytes, int]:
         return _count(ids, texts, [_is_held(i, modulus, held) for i in ids])
 
-    questions = stored(asked(rows, _words, shards, weigh), "words")
+    questions, places = split_blocks(rows, _words, shards, "words", weigh)
     known = stored(_numbered(questions, shards), "numbers")
     classes = known.where("block = -1").select("c", "types").groupBy("c").agg(F.sum("types").alias("types"))
     few = {c: n for c, n in classes.where(f"c <= {K + 1}").collect()}
     n, types = classes.agg(F.coalesce(F.sum(F.col("c") * F.col("types")), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     one = Unigrams(n, types, few)
 
-    places = stored(met(known.where("block <> -1").select(*NAMES), placed(rows, _words, shards), shards, _sequences, SCHEMA), "sequences")
+    sequences = stored(met(known.where("block <> -1").select(*NAMES), places, shards, _sequences, SCHEMA), "sequences")
+    forget(questions, places, known)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +126,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         for k, asks in by.items():
             yield from _answer_pairs(k, asks, one)
 
-    asks = places.mapInArrow(ask, SCHEMA).repartition(shards, "shard")
+    asks = sequences.mapInArrow(ask, SCHEMA).repartition(shards, "shard")
     answers = stored(asks.mapInArrow(reply, SCHEMA + ", r int, types long, hot array<long>, hot_sums array<double>, first array<int>, second array<int>, n array<int>"), "pairs")
     pair_classes = {r: t for r, t in answers.where("block = -1").groupBy("r").agg(F.sum("types")).collect()}
     two = discounts(pair_classes)
@@ -147,7 +148,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                 else:
                     yield _score(*unpack(x["payload"]), kept, one, two, hot, shards, modulus, held)
 
-    both = answers.where("block >= 0").select(*NAMES).unionByName(places).repartition(shards, "block").sortWithinPartitions("block", F.desc("shard"))
+    both = answers.where("block >= 0").select(*NAMES).unionByName(sequences).repartition(shards, "block").sortWithinPartitions("block", F.desc("shard"))
     scores = both.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
     scores = scores.select("id", (fold("id", modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     return scores, answers.where("block = -3").select("shard", "first", "second", "n")
@@ -157,26 +158,22 @@ def _ask_pairs(block: int, sequences: tuple, shards: int, modulus: int, held: in
     """A block's distinct pairs, by shard: the pairs as differences, their training counts here and their second words' counts."""
     ids, lengths, at, numbers, counts = sequences
     first, second, train = _pairs(ids, lengths, at, modulus, held)
-    pairs, n = _distinct(numbers[first], numbers[second], train)
-    a, b = pairs >> 32, pairs & 0xFFFFFFFF
-    count_of = _lookup(numbers, counts)
+    ranks, n, _ = _distinct(first, second, train)
+    # Numbers rise with ranks: pairs of numbers come in the order of pairs of ranks.
+    b_rank = ranks & 0xFFFFFFFF
+    a, b = numbers[ranks >> 32], numbers[b_rank]
+    pairs = (a << 32) | b
     shard = _pair_shard(a, b, shards)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
     for k in range(shards):
         some = order[bounds[k] : bounds[k + 1]]
         if len(some):
-            yield row(block, k, 0, (np.diff(pairs[some], prepend=0), n[some].astype(np.int32), count_of(b[some]).astype(np.int32)))
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    ordered, taken = keys[order], values[order]
-    return lambda wanted: taken[np.searchsorted(ordered, wanted)]
+            yield row(block, k, (np.diff(pairs[some], prepend=0), n[some].astype(np.int32), counts[b_rank[some]].astype(np.int32)))
 
 
 def _numbered(questions: DataFrame, shards: int) -> DataFrame:
-    """Answers to `asked`: each word's number and training count; and, in rows of block -1, how many words have each count.
+    """Answers to questions: each word's number and training count; and, in rows of block -1, how many words have each count.
 
     Numbers are unique and small for frequent words: a shard numbers its words
     by falling count. That needs all questions of the shard, which are the
@@ -187,37 +184,37 @@ def _numbered(questions: DataFrame, shards: int) -> DataFrame:
         by: dict[int, list] = {}
         for batch in batches:
             for x in batch.to_pylist():
-                by.setdefault(x["shard"], []).append((x["block"], x["crc"], x["payload"]))
+                by.setdefault(x["shard"], []).append((x["block"], x["payload"]))
         for shard, asks in by.items():
             total: dict[bytes, int] = {}
-            for _, _, payload in asks:
+            for _, payload in asks:
                 joined, weights = unpack(payload)
                 for w, c in zip(joined.split(b"\n"), weights.tolist()):
                     total[w] = total.get(w, 0) + c
             ordered = sorted(total, key=lambda w: (-total[w], w))
             number = {w: i * shards + shard for i, w in enumerate(ordered)}
-            for block, crc, payload in asks:
+            for block, payload in asks:
                 words = unpack(payload)[0].split(b"\n")
-                answer = row(block, shard, crc, (np.array([number[w] for w in words], np.int64), np.array([total[w] for w in words], np.int64)))
+                answer = row(block, shard, (np.array([number[w] for w in words], np.int64), np.array([total[w] for w in words], np.int64)))
                 yield pa.RecordBatch.from_arrays([*answer.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=[*NAMES, "c", "types"])
             c, types = np.unique(np.fromiter(total.values(), np.int64, len(total)), return_counts=True)
             c, types = c[c > 0], types[c > 0]
             m = len(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1)), pa.array(np.full(m, shard, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(c), pa.array(types)], names=[*NAMES, "c", "types"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1)), pa.array(np.full(m, shard, np.int32)), pa.nulls(m, pa.binary()), pa.array(c), pa.array(types)], names=[*NAMES, "c", "types"])
 
     return questions.repartition(shards, "shard").mapInArrow(run, SCHEMA + ", c long, types long")
 
 
 def _sequences(block: int, held: dict[int, object], places: tuple) -> Iterator[pa.RecordBatch]:
     """A block's documents as positions in its list of words, with the words' numbers and training counts."""
-    ids, lengths, at, _ = places
-    numbers = np.concatenate([held[k][0] for k in sorted(held)])
-    counts = np.concatenate([held[k][1] for k in sorted(held)])
+    ids, lengths, at, listed = places
+    numbers = np.concatenate([held[k][0] for k in sorted(held)])[listed]
+    counts = np.concatenate([held[k][1] for k in sorted(held)])[listed]
     # Frequent words get small positions: the same sequences, fewer bytes.
     order = np.argsort(numbers, kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    yield row(block, -1, 0, (ids, lengths, rank[at], numbers[order], counts[order]))
+    yield row(block, -1, (ids, lengths, rank[at], numbers[order], counts[order]))
 
 
 def _pairs(ids: list, lengths: np.ndarray, at: np.ndarray, modulus: int, held: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,13 +227,15 @@ def _pairs(ids: list, lengths: np.ndarray, at: np.ndarray, modulus: int, held: i
     return first, at, train
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct pairs and how often each occurs in training."""
-    key = (a << 33) | (b << 1) | train
-    key.sort()
-    pair = key >> 1
-    new = np.flatnonzero(np.diff(pair, prepend=-1))
-    return pair[new], np.add.reduceat(key & 1, new)
+def _distinct(a: np.ndarray, b: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, how often each occurs in training, and the place of each given pair among them."""
+    pair = (a.astype(np.int64) << 32) | b
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    new = np.diff(pair, prepend=-1) != 0
+    place = np.empty(len(pair), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return pair[new], np.bincount(place, train, minlength=int(new.sum())).astype(np.int64), place
 
 
 def _answer_pairs(shard: int, asks: list, one: Unigrams) -> Iterator[pa.RecordBatch]:
@@ -246,7 +245,7 @@ def _answer_pairs(shard: int, asks: list, one: Unigrams) -> Iterator[pa.RecordBa
 
     def out(block: int, payload: object, **more: pa.Array) -> pa.RecordBatch:
         blank = {"r": pa.nulls(1, pa.int32()), "types": pa.nulls(1, pa.int64()), "hot": pa.nulls(1, pa.list_(pa.int64())), "hot_sums": pa.nulls(1, pa.list_(pa.float64())), **{k: pa.nulls(1, pa.list_(pa.int32())) for k in ("first", "second", "n")}} | more
-        return pa.RecordBatch.from_arrays([*row(block, shard, 0, payload).columns, *blank.values()], names=names)
+        return pa.RecordBatch.from_arrays([*row(block, shard, payload).columns, *blank.values()], names=names)
 
     keys = [np.cumsum(unpack(p)[0]) for _, p in asks]
     every = np.concatenate(keys)
@@ -295,20 +294,21 @@ def log_probabilities(n: np.ndarray, second_count: np.ndarray, sums: np.ndarray,
 
 def _score(ids: list, lengths: np.ndarray, at: np.ndarray, numbers: np.ndarray, counts: np.ndarray, answers: dict[int, object], one: Unigrams, two: np.ndarray, hot: np.ndarray, shards: int, modulus: int, held: int) -> pa.RecordBatch:
     first, second, train = _pairs(ids, lengths, at, modulus, held)
-    pairs, _ = _distinct(numbers[first], numbers[second], train)
-    a, b = pairs >> 32, pairs & 0xFFFFFFFF
+    ranks, _, place = _distinct(first, second, train)
+    b_rank = ranks & 0xFFFFFFFF
+    a, b = numbers[ranks >> 32], numbers[b_rank]
     shard = _pair_shard(a, b, shards)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-    n, sums = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), K + 2))
+    n, sums = np.zeros(len(ranks), np.int64), np.zeros((len(ranks), K + 2))
     for k, (got, by_first) in answers.items():
         some = order[bounds[k] : bounds[k + 1]]
         n[some] = got
-        sums[some] = by_first[np.searchsorted(np.unique(a[some]), a[some])]
+        sums[some] = by_first[np.cumsum(np.diff(a[some], prepend=a[some[0]]) != 0)]
     is_hot = a < HOT
     sums[is_hot] = hot[a[is_hot]]
-    logs = log_probabilities(n, _lookup(numbers, counts)(b), sums, one, two)
-    token = logs[np.searchsorted(pairs, (numbers[first] << 32) | numbers[second])]
+    logs = log_probabilities(n, counts[b_rank], sums, one, two)
+    token = logs[place]
     starts = np.cumsum(lengths) - lengths
     c = counts[second]
     columns = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(one.base(c)), token)]

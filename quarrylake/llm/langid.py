@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, small_batches
 from .tokens import slices
 
 #: Bound of the sample that the network is fitted on: labelled documents per language, words of each.
@@ -242,6 +242,7 @@ def predict(docs: DataFrame, net: ByteGRU | None, id_col: str = "doc_id", text_c
                     language[i], score[i] = net.languages[k], min(1.0, float(m[k]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score), *batch.columns[2:]], names=["id", "lang_pred", "score", *keep])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     schema = "id long, lang_pred string, score double" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
     return rows.mapInArrow(run, schema)

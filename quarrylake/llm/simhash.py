@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, stored
+from .common import components, documents, small_batches, stored
 
 #: A third of the 64 bits each; the pair of numbers is (first bit, width).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     return rows.mapInArrow(run, "id long, fp long" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:]))
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, shared_dir, small_batches
 from .mixcoder import decode, encode
 from .tokens import encoder, load, slices, word_bpe_path
 
@@ -85,6 +85,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None = 1, id_col:
     writes one file and holds one block of it.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     files = max(6, -(-size // file_text))

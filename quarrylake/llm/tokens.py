@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words that a Python worker remembers (see WordEncoder).
 KEEP = 250_000
 #: Words that are encoded as one string.
@@ -382,5 +384,6 @@ def encoded(docs: DataFrame, path: str, end: int | None, id_col: str = "doc_id",
         pairs = np.stack([some, df[some]], axis=1).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names=["id", "n", "ids", "df"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n long, ids binary, df binary")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, stored
+from .common import documents, fold, small_batches, stored
 from .tokens import slices
 
 #: Cells of the table of n-gram counts, whatever the corpus.
@@ -336,6 +336,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             values = np.array(scores)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32)), *batch.columns[2:]], names=["id", "score", "predicted", *keep])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     schema = "id long, score double, predicted int" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
     return rows.mapInArrow(run, schema)

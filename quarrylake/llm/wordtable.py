@@ -1,11 +1,11 @@
 """Distinct words of blocks of documents: what travels is each block's words, never one row per position.
 
-Documents are read in blocks. `asked` gives, for each block and shard, the
-block's distinct words of that shard; the shard's task answers each with what it
-knows of those words, in their order; `placed` gives each block's documents as
-positions in the block's list of distinct words. Answers and places meet by
-block. Every word of the corpus is handled by one shard, so whatever is worked
-out per word is worked out once.
+Documents are read once, in blocks. `split_blocks` gives, for each block and
+shard, the block's distinct words of that shard, and for each block its documents
+as positions in the block's list of distinct words. The shard's task answers each
+question with what it knows of those words, in their order; answers and places
+meet by block. Every word of the corpus is handled by one shard, so whatever is
+worked out per word is worked out once.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, stored
 from .tokens import slices
 
 #: Bytes of text in a block, and for each shard.
-BLOCK, PER_SHARD = 12_000_000, 16_000_000
-SCHEMA = "block long, shard int, crc long, payload binary"
-NAMES = ["block", "shard", "crc", "payload"]
+BLOCK, PER_SHARD = 8_000_000, 16_000_000
+SCHEMA = "block long, shard int, payload binary"
+NAMES = ["block", "shard", "payload"]
 
 
 def pack(value: object) -> bytes:
@@ -38,8 +39,22 @@ def unpack(data: bytes) -> object:
     return pickle.loads(zstandard.decompress(data))
 
 
-def row(block: int, shard: int, crc: int, payload: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([crc], pa.int64()), pa.array([pack(payload)], pa.binary())], names=NAMES)
+def row(block: int, shard: int, payload: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([pack(payload)], pa.binary())], names=NAMES)
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """The places of a list of words by falling count."""
+    return np.argsort(-counts, kind="stable")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 as all their lowest bytes, then all second bytes and so on: like bytes together take less."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def shards_for(docs: DataFrame, text_col: str = "text", per_shard: int = PER_SHARD) -> int:
@@ -85,76 +100,73 @@ def by_shard(distinct: set[bytes], shards: int) -> list[list[bytes]]:
     return out
 
 
-def asked(rows: DataFrame, split: Callable[[str | None], list[bytes]], shards: int, weigh: Callable[[list, list[list[bytes]]], dict[bytes, int]] | None = None) -> DataFrame:
-    """(block, shard, crc, payload): the words of each block and shard joined by line ends, and what `weigh` makes of them.
+def split_blocks(rows: DataFrame, split: Callable[[str | None], list[bytes]], shards: int, name: str, weigh: Callable[[list, list[list[bytes]]], dict[bytes, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(questions, places), written to the shared folder in one pass over `rows` (id, text).
 
-    `rows` has the columns id and text; `weigh(ids, words of each)` gives a number for each word.
+    questions: for each block and shard the words joined by line ends, and what
+    `weigh` makes of them (a number for each word). places: for each block the
+    ids, lengths and positions of their words in the block's list of words, and
+    how often each word of the list occurs. The list goes by shard and word;
+    positions are in the list as by_count orders it: frequent words have small
+    ones, which take few bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in blocks(batches):
             texts = [split(x) for x in batch.column(1).to_pylist()]
-            weights = weigh(batch.column(0).to_pylist(), texts) if weigh else None
+            ids = batch.column(0).to_pylist()
+            del batch
+            weights = weigh(ids, texts) if weigh else None
+            place: dict[bytes, int] = {}
             for shard, words in enumerate(by_shard(set().union(*texts), shards)):
                 if words:
-                    joined = b"\n".join(words)
-                    yield row(block, shard, zlib.crc32(joined), (joined, np.array([weights.get(w, 0) for w in words], np.int64) if weigh else None))
-
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def placed(rows: DataFrame, split: Callable[[str | None], list[bytes]], shards: int) -> DataFrame:
-    """(block, shard = -1, crc, payload): each block's ids, lengths and positions of their words in the block's list of
-    words, which goes by shard and word; with the checksums of the lists as `asked` sent them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in blocks(batches):
-            texts = [split(x) for x in batch.column(1).to_pylist()]
-            lists = by_shard(set().union(*texts), shards)
-            place: dict[bytes, int] = {}
-            for words in lists:
-                place.update(zip(words, range(len(place), len(place) + len(words))))
+                    place.update(zip(words, range(len(place), len(place) + len(words))))
+                    yield row(block, shard, (b"\n".join(words), np.array([weights.get(w, 0) for w in words], np.int64) if weigh else None))
             get = place.__getitem__
-            at = [np.fromiter(map(get, words), np.int32, len(words)) for words in texts]
-            crc = {k: zlib.crc32(b"\n".join(words)) for k, words in enumerate(lists) if words}
-            yield row(block, -1, 0, (batch.column(0).to_pylist(), np.array([len(x) for x in at]), np.concatenate(at), crc))
+            lengths = np.array([len(words) for words in texts])
+            at = np.fromiter((get(w) for words in texts for w in words), np.int64, int(lengths.sum()))
+            del texts
+            counts = np.bincount(at, minlength=len(place))
+            rank = np.empty(len(place), np.int64)
+            rank[by_count(counts)] = np.arange(len(place))
+            yield row(block, -1, (ids, lengths, _planes(rank[at]), counts.astype(np.int32)))
 
-    return rows.mapInArrow(run, SCHEMA)
+    small_batches(rows.sparkSession)
+    both = stored(rows.mapInArrow(run, SCHEMA).withColumn("places", F.col("shard") < 0), name, by="places")
+    return both.where("NOT places").select(*NAMES), both.where("places").select(*NAMES)
 
 
 def answered(questions: DataFrame, shards: int, make: Callable[[], Callable[[list[bytes], np.ndarray | None], object]]) -> DataFrame:
-    """An answer to each row of `asked`; `make()` gives a function that a task calls with each row's words and weights."""
+    """An answer to each question; `make()` gives a function that a task calls with each row's words and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reply = make()
         for batch in batches:
             for x in batch.to_pylist():
                 joined, weights = unpack(x["payload"])
-                yield row(x["block"], x["shard"], x["crc"], reply(joined.split(b"\n"), weights))
+                yield row(x["block"], x["shard"], reply(joined.split(b"\n"), weights))
 
     return questions.repartition(shards, "shard").mapInArrow(run, SCHEMA)
 
 
 def met(answers: DataFrame, places: DataFrame, partitions: int, use: Callable[[int, dict[int, object], tuple], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What `use(block, answers by shard, places)` yields for each block.
-
-    Fails if a block's words differ from those that were asked for, which would
-    mean that the input's rows came in another order when read again.
-    """
+    """What `use(block, answers by shard, places)` yields for each block; places are ids, lengths, positions, and the
+    order of the block's list that positions are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, crcs = None, {}, {}
+        block, held = None, {}
         for batch in batches:
-            for x in batch.to_pylist():
+            for i in range(batch.num_rows):
+                x = batch.slice(i, 1).to_pylist()[0]
                 if x["block"] != block:
-                    block, held, crcs = x["block"], {}, {}
+                    block, held = x["block"], {}
                 payload = unpack(x["payload"])
                 if x["shard"] >= 0:
-                    held[x["shard"]], crcs[x["shard"]] = payload, x["crc"]
-                    continue
-                if crcs != payload[3]:
-                    raise RuntimeError("the input changed between two reads")
-                yield from use(block, held, payload)
+                    held[x["shard"]] = payload
+                else:
+                    ids, lengths, at, counts = payload
+                    yield from use(block, held, (ids, lengths, _unplaned(at), by_count(counts)))
+                    block, held = None, {}
 
     both = answers.unionByName(places).repartition(partitions, "block").sortWithinPartitions("block", F.desc("shard"))
     return both.mapInArrow(run, schema)
