@@ -48,6 +48,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ends = np.cumsum(sizes)
             table += [ids[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
         names, lengths, at, order = places
+        if len(table) != len(order):
+            raise RuntimeError("the input changed between two reads")
         table = [table[i] for i in order.tolist()]
         get, begin, out = table.__getitem__, 0, []
         for n in lengths.tolist():
@@ -62,7 +64,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def split(text: str | None) -> list[bytes]:
         return encoder(path).split(text)
 
-    questions, places = split_blocks(rows, split, shards, "words")
+    questions, places = split_blocks(rows, split, shards)
     return met(answered(questions, shards, make), places, shards, use, "id long, ids array<int>")
 
 

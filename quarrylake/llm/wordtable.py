@@ -1,6 +1,6 @@
 """Distinct words of blocks of documents: what travels is each block's words, never one row per position.
 
-Documents are read once, in blocks. `split_blocks` gives, for each block and
+Documents are read in blocks. `split_blocks` gives, for each block and
 shard, the block's distinct words of that shard, and for each block its documents
 as positions in the block's list of distinct words. The shard's task answers each
 question with what it knows of those words, in their order; answers and places
@@ -100,8 +100,8 @@ def by_shard(distinct: set[bytes], shards: int) -> list[list[bytes]]:
     return out
 
 
-def split_blocks(rows: DataFrame, split: Callable[[str | None], list[bytes]], shards: int, name: str, weigh: Callable[[list, list[list[bytes]]], dict[bytes, int]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(questions, places), written to the shared folder in one pass over `rows` (id, text).
+def split_blocks(rows: DataFrame, split: Callable[[str | None], list[bytes]], shards: int, name: str | None = None, weigh: Callable[[list, list[list[bytes]]], dict[bytes, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(questions, places) of the blocks of `rows` (id, text).
 
     questions: for each block and shard the words joined by line ends, and what
     `weigh` makes of them (a number for each word). places: for each block the
@@ -109,30 +109,41 @@ def split_blocks(rows: DataFrame, split: Callable[[str | None], list[bytes]], sh
     how often each word of the list occurs. The list goes by shard and word;
     positions are in the list as by_count orders it: frequent words have small
     ones, which take few bytes.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in blocks(batches):
-            texts = [split(x) for x in batch.column(1).to_pylist()]
-            ids = batch.column(0).to_pylist()
-            del batch
-            weights = weigh(ids, texts) if weigh else None
-            place: dict[bytes, int] = {}
-            for shard, words in enumerate(by_shard(set().union(*texts), shards)):
-                if words:
-                    place.update(zip(words, range(len(place), len(place) + len(words))))
-                    yield row(block, shard, (b"\n".join(words), np.array([weights.get(w, 0) for w in words], np.int64) if weigh else None))
-            get = place.__getitem__
-            lengths = np.array([len(words) for words in texts])
-            at = np.fromiter((get(w) for words in texts for w in words), np.int64, int(lengths.sum()))
-            del texts
-            counts = np.bincount(at, minlength=len(place))
-            rank = np.empty(len(place), np.int64)
-            rank[by_count(counts)] = np.arange(len(place))
-            yield row(block, -1, (ids, lengths, _planes(rank[at]), counts.astype(np.int32)))
 
+    With a name both are written to the shared folder in one pass. Without one
+    each is worked out by a pass of its own, which spares disk; blocks are named
+    by their content, so a second pass that saw other blocks is noticed.
+    """
     small_batches(rows.sparkSession)
-    both = stored(rows.mapInArrow(run, SCHEMA).withColumn("places", F.col("shard") < 0), name, by="places")
+
+    def made(asked: bool, placed: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, batch in blocks(batches):
+                texts = [split(x) for x in batch.column(1).to_pylist()]
+                ids = batch.column(0).to_pylist()
+                del batch
+                weights = weigh(ids, texts) if weigh and asked else None
+                place: dict[bytes, int] = {}
+                for shard, words in enumerate(by_shard(set().union(*texts), shards)):
+                    if words and placed:
+                        place.update(zip(words, range(len(place), len(place) + len(words))))
+                    if words and asked:
+                        yield row(block, shard, (b"\n".join(words), np.array([weights.get(w, 0) for w in words], np.int64) if weigh else None))
+                if placed:
+                    get = place.__getitem__
+                    lengths = np.array([len(words) for words in texts])
+                    at = np.fromiter((get(w) for words in texts for w in words), np.int64, int(lengths.sum()))
+                    del texts
+                    counts = np.bincount(at, minlength=len(place))
+                    rank = np.empty(len(place), np.int64)
+                    rank[by_count(counts)] = np.arange(len(place))
+                    yield row(block, -1, (ids, lengths, _planes(rank[at]), counts.astype(np.int32)))
+
+        return rows.mapInArrow(run, SCHEMA)
+
+    if name is None:
+        return made(True, False), made(False, True)
+    both = stored(made(True, True).withColumn("places", F.col("shard") < 0), name, by="places")
     return both.where("NOT places").select(*NAMES), both.where("places").select(*NAMES)
 
 
