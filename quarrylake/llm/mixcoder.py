@@ -18,11 +18,11 @@ import numpy as np
 
 SURE = 8
 SLOTS = 1 << 18
-MIX_BITS, ZERO_BITS = 12, 20
+MIX_BITS, ZERO_BITS = 12, 19
 #: The state has 64 bits; units of 16 bits leave it. Before each step a lane's range is at least 2**40, so that it can
-#: be narrowed twice, by 12 and by 20 bits.
+#: be narrowed twice, by 12 and by 19 bits.
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-LANES, LANE_IDS = 4096, 256
+LANES, LANE_IDS = 8192, 256
 _ONE, _UNIT, _DOWN = np.uint64(1), np.uint64(16), np.uint64(48)
 
 
@@ -33,6 +33,7 @@ class Model:
         self.vocabulary, self.decoding = vocabulary, decoding
         self.count = np.ones(vocabulary, np.int64)
         self.cum = np.empty(vocabulary + 1, np.uint64)
+        self.order = np.arange(1, vocabulary + 1)
         self.fresh: list[np.ndarray] = []
         # What a context expects, plus one, times SURE, plus how sure it is.
         self.slots = [np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)]
@@ -44,15 +45,17 @@ class Model:
         self.parts = (one % SURE, one // SURE)
 
     def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What orders 1 and 2 expect in each lane (-1: nothing), and the lane's mixing context."""
+        """What orders 1 and 2 expect in each lane, plus one (0: nothing), and three times the lane's mixing context."""
         if self.step < 16 and self.step & (self.step - 1) == 0 or self.step % 16 == 0:
             self._refresh()
-        if self.step < 16 or self.step % 4 == 0:
+        if self.step < 16 or self.step % 8 == 0:
             self._mix()
         one, two = self.held = (self.slots[0][self.at[0]], self.slots[1][self.at[1]])
-        self.expected = ((one >> 3) - 1, (two >> 3) - 1)
-        self.context = ((two & 7) << 4) + ((one & 7) << 1) + (self.expected[0] == self.expected[1])
-        return *self.expected, self.context
+        self.sure = (one & 7, two & 7)
+        expected = (one >> 3, two >> 3)
+        context = self.sure[1] * 48 + self.sure[0] * 6
+        context[expected[0] == expected[1]] += 3
+        return *expected, context
 
     def _mix(self) -> None:
         weights = 16 * ((self.by[0] << 12) // self.by[0].sum(1, keepdims=True))[self.parts[0]]
@@ -70,22 +73,26 @@ class Model:
         total = np.cumsum(self.count)
         room = (1 << ZERO_BITS) - self.vocabulary
         self.cum[0] = 0
-        self.cum[1:] = (total * room // total[-1] + np.arange(1, self.vocabulary + 1)).astype(np.uint64)
+        # One division and products below 2**53: doubles give the same on every machine.
+        share = (total * (room / float(total[-1]))).astype(np.int64)
+        self.cum[1:] = np.minimum(share, room) + self.order
         if self.decoding:
             self.id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), np.diff(self.cum).astype(np.int64))
 
-    def learn(self, ids: np.ndarray, source: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, symbol: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
+        """ids: what came in each lane; symbol: three times the context plus the order that explained it; hits: whether
+        orders 1 and 2 expected it."""
         n = len(self.joint)
-        seen = np.bincount(self.context * 3 + source, minlength=3 * n).reshape(n, 3)
+        seen = np.bincount(symbol, minlength=3 * n).reshape(n, 3)
         self.joint += seen
         halves = seen.reshape(SURE, SURE, 2, 3).sum(2)
         self.by[0] += halves.sum(0)
         self.by[1] += halves.sum(1)
+        fresh = ((ids << 3) + 9).astype(np.int32)
         for k in (0, 1):
-            held = self.held[k]
-            sure = held & 7
-            missed = np.where(sure <= 1, (ids + 1 << 3) + 1, held - sure + (sure >> 1))
-            self.slots[k][self.at[k]] = np.where(self.expected[k] == ids, held + (sure < SURE - 1), missed)
+            held, sure = self.held[k], self.sure[k]
+            missed = np.where(sure <= 1, fresh, held - sure + (sure >> 1))
+            self.slots[k][self.at[k]] = np.where(hits[k], held + (sure < SURE - 1), missed)
         self.fresh.append(ids)
         self.at = [ids, (self.at[0] * 0x9E3779B1 + ids * 0x85EBCA6B >> 11) & (SLOTS - 1)]
         self.step += 1
@@ -179,14 +186,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, bytes]:
     model, out = Model(vocabulary, lanes), _Writer(lanes, steps)
     for now in table:
         one, two, context = model.look()
-        source = np.where(now == two, 2, now == one)
-        symbol = context * 3 + source
+        following = now + 1
+        hits = (one == following, two == following)
+        symbol = context + np.where(hits[1], 2, hits[0])
         out.narrow(slice(None), model.begin[symbol], model.width[symbol], MIX_BITS)
-        rest = np.flatnonzero(source == 0)
-        begin = model.cum[now[rest]]
-        out.narrow(rest, begin, model.cum[now[rest] + 1] - begin, ZERO_BITS)
+        rest = np.flatnonzero(~(hits[0] | hits[1]))
+        some = now[rest]
+        begin = model.cum[some]
+        out.narrow(rest, begin, model.cum[some + 1] - begin, ZERO_BITS)
         out.settle()
-        model.learn(now, source)
+        model.learn(now, symbol, hits)
     return lanes, steps, out.finish()
 
 
@@ -200,10 +209,11 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
         one, two, context = model.look()
         part = coder.range >> np.uint64(MIX_BITS)
         ahead = coder.code - coder.low
-        source = np.where(ahead < part * model.width[context * 3 + 2], 2, ahead < part * model.begin[context * 3])
-        symbol = context * 3 + source
+        source = np.where(ahead < part * model.width[context + 2], 2, ahead < part * model.begin[context])
+        symbol = context + source
         coder.narrow(slice(None), model.begin[symbol], model.width[symbol], MIX_BITS)
         now[:] = np.where(source == 2, two, one)
+        now -= 1
         rest = np.flatnonzero(source == 0)
         at = (coder.code[rest] - coder.low[rest]) // (coder.range[rest] >> np.uint64(ZERO_BITS))
         found = model.id_at[np.minimum(at, np.uint64((1 << ZERO_BITS) - 1)).astype(np.int64)]
@@ -212,5 +222,7 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
         coder.narrow(rest, begin, model.cum[found + 1] - begin, ZERO_BITS)
         coder.settle()
         # A damaged payload may name what no context expects; the block's checksum tells.
-        model.learn(np.maximum(now, 0), source)
+        np.maximum(now, 0, out=now)
+        following = now + 1
+        model.learn(now, symbol, (one == following, two == following))
     return table.T.ravel()[:n]
