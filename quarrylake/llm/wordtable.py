@@ -79,9 +79,10 @@ def _named(held: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
     rows = _joined(held)
     name = xxhash.xxh64()
     for i, x in zip(rows.column(0).to_pylist(), rows.column(1)):
-        name.update(b"%d " % i if i is not None else b"- ")
-        if x.is_valid:
-            name.update(x.as_buffer())
+        text = x.as_buffer() if x.is_valid else b""
+        # With the text's length before it no other rows make the same bytes.
+        name.update(b"%d %d " % (i, len(text)) if i is not None else b"- %d " % len(text))
+        name.update(text)
     return name.intdigest() >> 1, rows
 
 
@@ -176,8 +177,8 @@ def met(answers: DataFrame, places: DataFrame, partitions: int, use: Callable[[i
                     held[x["shard"]] = payload
                 else:
                     ids, lengths, at, counts = payload
+                    # Blocks with the same rows share a name, and the answers: these stay until the name changes.
                     yield from use(block, held, (ids, lengths, _unplaned(at), by_count(counts)))
-                    block, held = None, {}
 
     both = answers.unionByName(places).repartition(partitions, "block").sortWithinPartitions("block", F.desc("shard"))
     return both.mapInArrow(run, schema)

@@ -5,10 +5,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quarrylake.llm import bpe, mixcoder, packing, tokenfile
+from quarrylake.llm import bpe, katz, mixcoder, packing, tokenfile, wordtable
 from quarrylake.llm.tokens import WordEncoder, word_bpe_path
 
 SIGNS = "abcXYZéßÖñÉĀžŽ.,!?%&*$#@;:|-+()<>^_~`0129  \n\t'İıſKÅ日本語ªǅ’²½́­​×÷\x0b\x1c\x00"
@@ -41,6 +42,30 @@ def test_encode_and_decode(spark, docs, rows, nothing, library):
     assert bpe.decode(bpe.encode(nothing, word_bpe_path()), word_bpe_path()).count() == 0
 
 
+def _apart(spark, rows, partitions):
+    """Each partition holds all of `rows`."""
+    return spark.sparkContext.parallelize(range(partitions), partitions).flatMap(lambda _: rows).toDF("doc_id long, text string")
+
+
+def test_same_rows_in_several_partitions(spark, library):
+    rows = [(1, "one row, again"), (None, "and one without an id"), (2, None)]
+    found = bpe.decode(bpe.encode(_apart(spark, rows, 3), word_bpe_path()), word_bpe_path()).collect()
+    assert sorted((str(r.id), list(r.ids)) for r in found) == sorted((str(i), _ids(library, t)) for i, t in rows * 3)
+    scores, bigrams = katz.scored(_apart(spark, rows, 3), shards=3)
+    again, same = katz.scored(_apart(spark, rows * 3, 1), shards=3)
+    assert sorted(scores.collect(), key=str) == sorted(again.collect(), key=str) and scores.count() == 9
+    table, wanted = (sorted(x for r in t.collect() for x in zip(r.first, r.second, r.n)) for t in (bigrams, same))
+    assert table == wanted
+
+
+def test_blocks_with_other_rows_have_other_names():
+    def name(rows):
+        return wordtable._named([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "text"])])[0]
+
+    assert name([(1, "a2 b")]) != name([(1, "a"), (2, "b")])
+    assert name([(1, "a")]) == name([(1, "a")])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 257, 5000, 70_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
