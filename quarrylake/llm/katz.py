@@ -16,8 +16,8 @@ from .wordtable import NAMES, SCHEMA, met, row, shards_for, split_blocks, unpack
 
 #: Counts above this are not discounted.
 K = 5
-#: Words with smaller numbers are so frequent that their bigrams are dealt over all shards.
-HOT = 1024
+#: Words that are more than this share of a shard's mean number of tokens are hot: their bigrams are dealt over all shards.
+HOT_SHARE = 0.25
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -61,21 +61,29 @@ def _words(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8").lower().split(), b""]
 
 
-def _count(ids: list, texts: list[list[bytes]], held: list[bool]) -> dict[bytes, int]:
-    out: Counter[bytes] = Counter()
+def _count(texts: list[list[bytes]], held: list[bool]) -> dict[bytes, int]:
+    """Each word's training count, plus 2**32 for each time it is held out; a block has fewer words than that."""
+    train: Counter[bytes] = Counter()
+    other: Counter[bytes] = Counter()
     for words, out_of in zip(texts, held):
-        if not out_of:
-            out.update(words)
-    return out
+        (other if out_of else train).update(words)
+    for w, c in other.items():
+        train[w] += c << 32
+    return train
 
 
 def _is_held(i: int | None, modulus: int, held: int) -> bool:
     return zlib.crc32(b"" if i is None else b"%d" % i) % modulus == held
 
 
-def _pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+def _is_hot(numbers: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the numbers are in the sorted `hot`."""
+    at = np.searchsorted(hot, numbers)
+    return hot[np.minimum(at, len(hot) - 1)] == numbers if len(hot) else np.zeros(len(numbers), bool)
+
+
+def _pair_shard(first: np.ndarray, second: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     """A pair's shard: that of its first word, but for hot first words, whose pairs are dealt by both."""
-    hot = first < HOT
     return np.where(hot, (first * 31 + second * 2654435761) % shards, first % shards).astype(np.int64)
 
 
@@ -101,7 +109,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def weigh(ids: list, texts: list[list[bytes]]) -> dict[bytes, int]:
-        return _count(ids, texts, [_is_held(i, modulus, held) for i in ids])
+        return _count(texts, [_is_held(i, modulus, held) for i in ids])
 
     questions, places = split_blocks(rows, _words, shards, "words", weigh)
     known = stored(_numbered(questions, shards), "numbers")
@@ -109,14 +117,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     few = {c: n for c, n in classes.where(f"c <= {K + 1}").collect()}
     n, types = classes.agg(F.coalesce(F.sum(F.col("c") * F.col("types")), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     one = Unigrams(n, types, few)
+    # All tokens are shared among words, so fewer than shards / HOT_SHARE words have more than HOT_SHARE / shards of them.
+    every = known.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    often = known.where("block = -2 AND tokens > %r" % (HOT_SHARE * every / shards)).select("c").toArrow()
+    hot_words = np.sort(often.column("c").to_numpy())
 
-    sequences = stored(met(known.where("block <> -1").select(*NAMES), places, shards, _sequences, SCHEMA), "sequences")
+    sequences = stored(met(known.where("block >= 0").select(*NAMES), places, shards, _sequences, SCHEMA), "sequences")
     forget(questions, places, known)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                yield from _ask_pairs(x["block"], unpack(x["payload"]), shards, modulus, held)
+                yield from _ask_pairs(x["block"], unpack(x["payload"]), hot_words, shards, modulus, held)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -124,18 +136,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
             for x in batch.to_pylist():
                 by.setdefault(x["shard"], []).append((x["block"], x["payload"]))
         for k, asks in by.items():
-            yield from _answer_pairs(k, asks, one)
+            yield from _answer_pairs(k, asks, one, hot_words)
 
     asks = sequences.mapInArrow(ask, SCHEMA).repartition(shards, "shard")
     answers = stored(asks.mapInArrow(reply, SCHEMA + ", r int, types long, hot array<long>, hot_sums array<double>, first array<int>, second array<int>, n array<int>"), "pairs")
     pair_classes = {r: t for r, t in answers.where("block = -1").groupBy("r").agg(F.sum("types")).collect()}
     two = discounts(pair_classes)
-    # Sums of the hot first words: at most HOT * (K + 2) numbers, whatever the corpus.
+    # Sums of the hot first words: fewer than shards / HOT_SHARE * (K + 2) numbers.
     sums = answers.where("block = -2").select(F.explode(F.arrays_zip("hot", "hot_sums")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_sums").alias("s")).collect()
-    hot = np.zeros(HOT * (K + 2))
+    hot = np.zeros(len(hot_words) * (K + 2))
     for key, value in sums:
         hot[key] = value
-    hot = hot.reshape(HOT, K + 2)
+    hot = hot.reshape(-1, K + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, kept = None, {}
@@ -146,7 +158,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                 if x["shard"] >= 0:
                     kept[x["shard"]] = unpack(x["payload"])
                 else:
-                    yield _score(*unpack(x["payload"]), kept, one, two, hot, shards, modulus, held)
+                    yield _score(*unpack(x["payload"]), kept, one, two, hot_words, hot, shards, modulus, held)
 
     both = answers.where("block >= 0").select(*NAMES).unionByName(sequences).repartition(shards, "block").sortWithinPartitions("block", F.desc("shard"))
     scores = both.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
@@ -154,7 +166,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     return scores, answers.where("block = -3").select("shard", "first", "second", "n")
 
 
-def _ask_pairs(block: int, sequences: tuple, shards: int, modulus: int, held: int) -> Iterator[pa.RecordBatch]:
+def _ask_pairs(block: int, sequences: tuple, hot: np.ndarray, shards: int, modulus: int, held: int) -> Iterator[pa.RecordBatch]:
     """A block's distinct pairs, by shard: the pairs as differences, their training counts here and their second words' counts."""
     ids, lengths, at, numbers, counts = sequences
     first, second, train = _pairs(ids, lengths, at, modulus, held)
@@ -163,7 +175,7 @@ def _ask_pairs(block: int, sequences: tuple, shards: int, modulus: int, held: in
     b_rank = ranks & 0xFFFFFFFF
     a, b = numbers[ranks >> 32], numbers[b_rank]
     pairs = (a << 32) | b
-    shard = _pair_shard(a, b, shards)
+    shard = _pair_shard(a, b, _is_hot(numbers, hot)[ranks >> 32], shards)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
     for k in range(shards):
@@ -173,7 +185,8 @@ def _ask_pairs(block: int, sequences: tuple, shards: int, modulus: int, held: in
 
 
 def _numbered(questions: DataFrame, shards: int) -> DataFrame:
-    """Answers to questions: each word's number and training count; and, in rows of block -1, how many words have each count.
+    """Answers to questions: each word's number and training count. Rows of block -1 tell how many words have each count,
+    and how many tokens they are with those held out; rows of block -2 the words that may be hot, with their tokens.
 
     Numbers are unique and small for frequent words: a shard numbers its words
     by falling count. That needs all questions of the shard, which are the
@@ -186,23 +199,42 @@ def _numbered(questions: DataFrame, shards: int) -> DataFrame:
             for x in batch.to_pylist():
                 by.setdefault(x["shard"], []).append((x["block"], x["payload"]))
         for shard, asks in by.items():
-            total: dict[bytes, int] = {}
-            for _, payload in asks:
-                joined, weights = unpack(payload)
-                for w, c in zip(joined.split(b"\n"), weights.tolist()):
-                    total[w] = total.get(w, 0) + c
-            ordered = sorted(total, key=lambda w: (-total[w], w))
-            number = {w: i * shards + shard for i, w in enumerate(ordered)}
-            for block, payload in asks:
-                words = unpack(payload)[0].split(b"\n")
-                answer = row(block, shard, (np.array([number[w] for w in words], np.int64), np.array([total[w] for w in words], np.int64)))
-                yield pa.RecordBatch.from_arrays([*answer.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=[*NAMES, "c", "types"])
-            c, types = np.unique(np.fromiter(total.values(), np.int64, len(total)), return_counts=True)
-            c, types = c[c > 0], types[c > 0]
-            m = len(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1)), pa.array(np.full(m, shard, np.int32)), pa.nulls(m, pa.binary()), pa.array(c), pa.array(types)], names=[*NAMES, "c", "types"])
-
-    return questions.repartition(shards, "shard").mapInArrow(run, SCHEMA + ", c long, types long")
+            yield from _number_words(shard, asks, shards)
+
+    return questions.repartition(shards, "shard").mapInArrow(run, SCHEMA + ", c long, types long, tokens long")
+
+
+def _number_words(shard: int, asks: list, shards: int) -> Iterator[pa.RecordBatch]:
+    names = [*NAMES, "c", "types", "tokens"]
+    total: dict[bytes, int] = {}
+    held_out: Counter[bytes] = Counter()
+    for _, payload in asks:
+        joined, weights = unpack(payload)
+        words = joined.split(b"\n")
+        for w, c in zip(words, (weights & 0xFFFFFFFF).tolist()):
+            total[w] = total.get(w, 0) + c
+        for i in np.flatnonzero(weights >> 32).tolist():
+            held_out[words[i]] += int(weights[i]) >> 32
+    ordered = sorted(total, key=lambda w: (-total[w], w))
+    number = {w: i * shards + shard for i, w in enumerate(ordered)}
+    for block, payload in asks:
+        words = unpack(payload)[0].split(b"\n")
+        answer = row(block, shard, (np.array([number[w] for w in words], np.int64), np.array([total[w] for w in words], np.int64)))
+        yield pa.RecordBatch.from_arrays([*answer.columns, *[pa.nulls(1, pa.int64())] * 3], names=names)
+
+    def told(block: int, c: np.ndarray, types: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+        m = len(c)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, shard, np.int32)), pa.nulls(m, pa.binary()), pa.array(c), pa.array(types), pa.array(tokens)], names=names)
+
+    counts = np.fromiter(total.values(), np.int64, len(total))
+    tokens = counts + np.fromiter(map(held_out.__getitem__, total), np.int64, len(total))
+    c, types = np.unique(counts, return_counts=True)
+    # The class of count 0 isn't one of the model's, but its tokens are of the corpus.
+    yield told(-1, c, np.where(c > 0, types, 0), np.bincount(np.searchsorted(c, counts), tokens).astype(np.int64))
+    # The corpus has at least this shard's tokens: no hot word is missed.
+    may = tokens > HOT_SHARE * tokens.sum() / shards
+    numbers = np.fromiter(map(number.__getitem__, total), np.int64, len(total))
+    yield told(-2, numbers[may], np.zeros(may.sum(), np.int64), tokens[may])
 
 
 def _sequences(block: int, held: dict[int, object], places: tuple) -> Iterator[pa.RecordBatch]:
@@ -238,7 +270,7 @@ def _distinct(a: np.ndarray, b: np.ndarray, train: np.ndarray) -> tuple[np.ndarr
     return pair[new], np.bincount(place, train, minlength=int(new.sum())).astype(np.int64), place
 
 
-def _answer_pairs(shard: int, asks: list, one: Unigrams) -> Iterator[pa.RecordBatch]:
+def _answer_pairs(shard: int, asks: list, one: Unigrams, hot_words: np.ndarray) -> Iterator[pa.RecordBatch]:
     """To each block, for its pairs of this shard in their order: the training count of each pair and, by first word,
     how many tokens follow it in pairs of each count up to K, and above, and the sum of the followers' word probabilities."""
     names = [*NAMES, "r", "types", "hot", "hot_sums", "first", "second", "n"]
@@ -266,9 +298,9 @@ def _answer_pairs(shard: int, asks: list, one: Unigrams) -> Iterator[pa.RecordBa
         at = np.searchsorted(pair, key)
         mine = np.unique(key >> 32)
         yield out(block, (n[at].astype(np.int32), sums[np.searchsorted(firsts, mine)]))
-    hot = np.flatnonzero(firsts < HOT)
+    hot = np.flatnonzero(_is_hot(firsts, hot_words))
     if len(hot):
-        cells = (firsts[hot][:, None] * (K + 2) + np.arange(K + 2)).ravel()
+        cells = (np.searchsorted(hot_words, firsts[hot])[:, None] * (K + 2) + np.arange(K + 2)).ravel()
         yield out(-2, None, hot=pa.array([cells.tolist()], pa.list_(pa.int64())), hot_sums=pa.array([sums[hot].ravel().tolist()], pa.list_(pa.float64())))
     for r in range(1, K + 2):
         yield out(-1, None, r=pa.array([r], pa.int32()), types=pa.array([int((n == r).sum())], pa.int64()))
@@ -292,12 +324,13 @@ def log_probabilities(n: np.ndarray, second_count: np.ndarray, sums: np.ndarray,
     return np.log10(np.where(n > 0, seen, np.where(tokens.sum(1) > 0, (total - kept) / total / rest * lower, lower)))
 
 
-def _score(ids: list, lengths: np.ndarray, at: np.ndarray, numbers: np.ndarray, counts: np.ndarray, answers: dict[int, object], one: Unigrams, two: np.ndarray, hot: np.ndarray, shards: int, modulus: int, held: int) -> pa.RecordBatch:
+def _score(ids: list, lengths: np.ndarray, at: np.ndarray, numbers: np.ndarray, counts: np.ndarray, answers: dict[int, object], one: Unigrams, two: np.ndarray, hot_words: np.ndarray, hot: np.ndarray, shards: int, modulus: int, held: int) -> pa.RecordBatch:
     first, second, train = _pairs(ids, lengths, at, modulus, held)
     ranks, _, place = _distinct(first, second, train)
     b_rank = ranks & 0xFFFFFFFF
     a, b = numbers[ranks >> 32], numbers[b_rank]
-    shard = _pair_shard(a, b, shards)
+    is_hot = _is_hot(numbers, hot_words)[ranks >> 32]
+    shard = _pair_shard(a, b, is_hot, shards)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
     n, sums = np.zeros(len(ranks), np.int64), np.zeros((len(ranks), K + 2))
@@ -305,8 +338,7 @@ def _score(ids: list, lengths: np.ndarray, at: np.ndarray, numbers: np.ndarray,
         some = order[bounds[k] : bounds[k + 1]]
         n[some] = got
         sums[some] = by_first[np.cumsum(np.diff(a[some], prepend=a[some[0]]) != 0)]
-    is_hot = a < HOT
-    sums[is_hot] = hot[a[is_hot]]
+    sums[is_hot] = hot[np.searchsorted(hot_words, a[is_hot])]
     logs = log_probabilities(n, counts[b_rank], sums, one, two)
     token = logs[place]
     starts = np.cumsum(lengths) - lengths

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.llm import katz, langid, license, toxicity
+from quarrylake.llm import katz, langid, license, toxicity, wordtable
 
 WORDS = {"en": "the of and to in is that it was for on are with they be at this have from or".split(), "de": "der die und das nicht ein eine ist mit sich auf für den von zu dem".split(), "fr": "le la les des est une dans que pour qui sur pas avec plus par".split()}
 
@@ -107,6 +107,27 @@ def test_katz(spark, docs, rows, nothing):
     assert katz.scored(nothing)[0].count() == 0
 
 
+def test_katz_frequent_words_are_dealt_however_many_shards(spark):
+    # The most frequent word is the first of shard 1090 of 1100; half of its occurrences are held out.
+    asks = [(7, wordtable.pack((b"b\nrare\nthe", np.array([3 << 32, 1, 5000 + (5000 << 32)]))))]
+    told = [x for batch in katz._number_words(1090, asks, 1100) for x in batch.to_pylist()]
+    often = np.array([x["c"] for x in told if x["block"] == -2 and x["tokens"] > katz.HOT_SHARE * 1_000_000 / 1100])
+    assert often.tolist() == [1090]
+    assert sum(x["tokens"] for x in told if x["block"] == -1) == 10_004
+    a, b = np.full(5000, 1090), np.arange(5000)
+    assert np.bincount(katz._pair_shard(a, b, katz._is_hot(a, often), 1100)).max() < 50
+    # And in a table: one word makes up half of it, its pairs don't meet in one shard, and shards don't change results.
+    rows = [(i, " ".join(f"the w{i * 50 + j}" for j in range(50))) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scores, bigrams = katz.scored(table, shards=24)
+    sizes = Counter()
+    for r in bigrams.collect():
+        sizes[r.shard] += len(r.n)
+    assert max(sizes.values()) < 0.15 * sum(sizes.values())
+    few = {r.id: r.score for r in katz.scored(table, shards=2)[0].collect()}
+    assert all(abs(r.score - few[r.id]) < 1e-9 * abs(r.score) for r in scores.collect()) and len(few) == 40
+
+
 def test_katz_sums_to_one():
     one = katz.Unigrams(100, 10, {1: 4, 2: 3, 90: 1})
     two = katz.discounts({1: 50, 2: 20, 3: 10, 4: 6, 5: 4, 6: 3})
