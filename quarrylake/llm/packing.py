@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +39,59 @@ def term_statistics(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int
     return df, n, total / max(n, 1)
 
 
+def signatures(idf: np.ndarray, df: np.ndarray) -> list[np.ndarray]:
+    """Two tables of ranks of all ids. A document's signature is its least rank in each: a weighted minhash, equal in two
+    documents with a chance of about their overlap weighted by idf squared. Ids of a single document come last."""
+    rnd = np.random.default_rng(42)
+    weight = np.where(df > 1, idf.astype(np.float64) ** 2, 0)
+    out = []
+    for _ in range(2):
+        value = np.full(len(idf), np.inf)
+        np.divide(rnd.exponential(size=len(idf)), weight, out=value, where=weight > 0)
+        rank = np.empty(len(idf), np.int64)
+        rank[np.argsort(value, kind="stable")] = np.arange(len(idf))
+        out.append(rank)
+    return out
+
+
+class Routes:
+    """Shards of about `shard_tokens` ids for documents by their signatures, so that those of a signature share one.
+
+    first: (rank, ids) of all first ranks; both: (rank, rank, ids) of pairs with
+    more than a quarter of a shard. Small first ranks fill shards together; one
+    that is larger than a shard has shards of its own, dealt by the second rank,
+    and large pairs of it shards of their own, dealt by the document.
+    """
+
+    def __init__(self, first: list[tuple[int, int]], both: list[tuple[int, int, int]], shard_tokens: int):
+        large = {a for a, n in first if n > shard_tokens}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.firsts: dict[int, tuple[int, int]] = {}
+        self.shards, taken = 0, dict.fromkeys(large, 0)
+        for a, b, n in sorted(both):
+            if a in large:
+                self.pairs[a, b] = self._new(n, shard_tokens)
+                taken[a] += n
+        room = 0
+        for a, n in sorted(first):
+            if a in large:
+                self.firsts[a] = self._new(n - taken[a], shard_tokens)
+                continue
+            if n > room:
+                last, room = self._new(n, shard_tokens), shard_tokens
+            self.firsts[a] = last
+            room -= n
+
+    def _new(self, n: int, shard_tokens: int) -> tuple[int, int]:
+        begin, count = self.shards, max(1, -(-n // shard_tokens))
+        self.shards += count
+        return begin, count
+
+    def shard(self, a: int, b: int, key: int) -> int:
+        begin, count = self.pairs.get((a, b)) or self.firsts[a]
+        return begin + (key if (a, b) in self.pairs else b * 2654435761 >> 8) % count
+
+
 class Shard:
     """A BM25 inverted index over the documents of one shard."""
 
@@ -140,9 +192,10 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
     packed like others; repeated ids are documents of their own. An empty table
     gives an empty table. Other columns of `docs` are not read.
 
-    Documents are dealt at random to shards of about `shard_tokens` ids. Each
-    shard has its inverted index over token ids; document frequencies and the
-    mean length are those of the whole table. A task holds one shard.
+    Documents whose rare ids overlap share a shard of about `shard_tokens` ids
+    with a chance that grows with the overlap (see Routes). Each shard has its
+    inverted index over token ids; document frequencies and the mean length are
+    those of the whole table. A task holds one shard at a time.
     """
     spark = docs.sparkSession
     tokens = stored(encoded(docs, path, end, id_col, text_col), "tokens")
@@ -150,12 +203,35 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     df, n, mean_length = term_statistics(tokens, vocabulary)
     total = int(round(n * mean_length))
-    shards = max(1, -(-total // shard_tokens))
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(idf)  # one number per id of the vocabulary
+    shared = spark.sparkContext.broadcast((idf, signatures(idf, df)))  # three numbers per id of the vocabulary
+    alone = total <= shard_tokens
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = shared.value[1]
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), width) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(t[x].min()) for x in texts], pa.int64()) for t in (one, two)] + [pa.array(map(len, texts), pa.int64())], names=["a", "b", "n"])
+
+    documents_of = tokens.where("n IS NOT NULL")
+    if alone:
+        routes = None
+    else:
+        signs = stored(documents_of.select("ids").mapInArrow(signed, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "signatures")
+        # At most one row per id of the vocabulary, and four for each shard.
+        first = [tuple(x) for x in signs.groupBy("a").agg(F.sum("n")).collect()]
+        both = [tuple(x) for x in signs.where(f"n * 4 > {shard_tokens}").collect()]
+        routes = spark.sparkContext.broadcast(Routes(first, both, shard_tokens))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = shared.value[1]
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), width) for x in batch.column(1)]
+            shard = [routes.value.shard(int(one[x].min()), int(two[x].min()), key) for x, key in zip(texts, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard, pa.int32())], names=["id", "ids", "shard"])
 
     def pack(shard: int, ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        index = Shard(texts, shared.value, mean_length)
+        index = Shard(texts, shared.value[0], mean_length)
         sequence, rows = shard << 32, []
         for pieces in index.windows(window):
             for one in [pieces] if sum(x[2] for x in pieces) == window else powers(pieces):
@@ -171,16 +247,25 @@ def packed(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = [], []
+        now, ids, texts = 0, [], []
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts += [np.frombuffer(x.as_buffer(), width).copy() for x in batch.column(1)]
+            for i, x, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if shard != now:
+                    if texts:
+                        yield from pack(now, ids, texts)
+                    now, ids, texts = shard, [], []
+                ids.append(i)
+                texts.append(np.frombuffer(x.as_buffer(), width).copy())
         if texts:
-            yield from pack(TaskContext.get().partitionId(), ids, texts)
-
-    # The ids of a text join its key so that rows with a null id spread too.
-    dealt = tokens.where("n IS NOT NULL").select("id", "ids").repartition(shards, F.xxhash64("id", "ids")).sortWithinPartitions("id", "ids")
-    return dealt.mapInArrow(run, "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+            yield from pack(now, ids, texts)
+
+    if alone:
+        dealt = documents_of.select("id", "ids", F.lit(0).alias("shard")).repartition(1)
+    else:
+        # The ids of a text join its key so that rows with a null id spread too.
+        dealt = documents_of.select("id", "ids", F.xxhash64("id", "ids").alias("key")).mapInArrow(routed, "id long, ids binary, shard int")
+        dealt = dealt.repartition(routes.value.shards, "shard")
+    return dealt.sortWithinPartitions("shard", "id", "ids").mapInArrow(run, "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 _NAMES = ["id", "start", "ids", "doc_tokens", "sequence_id", "offset"]

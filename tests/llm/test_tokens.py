@@ -149,3 +149,31 @@ def test_neighbours_share_windows():
         pure += len({doc % 4 for doc, _, _ in pieces}) <= 2
     assert pure >= 7
     assert zlib.crc32(b"") == 0
+
+
+def test_topics_share_windows_over_many_shards(spark):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(7))
+    common = [word() for _ in range(300)]
+    base = [[rnd.choice(common) if rnd.random() < 0.5 else word() for _ in range(60)] for _ in range(60)]
+    rows = [(k * 8 + j, " ".join(w if rnd.random() < 0.95 else rnd.choice(common) for w in base[k])) for k in range(60) for j in range(8)]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    topic = [i // 8 for i, _ in rows]
+    found = packing.packed(table, word_bpe_path(), window=512, shard_tokens=4000).collect()
+    assert len({r.sequence_id >> 32 for r in found}) >= 10
+    windows = defaultdict(set)
+    for r in found:
+        windows[r.sequence_id].add(r.id)
+    together = sum(topic[a] == topic[b] for x in windows.values() for a in x for b in x if a < b)
+    assert together >= 480, together
+
+
+def test_routes_split_hot_signatures():
+    routes = packing.Routes([(1, 10), (2, 20), (3, 1000), (4, 5)], [(3, 7, 400), (2, 1, 20)], 50)
+    assert routes.shard(1, 5, 9) == routes.shard(2, 1, 3)
+    hot = {routes.shard(3, 7, k) for k in range(1000)}
+    rest = {routes.shard(3, b, 0) for b in range(1000) if b != 7}
+    assert len(hot) == 8 and len(rest) == 12 and not hot & rest
+    assert max(hot | rest | {routes.shard(4, 0, 0)}) < routes.shards
