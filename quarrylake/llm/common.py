@@ -41,6 +41,17 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be sent to every executor.
+FEW_KEYS = 500_000
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, by: list[str], few: int = FEW_KEYS) -> DataFrame:
+    """`rows` joined with `keys` (small columns, stored) by `by`: while there are few keys the rows don't move; beyond, both
+    sides are shuffled."""
+    few_enough = keys.limit(few + 1).count() <= few
+    return rows.join(F.broadcast(keys) if few_enough else keys.hint("shuffle_merge"), by)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that nothing reads any more."""
     for df in tables:

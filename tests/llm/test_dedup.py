@@ -72,20 +72,81 @@ def test_simhash(spark, docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_multi_index_loses_no_pair(spark):
+def _signed(v):
+    return v - 2**64 if v >= 2**63 else v
+
+
+@pytest.mark.parametrize("distance,segments,split", [(4, None, None), (4, [(0, 22, 1), (22, 21, 1), (43, 21, 0)], 5), (4, [(0, 32, 2), (32, 32, 1)], 4), (14, None, 2), (14, [(0, 16, 3), (16, 16, 3), (32, 16, 3), (48, 16, 2)], 3), (0, None, 0)])
+def test_multi_index_loses_no_link(spark, distance, segments, split):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(40)]
     values = set(base)
     for x in base:
-        for n in range(7):
+        for n in range(distance + 3):
             y = x
             for b in rnd.sample(range(64), n):
                 y ^= 1 << b
             values.add(y)
-    signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    got = {(r.a, r.b) for r in simhash.links(fps).collect()}
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    signed = sorted(map(_signed, values))
+    nodes = spark.createDataFrame([(v, v, None) for v in signed], "key long, fp long, sketch binary")
+    got = [(r.a, r.b) for r in simhash.links(nodes, distance, segments=segments, split=split).collect()]
+    differ = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(differ(a, b) <= distance for a, b in got)
+    assert _groups(got, signed) == _groups([(a, b) for a in signed for b in signed if a < b and differ(a, b) <= distance], signed)
+
+
+def test_alike_rows_give_few_links(spark):
+    # 3000 fingerprints within 4 bits of one: some 4.5 million pairs, but about one link for each and each shard that holds it.
+    rnd = random.Random(1)
+    values = {_signed(sum(1 << b for b in rnd.sample(range(64), 2))) for _ in range(3000)}
+    nodes = spark.createDataFrame([(v, v, None) for v in values], "key long, fp long, sketch binary")
+    assert simhash.links(nodes, 4).count() < 40 * len(values)
+
+
+@pytest.mark.parametrize("n", [10, 10**5, 10**7, 10**10])
+@pytest.mark.parametrize("distance", [0, 4, 14])
+def test_segments_cover_all_bits(n, distance):
+    segments = simhash.segments_for(n, distance)
+    assert [first for first, _, _ in segments] == np.cumsum([0, *[w for _, w, _ in segments[:-1]]]).tolist() and sum(w for _, w, _ in segments) == 64
+    assert sum(r + 1 for _, _, r in segments) >= distance + 1
+
+
+def _set(text, k=5):
+    words = _lower(text).split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_verified(spark, docs, rows, nothing, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rnd = random.Random(8)
+    texts = [(r[0], r[1]) for r in rows]
+    for k in range(25):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(30, 300))]
+        for j in range(6):
+            changed = [w if rnd.random() > 0.004 * j else f"x{rnd.randrange(3000)}" for w in words]
+            texts.append((1000 * (k + 1) + j, " ".join(changed)))
+    texts += [(5000, "a few words"), (5001, "A few words"), (1000, texts[len(rows)][1])]
+    rnd.shuffle(texts)
+    table = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, key int")
+    found = simhash.verified_duplicates(table).collect()
+    nodes = sorted({(i is None, i if i is not None else simhash.NO_ID, t or "") for i, t in texts})
+    place = {n: k for k, n in enumerate(nodes)}
+    assert len(found) == len(nodes)
+    alike = lambda a, b: a == b or (a | b) and len(a & b) >= 0.8 * len(a | b)
+    sets = [_set(t) for *_, t in nodes]
+    prints = [simhash.fingerprint(t, 5) for *_, t in nodes]
+    pairs = [(a, b) for a in range(len(nodes)) for b in range(a) if alike(sets[a], sets[b])]
+    near = [(a, b) for a, b in pairs if sets[a] == sets[b] or (prints[a] ^ prints[b]).bit_count() <= 14]
+    assert len(near) >= 0.95 * len(pairs) > 150
+    groups = _groups(near, range(len(nodes)))
+    kept = sorted(r.row_id for r in found if (r.row_id, r.text_hash) == (r.leader_id, r.leader_hash))
+    assert kept == sorted(nodes[k][1] for k in set(groups.values()))
+    by_row = defaultdict(set)
+    for n, k in place.items():
+        by_row[n[1]].add(nodes[groups[k]][1])
+    assert all(r.leader_id in by_row[r.row_id] for r in found)
+    assert simhash.verified_duplicates(nothing).count() == 0
 
 
 def test_components(spark):
