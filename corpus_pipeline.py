@@ -46,16 +46,25 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints are linked the one with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    rows = simhash.fingerprints(_rows(docs), keep=("row",))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
-    return rows.join(kept, same, "left_semi").select("row.*")
+    """Of documents that are linked the one with the smallest doc_id stays; linked are those whose sets of five-word shingles
+    have a similarity of 0.8 or more and whose SimHash fingerprints differ in at most 14 bits.
+
+    All texts without words are one group. Of rows with the same doc_id and text
+    one stays; of a group's rows that share the smallest doc_id, one text's; a
+    null doc_id stays only if no row of its group has one.
+    """
+    found = simhash.verified_duplicates(docs.select("doc_id", "text"))
+    leaders = found.where("row_id = leader_id AND text_hash = leader_hash").select("row_id", "text_hash")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = _rows(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(simhash.NO_ID)).alias("row_id"), F.xxhash64(text).alias("text_hash"), "row")
+    return rows.join(leaders, ["row_id", "text_hash"], "left_semi").dropDuplicates(["row_id", "text_hash"]).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens, with lexical neighbours together."""
+    """Pieces of documents in sequences of at most 4096 tokens, with lexical neighbours together.
+
+    A null or empty text is its end id alone; rows with a null or a repeated doc_id are documents of their own.
+    """
     return packing.pieces(docs, word_bpe_path())
 
 
