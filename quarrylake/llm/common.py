@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a temporary one if Spark runs in one process;
+    on a cluster, where executors would each write to a disk of their own, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,11 +48,20 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 FEW_KEYS = 500_000
 
 
-def narrowed(rows: DataFrame, keys: DataFrame, by: list[str], few: int = FEW_KEYS) -> DataFrame:
+#: Parts in which a key's rows are shuffled.
+SPREAD = 32
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, by: list[str], few: int = FEW_KEYS, spread: str | None = None) -> DataFrame:
     """`rows` joined with `keys` (small columns, stored) by `by`: while there are few keys the rows don't move; beyond, both
-    sides are shuffled."""
-    few_enough = keys.limit(few + 1).count() <= few
-    return rows.join(F.broadcast(keys) if few_enough else keys.hint("shuffle_merge"), by)
+    sides are shuffled, the rows of each key in SPREAD parts by a hash of the column `spread` if that is given."""
+    if keys.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(keys), by)
+    if spread:
+        rows = rows.withColumn("part_", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
+        keys = keys.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        return rows.join(keys.hint("shuffle_merge"), [*by, "part_"]).drop("part_")
+    return rows.join(keys.hint("shuffle_merge"), by)
 
 
 def forget(*tables: DataFrame) -> None:

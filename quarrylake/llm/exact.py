@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored
+from .common import documents, narrowed, small_batches, stored
 
 #: Primes below 2**31 and a base for each: together a fingerprint of 124 bits.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -19,7 +19,7 @@ BASES = (1048583, 99990001, 1500450271, 715827883)
 CHUNK = 4096
 #: Texts of more characters are cut and their chunks hashed by several tasks.
 HUGE = 4_000_000
-#: Members of a group that one task compares with its first member.
+#: Members of a group that one task compares with the first of them.
 PER_TASK = 2000
 
 
@@ -67,15 +67,17 @@ def _normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, huge: int = HUGE) -> DataFrame:
-    """(id, fp, sha256[, text]) for each row: the polynomial fingerprint with the length, and SHA-256, of the text in
-    UTF-8 after A-Z became a-z. A null text counts as empty.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, huge: int = HUGE) -> DataFrame:
+    """(id, fp, sha256, text_hash[, text], ...) for each row, with the columns named in `keep`: the polynomial fingerprint with
+    the length, and SHA-256, of the text in UTF-8 after A-Z became a-z; XXH64 of the text as it is. A null text counts as empty.
 
     A text of more than `huge` characters is cut in Spark; its chunks are hashed
     wherever Spark puts them and their shifted hashes are summed.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *keep)
+    names = ["id", "fp", "sha256", "text_hash"] + ["text"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,21 +86,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data = _normal(x.as_py())
                 fp.append(_name(polynomial(data), len(data)))
                 sha.append(hashlib.sha256(data).hexdigest())
-            columns = [batch.column(0), pa.array(fp, pa.string()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text, names=["id", "fp", "sha256"] + ["text"] * with_text)
+            columns = [batch.column(0), pa.array(fp, pa.string()), pa.array(sha, pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text + batch.columns[3:], names=names + list(keep))
 
-    schema = "id long, fp string, sha256 string" + ", text string" * with_text
+    schema = "id long, fp string, sha256 string, text_hash long" + ", text string" * with_text + "".join(f", `{c}` {t}" for c, t in rows.dtypes[3:])
     usual = rows.where(F.length("text") <= huge).mapInArrow(run, schema)
     long = rows.where(F.length("text") > huge).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
     parts = _huge(long.select("key", "text"), huge)
-    out = long.join(parts, "key").select("id", "fp", "sha256", *["text"] * with_text)
+    out = long.join(parts, "key").select(*names, *keep)
     return usual.unionByName(out)
 
 
 def _huge(long: DataFrame, huge: int) -> DataFrame:
     """(key, fp, sha256) of long texts: each cut of `huge` characters is hashed apart, then moved to its place and summed."""
     step = huge
-    cuts = long.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / step).cast("int")), lambda i: F.substring("text", i * step + 1, F.lit(step)))).alias("part", "cut"), F.octet_length("text").alias("n"))
+    cuts = long.dropDuplicates(["key"]).select("key", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / step).cast("int")), lambda i: F.substring("text", i * step + 1, F.lit(step)))).alias("part", "cut"), F.octet_length("text").alias("n"))
     cuts = cuts.withColumn("bytes", F.octet_length("cut").cast("long")).repartition("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,54 +132,73 @@ def _same(x: str, y: str, step: int = 1 << 20) -> bool:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_task: int = PER_TASK, huge: int = HUGE) -> DataFrame:
-    """(id, keep_id, group_size, kept, sha256): one row for each row of `docs`.
+    """(id, keep_id, group_size, kept, sha256, text_hash): one row for each row of `docs`.
 
     Texts are equal when identical after lower-casing A-Z only; of equal texts
     the row with the largest id stays. Null counts as empty. Rows with a null id
     count in group_size and are kept only if no row of their group has an id;
-    of rows that repeat the largest id all are marked kept. An empty table gives
-    an empty table. Other columns of `docs` are not read.
-
-    Only texts whose fingerprints occur twice are moved: they are dealt by
-    fingerprint and, in large groups, by a salt, and each task streams them past
-    the group's first text, holding one text at a time.
+    of rows that repeat the largest id all are marked kept. text_hash is XXH64
+    of the text as it is. An empty table gives an empty table. Other columns of
+    `docs` are not read.
+
+    Fingerprints, which are small, say what occurs once. Only texts whose
+    fingerprints occur again are moved: they are dealt by fingerprint and a salt,
+    and each task streams them past the first text of its salt, holding two texts
+    at a time; then the first texts of a group's salts are streamed past one another.
+    Texts that share a fingerprint and differ have other SHA-256 and are other
+    groups; two texts that share both and differ would end the job.
     """
     plain = stored(fingerprints(docs, id_col, text_col, huge=huge), "fingerprints")
-    groups = plain.groupBy("fp").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    groups = stored(groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / per_task).cast("int")), "groups")
-    alone = plain.join(groups.select("fp"), "fp", "left_anti")
-    alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
-
-    # Each text is moved once, at any size of `groups`: to its fingerprint, where those that occur once are dropped.
-    texts = fingerprints(docs, id_col, text_col, with_text=True, huge=huge).join(groups.hint("shuffle_hash"), "fp")
-    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first")))
-    # The row with the largest id also goes ahead of the others to each salt of its group.
-    ahead = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(True).alias("first")))
-    places = F.when(F.col("id").eqNullSafe(F.col("top")), F.concat(ahead, own)).otherwise(own)
-    member = texts.select("fp", "id", "sha256", "text", F.explode(places).alias("place")).select("fp", "id", "sha256", "text", "place.salt", "place.first")
+    groups = stored(plain.groupBy("fp", "sha256").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"), F.min("text_hash").alias("text_hash")), "groups")
+    alone = groups.where("group_size = 1").select(F.col("keep_id").alias("id"), "keep_id", "group_size", F.lit(True).alias("kept"), "sha256", "text_hash")
+
+    repeated = groups.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / per_task).cast("int")).drop("text_hash")
+    forms = stored(plain.select("text_hash", "fp", "sha256").distinct().join(repeated, ["fp", "sha256"]).withColumnsRenamed({"fp": "group_fp", "sha256": "group_sha256"}), "forms")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    again = narrowed(rows.withColumn("text_hash", F.xxhash64("text")), forms, ["text_hash"], spread="id")
+    facts = ("group_fp", "group_sha256", "keep_id", "group_size", "salts")
+    texts = fingerprints(again, "id", "text", keep=facts, with_text=True, huge=huge).where("fp = group_fp AND sha256 = group_sha256").drop("group_fp", "group_sha256")
+    dealt = texts.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    names = ["id", "keep_id", "group_size", "sha256", "text_hash", "fp", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, text = None, ""
         for batch in batches:
-            rows: dict[str, list] = {"id": [], "sha256": [], "class": []}
+            out: dict[str, list] = {name: [] for name in names}
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                new = (row["fp"], row["sha256"], row["salt"]) != key
+                if new:
+                    key, text = (row["fp"], row["sha256"], row["salt"]), row["text"]
+                elif not _same(row["text"], text):
+                    raise RuntimeError("two texts share a fingerprint and a SHA-256")
+                for name in names[:-1]:
+                    out[name].append(row[name])
+                out["first"].append(text if new and row["salts"] > 1 else None)
+            yield pa.RecordBatch.from_pydict(out, schema=_COMPARED)
+
+    by_salt = dealt.repartition("fp", "sha256", "salt").sortWithinPartitions("fp", "sha256", "salt")
+    compared = stored(by_salt.mapInArrow(run, "id long, keep_id long, group_size long, sha256 string, text_hash long, fp string, first string"), "compared")
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text = None, ""
+        for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("fp", "salt", "first", "id", "sha256", "text")}
-                if row["first"]:
-                    if key != (row["fp"], row["salt"]):  # if rows share the largest id, the least text leads in each salt
-                        key, text = (row["fp"], row["salt"]), row["text"]
-                    continue
-                assert key == (row["fp"], row["salt"]), "a group came without its first text"
-                rows["id"].append(row["id"])
-                rows["sha256"].append(row["sha256"])
-                # Another text with the same fingerprint is told apart by the text itself.
-                rows["class"].append(row["fp"] + ("" if _same(row["text"], text) else ":" + _normal(row["text"]).decode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("id", pa.int64()), ("sha256", pa.string()), ("class", pa.string())]))
-
-    dealt = member.repartition("fp", "salt").sortWithinPartitions("fp", "salt", F.desc("first"), F.when(F.col("first"), F.col("text")))
-    compared = stored(dealt.mapInArrow(run, "id long, sha256 string, class string"), "compared")
-    classes = compared.groupBy("class").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
-    several = compared.join(classes, "class").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256")
-    return alone.unionByName(several)
+                name, first = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+                if name != key:
+                    key, text = name, first
+                elif not _same(first, text):
+                    raise RuntimeError("two texts share a fingerprint and a SHA-256")
+            yield batch.slice(0, 0).select(["sha256"])
+
+    several = compared.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256", "text_hash")
+    leading = compared.where("first IS NOT NULL").select("fp", "sha256", "first").repartition("fp", "sha256").sortWithinPartitions("fp", "sha256")
+    # No rows, but it is read with the others: it fails if a group's salts differ.
+    proof = leading.mapInArrow(firsts, "sha256 string").select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "sha256", F.lit(0).cast("long").alias("text_hash"))
+    return alone.unionByName(several).unionByName(proof)
+
+
+_COMPARED = pa.schema([("id", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("sha256", pa.string()), ("text_hash", pa.int64()), ("fp", pa.string()), ("first", pa.string())])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact and near duplicates against plain Python."""
 
+import functools
 import hashlib
 import random
 from collections import defaultdict
@@ -30,9 +31,10 @@ def _groups(pairs, nodes):
     return {n: top(n) for n in nodes}
 
 
-@pytest.mark.parametrize("per_task,huge", [(2000, 4_000_000), (1, 50)])
-def test_exact(spark, docs, rows, nothing, per_task, huge):
-    found = exact.exact_duplicates(docs, per_task=per_task, huge=huge).collect()
+@pytest.mark.parametrize("per_task,huge,few", [(2000, 4_000_000, 500_000), (1, 50, 500_000), (1, 4_000_000, 0)])
+def test_exact(spark, docs, rows, nothing, per_task, huge, few, monkeypatch):
+    monkeypatch.setattr(exact, "narrowed", functools.partial(exact.narrowed, few=few))
+    found = exact.exact_duplicates(docs, per_task=per_task, huge=huge).drop("text_hash").collect()
     by = defaultdict(list)
     for r in rows:
         by[_lower(r[1])].append(r[0])
