@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +14,18 @@ from .tokens import slices
 
 #: Bound of the sample that the network is fitted on: labelled documents per language, words of each.
 DOCS_PER_LANGUAGE, WORDS_PER_DOC = 600, 120
-#: Longest piece of a word in training, in bytes. Prediction takes whole words.
+#: Bytes of a word in training: longer ones give a stretch from a random place.
 TRAIN_BYTES = 24
+#: Bytes after which the states start anew within a word. Longer words (texts without white space) are labelled whole, in
+#: pieces, so that memory doesn't grow with a word.
+PIECE = 192
+#: Labels whose number of rows is over this share of the sample's bound are thinned by hash before they are ranked.
+SLACK = 2
 HIDDEN, EMBED = 24, 12
 UNDETERMINED = "und"
 #: Words that a Python worker remembers.
 KEEP = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -29,7 +33,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGRU:
-    """A bidirectional GRU that labels every byte of a word; its states start anew at each word.
+    """A bidirectional GRU that labels every byte of a word; its states start anew at each word, and within a word after PIECE
+    bytes.
 
     A word's labels so depend on the word alone, however often it occurs.
     """
@@ -155,24 +160,38 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8").split()
+    """The lower-cased words of a text in UTF-8, those longer than PIECE bytes in pieces."""
+    words = text.lower().encode("utf-8").split()
+    if all(len(w) <= PIECE for w in words):
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 def training_words(docs: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(label, words): at most DOCS_PER_LANGUAGE documents of each label, at most WORDS_PER_DOC words of each, both by hash."""
-    rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= DOCS_PER_LANGUAGE)
+    """(label, words): at most DOCS_PER_LANGUAGE documents of each label, at most WORDS_PER_DOC words of each, both by hash.
+
+    A label's rows are counted first; of many rows only the share that holds
+    about SLACK times the bound, by hash, is ranked.
+    """
+    rows = docs.where(learn & F.col(label_col).isNotNull())
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("of_label"))
+    share = F.least(F.lit(1.0), F.lit(float(SLACK * DOCS_PER_LANGUAGE)) / F.col("of_label"))
+    # A row for each label; a label is a column's distinct value, not text.
+    thin = rows.join(F.broadcast(counts), "label").withColumn("h", F.xxhash64("id", "text")).where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40))
+    thin = thin.where(F.col("text").rlike(LETTER)).select("label", "text", "h")
+    first = thin.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= DOCS_PER_LANGUAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, words = [], []
             for label, text, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                some = split(text)
+                some = text.lower().encode("utf-8").split()
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 take = rng.choice(len(some), min(len(some), WORDS_PER_DOC), replace=False)
+                begins = [int(rng.integers(0, max(1, len(some[i]) - TRAIN_BYTES + 1))) for i in take.tolist()]
                 labels.append(label)
-                words.append([some[i][:TRAIN_BYTES] for i in take.tolist()])
+                words.append([some[i][k : k + TRAIN_BYTES] for i, k in zip(take.tolist(), begins)])
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(words, pa.list_(pa.binary()))], names=["label", "words"])
 
     return first.select("label", "text", "h").mapInArrow(run, "label string, words array<binary>")
@@ -220,31 +239,35 @@ class WordMemory:
 
 
 def predict(docs: DataFrame, net: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, ...): one row for each row of `docs`, with the columns named in `keep`.
+    """(id, lang_pred, score, ...): one row for each row of `docs`, with the columns named in `keep` (those that are named like
+    a result with `_kept` after the name).
 
     Every byte of the lower-cased words of the whole text is labelled; the
     document's probabilities are the means over all positions; the prediction is
     the most probable language (ties: the first by name) and its mean the score.
-    A text that is null, or has no letter, or a missing network: `und`, score 0.
+    A text that is null, or has no letter (Unicode class L), or a missing network:
+    `und`, score 0. Null and repeated ids are rows like others; equal texts get
+    equal results. An empty table gives an empty table.
     """
+    names = ["id", "lang_pred", "score", *(f"{c}_kept" if c in ("id", "lang_pred", "score") else c for c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = None if net is None else WordMemory(net)
         for batch in slices(batches, 1, 2_000_000):
             texts = batch.column(1).to_pylist()
-            has = np.array([bool(x) and _LETTER.search(x) is not None for x in texts])
             language, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if memory is not None and has.any():
-                at = np.flatnonzero(has)
+            at = np.flatnonzero(np.array(batch.column(2).to_pylist(), bool))
+            if memory is not None and len(at):
                 sums = memory.pooled([split(texts[i]) for i in at])
                 means = sums[:, :-1] / sums[:, -1:]
                 for i, k, m in zip(at.tolist(), means.argmax(1).tolist(), means):
                     language[i], score[i] = net.languages[k], min(1.0, float(m[k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score), *batch.columns[2:]], names=["id", "lang_pred", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score), *batch.columns[3:]], names=names)
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
-    schema = "id long, lang_pred string, score double" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("has"), *keep)
+    schema = "id long, lang_pred string, score double" + "".join(f", `{c}` {t}" for c, (_, t) in zip(names[3:], rows.dtypes[3:]))
     return rows.mapInArrow(run, schema)
 
 
