@@ -33,7 +33,11 @@ ALIKE = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о":
 COST_LEET, COST_MASK, COST_DROP, COST_BREAK, COST_ALIKE = 1.0, 2.5, 0.7, 2.0, 0.5
 COST_ONE_OF_MANY, COST_TWO_OF_MANY, COST_ONE_OF_TWO = 0.3, 0.6, 2.5
 EDGES = ".,;:!?\"'()[]{}<>/\\~^=_-%&*#`«»“”‘’…¿¡"
-_RUN = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+#: Characters of a token that are decoded at once; longer tokens are decoded in such pieces.
+PIECE = 64
+#: Words of one or two letters that make up a smaller share of all letters may be pieces of a broken word.
+RARE = 1e-5
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 
@@ -78,10 +82,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _plain(token: str) -> bool:
-    """Whether a token without edges is letters of one script, none of them three times in a row."""
+    """Whether a token without edges is letters of one script, none of them twice in a row."""
     if not token.isalpha() or not token.isascii() and any(c in ALIKE for c in token) and any("a" <= c <= "z" for c in token):
         return False
-    return not any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
+    return not _TWICE.search(token)
 
 
 class CharacterModel:
@@ -127,8 +131,36 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
 
     A run of one letter may be one or two of it; a sign may be a letter, nothing,
     or a break between words; with `breaks` a word may also end anywhere, as in
-    letters set apart.
+    letters set apart. All paths are followed: of those that end in the same
+    ORDER - 1 characters, on which alone what follows depends, the best is kept.
+    A token of more than PIECE characters is decoded in pieces of that length.
     """
+    if len(token) > PIECE:
+        return [w for i in range(0, len(token), PIECE) for w in restore(token[i : i + PIECE], model, breaks)]
+    best = min((cost - model.log(last[1 - ORDER :], EDGE) if last != EDGE else cost, text) for last, (cost, text) in _paths(token, model, breaks).items())
+    return best[1].split()
+
+
+def _choices(c: str, n: int) -> list[tuple[float, str]]:
+    """(cost, letters): what a run of n characters c may stand for; EDGE is a break between words."""
+    options: list[tuple[float, str]] = []
+    if c.isalpha():
+        options += [(0.0, c * n)] if n <= 2 else [(COST_ONE_OF_MANY, c), (COST_TWO_OF_MANY, c * 2)]
+        if n == 2:
+            options.append((COST_ONE_OF_TWO, c))
+        if c in ALIKE:
+            options.append((COST_ALIKE, ALIKE[c] * min(n, 2)))
+        return options
+    for letter in LEET.get(c, ""):
+        cost = COST_MASK if c == "*" else COST_LEET
+        options.append((cost, letter))
+        if n >= 2:
+            options.append((cost + 0.5, letter * 2))
+    return [*options, (COST_DROP, ""), (COST_BREAK, EDGE)]
+
+
+def _paths(token: str, model: CharacterModel, breaks: bool) -> dict[str, tuple[float, str]]:
+    """By last characters, the cost and text of the best path through the token's lattice."""
     beam: dict[str, tuple[float, str]] = {EDGE: (0.0, "")}  # last characters -> (cost, text so far)
     i = 0
     while i < len(token):
@@ -136,21 +168,7 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
         while i + n < len(token) and token[i + n] == c:
             n += 1
         i += n
-        options: list[tuple[float, str]] = []
-        if c.isalpha():
-            options += [(0.0, c * n)] if n <= 2 else [(COST_ONE_OF_MANY, c), (COST_TWO_OF_MANY, c * 2)]
-            if n == 2:
-                options.append((COST_ONE_OF_TWO, c))
-            if c in ALIKE:
-                options.append((COST_ALIKE, ALIKE[c] * min(n, 2)))
-        else:
-            for letter in LEET.get(c, ""):
-                cost = COST_MASK if c == "*" else COST_LEET
-                options.append((cost, letter))
-                if n >= 2:
-                    options.append((cost + 0.5, letter * 2))
-            options.append((COST_DROP, ""))
-            options.append((COST_BREAK, EDGE))
+        options = _choices(c, n)
         new: dict[str, tuple[float, str]] = {}
         for last, (cost, text) in beam.items():
             for more, letters in options:
@@ -158,9 +176,8 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
                 if breaks and letters and letters != EDGE and last != EDGE:
                     ended = cost + 0.5 - model.log(last[1 - ORDER :], EDGE)
                     _extend(new, model, EDGE, ended + more, text + " ", letters)
-        beam = dict(sorted(new.items(), key=lambda x: (x[1][0], x[0]))[:24])
-    best = min(((cost - model.log(last[1 - ORDER :], EDGE) if last != EDGE else cost, text) for last, (cost, text) in beam.items()), default=(0.0, ""))
-    return best[1].split()
+        beam = new
+    return beam
 
 
 def _extend(new: dict, model: CharacterModel, last: str, cost: float, text: str, letters: str) -> None:
@@ -189,11 +206,11 @@ class Restorer:
     """The words behind tokens; hidden ones are remembered."""
 
     def __init__(self, model: CharacterModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.pieces = model, {}, {}
 
     def words(self, token: str) -> list[str]:
         bare = token.strip(EDGES)
-        if bare.isascii() and bare.isalpha() and not _RUN.search(bare) or _plain(bare):
+        if _plain(bare):
             return [bare]
         if not any(c.isalpha() for c in token):
             return []
@@ -204,17 +221,42 @@ class Restorer:
             found = self.known[token] = restore(bare, self.model)
         return found
 
+    def piece(self, token: str) -> str:
+        """The token without edges if it may be a piece of a broken word: one character, or two that are rarely a word; else ''."""
+        found = self.pieces.get(token)
+        if found is None:
+            if len(self.pieces) > KEEP:
+                self.pieces = {}
+            bare = token.strip(EDGES) if len(token) > 1 else token
+            may = len(bare) == 1 or len(bare) == 2 and bare.isalpha() and self._rare(bare)
+            found = self.pieces[token] = bare if may else ""
+        return found
+
+    def _rare(self, word: str) -> bool:
+        return int(self.model.counts[_cell(EDGE + word + EDGE)]) < RARE * self.model.total
+
     def spaced(self, tokens: list[str]) -> list[list[str]]:
-        """The words behind each run of at least three tokens of one character, at least two of them different."""
-        runs, run = [], []
-        for t in [*tokens, ""]:
-            if len(t) == 1:
-                run.append(t)
-            elif run:
-                if len(run) >= 3 and len(set(run)) > 1:
-                    runs.append(run)
-                run = []
-        return [restore("".join(r), self.model, breaks=True) for r in runs]
+        """The words behind each run of pieces: of three or more, not all alike, with the short tokens beside them; of fewer, if
+        one is rarely a word by itself, with the tokens beside them."""
+        piece = self.piece
+        at = [i for i, t in enumerate(tokens) if len(t) < 6 and piece(t)]
+        runs, k = [], 0
+        while k < len(at):
+            begin = at[k]
+            while k + 1 < len(at) and at[k + 1] == at[k] + 1:
+                k += 1
+            end = at[k] + 1
+            k += 1
+            run = [piece(t) for t in tokens[begin:end]]
+            many = len(run) >= 3
+            if len(set(run)) < 2 if many else not any(p.isalpha() and self._rare(p) for p in run):
+                continue
+            longest = 3 if many else 24
+            sides = [t.strip(EDGES) for t in (tokens[begin - 1] if begin else "", tokens[end] if end < len(tokens) else "")]
+            before, after = (t if len(t) <= longest and t.isalpha() else "" for t in sides)
+            if many or before or after or len(run) > 1:
+                runs.append(before + "".join(run) + after)
+        return [restore(r, self.model, breaks=True) for r in runs]
 
     def text(self, text: str | None) -> str:
         """The restored text: words in their order, spaced runs after them."""
@@ -299,12 +341,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, predicted, ...): one row for each row of `docs`, with the columns named in `keep`.
+    """(id, score, predicted, ...): one row for each row of `docs`, with the columns named in `keep` (those that are named like
+    a result with `_kept` after the name).
 
     The score is the probability that the text is toxic: noisy-or of the marks
     that its restored words have, over what texts without marks have. A null or
-    empty text has no marks. predicted is 1 at a score of 0.5 or more.
+    empty text has no marks. predicted is 1 at a score of 0.5 or more. Null and
+    repeated ids are rows like others; equal texts get equal scores. An empty
+    table gives an empty table.
     """
+    names = ["id", "score", "predicted", *(f"{c}_kept" if c in ("id", "score", "predicted") else c for c in keep)]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers and a few features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,11 +380,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 if len(seen) > KEEP:
                     seen, marked = set(), {}
             values = np.array(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32)), *batch.columns[2:]], names=["id", "score", "predicted", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32)), *batch.columns[2:]], names=names)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
-    schema = "id long, score double, predicted int" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
+    schema = "id long, score double, predicted int" + "".join(f", `{c}` {t}" for c, (_, t) in zip(names[3:], rows.dtypes[2:]))
     return rows.mapInArrow(run, schema)
 
 

@@ -25,7 +25,8 @@ def test_language(spark, docs, rows, nothing):
     found = {r.id: (r.lang_pred, r.score) for r in langid.predict(made, net).collect()}
     held = [(i, lang) for i, _, lang in _made(150) if i % 4 == 2]
     assert sum(found[i][0] == lang for i, lang in held) >= 0.95 * len(held)
-    edge = langid.predict(docs, net, keep=("score", "lang")) if False else langid.predict(docs, net)
+    edge = langid.predict(docs, net, keep=("score", "lang"))
+    assert edge.columns == ["id", "lang_pred", "score", "score_kept", "lang"]
     got = [(r.id, r.lang_pred, r.score) for r in edge.collect()]
     assert len(got) == len(rows) and all(0 <= s <= 1 for _, _, s in got)
     assert {i for i, lang, _ in got if lang == "und"} == {4, 5, 6, 7}
@@ -34,6 +35,52 @@ def test_language(spark, docs, rows, nothing):
     assert langid.predict(nothing, net).count() == 0
 
 
+def test_what_has_no_letter_is_undetermined(spark):
+    net = langid.ByteGRU(["a", "b"])
+    texts = ["\u00b2", "\u00bd \u2167", "\u2460", "12", "", None, "x", "\u65e5", "\u00aa"]
+    found = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net)
+    assert [r.lang_pred == "und" for r in sorted(found.collect())] == [True] * 6 + [False] * 3
+
+
+def _labelled(net, word):
+    """The sum over a word's bytes of the label probabilities, one byte and one state at a time."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, langid.HIDDEN
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, data):
+        state, out = np.zeros(h), []
+        for b in data:
+            a = p["E"][b] @ p[f"W{d}"] + p[f"c{d}"]
+            z, r = s(a[:h] + state @ p[f"U{d}"][:, :h]), s(a[h : 2 * h] + state @ p[f"U{d}"][:, h : 2 * h])
+            c = np.tanh(a[2 * h :] + (r * state) @ p[f"U{d}"][:, 2 * h :])
+            state = z * state + (1 - z) * c
+            out.append(state)
+        return out
+
+    total = np.zeros(len(net.languages))
+    for f, b in zip(states("f", word), reversed(states("b", word[::-1]))):
+        e = np.exp(np.concatenate([f, b]) @ p["V"] + p["v"])
+        total += e / e.sum()
+    return total
+
+
+def test_labels_against_a_plain_loop(spark):
+    net = langid.ByteGRU(["a", "b", "c"], seed=5)
+    texts = ["some words of\u00e4 length", "x" * 1000 + " y", "\u65e5\u672c" * 300]
+    found = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net)
+    for r in found.collect():
+        pieces = [w[i : i + langid.PIECE] for w in texts[r.id].encode().split() for i in range(0, len(w), langid.PIECE)]
+        mean = sum(_labelled(net, w) for w in pieces) / sum(map(len, pieces))
+        assert net.languages[int(mean.argmax())] == r.lang_pred and abs(mean.max() - r.score) < 1e-4
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_PER_LANGUAGE", 20)
+    made = spark.createDataFrame([(i, f"word{i} and more", "en" if i % 10 else "de") for i in range(1000)] + [(2000, None, "fr"), (2001, "x", None)], "doc_id long, text string, lang string")
+    sizes = Counter(r.label for r in langid.training_words(made, F.lit(True), "doc_id", "text", "lang").collect())
+    assert sizes == {"en": 20, "de": 20}
+
+
 def test_gradients():
     net = langid.ByteGRU(["a", "b"], seed=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -76,13 +123,49 @@ def test_toxicity(spark, docs, rows, nothing, insults):
     obscure = spark.createDataFrame(list(enumerate([*hidden, "the of and 1234 to in"])), "doc_id long, text string")
     got = [r.predicted for r in sorted(toxicity.score(obscure, model).collect(), key=lambda r: r.id)]
     assert got == [1] * len(hidden) + [0]
-    edge = toxicity.score(docs, model).collect()
+    broken = ["what an iddiot", "a mo ron here", "you i. d. i. o. t.", "such an id io t", "l oser"]
+    got = [r.predicted for r in sorted(toxicity.score(spark.createDataFrame(list(enumerate(broken)), "doc_id long, text string"), model).collect())]
+    assert got == [1] * len(broken)
+    edge = toxicity.score(docs, model, keep=("score",)).collect()
     assert len(edge) == len(rows) and all(0 <= r.score <= 1 for r in edge)
     assert toxicity.score(nothing, model).count() == 0
     none = toxicity.fit(nothing, labels.limit(0), F.lit(True))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+@pytest.mark.parametrize("breaks", [False, True])
+def test_viterbi_is_the_best_path(breaks):
+    counts, letter = np.zeros(toxicity.CELLS + 1, np.int64), toxicity._letters()
+    toxicity._count(" ".join(w for ws in WORDS.values() for w in ws) + " idiot moron loser" * 3, letter, counts)
+    model = toxicity.CharacterModel(counts[: toxicity.CELLS], int(counts[toxicity.CELLS]))
+    rnd = random.Random(4)
+
+    def cost(words):
+        total = 0.0
+        for w in words:
+            before = toxicity.EDGE
+            for c in w + toxicity.EDGE:
+                total -= model.log(before[1 - toxicity.ORDER :], c)
+                before += c
+        return total
+
+    def best(token):
+        paths = [(0.0, "")]
+        for c, n in [(m.group()[0], len(m.group())) for m in __import__("re").finditer(r"(.)\1*", token)]:
+            more = [(x + a, text + (" " if y == toxicity.EDGE else y)) for x, text in paths for a, y in toxicity._choices(c, n)]
+            if breaks:
+                more += [(x + a + 0.5, text + " " + y) for x, text in paths for a, y in toxicity._choices(c, n) if y not in ("", toxicity.EDGE) and text and text[-1] != " "]
+            paths = more
+        return min(x + cost(text.split()) for x, text in paths)
+
+    for _ in range(60):
+        token = "".join(rnd.choice("idotmrns10*@.o") for _ in range(rnd.randrange(1, 7)))
+        found = toxicity._paths(token, model, breaks)
+        least = min(x - model.log(last[1 - toxicity.ORDER :], toxicity.EDGE) if last != toxicity.EDGE else x for last, (x, _) in found.items())
+        assert abs(least - best(token)) < 1e-9
+    assert toxicity.restore("m0r0n" * 40, model)
+
+
 def _katz(rows, modulus=7, held=2):
     """Base scores by the formula; the model's probabilities after each word must sum to one."""
     def split(t):
