@@ -34,15 +34,19 @@ def language_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
+def _one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id (null as simhash.NO_ID) and text hash are in `chosen` (row_id, text_hash): of repeated
+    rows, one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = _rows(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(simhash.NO_ID)).alias("row_id"), F.xxhash64(text).alias("text_hash"), "row")
+    return rows.join(chosen, ["row_id", "text_hash"], "left_semi").dropDuplicates(["row_id", "text_hash"]).select("row.*")
+
+
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for A-Z against a-z the one with the largest doc_id stays; of repeated rows, one."""
+    """Of texts that are equal but for A-Z against a-z the one with the largest doc_id stays; of rows that share it, one."""
     found = exact.exact_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("sha256").alias("kept_sha256")).distinct()
-    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = _rows(docs).select("doc_id", F.sha2(lower.cast("binary"), 256).alias("sha256"), "row")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha256") == F.col("kept_sha256"))
-    # All rows left of a text have its largest doc_id: only repeated rows are alike in both.
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha256"]).select("row.*")
+    kept = found.where("kept").groupBy("id", "sha256").agg(F.min("text_hash").alias("text_hash"))
+    return _one_each(docs, kept.select(F.coalesce("id", F.lit(simhash.NO_ID)).alias("row_id"), "text_hash"))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +59,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = simhash.verified_duplicates(docs.select("doc_id", "text"))
     leaders = found.where("row_id = leader_id AND text_hash = leader_hash").select("row_id", "text_hash")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = _rows(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(simhash.NO_ID)).alias("row_id"), F.xxhash64(text).alias("text_hash"), "row")
-    return rows.join(leaders, ["row_id", "text_hash"], "left_semi").dropDuplicates(["row_id", "text_hash"]).select("row.*")
+    return _one_each(docs, leaders)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
