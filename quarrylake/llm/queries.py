@@ -11,7 +11,7 @@ from .embed import OP5_SQL, op5_cross_polytope
 from .exact import OP6_SQL, op6_exact_dedup
 from .katz import op9_katz
 from .langid import op3_language
-from .license import op7_license
+from .license import OP7_SQL, op7_license
 from .packing import op10_packing
 from .simhash import op1_simhash
 from .tokenfile import op4_token_files
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_cross_polytope": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_license": OP7_SQL,
 }

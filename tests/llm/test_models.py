@@ -226,22 +226,73 @@ def test_katz_sums_to_one():
     assert abs((10**logs).sum() - 1) < 1e-9
 
 
-def test_licences(spark):
-    mit = license.TEMPLATES[2][1]
+def _nearest(text, whole):
+    """The licence of a text, term by term, in plain Python; and the score."""
+    import re
+
+    counts = [Counter(re.findall(license.TERM, t.lower())) for _, t in license.TEMPLATES]
+    df = Counter(t for c in counts for t in c)
+    weigh = lambda c: {t: (1 + math.log(n)) * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in c.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    bare = re.sub(license.MARKS, "", text or "")
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", bare)]
+    passages = paragraphs + [" ".join(p.split()) for p in bare.split("\n")] + re.sub(r"([.!?:])\s+([A-Z(])", r"\1\n\2", "\n".join(paragraphs)).split("\n") + [" ".join(bare.split())] * whole
+    found = []
+    for p in set(passages):
+        if re.search(license.CUE, p):
+            v = weigh(Counter(re.findall(license.TERM, p.lower())))
+            for (name, _), c in zip(license.TEMPLATES, counts):
+                w = weigh(c)
+                score = round(sum(x * w.get(t, 0) for t, x in v.items()) / (length(v) * length(w)), 6)
+                if score >= license.LEAST_COSINE:
+                    found.append((name == license.WEAK, -score, name))
+    return (min(found)[2], -min(found)[1]) if found else (None, None)
+
+
+GPL3 = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * All rights reserved.
+ */
+int main;
+"""
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_licences(spark, monkeypatch, few):
+    monkeypatch.setattr(license, "FEW_KEYS", few)
+    monkeypatch.setattr(license, "narrowed", __import__("functools").partial(license.narrowed, few=few))
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + license.TEXTS[1][1].replace("including without", "including\nwithout") + "\n\nTHE SOFTWARE IS PROVIDED AS IS."
     rows = [
         ("repo/LICENSE", mit, 1), ("repo/src/a.py", "x = 1", 1), ("repo/src/deep/b.py", "# Licensed under the Apache License, Version 2.0.\ny = 2", 1), ("repo/vendor/COPYING.txt", "This program is free software\n\nAll rights reserved.", 1),
-        ("repo/vendor/lib/c.c", None, 1), ("other/d.txt", "", 1), (None, "Released under the MIT License.", 1), ("repo/src/a.py", "x = 1", 1), ("e.txt", "Nothing about terms.", 1), ("f.txt", "the license of " * 5000, 1),
+        ("repo/vendor/lib/c.c", None, 1), ("other/d.txt", "", 1), (None, "Released under the MIT License.", 1), ("repo/src/a.py", "x = 1", 2), ("e.txt", "Nothing about terms.", 1), ("f.txt", "the license of " * 5000, 1),
+        ("g/h.c", GPL3, 1), ("g/i.py", "# SPDX-License-Identifier: MIT", 1), ("g/LICENSE-2.md", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nEveryone is permitted", None), ("g/x/j", "Mozilla Public License Version 2.0\n======\n1. Definitions", 1),
     ]
     files = spark.createDataFrame(rows, "path string, text string, license int")
-    found = sorted(((r.path, r.license, r.kind, r.from_path) for r in license.scan(files).collect()), key=str)
+    result = license.scan(files)
+    found = sorted(((r.path, r.license, r.kind, r.from_path) for r in result.collect()), key=str)
     wanted = [
         ("repo/LICENSE", "MIT", "file", None), ("repo/src/a.py", "MIT", "inherited", "repo/LICENSE"), ("repo/src/a.py", "MIT", "inherited", "repo/LICENSE"), ("repo/src/deep/b.py", "Apache-2.0", "header", None),
         ("repo/vendor/COPYING.txt", "Proprietary", "file", None), ("repo/vendor/lib/c.c", "Proprietary", "inherited", "repo/vendor/COPYING.txt"), ("other/d.txt", None, None, None), (None, "MIT", "header", None), ("e.txt", None, None, None), ("f.txt", None, None, None),
+        ("g/h.c", "GPL-3.0", "header", None), ("g/i.py", "MIT", "header", None), ("g/LICENSE-2.md", "GPL-3.0", "file", None), ("g/x/j", "MPL-2.0", "header", None),
     ]
     assert found == sorted(wanted, key=str)
+    own = {(r.path, r.license, r.score) for r in result.collect() if r.kind != "inherited"}
+    assert own == {(p, *_nearest(t, bool(p) and "LICENSE" in p or p == "repo/vendor/COPYING.txt")) for p, t, _ in rows if (p, None) not in {(x[0], x[3]) for x in wanted if x[2] == "inherited"} and p not in {x[0] for x in wanted if x[2] == "inherited"}}
+    again = license.scan(spark.createDataFrame([(None, None, "en"), (None, "Licensed under CC BY 4.0.", "en")], "path string, text string, doc_id string"), keep=("doc_id",))
+    assert sorted((r.license or "", r.doc_id) for r in again.collect()) == [("", "en"), ("CC-BY-4.0", "en")]
     assert license.scan(files.limit(0)).count() == 0
 
 
+def test_templates_hold_a_cue():
+    import re
+
+    assert all(re.search(license.CUE, text) for _, text in license.TEMPLATES)
+
+
 def test_pipeline(spark, docs, insults, tmp_path):
     import corpus_pipeline
 
