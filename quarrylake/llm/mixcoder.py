@@ -3,103 +3,176 @@
 A block's ids are cut into lanes of equal length that are coded in step: at each
 step every lane codes its next id with the model as it stands, then the model
 learns all of them. So a block has one model, whatever its lanes, and numpy does
-a step of all lanes at once. All arithmetic is on integers: what one machine
-writes another reads.
+a step of all lanes at once.
 
-The model mixes three orders. The order-2 and order-1 tables hold, for each
-context, one id they expect next and how sure they are; order 0 has counts of all
-ids. Which order explains the next id has probabilities that are mixed from
-counts by the sureness of order 2, of order 1, and of both together.
+An id is a path through a tree with 16 branches at a node, in which frequent ids
+lie near the root; the block's header holds the depth of each id. At a node the
+branches have probabilities that mix three orders: counts of the node (order 0),
+of the node after the id before (order 1) and, at the root, after the two ids
+before (order 2). Each order starts from what the lower one says and weighs it
+as so many counts of its own: the more a context has been seen, the more it
+decides. The counts of orders 1 and 2 lie in tables of hashed contexts.
+
+What is coded are integers. They come from single operations on floats (no sum of
+which is rounded), so that what one machine writes another reads.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
+
 import numpy as np
 
-SURE = 8
-SLOTS = 1 << 18
-MIX_BITS, ZERO_BITS = 12, 19
-#: The state has 64 bits; units of 16 bits leave it. Before each step a lane's range is at least 2**40, so that it can
-#: be narrowed twice, by 12 and by 19 bits.
+#: Bits of the tables of contexts, and how many counts the lower order weighs, in orders 1 and 2.
+TABLE_BITS, PRIOR = 18, (8.0, 4.0)
+#: Branches of a node; bits of their frequencies.
+WAYS, FREQUENCY_BITS = 16, 15
+#: The state has 64 bits; units of 16 bits leave it. A lane's range is at least 2**40 when it is settled, so that it can be
+#: narrowed twice by 15 bits.
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 LANES, LANE_IDS = 8192, 256
 _ONE, _UNIT, _DOWN = np.uint64(1), np.uint64(16), np.uint64(48)
+_UP_TO = np.triu(np.ones((WAYS, WAYS), np.float32))
+_ALL = np.ones(WAYS, np.float32)
+
+
+def depths(counts: np.ndarray) -> np.ndarray:
+    """How deep each id lies in the best tree for its counts; 0 for ids that don't occur."""
+    out = np.zeros(len(counts), np.uint8)
+    seen = np.flatnonzero(counts).tolist()
+    if len(seen) == 1:
+        out[seen] = 1
+    heap: list[tuple[int, int]] = [(int(counts[i]), i) for i in seen]
+    number = len(counts)
+    while len(heap) > 1 and (len(heap) - 1) % (WAYS - 1):
+        heap.append((0, number))
+        number += 1
+    heapq.heapify(heap)
+    below: list[tuple[int, ...]] = []
+    first = number
+    while len(heap) > 1:
+        group = [heapq.heappop(heap) for _ in range(WAYS)]
+        below.append(tuple(i for _, i in group))
+        heapq.heappush(heap, (sum(n for n, _ in group), number))
+        number += 1
+    deep = np.zeros(number, np.uint8)
+    for k in range(len(below) - 1, -1, -1):
+        deep[list(below[k])] = deep[first + k] + 1
+    out[seen] = np.maximum(deep[seen], out[seen])
+    return out
+
+
+class Tree:
+    """The paths of ids of given depths: `path[d]` has for each id 16 times the node at depth d plus the branch, or -1; `child`
+    has for that number the next node, or -1 less the id."""
+
+    def __init__(self, depth: np.ndarray):
+        ids = np.flatnonzero(depth)
+        ids = ids[np.argsort(depth[ids], kind="stable")]
+        deep = depth[ids].astype(np.int64)
+        self.levels = int(deep[-1]) if len(ids) else 0
+        if self.levels > 15:
+            raise ValueError("a tree of more than 15 levels")
+        # Codes of a depth follow one another; going deeper, what is left of a level is divided by 16.
+        code, codes, before = 0, np.zeros(len(ids), np.int64), 0
+        for d in range(1, self.levels + 1):
+            code <<= 4
+            n = int((deep == d).sum())
+            codes[before : before + n] = np.arange(code, code + n)
+            code, before = code + n, before + n
+            if code > 1 << 4 * d:
+                raise ValueError("these are no depths of a tree")
+        self.path = np.full((self.levels, len(depth)), -1, np.int64)
+        self.nodes = 0
+        for d in range(self.levels):
+            some = deep > d
+            prefix = codes[some] >> 4 * (deep[some] - d)
+            found, inverse = np.unique(prefix, return_inverse=True)
+            branch = codes[some] >> 4 * (deep[some] - d - 1) & 15
+            self.path[d, ids[some]] = (self.nodes + inverse) << 4 | branch
+            self.nodes += len(found)
+        self.child = np.full(max(self.nodes, 1) * WAYS, -1, np.int64)
+        for d in range(self.levels):
+            last = ids[deep == d + 1]
+            self.child[self.path[d, last]] = -1 - last
+            more = ids[deep > d + 1]
+            if len(more):
+                self.child[self.path[d, more]] = self.path[d + 1, more] >> 4
 
 
 class Model:
-    def __init__(self, vocabulary: int, lanes: int, decoding: bool = False):
-        if not 0 < vocabulary <= 1 << 18:
-            raise ValueError("1 to 2**18 ids")
-        self.vocabulary, self.decoding = vocabulary, decoding
-        self.count = np.ones(vocabulary, np.int64)
-        self.cum = np.empty(vocabulary + 1, np.uint64)
-        self.order = np.arange(1, vocabulary + 1)
-        self.fresh: list[np.ndarray] = []
-        # What a context expects, plus one, times SURE, plus how sure it is.
-        self.slots = [np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)]
-        self.joint = np.zeros((2 * SURE * SURE, 3), np.int64)
-        self.by = [np.ones((SURE, 3), np.int64), np.ones((SURE, 3), np.int64)]
-        self.at = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self.step = 0
-        one = np.arange(2 * SURE * SURE) // 2
-        self.parts = (one % SURE, one // SURE)
-
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What orders 1 and 2 expect in each lane, plus one (0: nothing), and three times the lane's mixing context."""
-        if self.step < 16 and self.step & (self.step - 1) == 0 or self.step % 16 == 0:
-            self._refresh()
-        if self.step < 16 or self.step % 8 == 0:
-            self._mix()
-        one, two = self.held = (self.slots[0][self.at[0]], self.slots[1][self.at[1]])
-        self.sure = (one & 7, two & 7)
-        expected = (one >> 3, two >> 3)
-        context = self.sure[1] * 48 + self.sure[0] * 6
-        context[expected[0] == expected[1]] += 3
-        return *expected, context
-
-    def _mix(self) -> None:
-        weights = 16 * ((self.by[0] << 12) // self.by[0].sum(1, keepdims=True))[self.parts[0]]
-        weights += 16 * ((self.by[1] << 12) // self.by[1].sum(1, keepdims=True))[self.parts[1]]
-        weights += self.joint << 13
-        p = weights * ((1 << MIX_BITS) - 3) // weights.sum(1, keepdims=True) + 1
-        p[:, 0] = (1 << MIX_BITS) - p[:, 1] - p[:, 2]
-        begin = np.stack([p[:, 2] + p[:, 1], p[:, 2], np.zeros(len(p), np.int64)], axis=1)
-        self.begin, self.width = begin.ravel().astype(np.uint64), p.ravel().astype(np.uint64)
-
-    def _refresh(self) -> None:
-        if self.fresh:
-            self.count += 24 * np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary)
-            self.fresh = []
-        total = np.cumsum(self.count)
-        room = (1 << ZERO_BITS) - self.vocabulary
-        self.cum[0] = 0
-        # One division and products below 2**53: doubles give the same on every machine.
-        share = (total * (room / float(total[-1]))).astype(np.int64)
-        self.cum[1:] = np.minimum(share, room) + self.order
-        if self.decoding:
-            self.id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), np.diff(self.cum).astype(np.int64))
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
-        """ids: what came in each lane; symbol: three times the context plus the order that explained it; hits: whether
-        orders 1 and 2 expected it."""
-        n = len(self.joint)
-        seen = np.bincount(symbol, minlength=3 * n).reshape(n, 3)
-        self.joint += seen
-        halves = seen.reshape(SURE, SURE, 2, 3).sum(2)
-        self.by[0] += halves.sum(0)
-        self.by[1] += halves.sum(1)
-        fresh = ((ids << 3) + 9).astype(np.int32)
-        for k in (0, 1):
-            held, sure = self.held[k], self.sure[k]
-            missed = np.where(sure <= 1, fresh, held - sure + (sure >> 1))
-            self.slots[k][self.at[k]] = np.where(hits[k], held + (sure < SURE - 1), missed)
-        self.fresh.append(ids)
-        self.at = [ids, (self.at[0] * 0x9E3779B1 + ids * 0x85EBCA6B >> 11) & (SLOTS - 1)]
-        self.step += 1
+    def __init__(self, tree: Tree, lanes: int):
+        self.count = np.full(max(tree.nodes, 1) * WAYS, 0.4)
+        self.tables = [np.zeros(WAYS << TABLE_BITS, np.uint8) for _ in PRIOR]
+        self.before = np.zeros(lanes, np.uint32)
+        self.contexts = (self.before * np.uint32(1), self.before)
+
+    def begin(self) -> None:
+        """Before each step: order 0 as the steps before have left it."""
+        count = self.count.reshape(-1, WAYS)
+        room = (1 << FREQUENCY_BITS) - WAYS
+        self.zero = (room * count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.seen: list[np.ndarray] = []
+
+    def look(self, node: np.ndarray, live: np.ndarray | None, root: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The branches' frequencies in each lane, their sums up to each, and what is left, which belongs to the first."""
+        self.node, self.rows, scaled = node, [], []
+        u = node.astype(np.uint32)
+        below = np.ones(len(node), np.float32)
+        for k in range(2 if root else 1):
+            context = self.contexts[k]
+            at = u * np.uint32((0x85EBCA6B, 0xC2B2AE35)[k]) + (context if live is None else context.take(live))
+            at ^= at >> np.uint32(15)
+            at *= np.uint32((0x2C1B3C6D, 0x297A2D39)[k])
+            at >>= np.uint32(32 - TABLE_BITS)
+            at = at.astype(np.int64)
+            row = self.tables[k].reshape(-1, WAYS).take(at, axis=0)
+            counts = row.astype(np.float32)
+            share = np.float32(1) / (counts @ _ALL + np.float32(PRIOR[k]))
+            for x in scaled:
+                x[1] *= share * np.float32(PRIOR[k])
+            below *= share * np.float32(PRIOR[k])
+            share *= np.float32((1 << FREQUENCY_BITS) - WAYS)
+            scaled.append([counts, share])
+            self.rows.append((at, row))
+        frequency = self.zero.take(node, axis=0)
+        frequency *= below[:, None]
+        for counts, share in scaled:
+            counts *= share[:, None]
+            frequency += counts
+        np.floor(frequency, out=frequency)
+        frequency += np.float32(1)
+        total = frequency @ _UP_TO
+        return frequency, total, np.float32(1 << FREQUENCY_BITS) - total[:, -1]
+
+    def learn(self, branch: np.ndarray) -> None:
+        own = np.arange(0, WAYS * len(branch), WAYS) + branch
+        for table, (at, row) in zip(self.tables, self.rows):
+            now = row.ravel().take(own)
+            table[at * WAYS + branch] = now + (now < 255)
+        self.seen.append(self.node << 4 | branch)
+
+    def end(self, ids: np.ndarray) -> None:
+        self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+        ids = ids.astype(np.uint32)
+        self.contexts = (ids * np.uint32(0x9E3779B1), ids * np.uint32(0x9E3779B1) + self.before * np.uint32(0x7FEB352D))
+        self.before = ids
+
+
+def _part(frequency: np.ndarray, total: np.ndarray, left: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the branches' ranges begin, and how wide they are."""
+    own = np.arange(0, WAYS * len(branch), WAYS) + branch
+    width = frequency.ravel().take(own)
+    begin = total.ravel().take(own) - width + left
+    first = branch == 0
+    begin[first] = 0
+    width[first] += left[first]
+    return begin.astype(np.uint64), width.astype(np.uint64)
 
 
 def lanes_for(n: int) -> tuple[int, int]:
-    """(lanes, steps) for n ids; only the last lane may be partly filled."""
+    """(lanes, steps) for n ids; only the last lanes may be partly filled."""
     lanes = max(1, min(LANES, n // LANE_IDS))
     steps = -(-n // lanes)
     return -(-n // steps), steps
@@ -112,8 +185,8 @@ class _Coder:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
 
-    def narrow(self, some: np.ndarray | slice, begin: np.ndarray, width: np.ndarray, bits: int) -> None:
-        part = self.range[some] >> np.uint64(bits)
+    def narrow(self, some: np.ndarray | slice, begin: np.ndarray, width: np.ndarray) -> None:
+        part = self.range[some] >> np.uint64(FREQUENCY_BITS)
         self.low[some] += part * begin
         self.range[some] = part * width
 
@@ -142,36 +215,44 @@ class _Coder:
 class _Writer(_Coder):
     def __init__(self, lanes: int, steps: int):
         super().__init__(lanes)
-        self.units = np.zeros((lanes, 4 * steps + 8), np.uint16)
+        self.units = np.zeros((lanes, steps + 16), np.uint16)
         self.n = np.zeros(lanes, np.int64)
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray) -> None:
         at = self.n[lanes]
+        if len(at) and at.max() >= self.units.shape[1]:
+            self.units = np.pad(self.units, ((0, 0), (0, self.units.shape[1])))
         self.units[lanes, at] = units
         self.n[lanes] = at + 1
 
     def finish(self) -> bytes:
+        # Ranges are 2**40 or more: a number whose lower half is zero lies in each. Zeros needn't be written.
+        code = (self.low + np.uint64((1 << 32) - 1)) & np.uint64((1 << 64) - (1 << 32))
         lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.pass_unit(lanes, self.low >> _DOWN)
-            self.low = self.low << _UNIT
+        for _ in range(2):
+            self.pass_unit(lanes, code >> _DOWN)
+            code = code << _UNIT
         kept = np.arange(self.units.shape[1]) < self.n[:, None]
-        return self.n.astype("<u4").tobytes() + self.units[kept].astype("<u2").tobytes()
+        sizes = zlib.compress(self.n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+        return len(sizes).to_bytes(4, "little") + sizes + self.units[kept].astype("<u2").tobytes()
 
 
 class _Reader(_Coder):
     def __init__(self, payload: bytes, lanes: int):
         super().__init__(lanes)
-        n = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-        self.units = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(4, np.uint16)])
-        self.next = np.cumsum(n) - n
+        size = int.from_bytes(payload[:4], "little")
+        n = np.frombuffer(zlib.decompress(payload[4 : 4 + size]), np.uint8).reshape(4, lanes).T.copy().view("<u4").ravel().astype(np.int64)
+        self.units = np.append(np.frombuffer(payload[4 + size :], "<u2"), np.uint16(0))
+        self.end = np.cumsum(n)
+        self.next = self.end - n
         self.code = np.zeros(lanes, np.uint64)
         for _ in range(4):
             self.pass_unit(np.arange(lanes), None)
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray | None) -> None:
         at = self.next[lanes]
-        self.code[lanes] = (self.code[lanes] << _UNIT) | self.units[at]
+        unit = np.where(at < self.end[lanes], self.units[np.minimum(at, len(self.units) - 1)], np.uint16(0))
+        self.code[lanes] = (self.code[lanes] << _UNIT) | unit
         self.next[lanes] = at + 1
 
 
@@ -180,49 +261,64 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, bytes]:
     if not len(ids):
         return 0, 0, b""
     lanes, steps = lanes_for(len(ids))
-    table = np.zeros(lanes * steps, np.int64)
+    table = np.full(lanes * steps, ids[-1], np.int64)
     table[: len(ids)] = ids
+    deep = depths(np.bincount(ids, minlength=vocabulary))
+    header = zlib.compress(deep.tobytes(), 6)
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    model, out = Model(vocabulary, lanes), _Writer(lanes, steps)
+    tree = Tree(deep)
+    model, out = Model(tree, lanes), _Writer(lanes, steps)
     for now in table:
-        one, two, context = model.look()
-        following = now + 1
-        hits = (one == following, two == following)
-        symbol = context + np.where(hits[1], 2, hits[0])
-        out.narrow(slice(None), model.begin[symbol], model.width[symbol], MIX_BITS)
-        rest = np.flatnonzero(~(hits[0] | hits[1]))
-        some = now[rest]
-        begin = model.cum[some]
-        out.narrow(rest, begin, model.cum[some + 1] - begin, ZERO_BITS)
+        model.begin()
+        live = None
+        for d in range(tree.levels):
+            place = tree.path[d].take(now if live is None else now.take(live))
+            if d:
+                more = np.flatnonzero(place >= 0)
+                live, place = (more if live is None else live.take(more)), place.take(more)
+                if not len(live):
+                    break
+            branch = place & 15
+            begin, width = _part(*model.look(place >> 4, live, d == 0), branch)
+            out.narrow(slice(None) if live is None else live, begin, width)
+            model.learn(branch)
+            if d % 2:
+                out.settle()
         out.settle()
-        model.learn(now, symbol, hits)
-    return lanes, steps, out.finish()
+        model.end(now)
+    return lanes, steps, len(header).to_bytes(4, "little") + header + out.finish()
 
 
 def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> np.ndarray:
     """The n ids of a block."""
     if not n:
         return np.zeros(0, np.int64)
-    model, coder = Model(vocabulary, lanes, decoding=True), _Reader(payload, lanes)
+    size = int.from_bytes(payload[:4], "little")
+    tree = Tree(np.frombuffer(zlib.decompress(payload[4 : 4 + size]), np.uint8, vocabulary))
+    model, coder = Model(tree, lanes), _Reader(payload[4 + size :], lanes)
     table = np.empty((steps, lanes), np.int64)
     for now in table:
-        one, two, context = model.look()
-        part = coder.range >> np.uint64(MIX_BITS)
-        ahead = coder.code - coder.low
-        source = np.where(ahead < part * model.width[context + 2], 2, ahead < part * model.begin[context])
-        symbol = context + source
-        coder.narrow(slice(None), model.begin[symbol], model.width[symbol], MIX_BITS)
-        now[:] = np.where(source == 2, two, one)
-        now -= 1
-        rest = np.flatnonzero(source == 0)
-        at = (coder.code[rest] - coder.low[rest]) // (coder.range[rest] >> np.uint64(ZERO_BITS))
-        found = model.id_at[np.minimum(at, np.uint64((1 << ZERO_BITS) - 1)).astype(np.int64)]
-        now[rest] = found
-        begin = model.cum[found]
-        coder.narrow(rest, begin, model.cum[found + 1] - begin, ZERO_BITS)
+        model.begin()
+        live, node = None, np.zeros(lanes, np.int64)
+        for d in range(tree.levels):
+            frequency, total, left = model.look(node, live, d == 0)
+            some = slice(None) if live is None else live
+            at = (coder.code[some] - coder.low[some]) // (coder.range[some] >> np.uint64(FREQUENCY_BITS))
+            at = np.minimum(at, np.uint64((1 << FREQUENCY_BITS) - 1)).astype(np.float32) - left
+            branch = ((total <= at[:, None]).astype(np.float32) @ _ALL).astype(np.int64)
+            begin, width = _part(frequency, total, left, branch)
+            coder.narrow(some, begin, width)
+            model.learn(branch)
+            if d % 2:
+                coder.settle()
+            child = tree.child.take(node << 4 | branch)
+            done = child < 0
+            # A damaged payload may name what no id has (then id 0 stands here); the block's checksum tells.
+            now[np.flatnonzero(done) if live is None else live[done]] = -1 - child[done]
+            more = np.flatnonzero(~done)
+            live, node = (more if live is None else live.take(more)), child.take(more)
+            if not len(live):
+                break
         coder.settle()
-        # A damaged payload may name what no context expects; the block's checksum tells.
-        np.maximum(now, 0, out=now)
-        following = now + 1
-        model.learn(now, symbol, (one == following, two == following))
+        model.end(now)
     return table.T.ravel()[:n]

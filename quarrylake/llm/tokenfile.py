@@ -24,8 +24,9 @@ from .common import documents, shared_dir, small_batches
 from .mixcoder import decode, encode
 from .tokens import encoder, load, slices, word_bpe_path
 
-MAGIC = b"QLTOKEN1"
-HEAD = "<8sI"
+MAGIC = b"QLTOKEN2"
+#: mark, size of the vocabulary, CRC-32 of both.
+HEAD = "<8sII"
 #: documents, tokens, lanes, steps, bytes of the table of documents, bytes of the payload, CRC-32 of the tokens, and of all else.
 BLOCK = "<4sIQIIIQII"
 #: Tokens after which a block ends with the document it is in.
@@ -38,6 +39,11 @@ class DamagedFile(ValueError):
     """A block whose checksum doesn't hold, or a file that is cut short."""
 
 
+def head(vocabulary: int) -> bytes:
+    """What a file begins with."""
+    return struct.pack(HEAD, MAGIC, vocabulary, zlib.crc32(struct.pack("<8sI", MAGIC, vocabulary)))
+
+
 def pack_block(names: list[int | None], lengths: list[int], tokens: np.ndarray, vocabulary: int) -> bytes:
     """A block of documents: their ids (None is kept), lengths and joined tokens."""
     known = np.array([x is not None for x in names], np.uint8)
@@ -52,7 +58,9 @@ def unpack_file(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
     """(document ids, lengths, tokens) of each block; raises DamagedFile rather than return what wasn't written."""
     if len(content) < struct.calcsize(HEAD) or content[:8] != MAGIC:
         raise DamagedFile("not a token file")
-    vocabulary = struct.unpack_from(HEAD, content)[1]
+    _, vocabulary, crc = struct.unpack_from(HEAD, content)
+    if crc != zlib.crc32(content[:12]):
+        raise DamagedFile("the head's checksum doesn't hold")
     at = struct.calcsize(HEAD)
     while at < len(content):
         if at + struct.calcsize(BLOCK) > len(content):
@@ -104,7 +112,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None = 1, id_col:
         coder, last = encoder(path), np.array([] if end is None else [end], np.int64)
         docs_in, tokens_in = 0, 0
         with system.open_output_stream(hidden) as out:
-            out.write(struct.pack(HEAD, MAGIC, vocabulary))
+            out.write(head(vocabulary))
             names: list = []
             held: list[np.ndarray] = []
             n = 0
@@ -137,20 +145,32 @@ def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa
     yield from rest
 
 
+def _starts(manifest: DataFrame) -> DataFrame:
+    """(part, expected, base): tokens of each file and of all files before it, summed by thousands of files first."""
+    rows = manifest.select("part", F.col("tokens").alias("expected"), F.floor(F.col("part") / 1000).alias("group"))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("group").agg(F.sum("expected").alias("of_group")).select("group", F.coalesce(F.sum("of_group").over(before), F.lit(0)).alias("of_groups"))
+    inside = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(groups, "group").select("part", "expected", (F.col("of_groups") + F.coalesce(F.sum("expected").over(inside), F.lit(0))).alias("base"))
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n, ids): one row for each document in the files of `folder`; start counts the tokens of all documents
-    before it; ids are little-endian unsigned integers of 32 bits. Fails on a damaged or a missing file."""
-    manifest = spark.read.parquet(f"{folder}/_manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", F.col("tokens").alias("expected"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    before it; ids are little-endian unsigned integers of 32 bits. Fails on a damaged or a missing file.
+
+    A row for each file goes to the tasks, which open the files themselves: no file's content is shuffled.
+    """
+    manifest = spark.read.schema("part int, docs long, tokens long").parquet(f"{folder}/_manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for row in range(batch.num_rows):
-                at, expected = batch.column("base")[row].as_py(), batch.column("expected")[row].as_py()
-                content = batch.column("content")[row].as_py()
-                if content is None:
-                    raise DamagedFile(f"part {batch.column('part')[row].as_py()} is missing")
+            for part, expected, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                try:
+                    with system.open_input_file(f"{place}/part-{part:06d}.tok") as file:
+                        content = file.read()
+                except FileNotFoundError as gone:
+                    raise DamagedFile(f"part {part} is missing") from gone
                 for names, lengths, tokens in unpack_file(content):
                     ends = np.cumsum(lengths)
                     for i in range(0, len(names), 2000):
@@ -161,12 +181,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 2000], pa.int64()), pa.array(at + end - some), pa.array(some), ids], names=["id", "start", "n", "ids"])
                     at, expected = at + len(tokens), expected - len(tokens)
                 if expected:
-                    raise DamagedFile(f"part {batch.column('part')[row].as_py()} is cut short")
+                    raise DamagedFile(f"part {part} is cut short")
 
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.tok").load(folder)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)\.tok$", 1).cast("int").alias("part"), "content")
-    return starts.join(files, "part", "left").select("part", "base", "expected", "content").mapInArrow(run, "id long, start long, n long, ids binary")
+    files = max(1, manifest.count())
+    dealt = _starts(manifest).repartition(files, "part").select("part", "expected", "base")
+    return dealt.mapInArrow(run, "id long, start long, n long, ids binary")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
