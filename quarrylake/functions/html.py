@@ -125,12 +125,12 @@ def to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(to_markdown(html), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\*\*", "")
 
 
-def nfc(text: Column) -> Column:
-    """Unicode NFC, which Spark has no function for."""
+def normal_form(text: Column, form: str = "NFC") -> Column:
+    """A Unicode normal form, which Spark has no function for. ASCII, which is in every form, doesn't leave the JVM."""
     @F.arrow_udf("string")
     def convert(texts: pa.Array) -> pa.Array:
         import unicodedata
 
-        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
+        return pa.array([None if x is None else unicodedata.normalize(form, x) for x in texts.to_pylist()], pa.string())
 
     return convert(text)

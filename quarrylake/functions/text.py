@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ SHELL_NOTICES = ["enable javascript", "javascript is required", "javascript is d
 NOT_FOUND = ["404 not found", "page not found", "error 404", "does not exist"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it; a lambda's own expressions are worked out
+    at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 

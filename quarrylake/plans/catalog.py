@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import markup, pages, payloads, questions, ranking, research, state, texts, urls
+from . import markup, pages, payloads, questions, ranking, requests, research, state, texts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research, state, questions, payloads, pages, markup)
+MODULES = (urls, texts, ranking, research, state, questions, requests, payloads, pages, markup)
 
 
 def queries() -> dict[str, Query]:
