@@ -16,7 +16,7 @@ from .common import components, documents, narrowed, small_batches, stored
 #: Bits of a fingerprint, and bins of a sketch (a byte each).
 BITS, BINS = 64, 32
 #: Rows of a shard's table. Smaller tables still have 2**LEAST_SPLIT shards a segment.
-SHARD_ROWS, LEAST_SPLIT = 500_000, 3
+SHARD_ROWS, LEAST_SPLIT = 500_000, 2
 #: Look-ups and matches that a task works on at once.
 AT_ONCE = 1 << 20
 #: Sketches whose estimate is lower are not looked at again: five standard deviations below a similarity of 0.8.
