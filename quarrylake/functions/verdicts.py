@@ -189,6 +189,6 @@ def resolved_title(html_title: Column, markdown: Column, url: Column) -> Column:
     html = F.trim(F.coalesce(html_title, F.lit("")))
     lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), F.trim)
     heading = F.get(F.filter(lines, lambda x: x.startswith("# ") | F.lower(x).startswith("title:")), F.lit(0))
-    named = F.coalesce(F.regexp_replace(heading, r"^(# |[^:#]*:)", ""), F.lit(""))
+    named = F.coalesce(F.regexp_replace(heading, r"^(# |[^:]*:)", ""), F.lit(""))
     one = lambda t, source: F.struct(clipped(t)["title"].alias("title"), F.lit(source).alias("source"), clipped(t)["clipped"].alias("clipped"))
     return F.when(html != "", one(html, "html")).when(F.trim(named) != "", one(named, "markdown")).otherwise(F.struct(F.coalesce(url, F.lit("")).alias("title"), F.lit("url").alias("source"), F.lit(False).alias("clipped")))
