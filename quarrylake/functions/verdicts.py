@@ -187,7 +187,7 @@ def clipped(title: Column, most: int = 200) -> Column:
 def resolved_title(html_title: Column, markdown: Column, url: Column) -> Column:
     """(title, source, clipped): the page's own title, else its first heading or `title:` line, else its URL."""
     html = F.trim(F.coalesce(html_title, F.lit("")))
-    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda x: F.trim(x))
     heading = F.get(F.filter(lines, lambda x: x.startswith("# ") | F.lower(x).startswith("title:")), F.lit(0))
     named = F.coalesce(F.regexp_replace(heading, r"^(# |[^:]*:)", ""), F.lit(""))
     one = lambda t, source: F.struct(clipped(t)["title"].alias("title"), F.lit(source).alias("source"), clipped(t)["clipped"].alias("clipped"))

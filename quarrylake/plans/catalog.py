@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import markup, pages, payloads, questions, ranking, requests, research, state, texts, urls, verdicts
+from . import evidence, markup, pages, payloads, questions, ranking, requests, research, state, texts, urls, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, payloads, pages, markup)
+MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, evidence, payloads, pages, markup)
 
 
 def queries() -> dict[str, Query]:
