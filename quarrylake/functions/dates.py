@@ -52,3 +52,9 @@ def normalize_timestamp(value: Column) -> Column:
         .when(v.rlike(iso), day)
         .when(v.rlike(mail), _date(F.regexp_extract(v, mail, 3), month_number(F.regexp_extract(v, mail, 2)).cast("string"), F.regexp_extract(v, mail, 1)))
     )
+
+
+def epoch_date(seconds: Column) -> Column:
+    """The UTC date of seconds since 1970; null beyond the years 1 to 9999."""
+    days = F.floor(seconds / 86400)
+    return F.when(days.between(-719162, 2932896), F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))

@@ -275,3 +275,14 @@ def html_title(html: Column) -> Column:
         return squeeze(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"<[^>]+>", " "))
 
     return F.when(inner("title") != "", inner("title")).otherwise(inner("h1"))
+
+
+def found_in_page(text: Column, phrase: Column, most: int = 50, around: int = 100) -> Column:
+    """The first `most` places of a phrase in a text, whatever the case, with what stands around each: (at, context)."""
+    def places(parts: Column) -> Column:
+        upto = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + (i - 1) * F.length(phrase) + 1
+        one = lambda i: let(upto(i), lambda at: F.struct(at.alias("at"), F.substr(text, F.greatest(F.lit(1), at - around), F.length(phrase) + around + F.least(F.lit(around), at - 1)).alias("context")))
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(parts) - 1)), one)).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<at: INT, context: STRING>>)"))
+
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.lower(phrase), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.when(phrase != "", let(F.call_function("split", F.lower(text), quoted, F.lit(-1)), places))

@@ -129,6 +129,40 @@ def is_blocked_ipv4(h: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: IPv6 networks that aren't public.
+NOT_PUBLIC_V6 = ["::/128", "::1/128", "::ffff:0:0/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8"]
+
+
+def ipv6_hex(h: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, with or without brackets; null if it is none. The last 32 bits may be dotted."""
+    bare = F.lower(F.regexp_replace(h, r"^\[|\]$|%.*$", ""))
+    dotted = F.regexp_extract(bare, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    number = F.lpad(F.lower(F.hex(ipv4_number(dotted))), 8, "0")
+    plain = F.when(is_ipv4(dotted), F.concat(F.regexp_extract(bare, r"^(.*:)[0-9.]+$", 1), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))).otherwise(bare)
+    halves = F.split(plain, "::")
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = groups(halves[0]), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.when(F.size(halves) == 2, missing).otherwise(0)), right)
+    fits = plain.contains(":") & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ((F.size(halves) == 1) | (missing > 0))
+    return F.when(fits, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def is_blocked_ipv6(h: Column) -> Column:
+    """Whether an IPv6 address lies in a network that isn't public; false for other hosts."""
+    bits = F.array_join(F.transform(F.split(ipv6_hex(h), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    return F.coalesce(F.exists(F.array(*[F.lit(network_bits(x)) for x in NOT_PUBLIC_V6]), lambda b: bits.startswith(b)), F.lit(False))
+
+
+def network_bits(network: str) -> str:
+    """The fixed bits of an IPv6 network."""
+    address, n = network.split("/")
+    left, _, right = address.partition("::")
+    heads, tails = [g for g in left.split(":") if g], [g for g in right.split(":") if g]
+    groups = heads + ["0"] * (8 - len(heads) - len(tails)) + tails
+    return "".join(f"{int(g, 16):016b}" for g in groups)[: int(n)]
+
+
 def is_public(url: Column) -> Column:
     """Whether a URL is clearly public http(s): no white space, control character, backslash or user, no private host."""
     u = F.trim(url)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as C
 from ..functions import text as T
+from ..functions import url as U
 
 # Fixed values.
 CLAIMS_PER_SOURCE, SUBJECT_TERMS = 10, 8
@@ -102,3 +103,121 @@ def reach(spark: SparkSession, edges: DataFrame, start: DataFrame, forward: bool
             break
         seen = seen.unionByName(frontier)
     return seen.where("steps > 0")
+
+
+def merge_sources(results: DataFrame) -> DataFrame:
+    """A row for each question and source of all rounds: its first hit's url and title, the union of engines, flags, rounds and
+    queries, and the longest snippet (of these the first)."""
+    first = F.min(F.struct("seq", "url", "title")).alias("first")
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    longest = F.max(F.struct(F.length("snippet").alias("n"), (-F.col("seq")).alias("s"), "snippet")).alias("longest")
+    out = results.groupBy("question_id", "source_id").agg(first, union("engines"), union("flags"), F.array_sort(F.collect_set("round")).alias("rounds"), F.array_sort(F.collect_set("query")).alias("queries"), longest)
+    return out.select("question_id", "source_id", "first.url", "first.title", "engines", "flags", "rounds", "queries", F.col("longest.snippet").alias("snippet"))
+
+
+def next_reads(sources: DataFrame, n: int) -> DataFrame:
+    """The n best sources of each question that are known by their snippets only, by falling score, then URL."""
+    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "url")
+    return sources.where("read_status = 'snippet_only'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def research_coverage(sources: DataFrame, questions: DataFrame, min_sources: int) -> DataFrame:
+    """(question_id, coverage): distinct relevant domains against `min_sources`, 1 at most; where some of them name a term of
+    the question in title or snippet, only those count. Questions without relevant sources have 0."""
+    terms = F.filter(T.terms(T.without_sites(F.col("question"))), lambda t: ~t.isin(T.STOPWORDS))
+    asked = questions.select("question_id", terms.alias("terms"))
+    rows = sources.where("relevance > 0").join(asked, "question_id")
+    hay = F.lower(F.concat_ws(" ", "title", "snippet"))
+    names = F.exists("terms", lambda t: F.contains(hay, t))
+    per = rows.groupBy("question_id").agg(F.countDistinct("domain").alias("every"), F.countDistinct(F.when(names, F.col("domain"))).alias("naming"))
+    n = F.when(F.col("naming") > 0, F.col("naming")).otherwise(F.col("every"))
+    found = per.select("question_id", F.least(F.lit(1.0), n / max(1, min_sources)).alias("coverage"))
+    return asked.select("question_id").join(found, "question_id", "left").fillna(0.0, ["coverage"])
+
+
+def limitations(calls: DataFrame, sources: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(question_id, failed, snippet_only, unread, contested, no_sources): what a report must own to. Tables have question_id;
+    `calls` status, `sources` read_status."""
+    failed = calls.groupBy("question_id").agg(F.count_if(F.col("status").isin("failed", "skipped")).alias("failed"))
+    read = sources.groupBy("question_id").agg(F.count("*").alias("sources"), F.count_if(F.col("read_status") == "snippet_only").alias("snippet_only"), F.count_if(F.col("read_status") == "read_failed").alias("unread"))
+    contested = contradictions.groupBy("question_id").agg(F.count("*").alias("pairs"))
+    rows = failed.join(read, "question_id", "full_outer").join(contested, "question_id", "full_outer").fillna(0)
+    return rows.select("question_id", "failed", "snippet_only", "unread", (F.col("pairs") > 0).alias("contested"), (F.col("sources") == 0).alias("no_sources"))
+
+
+def provenance_graph(queries: DataFrame, returned: DataFrame, claims: DataFrame, statements: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a report, each once: (node, kind) of the question, queries, sources, claims, statements and
+    contradictions; (src, dst, relation) issued, returned, states, supports, conflicts_with.
+
+    `queries` has query_no, `returned` query_no and source_id, `claims` claim_id
+    and source_id, `statements` statement_id and claim_ids, `conflicts` conflict_id and claim_ids.
+    """
+    name = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    link = lambda df, a, b, relation: df.select(a.alias("src"), b.alias("dst"), F.lit(relation).alias("relation"))
+    told, fought = statements.select("statement_id", F.explode("claim_ids").alias("claim_id")), conflicts.select("conflict_id", F.explode("claim_ids").alias("claim_id"))
+    known = returned.join(claims.select("source_id").distinct(), "source_id", "left_semi")
+    edges = link(queries, F.lit("question"), name("q", "query_no"), "issued")
+    for more in (link(known, name("q", "query_no"), name("src", "source_id"), "returned"), link(claims, name("src", "source_id"), name("claim", "claim_id"), "states"), link(told, name("claim", "claim_id"), name("stmt", "statement_id"), "supports"), link(fought, name("claim", "claim_id"), name("x", "conflict_id"), "conflicts_with")):
+        edges = edges.unionByName(more)
+    edges = edges.distinct()
+    kinds = {"question": "question", "q": "query", "src": "source", "claim": "claim", "stmt": "statement", "x": "contradiction"}
+    kind = F.element_at(F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair]), F.regexp_extract("node", "^[a-z]+", 0))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    return nodes.withColumn("kind", kind), edges
+
+
+def replayed(asked: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
+    """Each asked key with its first recorded answer: (key, seq, answer, recorded); `recorded` has key, seq, answer."""
+    first = recorded.groupBy(key).agg(F.min_by("answer", "seq").alias("answer"))
+    out = asked.join(first.withColumn("recorded", F.lit(True)), key, "left")
+    return out.withColumn("recorded", F.coalesce("recorded", F.lit(False)))
+
+
+def valid_syntheses(statements: DataFrame, claims: DataFrame) -> DataFrame:
+    """Statements of the reports all of whose statements stand: text that isn't empty, claims cited, no claim invented.
+
+    `statements` has report, statement_id, text, claim_ids; `claims` report and
+    claim_id. One bad statement rejects its whole report.
+    """
+    cited = statements.select("report", F.explode("claim_ids").alias("claim_id"))
+    invented = cited.join(claims.select("report", "claim_id"), ["report", "claim_id"], "left_anti").select("report")
+    hollow = statements.where((F.coalesce(F.trim("text"), F.lit("")) == "") | (F.coalesce(F.size("claim_ids"), F.lit(0)) <= 0)).select("report")
+    return statements.join(invented.unionByName(hollow).distinct(), "report", "left_anti")
+
+
+def scope_misses(results: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Results on hosts outside all scopes of their question; questions without scopes miss nothing. `scopes`: question_id, scope."""
+    scoped = results.join(scopes.select("question_id").distinct(), "question_id", "left_semi")
+    inside = scopes.withColumnRenamed("question_id", "of")
+    return scoped.join(inside, (F.col("question_id") == F.col("of")) & U.scope_matches(F.col("url"), F.col("scope")), "left_anti")
+
+
+def scored_queries(results: DataFrame, expected: DataFrame, today: Column, top: int = 5) -> DataFrame:
+    """(question_id, available, quality_hit, fresh): whether one of a question's first results is on an acceptable domain or has
+    an expected phrase, and whether one is as recent as asked (null where no recency is asked).
+
+    `expected` has question_id, domains, phrases, recency_days.
+    """
+    rows = expected.join(results.where(F.col("place") <= top), "question_id", "left")
+    host, hay = U.domain(F.col("url")), F.lower(F.concat_ws(" ", "title", "snippet"))
+    hit = F.exists("domains", lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))) | F.exists("phrases", lambda p: F.contains(hay, F.lower(p)))
+    young = F.coalesce(F.datediff(today, F.col("published_at")) <= F.col("recency_days"), F.lit(False))
+    out = rows.groupBy("question_id").agg(F.max(F.col("url").isNotNull()).alias("available"), F.coalesce(F.max(hit), F.lit(False)).alias("quality_hit"), F.max(young).alias("young"), F.first("recency_days").alias("asked"))
+    return out.select("question_id", "available", "quality_hit", F.when(F.col("asked").isNotNull(), F.col("young")).alias("fresh"))
+
+
+def repeated_phrases(requests: DataFrame, least: int = 2) -> DataFrame:
+    """(phrase, n): requests as lower-case words that occur `least` times or more. `requests` has request."""
+    words = F.array_join(F.transform(T._all(F.col("request"), T.RUN), F.lower), " ")
+    return requests.select(words.alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def archive_domains(feeds: DataFrame, regions: DataFrame, n: int) -> DataFrame:
+    """(asked, place, domain): the first n publishers of each region asked for, each once, by their place in the list; a region
+    (or its parts) without any, and an empty one, takes all. `feeds` has seq, domain, region; `regions` asked. Both are small."""
+    of = (F.col("region") == F.col("asked")) | F.col("region").startswith(F.concat(F.col("asked"), F.lit("-")))
+    met = regions.join(F.broadcast(feeds), of, "left")
+    own = met.where("domain IS NOT NULL")
+    rest = met.where("domain IS NULL").select("asked").join(F.broadcast(feeds), F.lit(True))
+    once = own.unionByName(rest).groupBy("asked", "domain").agg(F.min("seq").alias("seq"))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("seq"))).where(F.col("place") <= n).select("asked", "place", "domain")

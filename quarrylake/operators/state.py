@@ -34,6 +34,42 @@ def breaker(log: DataFrame, key: str = "key", at: str = "at", ok: str = "ok", se
     return last.join(of, key, "left").select(key, failures.alias("failures"), F.when(down & (F.col("failures") >= threshold), F.col("last_fail")).alias("opened_at"), F.coalesce("trips", F.lit(0)).alias("trips"))
 
 
+def persistent_breaker(log: DataFrame, key: str = "key", at: str = "at", ok: str = "ok", seq: str = "seq", kind: str = "kind", threshold: int = THRESHOLD) -> DataFrame:
+    """(key, failures, kind, open_until): circuits that survive restarts, after each key's events in order.
+
+    A captcha or a rate limit opens at once, other failures from `threshold` in a
+    row; a failure while open opens anew. The wait doubles with the run: from
+    the first blocked failure, or from the threshold, up to six hours. open_until
+    is null for a closed circuit; failures and kind are of the run at the end.
+    """
+    order = Window.partitionBy(key, "island").orderBy(at, seq)
+    blocked = F.coalesce(F.col(kind).isin("captcha", "rate_limited"), F.lit(False))
+    before = F.sum(F.col(ok).cast("int")).over(Window.partitionBy(key).orderBy(at, seq).rowsBetween(Window.unboundedPreceding, 0))
+    fails = log.withColumn("island", before).where(~F.col(ok)).withColumn("blocked", blocked).withColumn("streak", F.row_number().over(order))
+    opens = F.col("blocked") | (F.col("streak") >= threshold)
+    fails = fails.withColumn("opened", F.max(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last_ok = log.groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.col(seq).alias("seq"), F.col(ok).alias("ok"))).alias("last"))
+    end = fails.groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.col(seq).alias("seq"), "streak", "blocked", "opened", F.col(kind).alias("kind"))).alias("f"))
+    rows = last_ok.join(end, key, "left")
+    steps = F.least(F.lit(10), F.when(F.col("f.blocked"), F.col("f.streak") - 1).otherwise(F.greatest(F.lit(0), F.col("f.streak") - threshold)))
+    wait = F.least(F.lit(MAX_COOLDOWN), F.when(F.col("f.blocked"), BLOCKED_COOLDOWN).otherwise(COOLDOWN) * F.pow(F.lit(2.0), steps))
+    down = ~F.col("last.ok")
+    return rows.select(key, F.when(down, F.col("f.streak")).otherwise(0).cast("int").alias("failures"), F.when(down, F.coalesce("f.kind", F.lit("unavailable"))).alias("kind"), F.when(down & F.col("f.opened"), F.col("f.at") + wait).alias("open_until"))
+
+
+def rotated(requests: DataFrame, instances: DataFrame, cooling: DataFrame) -> DataFrame:
+    """(request, nth, instance): the order in which each request tries instances: round robin, without those that cool.
+
+    `requests` has request (0, 1, ...) and at; `instances` place (0, 1, ...) and
+    instance; `cooling` instance and until. Instances are a small table.
+    """
+    n = instances.count()
+    tried = requests.join(F.broadcast(instances), F.lit(True))
+    up = tried.join(F.broadcast(cooling), (tried["instance"] == cooling["instance"]) & (cooling["until"] > tried["at"]), "left_anti")
+    order = Window.partitionBy("request").orderBy(F.pmod(F.col("place") - F.col("request"), F.lit(max(n, 1))))
+    return up.withColumn("nth", F.row_number().over(order)).select("request", "nth", "instance")
+
+
 def breaker_state(found: DataFrame, now: Column, cooldown: float = COOLDOWN) -> DataFrame:
     """Adds closed, open or half_open at `now`."""
     return found.withColumn("state", F.when(F.col("opened_at").isNull(), "closed").when(now - F.col("opened_at") >= cooldown, "half_open").otherwise("open"))

@@ -233,8 +233,8 @@ def feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEEDS_SQL = f"""WITH {K._HITS}, {_ASKED}, e AS (SELECT engine AS feed, arrival_seq AS seq, url, published_at, {S.terms("concat_ws(' ', title, snippet, 'reading of the river')")} AS words FROM hits),
-k AS (SELECT question_id, feed, seq, url, published_at, row_number() OVER (PARTITION BY question_id, feed ORDER BY seq) AS nth FROM e JOIN q ON list_has_any(words, wanted) WHERE published_at IS NULL OR ((lo IS NULL OR published_at >= lo) AND (hi IS NULL OR published_at <= hi)))
-SELECT CAST(question_id AS BIGINT) AS question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY published_at DESC NULLS LAST, nth, feed) AS INTEGER) AS position, feed, url, CAST(published_at AS VARCHAR) AS published_at FROM k QUALIFY position <= 15"""
+kept AS (SELECT question_id, feed, seq, url, published_at, row_number() OVER (PARTITION BY question_id, feed ORDER BY seq) AS nth FROM e JOIN q ON list_has_any(words, wanted) WHERE published_at IS NULL OR ((lo IS NULL OR published_at >= lo) AND (hi IS NULL OR published_at <= hi)))
+SELECT CAST(question_id AS BIGINT) AS question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY published_at DESC NULLS LAST, nth, feed) AS INTEGER) AS position, feed, url, CAST(published_at AS VARCHAR) AS published_at FROM kept QUALIFY position <= 15"""
 
 QUERIES = {
     "best_snippets": best_snippets, "date_confidence": date_confidence, "conflict_report": conflict_report, "sufficiency": sufficiency, "merge_log": merge_log, "syndicated": syndicated, "news_topk": news_topk, "news_verified": news_verified, "result_reasons": result_reasons, "filler_risk": filler_risk,
