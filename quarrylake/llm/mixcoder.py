@@ -6,15 +6,17 @@ learns all of them. So a block has one model, whatever its lanes, and numpy does
 a step of all lanes at once.
 
 An id is a path through a tree with 16 branches at a node, in which frequent ids
-lie near the root; the block's header holds the depth of each id. At a node the
-branches have probabilities that mix three orders: counts of the node (order 0),
-of the node after the id before (order 1) and, at the root, after the two ids
-before (order 2). Each order starts from what the lower one says and weighs it
-as so many counts of its own: the more a context has been seen, the more it
-decides. The counts of orders 1 and 2 lie in tables of hashed contexts.
-
-What is coded are integers. They come from single operations on floats (no sum of
-which is rounded), so that what one machine writes another reads.
+lie near the root; the block's header holds the depth of each id. At the two upper
+levels the branches have probabilities that mix three orders: counts of the node
+(order 0), of the node after the id before (order 1) and, at the root, after the
+two ids before (order 2). Each order starts from what the lower one says and
+weighs it as so many counts of its own: the more a context has been seen, the
+more it decides. Which id of a deeper node it is goes by order 0 alone, in one
+step. The counts of orders 1 and 2 lie in tables of hashed contexts, as sums over
+the branches before each, which is what is coded.
+
+What is coded are integers. They come from single operations on floats, so that
+what one machine writes another reads.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zlib
 import numpy as np
 
 #: Bits of the tables of contexts, and how many counts the lower order weighs, in orders 1 and 2.
-TABLE_BITS, PRIOR = 18, (8.0, 4.0)
+TABLE_BITS, PRIOR = 17, (8.0, 4.0)
 #: Branches of a node; bits of their frequencies.
 WAYS, FREQUENCY_BITS = 16, 15
 #: The state has 64 bits; units of 16 bits leave it. A lane's range is at least 2**40 when it is settled, so that it can be
@@ -33,8 +35,11 @@ WAYS, FREQUENCY_BITS = 16, 15
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 LANES, LANE_IDS = 8192, 256
 _ONE, _UNIT, _DOWN = np.uint64(1), np.uint64(16), np.uint64(48)
-_UP_TO = np.triu(np.ones((WAYS, WAYS), np.float32))
-_ALL = np.ones(WAYS, np.float32)
+#: Levels whose branches are mixed; ids below are found in one step, by order 0, which is counted anew each REFRESH steps.
+LEVELS, REFRESH = 2, 16
+#: What a branch adds to a context's row: the sums before later branches, and the sum of all, which stands in the first place.
+_AFTER = np.triu(np.ones((WAYS, WAYS), np.uint8), 1)
+_AFTER[:, 0] = 1
 
 
 def depths(counts: np.ndarray) -> np.ndarray:
@@ -103,72 +108,131 @@ class Tree:
 
 class Model:
     def __init__(self, tree: Tree, lanes: int):
-        self.count = np.full(max(tree.nodes, 1) * WAYS, 0.4)
-        self.tables = [np.zeros(WAYS << TABLE_BITS, np.uint8) for _ in PRIOR]
+        self.tree = tree
+        self.sums = [np.zeros(WAYS << TABLE_BITS, np.uint8) for _ in PRIOR]
         self.before = np.zeros(lanes, np.uint32)
-        self.contexts = (self.before * np.uint32(1), self.before)
+        self.contexts = (self.before, self.before)
+        self.count = np.full(max(tree.nodes, 1) * WAYS, 0.4)
+        self.step, self.deep = 0, _Deep(tree)
 
     def begin(self) -> None:
         """Before each step: order 0 as the steps before have left it."""
         count = self.count.reshape(-1, WAYS)
-        room = (1 << FREQUENCY_BITS) - WAYS
-        self.zero = (room * count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+        upto = np.cumsum(count, axis=1)
+        self.zero = np.zeros((len(count), WAYS), np.float32)
+        self.zero[:, 1:] = upto[:, :-1] / upto[:, -1:]
+        self.zero = self.zero.ravel()
+        if self.step < REFRESH and self.step & (self.step - 1) == 0 or self.step % REFRESH == 0:
+            self.deep.refresh()
         self.seen: list[np.ndarray] = []
 
-    def look(self, node: np.ndarray, live: np.ndarray | None, root: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The branches' frequencies in each lane, their sums up to each, and what is left, which belongs to the first."""
-        self.node, self.rows, scaled = node, [], []
+    def look(self, node: np.ndarray, live: np.ndarray | None, level: int) -> None:
+        """Weighs the orders at a node of each lane."""
+        self.node, self.rows = node * WAYS, []
         u = node.astype(np.uint32)
-        below = np.ones(len(node), np.float32)
-        for k in range(2 if root else 1):
+        room = np.float32((1 << FREQUENCY_BITS) - WAYS)
+        self.weights = []
+        below = None
+        for k in range(2 if level == 0 else 1):
             context = self.contexts[k]
-            at = u * np.uint32((0x85EBCA6B, 0xC2B2AE35)[k]) + (context if live is None else context.take(live))
+            at = u * np.uint32((0x85EBCA6B, 0xC2B2AE35)[k])
+            at += context if live is None else context.take(live)
             at ^= at >> np.uint32(15)
             at *= np.uint32((0x2C1B3C6D, 0x297A2D39)[k])
             at >>= np.uint32(32 - TABLE_BITS)
             at = at.astype(np.int64)
-            row = self.tables[k].reshape(-1, WAYS).take(at, axis=0)
-            counts = row.astype(np.float32)
-            share = np.float32(1) / (counts @ _ALL + np.float32(PRIOR[k]))
-            for x in scaled:
-                x[1] *= share * np.float32(PRIOR[k])
-            below *= share * np.float32(PRIOR[k])
-            share *= np.float32((1 << FREQUENCY_BITS) - WAYS)
-            scaled.append([counts, share])
-            self.rows.append((at, row))
-        frequency = self.zero.take(node, axis=0)
-        frequency *= below[:, None]
-        for counts, share in scaled:
-            counts *= share[:, None]
-            frequency += counts
-        np.floor(frequency, out=frequency)
-        frequency += np.float32(1)
-        total = frequency @ _UP_TO
-        return frequency, total, np.float32(1 << FREQUENCY_BITS) - total[:, -1]
+            at *= WAYS
+            n = self.sums[k].take(at)
+            share = np.float32(1) / (n.astype(np.float32) + np.float32(PRIOR[k]))
+            lower = share * np.float32(PRIOR[k])
+            self.weights = [w * lower for w in self.weights] + [share * room]
+            below = lower * room if below is None else below * lower
+            self.rows.append((at, n))
+        self.weights.append(below)
+
+    def sum_before(self, branch: np.ndarray) -> np.ndarray:
+        """The frequencies of all branches before the given one, in each lane; not for the first, before which is none."""
+        out = self.zero.take(self.node + branch) * self.weights[-1]
+        for k, (at, _) in enumerate(self.rows):
+            out += self.sums[k].take(at + branch) * self.weights[k]
+        np.floor(out, out=out)
+        out += branch
+        return out
 
     def learn(self, branch: np.ndarray) -> None:
-        own = np.arange(0, WAYS * len(branch), WAYS) + branch
-        for table, (at, row) in zip(self.tables, self.rows):
-            now = row.ravel().take(own)
-            table[at * WAYS + branch] = now + (now < 255)
-        self.seen.append(self.node << 4 | branch)
+        self.seen.append(self.node + branch)
+        more = _AFTER.take(branch, axis=0)
+        for sums, (at, n) in zip(self.sums, self.rows):
+            place = at >> 4
+            table = sums.view(np.complex128)
+            rows = table.take(place)
+            counts = rows.view(np.uint8).reshape(-1, WAYS)
+            full = np.flatnonzero(n == 255)
+            if len(full):
+                counts[full] >>= 1
+            counts += more
+            table[place] = rows
 
     def end(self, ids: np.ndarray) -> None:
         self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+        self.deep.learn(ids)
         ids = ids.astype(np.uint32)
         self.contexts = (ids * np.uint32(0x9E3779B1), ids * np.uint32(0x9E3779B1) + self.before * np.uint32(0x7FEB352D))
         self.before = ids
-
-
-def _part(frequency: np.ndarray, total: np.ndarray, left: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the branches' ranges begin, and how wide they are."""
-    own = np.arange(0, WAYS * len(branch), WAYS) + branch
-    width = frequency.ravel().take(own)
-    begin = total.ravel().take(own) - width + left
-    first = branch == 0
-    begin[first] = 0
-    width[first] += left[first]
-    return begin.astype(np.uint64), width.astype(np.uint64)
+        self.step += 1
+
+
+class _Deep:
+    """Order 0 of the ids below the upper levels: each has its part of its node's range."""
+
+    def __init__(self, tree: Tree):
+        self.node = np.full(tree.path.shape[1], -1, np.int64)
+        if tree.levels > LEVELS:
+            place = tree.path[LEVELS]
+            ids = np.flatnonzero(place >= 0)
+            self.ids = ids[np.argsort(place[ids] >> 4, kind="stable")]
+            self.node[self.ids] = place[self.ids] >> 4
+            self.of = self.node[self.ids]
+            self.first = np.flatnonzero(np.diff(self.of, prepend=-1))
+            self.rank = np.arange(len(self.ids)) - np.repeat(self.first, np.diff(np.append(self.first, len(self.ids))))
+            if self.rank.max() >= 1 << FREQUENCY_BITS - 1:
+                raise ValueError("too many ids below one node")
+            self.place = np.zeros(len(self.node), np.int64)
+            self.place[self.ids] = np.arange(len(self.ids))
+            self.count = np.full(len(self.node), 0.4)
+            self.fresh: list[np.ndarray] = []
+        else:
+            self.ids = np.zeros(0, np.int64)
+
+    def refresh(self) -> None:
+        if not len(self.ids):
+            return
+        if self.fresh:
+            self.count += np.bincount(np.concatenate(self.fresh), minlength=len(self.count))
+            self.fresh = []
+        count = self.count[self.ids]
+        sizes = np.diff(np.append(self.first, len(self.ids)))
+        upto = np.cumsum(count)
+        start = np.repeat((upto - count)[self.first], sizes)
+        whole = np.repeat(np.add.reduceat(count, self.first), sizes)
+        room = (1 << FREQUENCY_BITS) - np.repeat(sizes, sizes)
+        self.begin = np.minimum(np.maximum(np.floor((upto - count - start) / whole * room), 0), room) + self.rank
+        last = np.append(self.first[1:], len(self.ids)) - 1
+        self.stop = np.append(self.begin[1:], 0)
+        self.stop[last] = 1 << FREQUENCY_BITS
+        self.key = self.of * (1 << FREQUENCY_BITS) + self.begin
+
+    def learn(self, ids: np.ndarray) -> None:
+        if len(self.ids):
+            self.fresh.append(ids)
+
+    def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.place[ids]
+        return self.begin[at], self.stop[at]
+
+    def find(self, node: np.ndarray, value: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, node * (1 << FREQUENCY_BITS) + value, side="right") - 1
+        return self.ids[np.maximum(at, 0)]
 
 
 def lanes_for(n: int) -> tuple[int, int]:
@@ -271,18 +335,23 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, bytes]:
     for now in table:
         model.begin()
         live = None
-        for d in range(tree.levels):
-            place = tree.path[d].take(now if live is None else now.take(live))
-            if d:
+        for level in range(min(LEVELS + 1, tree.levels)):
+            place = tree.path[level].take(now if live is None else now.take(live))
+            if level:
                 more = np.flatnonzero(place >= 0)
                 live, place = (more if live is None else live.take(more)), place.take(more)
                 if not len(live):
                     break
-            branch = place & 15
-            begin, width = _part(*model.look(place >> 4, live, d == 0), branch)
-            out.narrow(slice(None) if live is None else live, begin, width)
-            model.learn(branch)
-            if d % 2:
+            if level == LEVELS:
+                begin, stop = model.deep.part(now.take(live))
+            else:
+                branch = place & 15
+                model.look(place >> 4, live, level)
+                begin = np.where(branch > 0, model.sum_before(branch), np.float32(0))
+                stop = np.where(branch < WAYS - 1, model.sum_before(np.minimum(branch + 1, WAYS - 1)), np.float32(1 << FREQUENCY_BITS))
+                model.learn(branch)
+            out.narrow(slice(None) if live is None else live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+            if level == 1:
                 out.settle()
         out.settle()
         model.end(now)
@@ -300,22 +369,33 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
     for now in table:
         model.begin()
         live, node = None, np.zeros(lanes, np.int64)
-        for d in range(tree.levels):
-            frequency, total, left = model.look(node, live, d == 0)
+        for level in range(min(LEVELS + 1, tree.levels)):
             some = slice(None) if live is None else live
-            at = (coder.code[some] - coder.low[some]) // (coder.range[some] >> np.uint64(FREQUENCY_BITS))
-            at = np.minimum(at, np.uint64((1 << FREQUENCY_BITS) - 1)).astype(np.float32) - left
-            branch = ((total <= at[:, None]).astype(np.float32) @ _ALL).astype(np.int64)
-            begin, width = _part(frequency, total, left, branch)
-            coder.narrow(some, begin, width)
-            model.learn(branch)
-            if d % 2:
+            value = (coder.code[some] - coder.low[some]) // (coder.range[some] >> np.uint64(FREQUENCY_BITS))
+            value = np.minimum(value, np.uint64((1 << FREQUENCY_BITS) - 1))
+            if level == LEVELS:
+                ids = model.deep.find(node, value.astype(np.float64))
+                begin, stop = model.deep.part(ids)
+                child = -1 - ids
+            else:
+                model.look(node, live, level)
+                value = value.astype(np.float32)
+                branch = np.zeros(len(node), np.int64)
+                begin, stop = np.zeros(len(node), np.float32), np.full(len(node), 1 << FREQUENCY_BITS, np.float32)
+                for half in (8, 4, 2, 1):
+                    middle = model.sum_before(branch + half)
+                    above = value >= middle
+                    branch += half * above
+                    begin, stop = np.where(above, middle, begin), np.where(above, stop, middle)
+                model.learn(branch)
+                child = tree.child.take(node << 4 | branch)
+            coder.narrow(some, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+            if level == 1:
                 coder.settle()
-            child = tree.child.take(node << 4 | branch)
-            done = child < 0
+            done = np.flatnonzero(child < 0)
             # A damaged payload may name what no id has (then id 0 stands here); the block's checksum tells.
-            now[np.flatnonzero(done) if live is None else live[done]] = -1 - child[done]
-            more = np.flatnonzero(~done)
+            now[done if live is None else live.take(done)] = -1 - child.take(done)
+            more = np.flatnonzero(child >= 0)
             live, node = (more if live is None else live.take(more)), child.take(more)
             if not len(live):
                 break
