@@ -6,7 +6,7 @@ learns all of them. So a block has one model, whatever its lanes, and numpy does
 a step of all lanes at once.
 
 An id is a path through a tree with 16 branches at a node, in which frequent ids
-lie near the root; the block's header holds the depth of each id. At the two upper
+lie near the root; the block's header holds the depth of each id. At the three upper
 levels the branches have probabilities that mix three orders: counts of the node
 (order 0), of the node after the id before (order 1) and, at the root, after the
 two ids before (order 2). Each order starts from what the lower one says and
@@ -36,7 +36,7 @@ TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 LANES, LANE_IDS = 8192, 256
 _ONE, _UNIT, _DOWN = np.uint64(1), np.uint64(16), np.uint64(48)
 #: Levels whose branches are mixed; ids below are found in one step, by order 0, which is counted anew each REFRESH steps.
-LEVELS, REFRESH = 2, 16
+LEVELS, REFRESH = 3, 16
 #: What a branch adds to a context's row: the sums before later branches, and the sum of all, which stands in the first place.
 _AFTER = np.triu(np.ones((WAYS, WAYS), np.uint8), 1)
 _AFTER[:, 0] = 1
