@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors reach. Where it is unset, a temporary one if Spark runs in one
+    process; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+        found = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read back: for what several later steps use."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..sources import service as V
 from ..streaming import state as W
-from .inputs import literal, sql_literal, table
+from .inputs import literal, shared_folder, sql_literal, table
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +27,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark: SparkSession, out: DataFrame, name: str, mode: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,8 +118,8 @@ EDGES = [("q1", "s1"), ("q1", "s2"), ("s1", "c1"), ("s2", "c2"), ("c1", "st1"),
 
 def provenance_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question led to, and what each statement came from, with the least number of steps."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarrylake-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     edges = literal(spark, "src string, dst string", EDGES)
     down = R.reach(spark, edges, literal(spark, "start string", [("q1",), ("q2",)]))
     up = R.reach(spark, edges, literal(spark, "start string", [("st1",), ("c9",)]), forward=False)
