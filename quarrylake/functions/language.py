@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 # Scripts with their ranges of characters and languages, in order of precedence.
 SCRIPTS = [
     ("Devanagari", "0900", "097F", "hi"), ("Bengali", "0980", "09FF", "bn"), ("Gurmukhi", "0A00", "0A7F", "pa"), ("Gujarati", "0A80", "0AFF", "gu"),
@@ -31,34 +33,42 @@ TELLING = [("[łęńśźżćą]", "pl"), ("[ğış]", "tr"), ("[ñ¿¡]", "es"),
 
 
 def latin_language(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
-    scores = []
-    for rank, (lang, markers) in enumerate(MARKERS.items()):
-        score = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in markers.split()])))
-        if lang == "de":
-            score = score + low.rlike("[äöü]").cast("int")
-        if lang in ("es", "pt", "it"):
-            score = score + low.rlike("[áéíóú]").cast("int")
-        scores.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
-    best = F.greatest(*scores)
-    out = F.when(low.rlike(TELLING[0][0]), TELLING[0][1])
-    for pattern, lang in TELLING[1:]:
-        out = out.when(low.rlike(pattern), lang)
-    return out.when(best["score"] >= 2, best["lang"]).otherwise("en")
+    def marked(low: Column) -> Column:
+        def best(words: Column) -> Column:
+            scores = []
+            for rank, (lang, markers) in enumerate(MARKERS.items()):
+                score = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in markers.split()])))
+                if lang == "de":
+                    score = score + low.rlike("[äöü]").cast("int")
+                if lang in ("es", "pt", "it"):
+                    score = score + low.rlike("[áéíóú]").cast("int")
+                scores.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
+            return F.greatest(*scores)
+
+        told = F.when(low.rlike(TELLING[0][0]), TELLING[0][1])
+        for pattern, lang in TELLING[1:]:
+            told = told.when(low.rlike(pattern), lang)
+        any_telling = low.rlike("[" + "".join(p.strip("[]") for p, _ in TELLING) + "]")
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
+        return F.when(any_telling, told).otherwise(T.let(T.let(words, best), lambda b: F.when(b["score"] >= 2, b["lang"]).otherwise("en")))
+
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), marked)
 
 
 def language(text: Column) -> Column:
     """(script, lang) by the most frequent script that isn't Latin; any kana makes it Japanese; else by Latin markers."""
     t = F.coalesce(text, F.lit(""))
     counts = [F.struct(F.regexp_count(t, F.lit(rf"[\x{{{a}}}-\x{{{b}}}]")).alias("n"), F.lit(-i).alias("rank"), F.lit(s).alias("script"), F.lit(lang).alias("lang")) for i, (s, a, b, lang) in enumerate(SCRIPTS)]
-    best = F.greatest(*counts)
-    lang = (
-        F.when((best["script"] == "Bengali") & t.rlike("[ৰৱ]"), "as")
-        .when((best["script"] == "Cyrillic") & F.lower(t).rlike("[іїєґ]"), "uk")
-        .when((best["script"] == "Arabic") & t.rlike("[پچژگک]"), "fa")
-        .otherwise(best["lang"])
-    )
+
+    def named(best: Column) -> Column:
+        lang = (
+            F.when((best["script"] == "Bengali") & t.rlike("[ৰৱ]"), "as")
+            .when((best["script"] == "Cyrillic") & F.lower(t).rlike("[іїєґ]"), "uk")
+            .when((best["script"] == "Arabic") & t.rlike("[پچژگک]"), "fa")
+            .otherwise(best["lang"])
+        )
+        return F.when(best["n"] > 0, F.struct(best["script"].alias("script"), lang.alias("lang"))).otherwise(F.struct(F.lit("Latin").alias("script"), latin.alias("lang")))
+
     yoruba = t.rlike("[ẹọṣẸỌṢ]") | (F.regexp_count(t, F.lit(r"[\x{0301}\x{0300}]")) >= 2)
     latin = F.when(yoruba, "yo").otherwise(latin_language(t))
     kana = t.rlike(r"[\x{3040}-\x{30FF}]")
@@ -67,6 +77,5 @@ def language(text: Column) -> Column:
     return (
         F.when(plain, F.struct(F.lit("Latin").alias("script"), latin.alias("lang")))
         .when(kana, F.struct(F.lit("Japanese").alias("script"), F.lit("ja").alias("lang")))
-        .when(best["n"] > 0, F.struct(best["script"].alias("script"), lang.alias("lang")))
-        .otherwise(F.struct(F.lit("Latin").alias("script"), latin.alias("lang")))
+        .otherwise(T.let(F.greatest(*counts), named))
     )

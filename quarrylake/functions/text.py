@@ -76,25 +76,36 @@ def site_scoped(text: Column) -> Column:
 
 
 def _token(run: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(run, r"^[-_]+|[-_]+$", ""), r"\.+$", "")
-    t = F.when(t.startswith(".") & ~t.rlike(r"^\.[A-Za-z][A-Za-z0-9]*$"), F.regexp_replace(t, r"^\.+", "")).otherwise(t)
-    return F.when(t.rlike(r"[\p{L}\p{N}]"), F.lower(t)).otherwise("")
+    def named(t: Column) -> Column:
+        t = F.when(t.startswith(".") & ~t.rlike(r"^\.[A-Za-z][A-Za-z0-9]*$"), F.regexp_replace(t, r"^\.+", "")).otherwise(t)
+        return F.when(t.rlike(r"[\p{L}\p{N}]"), F.lower(t)).otherwise("")
+
+    # Most runs are plain words, which are what they are but for their case.
+    return F.when(run.rlike("^[A-Za-z0-9]+$"), F.lower(run)).otherwise(let(F.regexp_replace(F.regexp_replace(run, r"^[-_]+|[-_]+$", ""), r"\.+$", ""), named))
 
 
 def tokens(text: Column) -> Column:
     """Distinct tokens in order, with the signs of names such as c++, c# and .net kept; runs of scripts without spaces
-    whole and as pairs of characters; hosts of site: operators last. Text is taken to be in NFC."""
+    whole and as pairs of characters; hosts of site: operators last. Text is taken to be in NFC (html.normal_form gives it)."""
     def pieces(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
         return F.when((F.length(run) >= 2) & run.rlike(f"^[{CJK}]+$"), F.concat(F.array(run), pairs)).otherwise(F.array(_token(run)))
 
-    found = F.flatten(F.transform(_all(without_sites(text), RUN), pieces))
-    return F.array_distinct(F.concat(F.filter(found, lambda t: t != ""), site_hosts(text)))
+    # Each run once, and nothing twice that a text without operators doesn't need.
+    scoped = text.rlike(SITE)
+    runs = F.array_distinct(_all(F.when(scoped, without_sites(text)).otherwise(text), RUN))
+    found = F.array_distinct(F.filter(F.flatten(F.transform(runs, pieces)), lambda t: t != ""))
+    return F.when(scoped, F.array_distinct(F.concat(found, site_hosts(text)))).otherwise(found)
 
 
 def terms(text: Column) -> Column:
     """Tokens that mean something: of more than two characters, with + # or . in them, or not ASCII."""
-    return F.filter(tokens(text), lambda t: (F.length(t) > 2) | t.rlike(r"[+#.]|[^\x00-\x7F]"))
+    return terms_of(tokens(text))
+
+
+def terms_of(found: Column) -> Column:
+    """The same of what tokens() gives."""
+    return F.filter(found, lambda t: (F.length(t) > 2) | t.rlike(r"[+#.]|[^\x00-\x7F]"))
 
 
 def quoted(text: Column) -> Column:
@@ -173,7 +184,12 @@ def clean_markup(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of 6 to 40 words that are letters for three fifths or more."""
-    parts = F.transform(F.split(clean_markup(text), r"(?<=[.!?])\s+|\n+"), squeeze)
+    return sentences_of(clean_markup(text))
+
+
+def sentences_of(prose: Column) -> Column:
+    """The same for what clean_markup() gives."""
+    parts = F.transform(F.split(prose, r"(?<=[.!?])\s+|\n+"), squeeze)
     n = lambda p: F.size(F.split(p, " "))
     return F.filter(parts, lambda p: n(p).between(6, 40) & (F.length(F.regexp_replace(p, r"[^\p{L}]", "")) >= F.length(p) * 0.6))
 
@@ -201,14 +217,28 @@ def materially_different(a: Column, b: Column) -> Column:
     return F.when(a == b, False).when(low == 0, True).otherwise((high - low) / low > 0.05)
 
 
+#: What a text in lower case must hold before a pattern of that name is tried at all.
+CUES = {
+    "instruction_override": ["ignore"], "role_hijack": ["you are now", "act as"], "system_prompt_probe": ["prompt", "instructions"], "tool_directive": ["call", "invoke", "execute", "run"], "credential_exfiltration": ["password", "api key", "cookie", "credential", "session token"],
+    "embedded_data_image": ["data:image"], "embedded_iframe": ["iframe"], "secret_material": ["private key"],
+}
+
+
 def flags(text: Column) -> Column:
     """Sorted flags of invisible characters and of phrases that try to command a reader."""
-    by: dict[str, Column] = {}
-    for name, pattern in INJECTION:
-        hit = text.rlike("(?i)" + pattern)
-        by[name] = by[name] | hit if name in by else hit
-    found = [F.when(text.rlike(INVISIBLE), "invisible_characters"), *[F.when(hit, f"prompt_injection:{name}") for name, hit in by.items()]]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    def of(low: Column) -> Column:
+        found = [F.when(text.rlike(INVISIBLE), "invisible_characters")]
+        for name, cues in CUES.items():
+            held = F.contains(low, F.lit(cues[0]))
+            for cue in cues[1:]:
+                held = held | F.contains(low, F.lit(cue))
+            hit = F.lit(False)
+            for flag, pattern in INJECTION:
+                hit = hit | text.rlike("(?i)" + pattern) if flag == name else hit
+            found.append(F.when(held & hit, f"prompt_injection:{name}"))
+        return F.array_sort(F.array_compact(F.array(*found)))
+
+    return let(F.lower(text), of)
 
 
 def sanitize(text: Column, most: int = 2000) -> Column:

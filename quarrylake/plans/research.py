@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from ..functions import score as C
 from ..functions import text as T
 from ..operators import research as R
 from . import sqltext as S
-from .inputs import literal, micro, sql_literal, sql_micro, table
+from .inputs import literal, micro, shared_folder, sql_literal, sql_micro, stored, table
 
 QUESTION = "ndtion thering shtion thandst erreation intheat 45 eautre schung"
 
@@ -65,7 +64,9 @@ _KIND = "CASE WHEN len(a.numbers) > 0 AND len(b.numbers) > 0 AND NOT list_has_an
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _literal(spark).select(F.lit("given").alias("of"), "claim_id", "source_id", "domain", "subject_terms", "numbers", "negated")
-    real = _claims(spark, sf_dir).select(F.lit("documents").alias("of"), (F.col("claim_id") + 1000).alias("claim_id"), "source_id", "domain", "subject_terms", "numbers", "negated")
+    # Claims cost all the text work; the search for pairs reads them six times.
+    found = stored(_claims(spark, sf_dir), "claims")
+    real = found.select(F.lit("documents").alias("of"), (F.col("claim_id") + 1000).alias("claim_id"), "source_id", "domain", "subject_terms", "numbers", "negated")
     return R.contradictions(made.drop("of")).unionByName(R.contradictions(real.drop("of")))
 
 

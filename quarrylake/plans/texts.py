@@ -57,7 +57,8 @@ def _sql_digest(items: str) -> str:
 
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).where(F.col("x").isNotNull()).select("id", F.size(T.tokens(F.col("x"))).alias("n_tokens"), _digest(T.tokens(F.col("x"))).alias("tokens"), _digest(T.terms(F.col("x"))).alias("terms"))
+    rows = _texts(spark, sf_dir).where(F.col("x").isNotNull()).select("id", T.tokens(F.col("x")).alias("t"))
+    return rows.select("id", F.size("t").alias("n_tokens"), _digest(F.col("t")).alias("tokens"), _digest(T.terms_of(F.col("t"))).alias("terms"))
 
 
 TOKENIZE_SQL = f"SELECT id, len({S.tokens('x')}) AS n_tokens, {_sql_digest(S.tokens('x'))} AS tokens, {_sql_digest(S.terms('x'))} AS terms FROM {_ALL} WHERE x IS NOT NULL"
@@ -107,8 +108,9 @@ FROM (SELECT id, {S.content_terms("x")} AS c FROM {_ALL})"""
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.sentences(F.col("x"))
-    return _texts(spark, sf_dir).select("id", F.size(s).alias("n"), F.md5(F.array_join(s, "\n").cast("binary")).alias("sentences"), F.md5(T.clean_markup(F.col("x")).cast("binary")).alias("clean"))
+    rows = _texts(spark, sf_dir).select("id", T.clean_markup(F.col("x")).alias("clean"))
+    rows = rows.select("id", "clean", T.sentences_of(F.col("clean")).alias("s"))
+    return rows.select("id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences"), F.md5(F.col("clean").cast("binary")).alias("clean"))
 
 
 SENTENCES_SQL = f"""SELECT id, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences, md5(c) AS clean FROM (SELECT id, {S.sentences("x")} AS s, {S.clean_markup("x")} AS c FROM {_ALL})"""
