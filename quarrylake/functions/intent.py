@@ -63,20 +63,17 @@ def answer_type(question: Column) -> Column:
 
 def _has(low: Column, words: list[str]) -> Column:
     padded = F.concat(F.lit(" "), low, F.lit(" "))
-    out = padded.contains(f" {words[0]} ")
-    for w in words[1:]:
-        out = out | padded.contains(f" {w} ")
-    return out
+    return F.exists(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: F.contains(padded, w))
 
 
 def region(question: Column) -> Column:
-    low = T.squeeze(F.lower(F.coalesce(question, F.lit(""))))
-    return F.coalesce(*[F.when(_has(low, words), name) for name, words in REGIONS])
+    named = lambda low: F.coalesce(*[F.when(_has(low, words), name) for name, words in REGIONS])
+    return T.let(T.squeeze(F.lower(F.coalesce(question, F.lit("")))), named)
 
 
 def topics(question: Column) -> Column:
-    low = T.squeeze(F.lower(F.coalesce(question, F.lit(""))))
-    return F.array_compact(F.array(*[F.when(_has(low, words), name) for name, words in TOPICS.items()]))
+    named = lambda low: F.array_compact(F.array(*[F.when(_has(low, words), name) for name, words in TOPICS.items()]))
+    return T.let(T.squeeze(F.lower(F.coalesce(question, F.lit("")))), named)
 
 
 def news_window_days(question: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import payloads as P
-from .inputs import literal, sql_literal
+from .inputs import literal, sql_literal, table
 
 ENCYCLOPEDIA = '{"query":{"search":[{"title":"Solar  panel","snippet":"A <span>solar</span> &amp; panel","timestamp":"2026-02-03T04:05:06Z"},{"snippet":"no title"},{"title":"C++: history","timestamp":"bad"}]}}'
 WORKS = '{"message":{"items":[{"title":["On  panels"],"DOI":"10.1/a b","author":[{"given":"A","family":"B"},{"family":"C"}],"container-title":["J"],"issued":{"date-parts":[[2025,3]]}},{"title":["Whole"],"URL":"https://x.org/w","abstract":"<p>Text here</p>","published-print":{"date-parts":[[2025,3,9]]}},{"title":[],"URL":"https://x.org/none"}]}}'
@@ -39,6 +40,13 @@ def service_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "encyclopedia": P.encyclopedia(of(ENCYCLOPEDIA)), "works": P.works(of(WORKS)), "answers": P.answers(of(ANSWERS)), "articles": P.articles(of(ARTICLES)), "results": P.results(of(RESULTS)),
         "organic": P.results(of(ORGANIC), "organic"), "repositories": P.repositories(of(REPOSITORIES)), "releases": P.repositories(of(RELEASES), "releases"),
     }
+    # Each page as the answer of a metasearch with one result, and each as one of an encyclopedia.
+    page, day = F.col("page_id"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
+    text = F.substring(T.squeeze(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "&[a-z#0-9]+;", " ")), 1, 400)
+    one = F.struct(F.concat(F.lit("Page "), page.cast("string")).alias("title"), F.col("url"), text.alias("content"), F.concat(day, F.lit("T00:00:00")).alias("publishedDate"))
+    found = F.struct(F.struct(F.array(F.struct(F.concat(F.lit("Page "), page.cast("string")).alias("title"), text.alias("snippet"), F.concat(day, F.lit("T00:00:00Z")).alias("timestamp"))).alias("search")).alias("query"))
+    pages = table(spark, sf_dir, "pages").select(page.cast("int").alias("id"), F.to_json(F.struct(F.array(one).alias("results"))).alias("results"), F.to_json(found).alias("found"))
+    made |= {"pages": P.results(pages.select("id", F.col("results").alias("body"))), "pages_found": P.encyclopedia(pages.select("id", F.col("found").alias("body")))}
     out = None
     for name, hits in made.items():
         one = hits.select(F.lit(name).alias("service"), "position", "title", "url", "snippet", F.col("published_at").cast("string").alias("published_at"), F.col("modified_at").cast("string").alias("modified_at"))
@@ -51,11 +59,19 @@ def forum_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.feed(literal(spark, "id int, body string", [(1, FEED), (2, ATOM), (3, "junk"), (4, None)]))
+    # Each page as a feed: one entry in RSS, one in Atom, and one without a link.
+    i = F.col("page_id").cast("string")
+    made = F.concat(F.lit("<rss><item><title>Page "), i, F.lit("</title><link>https://f.org/"), i, F.lit("</link><description>No. "), i, F.lit("</description><pubDate>Thu, 01 Jan 2026 00:00:00 GMT</pubDate></item><item><title>None</title></item><entry><title>Entry "), i, F.lit('</title><link href="https://g.org/'), i, F.lit('"/><updated>2026-01-02</updated></entry></rss>'))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 10).cast("int").alias("id"), made.alias("body"))
+    return P.feed(literal(spark, "id int, body string", [(1, FEED), (2, ATOM), (3, "junk"), (4, None)]).unionByName(pages))
 
 
 def sitemap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sitemap(literal(spark, "id int, body string", [(1, SITEMAP), (2, ""), (3, None)]))
+    # Each page as a sitemap of its own.
+    i = F.col("page_id")
+    entry = F.concat(F.lit("<urlset><url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2026-0"), (i % 9 + 1).cast("string"), F.lit("-01</lastmod><news:title>Page &lt;"), i.cast("string"), F.lit("&gt;</news:title></url></urlset>"))
+    pages = table(spark, sf_dir, "pages").select((i + 10).cast("int").alias("id"), entry.alias("body"))
+    return P.sitemap(literal(spark, "id int, body string", [(1, SITEMAP), (2, ""), (3, None)]).unionByName(pages))
 
 
 def sitemap_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +81,11 @@ def sitemap_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"service_hits": service_hits, "forum_posts": forum_posts, "feed_entries": feed_entries, "sitemap_rows": sitemap_rows, "sitemap_places": sitemap_places}
 SQL = {
-    "service_hits": "SELECT * FROM " + sql_literal("service, position, title, url, snippet, published_at, modified_at", HITS),
+    "service_hits": """WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'g'), '\\s+', ' ', 'g')) AS t, CAST(DATE '2026-01-01' + CAST(page_id % 300 AS INTEGER) AS VARCHAR) AS day FROM pages)
+SELECT 'pages' AS service, 1 AS position, 'Page ' || page_id AS title, url, rtrim(left(t, 400)) AS snippet, day AS published_at, NULL AS modified_at FROM p WHERE regexp_matches(url, '^https?://[^/?#]+') UNION ALL
+SELECT 'pages_found', 1, 'Page ' || page_id, 'https://en.wikipedia.org/wiki/Page_' || page_id, rtrim(left(t, 400)), NULL, day FROM p UNION ALL SELECT * FROM """ + sql_literal("service, position, title, url, snippet, published_at, modified_at", HITS),
     "forum_posts": "SELECT * FROM " + sql_literal('id, title, url, author, "group", score, comments, created_at, text', [(1, "T", "/p", "", "", 12, None, "1700", "S"), (2, "N", "https://l", "u", "c", 3, 4, "2026", "Y"), (4, "", "", "", "", None, None, None, "")]),
-    "feed_entries": "SELECT * FROM " + sql_literal("id, position, title, url, snippet, published", [(1, 1, "One & all", "https://f.org/1", "<b>x</b> y", "Wed, 28 Oct 2026 18:44:23 GMT"), (2, 1, "Two", "https://f.org/2", "s", "2026-01-02T00:00:00Z")]),
-    "sitemap_rows": "SELECT * FROM " + sql_literal("id, kind, url, lastmod, published, title", [(1, "page", "https://s.org/a", "2026-01-02", "2026-01-01", "A"), (1, "index", "https://s.org/more.xml", "", "", "")]),
+    "feed_entries": "SELECT CAST(page_id + 10 AS INTEGER) AS id, 1 AS position, 'Page ' || page_id AS title, 'https://f.org/' || page_id AS url, 'No. ' || page_id AS snippet, 'Thu, 01 Jan 2026 00:00:00 GMT' AS published FROM pages UNION ALL SELECT CAST(page_id + 10 AS INTEGER), 2, 'Entry ' || page_id, 'https://g.org/' || page_id, '', '2026-01-02' FROM pages UNION ALL SELECT * FROM " + sql_literal("id, position, title, url, snippet, published", [(1, 1, "One & all", "https://f.org/1", "<b>x</b> y", "Wed, 28 Oct 2026 18:44:23 GMT"), (2, 1, "Two", "https://f.org/2", "s", "2026-01-02T00:00:00Z")]),
+    "sitemap_rows": "SELECT CAST(page_id + 10 AS INTEGER) AS id, 'page' AS kind, url, '2026-0' || (page_id % 9 + 1) || '-01' AS lastmod, '' AS published, 'Page <' || page_id || '>' AS title FROM pages UNION ALL SELECT * FROM " + sql_literal("id, kind, url, lastmod, published, title", [(1, "page", "https://s.org/a", "2026-01-02", "2026-01-01", "A"), (1, "index", "https://s.org/more.xml", "", "", "")]),
     "sitemap_places": "SELECT * FROM " + sql_literal("domain, place, url", [("a.org", 0, "https://a.org/own.xml"), ("a.org", 1, "https://a.org/sitemap.xml"), ("a.org", 2, "https://a.org/sitemap_index.xml"), ("a.org", 3, "https://a.org/news-sitemap.xml"), ("a.org", 4, "https://a.org/sitemap-news.xml"), ("b.org", 0, "https://b.org/sitemap.xml"), ("b.org", 1, "https://b.org/sitemap_index.xml"), ("b.org", 2, "https://b.org/news-sitemap.xml"), ("b.org", 3, "https://b.org/sitemap-news.xml")]),
 }

@@ -137,16 +137,16 @@ SELECT id, md5(CASE WHEN length(c) > 500 THEN regexp_replace(substr(c, 1, 499),
 
 def unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first figure of each unit in each text, and whether two texts' figures differ by over a twentieth."""
-    each = _snippets(spark).select("id", F.explode(T.unit_values(F.coalesce(F.col("x"), F.lit("")))).alias("unit", "value"))
+    each = _texts(spark, sf_dir).select("id", F.explode(T.unit_values(F.coalesce(F.col("x"), F.lit("")))).alias("unit", "value"))
     other = each.select("unit", F.col("value").alias("least_value")).groupBy("unit").agg(F.min("least_value").alias("least_value"))
-    return each.join(other, "unit").select("id", "unit", micro(F.col("value")).alias("value"), T.materially_different(F.col("value"), F.col("least_value")).alias("differs"))
+    return each.join(other, "unit").select("id", "unit", micro(F.least("value", F.lit(1e12))).alias("value"), T.materially_different(F.col("value"), F.col("least_value")).alias("differs"))
 
 
 _UNITS = "CASE {0} " + " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in T.UNITS.items()) + " ELSE 'count' END"
-UNIT_SQL = f"""WITH m AS (SELECT id, unnest(list_zip({S.every("x", T.MEASURE, 1)}, {S.every("x", T.MEASURE, 2)}, range(1000)[1:len({S.every("x", T.MEASURE, 1)})])) AS p FROM {_SNIP} WHERE x IS NOT NULL),
+UNIT_SQL = f"""WITH m AS (SELECT id, unnest(list_zip({S.every("x", T.MEASURE, 1)}, {S.every("x", T.MEASURE, 2)}, range(1, len({S.every("x", T.MEASURE, 1)}) + 1))) AS p FROM {_ALL} WHERE x IS NOT NULL),
 e AS (SELECT id, {_UNITS.format("lower(regexp_replace(p[2], '\\s+', ' ', 'g'))")} AS unit, CAST(replace(p[1], ',', '') AS DOUBLE) AS v, p[3] AS pos FROM m),
 f AS (SELECT id, unit, arg_min(v, pos) AS v FROM e GROUP BY id, unit), l AS (SELECT unit, min(v) AS lo FROM f GROUP BY unit)
-SELECT id, f.unit, {sql_micro("v")} AS value, CASE WHEN v = lo THEN FALSE WHEN least(abs(v), abs(lo)) = 0 THEN TRUE ELSE (greatest(abs(v), abs(lo)) - least(abs(v), abs(lo))) / least(abs(v), abs(lo)) > 0.05 END AS differs FROM f JOIN l ON f.unit = l.unit"""
+SELECT id, f.unit, {sql_micro("least(v, 1e12)")} AS value, CASE WHEN v = lo THEN FALSE WHEN least(abs(v), abs(lo)) = 0 THEN TRUE ELSE (greatest(abs(v), abs(lo)) - least(abs(v), abs(lo))) / least(abs(v), abs(lo)) > 0.05 END AS differs FROM f JOIN l ON f.unit = l.unit"""
 
 
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
