@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import score as C
 from ..functions import text as T
 from ..functions import url as U
+from . import greedy
 
 
 def merge_canonical(hits: DataFrame) -> DataFrame:
@@ -70,22 +71,12 @@ def near_titles(groups: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Greedy merging of groups with alike titles on one host, in order of arrival: (question_id, canonical, kept).
 
     A group joins the first kept group of its question, registrable host and
-    version segments whose title is alike enough. Each host's groups are folded in
-    order; the blocks are as large as one question's hits on one host.
+    version segments whose title is alike enough. Titles meet by their rarest
+    words, and the order is settled by joins in rounds: a host may have any number of pages.
     """
-    keyed = groups.withColumn("host", U.registrable(F.col("url"))).withColumn("versions", F.array_join(U.version_segments(F.col("url")), "/"))
-    blocks = keyed.groupBy("question_id", "host", "versions").agg(F.sort_array(F.collect_list(F.struct("arrival_seq", "canonical", T.title_words(F.col("title")).alias("words")))).alias("rows"))
-    zero = F.expr("CAST(array() AS ARRAY<STRUCT<kept: STRING, words: ARRAY<STRING>, members: ARRAY<STRING>>>)")
-
-    def step(acc: Column, row: Column) -> Column:
-        alike = F.transform(acc, lambda g: T.jaccard(g["words"], row["words"]) >= threshold)
-        at = F.array_position(alike, F.lit(True))
-        joined = F.transform(acc, lambda g, i: F.when(i + 1 == at, F.struct(g["kept"].alias("kept"), g["words"].alias("words"), F.concat(g["members"], F.array(row["canonical"])).alias("members"))).otherwise(g))
-        new = F.struct(row["canonical"].alias("kept"), row["words"].alias("words"), F.array(row["canonical"]).alias("members"))
-        return F.when(at > 0, joined).otherwise(F.concat(acc, F.array(new)))
-
-    folded = blocks.select("question_id", F.explode(F.aggregate("rows", zero, step)).alias("g"))
-    return folded.select("question_id", F.explode("g.members").alias("canonical"), F.col("g.kept").alias("kept"))
+    keyed = groups.select("question_id", "arrival_seq", "canonical", "title", U.registrable(F.col("url")).alias("host"), F.array_join(U.version_segments(F.col("url")), "/").alias("versions"))
+    found = greedy.grouped(keyed, ["question_id", "host", "versions"], "arrival_seq", "canonical", T.title_words(F.coalesce("title", F.lit(""))), threshold)
+    return found.select("question_id", "canonical", F.col("leader").alias("kept"))
 
 
 def stories(results: DataFrame, threshold: float = 0.62, gap_days: int = 10, compared: int = 3) -> DataFrame:

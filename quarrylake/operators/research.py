@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import score as C
 from ..functions import text as T
 from ..functions import url as U
+from . import greedy
 
 # Fixed values.
 CLAIMS_PER_SOURCE, SUBJECT_TERMS = 10, 8
@@ -55,18 +56,9 @@ def contradictions(found: DataFrame, threshold: float = CONTRADICTION) -> DataFr
 
 def cluster_claims(found: DataFrame, key: str, threshold: float = CLUSTER) -> DataFrame:
     """Claims of each `key` grouped in order of claim_id: a claim joins the first group whose first claim is alike enough.
-    Returns (key, claim_id, leader). The claims of one key, a report's, are folded in one row."""
-    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("claim_id", "subject_terms"))).alias("rows"))
-    zero = F.expr("CAST(array() AS ARRAY<STRUCT<leader: BIGINT, terms: ARRAY<STRING>, members: ARRAY<BIGINT>>>)")
-
-    def step(acc: Column, row: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda g: T.jaccard(g["terms"], row["subject_terms"]) >= threshold), F.lit(True))
-        new = F.struct(row["claim_id"].alias("leader"), row["subject_terms"].alias("terms"), F.array(row["claim_id"]).alias("members"))
-        joined = F.transform(acc, lambda g, i: F.when(i + 1 == at, F.struct(g["leader"].alias("leader"), g["terms"].alias("terms"), F.concat(g["members"], F.array(row["claim_id"])).alias("members"))).otherwise(g))
-        return F.when(at > 0, joined).otherwise(F.concat(acc, F.array(new)))
-
-    folded = rows.select(key, F.explode(F.aggregate("rows", zero, step)).alias("g"))
-    return folded.select(key, F.explode("g.members").alias("claim_id"), F.col("g.leader").alias("leader"))
+    Returns (key, claim_id, leader). Claims meet by their rarest terms; a report may have any number of them."""
+    rows = found.select(key, "claim_id", F.coalesce("subject_terms", F.array().cast("array<string>")).alias("subject_terms"))
+    return greedy.grouped(rows, [key], "claim_id", "claim_id", F.col("subject_terms"), threshold).select(key, "claim_id", "leader")
 
 
 def statements(found: DataFrame, grouped: DataFrame, contested: DataFrame, key: str) -> DataFrame:

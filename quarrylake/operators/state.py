@@ -119,15 +119,21 @@ def pacing(log: DataFrame, gap: float, key: str = "host", at: str = "at", seq: s
 
 def cache_hits(log: DataFrame, ttl: float, key: str = "key", at: str = "at", seq: str = "seq") -> DataFrame:
     """Adds `hit`: whether an equal request was stored at most `ttl` before. Every miss stores its answer, so an entry's age
-    counts from the last miss; between requests no further apart than `ttl` the misses are found by folding each key's times."""
-    rows = log.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(seq).alias("seq")))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("double").alias("stored"), F.expr("CAST(array() AS ARRAY<STRUCT<at: DOUBLE, seq: BIGINT, hit: BOOLEAN>>)").alias("out"))
+    counts from the last miss.
 
-    def step(s: Column, e: Column) -> Column:
-        hit = F.coalesce((e["at"] - s["stored"]).between(0, ttl), F.lit(False))
-        return F.struct(F.when(hit, s["stored"]).otherwise(e["at"]).alias("stored"), F.concat(s["out"], F.array(F.struct(e["at"].alias("at"), e["seq"].alias("seq"), hit.alias("hit")))).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(key, "r.at", "r.seq", "r.hit")
+    A request later than `ttl` after the one before it is a miss whatever came
+    earlier: a key's log falls into stretches there. Only the times of one stretch
+    are folded at once, to its misses.
+    """
+    order = Window.partitionBy(key).orderBy(at, seq)
+    begins = F.coalesce(F.col(at) - F.lag(at).over(order) > ttl, F.lit(True))
+    rows = log.select(key, at, seq, begins.cast("int").alias("begins")).withColumn("stretch", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+    times = rows.groupBy(key, "stretch").agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(seq).alias("seq")))).alias("times"))
+    zero = F.expr("CAST(array() AS ARRAY<STRUCT<at: DOUBLE, seq: BIGINT>>)")
+    # The list grows at misses only, each of which is later than the last by more than the time to live.
+    stored = F.aggregate("times", zero, lambda s, e: F.when((F.size(s) > 0) & (e["at"] - F.element_at(s, -1)["at"] <= ttl), s).otherwise(F.concat(s, F.array(F.struct(e["at"].cast("double").alias("at"), e["seq"].cast("long").alias("seq"))))))
+    misses = times.select(key, F.explode(stored).alias("m")).select(key, F.col("m.at").alias(at), F.col("m.seq").alias(seq), F.lit(True).alias("missed"))
+    return rows.drop("stretch").join(misses, [key, at, seq], "left").select(key, at, seq, F.col("missed").isNull().alias("hit"))
 
 
 def retry_delay(attempt: Column, base: float = RETRY_BASE, most: float = RETRY_MOST) -> Column:

@@ -13,7 +13,7 @@ from ..operators import ranking as R
 from . import ranking as K
 from . import sqltext as S
 from . import urls
-from .inputs import literal, micro, sql_literal, sql_micro, table
+from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, table
 
 _R4 = "floor(({0}) * 10000 + 0.5) / 10000"
 
@@ -95,7 +95,7 @@ SELECT *, CASE WHEN independent_domains < 2 THEN 'insufficient' WHEN dated_resul
 
 
 def merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
+    hits = _hits(checkpoints(spark), sf_dir)
     near = R.near_titles(R.merge_canonical(hits), threshold=0.5)
     return V.merge_log(hits, near).groupBy("question_id", "reason", "kept").agg(F.count("*").alias("merged"), F.min("similarity").alias("least")).withColumn("least", micro(F.col("least")))
 

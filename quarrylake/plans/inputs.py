@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """The session, with a folder for checkpoints set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: for what several later steps use."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

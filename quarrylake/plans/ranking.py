@@ -11,7 +11,7 @@ from ..functions import url as U
 from ..operators import ranking as R
 from . import sqltext as S
 from . import urls
-from .inputs import literal, micro, sql_literal, sql_micro, table
+from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, table
 from .texts import TITLE
 
 QUESTIONS = [(0, "the thering and reading of thand"), (1, "des queaux et la tionêau"), (2, '"of the" ndtion thsh in'), (3, "der ung schkeit und die"), (4, "ción de la mente las")]
@@ -106,7 +106,7 @@ SELECT question_id, CAST(len(telling) AS INTEGER) AS total, CAST(coalesce(matche
 
 
 def near_title_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.near_titles(R.merge_canonical(hits(spark, sf_dir)))
+    return R.near_titles(R.merge_canonical(hits(checkpoints(spark), sf_dir)))
 
 
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import score as C
 from ..functions import text as T
 from ..operators import research as R
 from . import sqltext as S
-from .inputs import literal, micro, shared_folder, sql_literal, sql_micro, stored, table
+from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, stored, table
 
 QUESTION = "ndtion thering shtion thandst erreation intheat 45 eautre schung"
 
@@ -77,27 +77,30 @@ SELECT a.claim_id + 1000 AS a, b.claim_id + 1000 AS b, {_KIND} AS kind FROM clai
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _literal(spark).withColumn("report", F.lit(1))
-    pairs = R.contradictions(found)
+    """Statements of the claims above, a report of their own (1), and of the claims of all documents (2)."""
+    checkpoints(spark)
+    real = _claims(spark, sf_dir).select((F.col("claim_id") + 1000).alias("claim_id"), "source_id", "domain", "subject_terms", "numbers", "negated", ((F.col("source_id") % 10) / 10).alias("source_score"), "text", F.lit(2).alias("report"))
+    found = stored(_literal(spark).withColumn("report", F.lit(1)).unionByName(real), "claims")
+    pairs = R.contradictions(found.where("report = 1")).unionByName(R.contradictions(found.where("report = 2")))
     contested = pairs.select(F.explode(F.array("a", "b")).alias("claim_id"))
     out = R.statements(found, R.cluster_claims(found, "report"), contested, "report")
-    return out.select("place", "leader", "status", micro(F.col("confidence")).alias("confidence"), "text", "domains", "sources", "claims")
+    return out.select("report", "place", "leader", "status", micro(F.col("confidence")).alias("confidence"), F.md5("text").alias("text"), "domains", "sources", "claims")
 
 
-STATEMENTS_SQL = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY claim_id) AS r FROM {_TABLE}),
+STATEMENTS_SQL = f"""WITH RECURSIVE {_CLAIMS}, both_ AS (SELECT 1 AS report, claim_id, source_id, domain, CAST(terms AS VARCHAR[]) AS terms, CAST(numbers AS VARCHAR[]) AS numbers, negated, CAST(score AS DOUBLE) AS score, text FROM {_TABLE} UNION ALL SELECT 2, claim_id + 1000, source_id, domain, terms, numbers, negated, source_id % 10 / 10, text FROM claims),
+c AS (SELECT *, row_number() OVER (ORDER BY claim_id) AS r FROM both_),
 walk(r, leaders, claim_id, leader) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, t VARCHAR[])[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(rep INTEGER, id BIGINT, t VARCHAR[])[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
   UNION ALL
-  SELECT c.r, CASE WHEN len(m) > 0 THEN leaders ELSE list_append(leaders, {{'id': CAST(c.claim_id AS BIGINT), 't': CAST(c.terms AS VARCHAR[])}}) END, CAST(c.claim_id AS BIGINT), CASE WHEN len(m) > 0 THEN m[1].id ELSE CAST(c.claim_id AS BIGINT) END
-  FROM (SELECT w.r AS wr, w.leaders, c.*, list_filter(w.leaders, lambda l: CASE WHEN len(l.t) > 0 AND len(c.terms) > 0 THEN len(list_intersect(l.t, CAST(c.terms AS VARCHAR[]))) / len(list_distinct(list_concat(l.t, CAST(c.terms AS VARCHAR[])))) ELSE 0 END >= 0.5) AS m FROM walk w JOIN c ON c.r = w.r + 1) c),
-x AS (SELECT a.claim_id AS a, b.claim_id AS b FROM c a JOIN c b ON a.claim_id < b.claim_id AND a.source_id <> b.source_id AND a.domain <> b.domain AND {_jaccard("a.terms", "b.terms")} >= 0.6 WHERE {_KIND} IS NOT NULL),
+  SELECT c.r, CASE WHEN len(m) > 0 THEN leaders ELSE list_append(leaders, {{'rep': CAST(c.report AS INTEGER), 'id': CAST(c.claim_id AS BIGINT), 't': c.terms}}) END, CAST(c.claim_id AS BIGINT), CASE WHEN len(m) > 0 THEN m[1].id ELSE CAST(c.claim_id AS BIGINT) END
+  FROM (SELECT w.r AS wr, w.leaders, c.*, list_filter(w.leaders, lambda l: l.rep = c.report AND CASE WHEN len(l.t) > 0 AND len(c.terms) > 0 THEN len(list_intersect(l.t, c.terms)) / len(list_distinct(list_concat(l.t, c.terms))) ELSE 0 END >= 0.5) AS m FROM walk w JOIN c ON c.r = w.r + 1) c),
+x AS (SELECT a.claim_id AS a, b.claim_id AS b FROM c a JOIN c b ON a.report = b.report AND a.claim_id < b.claim_id AND a.source_id <> b.source_id AND a.domain <> b.domain AND {_jaccard("a.terms", "b.terms")} >= 0.6 WHERE {_KIND} IS NOT NULL),
 bad AS (SELECT a AS claim_id FROM x UNION SELECT b FROM x),
 j AS (SELECT w.leader, c.*, c.claim_id IN (SELECT claim_id FROM bad) AS hit FROM walk w JOIN c ON c.claim_id = w.claim_id),
-src AS (SELECT leader, source_id, any_value(domain) AS domain, any_value(score) AS score FROM j GROUP BY leader, source_id),
-sg AS (SELECT leader, count(DISTINCT domain) AS domains, count(*) AS sources, avg(score) AS quality FROM src GROUP BY leader),
-cg AS (SELECT leader, count(*) AS claims, bool_or(hit) AS contested, arg_min(text, (-score, length(text), claim_id)) AS text FROM j GROUP BY leader),
-o AS (SELECT *, floor(greatest(0.0, least(1.0, (0.3 + 0.2 * (domains - 1)) * quality - CASE WHEN contested THEN 0.3 ELSE 0.0 END)) * 1000 + 0.5) / 1000 AS conf FROM sg JOIN cg USING (leader))
-SELECT row_number() OVER (ORDER BY conf DESC, text) AS place, leader, CASE WHEN contested THEN 'contested' WHEN domains >= 2 THEN 'corroborated' ELSE 'single_source' END AS status, {sql_micro("conf")} AS confidence, text, domains, sources, CAST(claims AS BIGINT) AS claims FROM o"""
+sg AS (SELECT report, leader, count(DISTINCT domain) AS domains, count(*) AS sources, avg(score) AS quality FROM (SELECT report, leader, source_id, any_value(domain) AS domain, any_value(score) AS score FROM j GROUP BY report, leader, source_id) GROUP BY report, leader),
+cg AS (SELECT report, leader, count(*) AS claims, bool_or(hit) AS contested, arg_min(text, (-score, length(text), claim_id)) AS text FROM j GROUP BY report, leader),
+o AS (SELECT *, floor(greatest(0.0, least(1.0, (0.3 + 0.2 * (domains - 1)) * quality - CASE WHEN contested THEN 0.3 ELSE 0.0 END)) * 1000 + 0.5) / 1000 AS conf FROM sg JOIN cg USING (report, leader))
+SELECT report, row_number() OVER (PARTITION BY report ORDER BY conf DESC, text) AS place, leader, CASE WHEN contested THEN 'contested' WHEN domains >= 2 THEN 'corroborated' ELSE 'single_source' END AS status, {sql_micro("conf")} AS confidence, md5(text) AS text, domains, sources, CAST(claims AS BIGINT) AS claims FROM o"""
 
 
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +122,7 @@ EDGES = [("q1", "s1"), ("q1", "s2"), ("s1", "c1"), ("s2", "c2"), ("c1", "st1"),
 
 def provenance_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question led to, and what each statement came from, with the least number of steps."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    checkpoints(spark)
     edges = literal(spark, "src string, dst string", EDGES)
     down = R.reach(spark, edges, literal(spark, "start string", [("q1",), ("q2",)]))
     up = R.reach(spark, edges, literal(spark, "start string", [("st1",), ("c9",)]), forward=False)
