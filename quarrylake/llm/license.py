@@ -66,6 +66,8 @@ MARKS = r"(?m)^[ \t]*(/\*+|\*+/|\*|//+|#+|--|;+|<!--|%+)[ \t]*|[ \t]*(\*+/|-->)[
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-][a-z0-9._-]*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LEAST_COSINE = 0.6
+#: Passages of more than this many times the words of the longest template are compared by their lines and sentences only.
+TIMES_LONGER = 3
 
 
 def _terms(text: str) -> list[str]:
@@ -117,14 +119,18 @@ def _split(text: Column, pattern: str) -> Column:
     return F.transform(F.split(text, pattern), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
 
 
-def passages_of(text: Column, whole: Column) -> Column:
+def most_words(templates: list[tuple[str, str]]) -> int:
+    return TIMES_LONGER * max((len(text.split()) for _, text in templates), default=0)
+
+
+def passages_of(text: Column, whole: Column, most: int) -> Column:
     """The passages of a text with a licence's cue: paragraphs, lines and sentences, without comment marks; where `whole` is
-    true, the text as one passage too."""
+    true, the text as one passage too. Those of more than `most` words are left to their parts."""
     bare = F.regexp_replace(text, MARKS, "")
     paragraphs = _split(bare, r"\n\s*\n")
     sentences = _split(F.regexp_replace(F.array_join(paragraphs, "\n"), r"([.!?:])\s+([A-Z(])", "$1\n$2"), r"\n")
     every = F.concat(paragraphs, _split(bare, r"\n"), sentences, F.when(whole, F.array(F.trim(F.regexp_replace(bare, r"\s+", " ")))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(every, lambda p: p.rlike(CUE)))
+    return F.array_distinct(F.filter(every, lambda p: p.rlike(CUE) & (F.size(F.split(p, " ")) <= most)))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (), templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -132,7 +138,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
 
     A file's own licence is that of the passage nearest to a template: a header's
     passages are paragraphs, lines and sentences with a licence's cue, a licence
-    file is also taken as a whole. A licence that is named goes before `All
+    file is also taken as a whole (what has over three times the words of the
+    longest template, by its parts). A licence that is named goes before `All
     rights reserved`; then the nearest (ties: the first by name). Its kind is
     `header` or `file`. Files without one inherit from the licence file in the
     nearest directory above them (kind `inherited`, with that file's path); of
@@ -144,7 +151,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
     rows = files.select(_clean_path(F.col(path_col).cast("string")).alias("path"), F.col(text_col).cast("string").alias("text"), kept.alias("kept"))
     is_file = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
-    found_in = F.when(F.col("text").rlike(CUE), passages_of(F.col("text"), is_file)).otherwise(F.array().cast("array<string>"))
+    found_in = F.when(F.col("text").rlike(CUE), passages_of(F.col("text"), is_file, most_words(templates))).otherwise(F.array().cast("array<string>"))
     light = stored(rows.select("path", "kept", is_file.alias("is_file"), found_in.alias("passages"), F.monotonically_increasing_id().alias("row")), "passages")
     passages = light.select("row", F.explode("passages").alias("passage"))
     known = stored(matched(passages, templates).withColumnRenamed("score", "near"), "matched")
@@ -214,7 +221,7 @@ pas AS (
   SELECT DISTINCT r, p AS passage FROM (
     SELECT r, unnest(list_concat(ps, list_transform(regexp_split_to_array(b, '\n'), lambda p: {squeeze("p")}),
       list_transform(regexp_split_to_array(regexp_replace(array_to_string(ps, chr(10)), '([.!?:])\s+([A-Z(])', '\1' || chr(10) || '\2', 'g'), '\n'), lambda p: {squeeze("p")}),
-      CASE WHEN is_file THEN [{squeeze("b")}] ELSE [] END)) AS p FROM para) WHERE regexp_matches(p, '{cue}')
+      CASE WHEN is_file THEN [{squeeze("b")}] ELSE [] END)) AS p FROM para) WHERE regexp_matches(p, '{cue}') AND len(string_split(p, ' ')) <= {most_words(TEMPLATES)}
 ), pt AS (SELECT passage, term, count(*) AS n FROM (SELECT passage, unnest(regexp_extract_all(lower(passage), '{term}')) AS term FROM (SELECT DISTINCT passage FROM pas)) GROUP BY ALL),
 px AS (SELECT passage, term, (1 + ln(n)) * coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1) AS x FROM pt LEFT JOIN idf USING (term)),
 pn AS (SELECT passage, sqrt(sum(x * x)) AS norm FROM px GROUP BY passage),

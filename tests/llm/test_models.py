@@ -239,7 +239,7 @@ def _nearest(text, whole):
     passages = paragraphs + [" ".join(p.split()) for p in bare.split("\n")] + re.sub(r"([.!?:])\s+([A-Z(])", r"\1\n\2", "\n".join(paragraphs)).split("\n") + [" ".join(bare.split())] * whole
     found = []
     for p in set(passages):
-        if re.search(license.CUE, p):
+        if re.search(license.CUE, p) and len(p.split(" ")) <= license.most_words(license.TEMPLATES):
             v = weigh(Counter(re.findall(license.TERM, p.lower())))
             for (name, _), c in zip(license.TEMPLATES, counts):
                 w = weigh(c)
