@@ -190,6 +190,50 @@ def test_katz(spark, docs, rows, nothing):
     assert katz.scored(nothing)[0].count() == 0
 
 
+def _katz_scores(rows, modulus=7, held=2, k=katz.K):
+    """log10 of each text's probability by dictionaries: what follows each word, discounted, the rest from the words alone."""
+    def split(t):
+        return ["", *(t or "").lower().split(), ""]
+
+    def factors(counts):
+        n = Counter(counts)
+        cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if cut < 1 and n[r] and n[r + 1] else 1.0 for r in range(1, k + 1)}
+        return lambda r: d[r] if r <= k and 0 < d[r] < 1 else 1.0
+
+    learn = [split(t) for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % modulus != held]
+    one, two = Counter(w for t in learn for w in t[1:]), Counter(p for t in learn for p in zip(t, t[1:]))
+    d1, d2, n = factors(one.values()), factors(two.values()), sum(one.values())
+    kept = sum(d1(c) * c for c in one.values())
+    total = n if n - kept > 1e-9 * max(n, 1) else n + 1
+    word = lambda w: d1(one[w]) * one[w] / total if one[w] else ((total - kept) / total if total else 1.0)
+    after = {}
+    for (a, b), c in two.items():
+        after.setdefault(a, {})[b] = c
+
+    def p(a, b):
+        if a not in after:
+            return word(b)
+        follows = after[a]
+        n, kept = sum(follows.values()), sum(d2(c) * c for c in follows.values())
+        n += n - kept <= 1e-9
+        if b in follows:
+            return d2(follows[b]) * follows[b] / n
+        return (n - kept) / n / max(1 - sum(map(word, follows)), 1e-12) * word(b)
+
+    return [(i, sum(math.log10(p(a, b)) for a, b in zip(split(t), split(t)[1:]))) for i, t in rows]
+
+
+def test_katz_scores_against_dictionaries(spark):
+    rnd = random.Random(6)
+    words = [f"w{int(rnd.paretovariate(0.9))}" for _ in range(6000)]
+    made = [(i, " ".join(words[rnd.randrange(5900) :][: rnd.randrange(0, 60)])) for i in range(150)] + [(None, "never seen before"), (7, None), (7, "w1 w1 w2")]
+    scores, _ = katz.scored(spark.createDataFrame(made, "doc_id long, text string"), shards=4)
+    got, wanted = sorted(((r.id, r.score) for r in scores.collect()), key=lambda x: (str(x[0]), x[1])), sorted(_katz_scores(made), key=lambda x: (str(x[0]), x[1]))
+    assert [x[0] for x in got] == [x[0] for x in wanted]
+    assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for (_, a), (_, b) in zip(got, wanted))
+
+
 def test_katz_frequent_words_are_dealt_however_many_shards(spark):
     # The most frequent word is the first of shard 1090 of 1100; half of its occurrences are held out.
     asks = [(7, wordtable.pack((b"b\nrare\nthe", np.array([3 << 32, 1, 5000 + (5000 << 32)]))))]
