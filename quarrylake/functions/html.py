@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What main content has at least.
+# What main content has at least, and where it may be.
 LEAST_CHARS, LEAST_SHARE = 200, 0.5
 CONTAINERS = {"main", "article"}
+MAIN_NAMES = {"main", "content", "main-content", "article", "post", "entry-content", "post-content", "article-body", "page-content"}
 SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside", "form"}
 BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "pre", "header", "figure", "figcaption", "td", "th", "dl", "dt", "dd"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -28,34 +29,72 @@ class _Markdown(HTMLParser):
         self.links: list[tuple[str, int]] = []
         self.open: list[tuple[str, int]] = []
         self.found: list[tuple[int, int]] = []
+        self.depth: list[tuple[str, bool]] = []
+        self.lists: list[int | None] = []
+        self.cells: list[str] | None = None
+        self.rows = 0
+        self.pre = 0
         self.prefix = ""
 
     def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.now)).strip()
-        if text:
-            self.lines.append(self.prefix + text)
+        if self.cells is not None:
+            return
+        raw = "".join(self.now)
+        text = raw.strip("\n") if self.pre else re.sub(r"\s+", " ", raw).strip()
+        if text.strip():
+            self.lines.append("```\n" + text + "\n```" if self.pre else self.prefix + text)
         self.now, self.prefix = [], ""
         self.links = [(href, 0) for href, _ in self.links]
 
+    def cell(self) -> None:
+        """Ends a table's cell, if one is open."""
+        if self.cells is not None:
+            self.cells.append(re.sub(r"\s+", " ", "".join(self.now)).strip().replace("|", "\\|"))
+            self.now = []
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip or tag in SKIPPED:
             if tag in SKIPPED:
                 self.skip.append(tag)
             return
+        has = dict(attrs)
+        if tag not in VOID:
+            names = {*(has.get("class") or "").lower().split(), (has.get("id") or "").lower(), "main" if has.get("role") == "main" else ""}
+            contains = tag in CONTAINERS or tag in ("div", "section") and bool(names & MAIN_NAMES)
+            self.depth.append((tag, contains))
+        else:
+            contains = False
         if tag in BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag):
             self.flush()
-        if tag in CONTAINERS:
+        if contains:
             self.open.append((tag, len(self.lines)))
-        if tag == "li":
+        if tag in ("ul", "ol"):
+            self.lists.append(0 if tag == "ol" else None)
+        elif tag == "li":
             self.prefix = "- "
+            if self.lists and self.lists[-1] is not None:
+                self.lists[-1] += 1
+                self.prefix = f"{self.lists[-1]}. "
+        elif tag == "pre":
+            self.pre += 1
+        elif tag == "code" and not self.pre:
+            self.now.append("`")
+        elif tag == "table":
+            self.rows = 0
+        elif tag == "tr":
+            self.cells, self.now = [], []
+        elif tag in ("td", "th"):
+            self.now = []
         elif re.fullmatch("h[1-6]", tag):
             self.prefix = "#" * int(tag[1]) + " "
         elif tag == "br":
-            self.now.append(" ")
+            self.now.append("\n" if self.pre else " ")
+        elif tag == "img" and has.get("src"):
+            self.now.append(f"![{re.sub(r'\s+', ' ', has.get('alt') or '').strip()}]({has['src']})")
         elif tag in ("b", "strong"):
             self.now.append("**")
         elif tag == "a":
-            self.links.append((dict(attrs).get("href") or "", len(self.now)))
+            self.links.append((has.get("href") or "", len(self.now)))
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -63,21 +102,41 @@ class _Markdown(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
+        contained = False
+        for k in range(len(self.depth) - 1, -1, -1):
+            if self.depth[k][0] == tag:
+                contained = self.depth[k][1]
+                del self.depth[k:]
+                break
         if tag in ("b", "strong"):
             self.now.append("**")
+        elif tag == "code" and not self.pre:
+            self.now.append("`")
         elif tag == "a" and self.links:
             href, at = self.links.pop()
             label = re.sub(r"\s+", " ", "".join(self.now[at:])).strip()
             if label and href:
                 self.now[at:] = [f"[{label}]({href})"]
+        elif tag in ("td", "th"):
+            self.cell()
+        elif tag == "tr" and self.cells is not None:
+            cells, self.cells = self.cells, None
+            if any(cells):
+                self.lines.append("| " + " | ".join(cells) + " |" + ("\n|" + " --- |" * len(cells) if not self.rows else ""))
+                self.rows += 1
+            self.now = []
         elif tag in BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag):
             self.flush()
-            if tag in CONTAINERS:
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] == tag:
-                        self.found.append((self.open[k][1], len(self.lines)))
-                        del self.open[k:]
-                        break
+            if tag == "pre":
+                self.pre = max(0, self.pre - 1)
+            elif tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
+        if contained:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    self.found.append((self.open[k][1], len(self.lines)))
+                    del self.open[k:]
+                    break
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -105,7 +164,7 @@ def markdown(html: str | None, main: bool = True) -> str:
     lines = parser.lines
     if main and parser.found:
         whole = _prose(lines)
-        fits = [(end - begin, begin, end) for begin, end in parser.found if _prose(lines[begin:end]) >= max(LEAST_CHARS, LEAST_SHARE * whole)]
+        fits = [(sum(map(len, lines[begin:end])), begin, end) for begin, end in parser.found if _prose(lines[begin:end]) >= max(LEAST_CHARS, LEAST_SHARE * whole)]
         if fits:
             _, begin, end = min(fits)
             lines = lines[begin:end]

@@ -34,11 +34,19 @@ def result_page(pages: DataFrame, layout: str) -> DataFrame:
     return out.where((F.col("title") != "") & F.col("url").rlike("^https?://")).select("id", place.alias("position"), "title", "url", "snippet")
 
 
-def _meta(html: Column, name: str) -> Column:
-    key = rf"(?:property|name|itemprop)=[\"']{name.replace('.', '[.]')}[\"']"
-    value = r"(?:content|value)=[\"']([^\"']*)[\"']"
-    after, before = F.regexp_extract(html, rf"(?is)<meta\s[^>]*{key}[^>]*{value}", 1), F.regexp_extract(html, rf"(?is)<meta\s[^>]*{value}[^>]*{key}", 1)
-    return D.normalize_timestamp(F.when(after != "", after).otherwise(before))
+META = r"(?is)<meta\s[^>]*>"
+
+
+def _metas(html: Column) -> Column:
+    """Names of a page's meta tags (name, property or itemprop, in lower case) with the content of the first of each."""
+    def attribute(tag: Column, names: str) -> Column:
+        return F.regexp_extract(tag, rf"(?is)\s(?:{names})\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(META), F.lit(0))
+    pairs = F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "name|property|itemprop")).alias("key"), attribute(t, "content").alias("value")))
+    kept = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+    first = F.filter(kept, lambda p, i: F.array_position(F.transform(kept, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first)
 
 
 def _first_of(found: list[tuple[Column, str]]) -> Column:
@@ -59,7 +67,12 @@ def article_dates(html: Column) -> Column:
     stamp = r"(?is)<time(?![^>]*(?:itemprop|class)=)[^>]*datetime=[\"']([^\"']*)[\"']"
     hinted = r"(?is)<time(?=[^>]*(?:itemprop|class)=[\"'][^\"']*(?:published|pubdate))[^>]*datetime=[\"']([^\"']*)[\"']"
     t = F.coalesce(D.normalize_timestamp(F.regexp_extract(html, hinted, 1)), D.normalize_timestamp(F.regexp_extract(html, stamp, 1)))
-    published = _first_of([(ld("datePublished", "uploadDate"), "jsonld:datePublished"), *[(_meta(html, n), f"meta:{n}") for n in PUBLISHED], (t, "time:datetime")])
-    modified = F.coalesce(ld("dateModified", "dateUpdated"), *[_meta(html, n) for n in MODIFIED])
-    confidence = F.when(published["evidence"] == "time:datetime", "medium").when(published.isNotNull(), "high").otherwise("")
-    return F.struct(published["day"].alias("published_at"), modified.alias("modified_at"), F.coalesce(published["evidence"], F.lit("")).alias("evidence"), confidence.alias("confidence"))
+
+    def of(metas: Column) -> Column:
+        """What the tags say, which are read once."""
+        named = lambda names: F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(D.normalize_timestamp(F.try_element_at(metas, F.lower(n))).alias("day"), F.concat(F.lit("meta:"), n).alias("evidence"))), lambda x: x["day"].isNotNull())
+        published = F.coalesce(_first_of([(ld("datePublished", "uploadDate"), "jsonld:datePublished")]), F.get(named(PUBLISHED), F.lit(0)), _first_of([(t, "time:datetime")]))
+        modified = F.coalesce(ld("dateModified", "dateUpdated"), F.get(named(MODIFIED), F.lit(0))["day"])
+        return T.let(published, lambda p: F.struct(p["day"].alias("published_at"), modified.alias("modified_at"), F.coalesce(p["evidence"], F.lit("")).alias("evidence"), F.when(p["evidence"] == "time:datetime", "medium").when(p["day"].isNotNull(), "high").otherwise("").alias("confidence")))
+
+    return T.let(_metas(html), of)
