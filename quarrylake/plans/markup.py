@@ -31,7 +31,12 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = literal(spark, "id int, html string", ARTICLES).select("id", M.article_dates(F.col("html")).alias("d"))
+    # Pages, to which a date is given in one of four ways.
+    i = F.col("page_id")
+    day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (i % 600).cast("int")), "yyyy-MM-dd")
+    given = F.when(i % 5 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T10:00:00Z">'))).when(i % 5 == 1, F.concat(F.lit("<time datetime='"), day, F.lit("'>then</time>"))).when(i % 5 == 2, F.concat(F.lit('<script type="application/ld+json">{"@type": "Article", "dateModified": "2026-06-01", "datePublished": "'), day, F.lit('"}</script>'))).when(i % 5 == 3, F.concat(F.lit("<p>Published "), day, F.lit("</p>"))).otherwise("")
+    pages = table(spark, sf_dir, "pages").select((i + 100).cast("int").alias("id"), F.concat("html", given).alias("html"))
+    d = literal(spark, "id int, html string", ARTICLES).unionByName(pages).select("id", M.article_dates(F.col("html")).alias("d"))
     return d.select("id", F.col("d.published_at").cast("string").alias("published_at"), F.col("d.modified_at").cast("string").alias("modified_at"), "d.evidence", "d.confidence")
 
 
@@ -55,6 +60,6 @@ def reformulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"result_pages": result_pages, "article_dates": article_dates, "page_dates": page_dates, "reformulated": reformulated}
 SQL = {
     "result_pages": "SELECT * FROM " + sql_literal("layout, position, title, url, snippet", HITS),
-    "article_dates": "SELECT * FROM " + sql_literal("id, published_at, modified_at, evidence, confidence", DATES),
+    "article_dates": "SELECT CAST(page_id + 100 AS INTEGER) AS id, CASE WHEN page_id % 5 < 3 THEN CAST(DATE '2025-01-01' + CAST(page_id % 600 AS INTEGER) AS VARCHAR) END AS published_at, CASE WHEN page_id % 5 = 2 THEN '2026-06-01' END AS modified_at, CASE page_id % 5 WHEN 0 THEN 'meta:article:published_time' WHEN 1 THEN 'time:datetime' WHEN 2 THEN 'jsonld:datePublished' ELSE '' END AS evidence, CASE WHEN page_id % 5 = 1 THEN 'medium' WHEN page_id % 5 IN (0, 2) THEN 'high' ELSE '' END AS confidence FROM pages UNION ALL SELECT * FROM " + sql_literal("id, published_at, modified_at, evidence, confidence", DATES),
     "reformulated": "SELECT * FROM " + sql_literal("id, place, text, strategy", REFORMULATED),
 }

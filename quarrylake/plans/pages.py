@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from ..operators import state as A
 from ..sources import service as V
 from ..streaming import state as W
+from . import state as L
 from .inputs import literal, shared_folder, sql_literal, table
 
 
@@ -76,22 +77,66 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS_SQL = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS begin, event_type, count(*) AS events FROM events GROUP BY 1, 2"
 
 
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users' events with gaps below six hours."""
+    at = F.col("ts").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), at.alias("ts"))
+    found = W.sessions(rows, gap="6 hours")
+    return found.select("key", F.unix_micros("begin").alias("begin"), F.unix_micros("end").alias("end"), "events")
+
+
+SESSIONS_SQL = """WITH e AS (SELECT user_id % 50 AS key, epoch_us(ts) AS t FROM events), g AS (SELECT key, t, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT key, t, sum(new) OVER (PARTITION BY key ORDER BY t RANGE UNBOUNDED PRECEDING) AS n FROM g) SELECT key, min(t) AS begin, max(t) + 21600000000 AS "end", count(*) AS events FROM s GROUP BY key, n"""
+
+
+def first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the log that a stream of first requests lets through; all of the log is one batch."""
+    out = _run(spark, W.first_requests(_events(spark, sf_dir), "3650 days").select("key", "ts"), "first", "append")
+    return out.groupBy("key").agg(F.count("*").alias("asked"))
+
+
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's last event, as a stream that merges into a table leaves it."""
+    folder = _folder(spark)
+    rows = _events(spark, sf_dir).select("key", "at", "seq", "ok", "event_type")
+    query = W.keep_latest(rows, f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = spark.read.parquet(f"{folder}/table")
+    return done.where(F.col("version") == done.agg(F.max("version")).first()[0]).select("key", "seq", "ok", "event_type")
+
+
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each run of failures of the log would wait in all, if each failure were tried again."""
+    runs = A.failure_runs(L.log(spark, sf_dir)).select("key", "island", F.explode(F.sequence(F.lit(1), F.col("failures").cast("int"))).alias("attempt"))
+    return runs.groupBy("key").agg(F.sum(A.retry_delay(F.col("attempt"))).cast("long").alias("waited"))
+
+
+DELAYS_SQL = f"WITH {L._RUNS} SELECT key, CAST(sum(list_sum(list_transform(range(1, failures + 1), lambda i: least(8, pow(2, i - 1))))) AS BIGINT) AS waited FROM runs GROUP BY key"
+
+
 def captured_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a captured service with a filter that the source applies."""
-    rows = "\n".join(json.dumps({"engine": e, "query": "q", "position": i, "title": f"t{i}", "url": f"https://x.org/{i}"}) for i, e in enumerate("abcab"))
+    """Pages as answers that three services gave, captured in files; one service's first places are asked for."""
+    i = F.col("page_id")
+    hits = table(spark, sf_dir, "pages").select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (i % 3 + 1).cast("int")).alias("engine"), F.concat(F.lit("q"), (i % 5).cast("string")).alias("query"), (F.floor(i / 15) + 1).cast("int").alias("position"), F.concat(F.lit("Page "), i.cast("string")).alias("title"), "url")
+    folder = f"{shared_folder(spark).rstrip('/')}/captured-{uuid.uuid4().hex}"
+    hits.write.partitionBy("engine").json(folder)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(V.CapturedHits)
-    return spark.read.format("captured_hits").option("rows", rows).load().where("engine = 'a' AND position >= 0")
+    return spark.read.format("captured_hits").option("path", folder).load().where("engine = 'a' AND position <= 10")
 
 
 def filter_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.filter_modes(spark, literal(spark, "question_id int, active array<string>", [(1, ["include_domains", "date"]), (2, ["file_type"]), (3, [])]))
 
 
-QUERIES = {"page_markdown": page_markdown, "page_text": page_text, "breaker_stream": breaker_stream, "event_windows": event_windows, "captured_hits": captured_hits, "filter_modes": filter_modes}
+QUERIES = {"page_markdown": page_markdown, "page_text": page_text, "breaker_stream": breaker_stream, "event_windows": event_windows, "user_sessions": user_sessions, "first_requests": first_requests, "session_table": session_table, "retry_delays": retry_delays, "captured_hits": captured_hits, "filter_modes": filter_modes}
 SQL = {
     "breaker_stream": BREAKER_SQL,
     "event_windows": WINDOWS_SQL,
-    "captured_hits": "SELECT * FROM " + sql_literal("engine, query, position, title, url", [("a", "q", 0, "t0", "https://x.org/0"), ("a", "q", 3, "t3", "https://x.org/3")]),
+    "user_sessions": SESSIONS_SQL,
+    "first_requests": "SELECT user_id % 50 AS key, 1 AS asked FROM events GROUP BY 1",
+    "session_table": "SELECT user_id % 50 AS key, arg_max(event_id, (ts, event_id)) AS seq, arg_max(event_type <> 'error', (ts, event_id)) AS ok, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
+    "retry_delays": DELAYS_SQL,
+    "captured_hits": "SELECT 'a' AS engine, 'q' || (page_id % 5) AS query, CAST(page_id // 15 + 1 AS INTEGER) AS position, 'Page ' || page_id AS title, url FROM pages WHERE page_id % 3 = 0 AND page_id // 15 + 1 <= 10",
     "filter_modes": "SELECT * FROM " + sql_literal("question_id, engine, filter, mode", [(1, "a", "include_domains", "native"), (1, "a", "date", "post_filtered"), (1, "b", "include_domains", "emulated"), (1, "b", "date", "unsupported"), (1, "c", "include_domains", "unsupported"), (1, "c", "date", "unsupported"), (2, "a", "file_type", "unsupported"), (2, "b", "file_type", "emulated"), (2, "c", "file_type", "unsupported")]),
 }
