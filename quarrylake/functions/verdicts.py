@@ -136,7 +136,8 @@ def failure_cause(error: Column, detail: Column, status: Column, requires_js: Co
 def pdf_text(text: Column) -> Column:
     """Text of a PDF in NFKC, without soft hyphens and zeros; words that a line's end divides are joined."""
     plain = normal_form(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{AD}\x00]", ""), "NFKC")
-    return F.trim(F.regexp_replace(plain, r"([\p{L}\p{N}_])-[ \t]*\n([\p{L}\p{N}_])", "$1$2"))
+    joined = F.regexp_replace(plain, r"([\p{L}\p{N}_])-[ \t]*\n([\p{L}\p{N}_])", "$1$2")
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
 def looks_like_pdf(data: Column) -> Column:
