@@ -14,7 +14,11 @@ from .tokens import encoder, load, word_bpe_path
 from .wordtable import answered, met, shards_for, split_blocks
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+#: Shards of the table of words at most: a shard's words grow with the vocabulary only, which is shared by all texts.
+MOST_SHARDS = 2048
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, steady: bool = False) -> DataFrame:
     """(id, ids): one row for each row of `docs`; ids is the array of a text's ids under the tokenizer at `path`.
 
     For tokenizers that never join what ASCII white space parts. A null text
@@ -24,9 +28,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Texts are split in Spark; each distinct word goes to its shard, which
     encodes it once, and the ids come back to the blocks of documents that hold
-    the word, where they are set at the word's positions.
+    the word, where they are set at the word's positions. `steady` says that the
+    rows come in the same order whenever they are read, as from files: they are
+    then read twice, else once, with the words kept in the shared folder meanwhile.
     """
-    shards = shards or shards_for(docs, text_col)
+    shards = shards or min(MOST_SHARDS, shards_for(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def make() -> Callable:
@@ -64,7 +70,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def split(text: str | None) -> list[bytes]:
         return encoder(path).split(text)
 
-    questions, places = split_blocks(rows, split, shards)
+    questions, places = split_blocks(rows, split, shards, None if steady else "words")
     return met(answered(questions, shards, make), places, shards, use, "id long, ids array<int>")
 
 
@@ -117,7 +123,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_bpe_path()
-    found = decode(encode(documents(spark, sf_dir), path), path)
+    found = decode(encode(documents(spark, sf_dir), path, steady=True), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select(
         F.col("id").alias("doc_id"),

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarrylake.llm import bpe, katz, mixcoder, packing, tokenfile, wordtable
@@ -42,6 +43,14 @@ def test_encode_and_decode(spark, docs, rows, nothing, library):
     assert bpe.decode(bpe.encode(nothing, word_bpe_path()), word_bpe_path()).count() == 0
 
 
+def test_rows_behind_a_shuffle(spark, docs, library):
+    mixed = docs.repartition(5, F.rand())
+    for steady in (False, True):
+        table = mixed if not steady else docs
+        found = bpe.encode(table, word_bpe_path(), steady=steady).collect()
+        assert sorted((str(r.id), list(r.ids)) for r in found) == sorted((str(r.doc_id), _ids(library, r.text)) for r in docs.collect())
+
+
 def _apart(spark, rows, partitions):
     """Each partition holds all of `rows`."""
     return spark.sparkContext.parallelize(range(partitions), partitions).flatMap(lambda _: rows).toDF("doc_id long, text string")
