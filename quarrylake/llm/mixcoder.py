@@ -249,10 +249,16 @@ class _Coder:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
 
-    def narrow(self, some: np.ndarray | slice, begin: np.ndarray, width: np.ndarray) -> None:
-        part = self.range[some] >> np.uint64(FREQUENCY_BITS)
-        self.low[some] += part * begin
-        self.range[some] = part * width
+    def narrow(self, some: np.ndarray | None, begin: np.ndarray, width: np.ndarray) -> None:
+        """Takes the part of `width` from `begin` on of the ranges of some lanes (None: of all)."""
+        if some is None:
+            part = self.range >> np.uint64(FREQUENCY_BITS)
+            self.low += part * begin
+            self.range = part * width
+        else:
+            part = self.range.take(some) >> np.uint64(FREQUENCY_BITS)
+            self.low[some] = self.low.take(some) + part * begin
+            self.range[some] = part * width
 
     def settle(self) -> None:
         """Units that are settled leave; a small range that straddles a unit's border is cut there.
@@ -313,6 +319,14 @@ class _Reader(_Coder):
         for _ in range(4):
             self.pass_unit(np.arange(lanes), None)
 
+    def value(self, some: np.ndarray | None) -> np.ndarray:
+        """Where in their ranges the codes of some lanes (None: of all) lie, in frequencies."""
+        if some is None:
+            ahead, size = self.code - self.low, self.range
+        else:
+            ahead, size = self.code.take(some) - self.low.take(some), self.range.take(some)
+        return np.minimum(ahead // (size >> np.uint64(FREQUENCY_BITS)), np.uint64((1 << FREQUENCY_BITS) - 1))
+
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray | None) -> None:
         at = self.next[lanes]
         unit = np.where(at < self.end[lanes], self.units[np.minimum(at, len(self.units) - 1)], np.uint16(0))
@@ -350,7 +364,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, bytes]:
                 begin = np.where(branch > 0, model.sum_before(branch), np.float32(0))
                 stop = np.where(branch < WAYS - 1, model.sum_before(np.minimum(branch + 1, WAYS - 1)), np.float32(1 << FREQUENCY_BITS))
                 model.learn(branch)
-            out.narrow(slice(None) if live is None else live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+            out.narrow(live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
             if level == 1:
                 out.settle()
         out.settle()
@@ -370,9 +384,7 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
         model.begin()
         live, node = None, np.zeros(lanes, np.int64)
         for level in range(min(LEVELS + 1, tree.levels)):
-            some = slice(None) if live is None else live
-            value = (coder.code[some] - coder.low[some]) // (coder.range[some] >> np.uint64(FREQUENCY_BITS))
-            value = np.minimum(value, np.uint64((1 << FREQUENCY_BITS) - 1))
+            value = coder.value(live)
             if level == LEVELS:
                 ids = model.deep.find(node, value.astype(np.float64))
                 begin, stop = model.deep.part(ids)
@@ -389,7 +401,7 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
                     begin, stop = np.where(above, middle, begin), np.where(above, stop, middle)
                 model.learn(branch)
                 child = tree.child.take(node << 4 | branch)
-            coder.narrow(some, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+            coder.narrow(live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
             if level == 1:
                 coder.settle()
             done = np.flatnonzero(child < 0)
