@@ -162,6 +162,8 @@ class _Table:
         """
         masks = self.masks.get(top, np.zeros(0, np.uint64))
         low = self.low_bits(fps)
+        # The row of the table that each given row was linked with first.
+        self.joined = np.full(len(fps), -1, np.int64)
         matches = 1 + len(self.keys) / (1 << self.low)
         step = 1 if own else 64
         begin = 0
@@ -200,7 +202,7 @@ class _Table:
                 yield keys[found[0]], self.keys[found[1]]
 
     def _join(self, i: np.ndarray, j: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Of links of rows i with rows j of the table, one for each row and tree of the forest; the forest learns them."""
+        """Of links of rows i with rows j of the table, those that connect what wasn't connected; the forest learns them."""
         while not np.array_equal(self.root, up := self.root[self.root]):
             self.root = up
         tree = self.root[j]
@@ -209,13 +211,15 @@ class _Table:
             i, j, tree = i[new], j[new], tree[new]
         _, first = np.unique(i * len(self.keys) + tree, return_index=True)
         i, j = i[first], j[first]
-        last, at = -1, -1
-        for a, b in zip(i.tolist(), j.tolist()):
-            if a != last:
-                last, at = a, self.find(a if own else b)
-            at, other = self.find(at), self.find(b)
-            self.root[max(at, other)] = min(at, other)
-        return i, j
+        kept = np.zeros(len(i), bool)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+            if not own and self.joined[a] < 0:
+                self.joined[a], kept[k] = b, True
+                continue
+            at, other = self.find(a if own else int(self.joined[a])), self.find(b)
+            if at != other:
+                self.root[max(at, other)], kept[k] = min(at, other), True
+        return i[kept], j[kept]
 
 
 def links(nodes: DataFrame, distance: int = 4, least: float = 0.0, segments: list[tuple[int, int, int]] | None = None, split: int | None = None) -> DataFrame:
