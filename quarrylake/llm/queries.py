@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .embed import OP5_SQL, op5_cross_polytope
 from .exact import OP6_SQL, op6_exact_dedup
+from .infill import OP13_SQL, op13_infill
 from .katz import op9_katz
 from .langid import op3_language
 from .license import OP7_SQL, op7_license
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
+    "op13_infill": op13_infill,
 }
 
 ORACLES: dict[str, str] = {
     "op5_cross_polytope": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_license": OP7_SQL,
+    "op13_infill": OP13_SQL,
 }
