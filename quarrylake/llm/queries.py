@@ -17,6 +17,7 @@ from .packing import op10_packing
 from .simhash import op1_simhash
 from .tokenfile import op4_token_files
 from .toxicity import op8_toxicity
+from .whiten import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
+    "op12_whitening": op12_whitening,
     "op13_infill": op13_infill,
 }
 
