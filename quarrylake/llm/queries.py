@@ -13,6 +13,7 @@ from .infill import OP13_SQL, op13_infill
 from .katz import op9_katz
 from .langid import op3_language
 from .license import OP7_SQL, op7_license
+from .neighbours import op11_nearest
 from .packing import op10_packing
 from .simhash import op1_simhash
 from .tokenfile import op4_token_files
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
+    "op11_nearest": op11_nearest,
     "op12_whitening": op12_whitening,
     "op13_infill": op13_infill,
 }
