@@ -25,6 +25,8 @@ PROBES = 2048
 SAMPLE = 4096
 #: Bytes of vectors, as doubles, that one place of a table is meant to hold.
 PLACE_BYTES = 2_000_000
+#: Queries whose visits one task works out.
+QUERIES_PER_TASK = 200
 #: The key of the pseudo-table in which queries meet all rows.
 EVERYTHING = -1
 
@@ -44,6 +46,9 @@ class Index:
         """Where each row falls along each function of the table, in bins; the bin's number is the whole part."""
         return (x @ self.directions[table] + self.shifts[table]) / self.width
 
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) >> np.uint64(20)) % np.uint64(self.places)).astype(np.int32)
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
@@ -104,6 +109,15 @@ def probes(at: np.ndarray, reach: np.ndarray, width: float, chance: float, most:
     return bins, counts, so_far[:, -1] >= chance
 
 
+def _visits(node: int, size: int, table: int, places: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each place that a query visits in a table, with the codes of the buckets there."""
+    order = np.argsort(places, kind="stable")
+    met, begin = np.unique(places[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array([*begin.tolist(), len(codes)], pa.int32()), pa.array(codes[order]))
+    n = len(met)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, table, np.int32)), pa.array(met.astype(np.int32)), lists], names=["node", "size", "table", "place", "codes"])
+
+
 def _usable(vector: Column) -> Column:
     limit = F.lit(float(np.finfo(np.float64).max))
     return F.coalesce(F.forall(vector, lambda c: c.isNotNull() & (F.abs(c) <= limit)) & F.exists(vector, lambda c: c != 0), F.lit(False))
@@ -161,8 +175,9 @@ def nearest(
     the order of their estimated chance to hold a neighbour at its k-th nearest
     distance in a sample (an upper bound of its own), until the tables together
     reach `success`; one that would need more than `most` buckets in a table, or
-    that finds fewer than k rows, meets every row instead. Buckets with more rows
-    than a quarter of a place are dealt to several places.
+    that finds fewer than k rows, meets every row instead. Buckets are dealt to
+    places; one with over twice the rows that it is meant to hold is cut into
+    parts, all of which its queries meet.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     if vectors.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
@@ -191,7 +206,7 @@ def nearest(
                 x = _matrix(some.column("vector"))
                 for t in range(tables):
                     code = _mixed(np.floor(index.bins(x, t)))
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(code)], names=[*some.schema.names, "table", "code"])
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(index.place(code)), pa.array(code)], names=[*some.schema.names, "table", "place", "code"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,41 +221,30 @@ def nearest(
                     whole = ~np.isfinite(bound)
                     for _, _, reached in found:
                         whole |= ~reached
-                    nodes = some.column("node").to_pylist()
-                    for q, node in enumerate(nodes):
+                    for q, node in enumerate(some.column("node").to_pylist()):
                         if whole[q]:
-                            yield _visit(node, size, EVERYTHING, np.zeros(1, np.int64))
+                            yield from _visits(node, size, EVERYTHING, np.arange(index.places), np.zeros(index.places, np.int64))
                             continue
                         for t, (bins, counts, _) in enumerate(found):
-                            yield _visit(node, size, t, np.unique(_mixed(bins[q, : counts[q]])))
+                            codes = np.unique(_mixed(bins[q, : counts[q]]))
+                            yield from _visits(node, size, t, index.place(codes), codes)
 
-    def _visit(node: int, size: int, table: int, codes: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes))
-        return pa.RecordBatch.from_arrays([pa.array([node]), pa.array([size], pa.int32()), pa.array([table], pa.int32()), lists], names=["node", "size", "table", "codes"])
-
-    keys = ["size", "table", "code"]
-    places = F.create_map(*[F.lit(x) for s, i in indexes.items() for x in (s, i.places)]) if indexes else F.create_map().cast("map<int,int>")
-    room = F.create_map(*[F.lit(x) for s, i in indexes.items() for x in (s, max(16, place_bytes // (32 * s)))]) if indexes else F.create_map().cast("map<int,int>")
-    keyed = classes.mapInArrow(hashed, f"node long, size int, vector {kind}, table int, code long")
-    buckets = stored(keyed.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / room[F.col("size")]).cast("int").alias("parts")), "buckets")
-    visits = stored(asked.mapInArrow(visited, "node long, size int, table int, codes array<long>"), "visits")
+    crowd = stored(classes.mapInArrow(hashed, f"node long, size int, vector {kind}, table int, place int, code long").groupBy("size", "table", "place").agg(F.count("*").alias("n")), "crowd")
+    n = asked.count()
+    visits = stored(asked.repartition(max(1, math.ceil(n / QUERIES_PER_TASK)), "node").mapInArrow(visited, "node long, size int, table int, place int, codes array<long>"), "visits")
 
     def searched(visits: DataFrame) -> DataFrame:
         """(node, other, far): the nearest k + 1 classes of each visiting node in each place that it visits."""
-        place = F.pmod(F.xxhash64("code", "part"), places[F.col("size")]).cast("int")
-        some = visits.where(F.col("table") != EVERYTHING).select("node", "size", "table", F.explode("codes").alias("code")).join(buckets, keys)
-        some = some.select("node", "size", "table", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        some = some.groupBy("node", "size", "table", place.alias("place")).agg(F.collect_set("code").alias("codes"))
-        every = visits.where(F.col("table") == EVERYTHING).select("node", "size", "table", F.explode(F.sequence(F.lit(0), places[F.col("size")] - 1)).alias("place"), "codes")
-        asks = some.unionByName(every).join(asked.select("node", "vector"), "node")
-        own = _looked_up(keyed, buckets.where("parts > 1"), keys).withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-        index = own.select("size", "table", place.alias("place"), "node", "code", "vector")
-        if not visits.where(F.col("table") == EVERYTHING).isEmpty():
-            whole = classes.select("size", F.lit(EVERYTHING).alias("table"), F.pmod(F.xxhash64("node"), places[F.col("size")]).cast("int").alias("place"), "node", F.lit(0).cast("long").alias("code"), "vector")
-            index = index.unionByName(whole)
-        both = index.select("size", "table", "place", F.lit(0).alias("kind"), "node", F.array("code").alias("codes"), "vector").unionByName(asks.select("size", "table", "place", F.lit(1).alias("kind"), "node", "codes", "vector"))
         cell = ["size", "table", "place"]
-        met = both.repartition(*cell).sortWithinPartitions(*cell, "kind")
+        keyed = classes.mapInArrow(hashed, f"node long, size int, vector {kind}, table int, place int, code long")
+        full = crowd.select(*cell, F.ceil(F.col("n") * F.col("size") * 8 / (2 * place_bytes)).cast("int").alias("parts"))
+        if not visits.where(F.col("table") == EVERYTHING).isEmpty():
+            spread = F.create_map(*[F.lit(x) for s, i in indexes.items() for x in (s, i.places)])
+            keyed = keyed.unionByName(classes.select("node", "size", "vector", F.lit(EVERYTHING).alias("table"), F.pmod(F.xxhash64("node"), spread[F.col("size")]).cast("int").alias("place"), F.lit(0).cast("long").alias("code")))
+        own = _looked_up(keyed, full.where("parts > 1"), cell).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int"))
+        asks = _looked_up(visits, full.where("parts > 1"), cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).join(asked.select("node", "vector"), "node")
+        both = own.select(*cell, "part", F.lit(0).alias("kind"), "node", F.array("code").alias("codes"), "vector").unionByName(asks.select(*cell, "part", F.lit(1).alias("kind"), "node", "codes", "vector"))
+        met = both.repartition(*cell, "part").sortWithinPartitions(*cell, "part", "kind")
         return met.mapInArrow(lambda batches: _answers(batches, k + 1), "node long, other long, far double")
 
     # A class has k + 1 members here at the most; of classes as far as each other all that can matter stay.
@@ -256,10 +260,12 @@ def nearest(
     few = visits.where(F.col("table") == EVERYTHING).select("node").distinct()
     short = near.where(F.size("near") <= k).join(few, "node", "left_anti").select("node")
     lost = asked.select("node").join(near.select("node"), "node", "left_anti")
-    again = stored(short.unionByName(lost).join(asked.select("node", "size"), "node").select("node", "size", F.lit(EVERYTHING).alias("table"), F.array(F.lit(0).cast("long")).alias("codes")), "again")
+    again = short.unionByName(lost).join(asked.select("node", "size"), "node")
     if not again.isEmpty():
+        spread = F.create_map(*[F.lit(x) for s, i in indexes.items() for x in (s, i.places)])
+        again = stored(again.select("node", "size", F.lit(EVERYTHING).alias("table"), F.explode(F.sequence(F.lit(0), spread[F.col("size")] - 1)).alias("place"), F.array(F.lit(0).cast("long")).alias("codes")), "again")
         more = best(searched(again))
-        near = near.join(again.select("node"), "node", "left_anti").unionByName(more)
+        near = near.join(again.select("node").distinct(), "node", "left_anti").unionByName(more)
     own = F.array_position(F.transform("near", lambda x: x["id"]), F.col("query_id"))
     listed = asking.select(F.col("id").alias("query_id"), "node").join(near, "node").withColumn("own", own)
     others = F.slice(F.filter("near", lambda x, i: (i != F.col("own") - 1) | (F.col("own") == 0)), 1, k)
@@ -267,15 +273,15 @@ def nearest(
 
 
 def _answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest rows of a place, and those as far as the last, for each query that visits it. Rows come before queries."""
+    """The k nearest rows of a part of a place, and those as far as the last, for each query that visits it. Rows come before queries."""
     here, rows, held = None, [], None
     for batch in batches:
-        names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "table", "place", "kind")], axis=1)
+        names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "table", "place", "part", "kind")], axis=1)
         cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
             if a == b:
                 continue
-            part, place, kind = batch.slice(a, b - a), tuple(names[a, :3].tolist()), names[a, 3]
+            part, place, kind = batch.slice(a, b - a), tuple(names[a, :4].tolist()), names[a, 4]
             if place != here:
                 here, rows, held = place, [], None
             if kind == 0:
