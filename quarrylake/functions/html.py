@@ -193,3 +193,106 @@ def normal_form(text: Column, form: str = "NFC") -> Column:
         return pa.array([None if x is None else unicodedata.normalize(form, x) for x in texts.to_pylist()], pa.string())
 
     return convert(text)
+
+
+# Which open elements a start tag ends, and within what: paragraphs end at a block, items at the next item of their list.
+_PARAGRAPH_ENDS = BLOCKS - {"tr", "td", "th", "figcaption", "dt", "dd"} | {"h1", "h2", "h3", "h4", "h5", "h6", "address", "aside", "details", "fieldset", "footer", "form", "hr", "nav"}
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
+_WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}} | dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), {"table"})
+_HEAD = {"meta", "title", "link", "base", "style", "script", "noscript", "template", "head"}
+
+ELEMENTS = "struct<text: string, elements: array<struct<node: int, parent: int, last: int, depth: int, nth: int, siblings: int, tag: string, attrs: map<string, string>, text_from: int, text_to: int, html_from: int, html_to: int, inner_from: int, inner_to: int>>>"
+
+
+class _Tree(HTMLParser):
+    """Elements in the order of their start tags: each with its last descendant, and where its text and its source lie."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.html, self.rows, self.open, self.text, self.chars = html, [], [], [], 0
+        self.lines = [0, *[m.end() for m in re.finditer("\n", html)]]
+        self.feed(html)
+        self.close()
+        self.drop(0, len(html))
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def drop(self, keep: int, at: int, end: int | None = None) -> None:
+        """Ends the innermost elements but the first `keep`; the outermost of them at the end tag from `at` to `end`, if any."""
+        for k in range(len(self.open) - 1, keep - 1, -1):
+            row = self.rows[self.open[k]]
+            row |= {"last": len(self.rows) - 1, "text_to": self.chars, "inner_to": at, "html_to": end if end is not None and k == keep else at}
+        del self.open[keep:]
+
+    def implied(self, tag: str, at: int) -> None:
+        for ends, within in ((_ENDS.get(tag, set()), _WITHIN.get(tag, set())), ({"p"} if tag in _PARAGRAPH_ENDS else set(), {"table", "button", "td", "th", "object"}), ({"head"} if tag not in _HEAD else set(), set())):
+            found = None
+            for k in range(len(self.open) - 1, -1, -1):
+                name = self.rows[self.open[k]]["tag"]
+                if name in within:
+                    break
+                if name in ends:
+                    found = k
+                elif name in ("div", "section", "article", "body"):
+                    break
+            if found is not None:
+                self.drop(found, at)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        at = self.at()
+        self.implied(tag, at)
+        if tag == "form" and any(self.rows[k]["tag"] == "form" for k in self.open):
+            return
+        parent = self.open[-1] if self.open else None
+        node, inner = len(self.rows), at + len(self.get_starttag_text() or "")
+        has: dict[str, str] = {}
+        for name, value in attrs:
+            has.setdefault(name, value or "")
+        row = {"node": node, "parent": parent, "last": node, "depth": len(self.open), "nth": 1, "siblings": 1, "tag": tag, "attrs": has, "text_from": self.chars, "text_to": self.chars, "html_from": at, "html_to": inner, "inner_from": inner, "inner_to": inner}
+        self.rows.append(row)
+        if tag not in VOID:
+            self.open.append(node)
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag: str) -> None:
+        at = self.at()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.rows[self.open[k]]["tag"] == tag:
+                end = self.html.find(">", at)
+                self.drop(k, at, len(self.html) if end < 0 else end + 1)
+                return
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+        self.chars += len(data)
+
+    def numbered(self) -> list[dict]:
+        family: dict[int | None, list[dict]] = {}
+        for row in self.rows:
+            family.setdefault(row["parent"], []).append(row)
+        for rows in family.values():
+            for k, row in enumerate(rows):
+                row["nth"], row["siblings"] = k + 1, len(rows)
+        return self.rows
+
+
+def parse_elements(html: Column) -> Column:
+    """A page's text and its elements (ELEMENTS). End tags that HTML lets be left out are implied; an end tag without a start
+    is skipped, as is a form within a form; what an end tag finds open inside its element ends with it. Null gives null."""
+    @F.arrow_udf(ELEMENTS)
+    def parse(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages.to_pylist():
+            tree = None if page is None else _Tree(page)
+            out.append(None if tree is None else {"text": "".join(tree.text), "elements": [r | {"attrs": list(r["attrs"].items())} for r in tree.numbered()]})
+        return pa.array(out, _ELEMENT_TYPE)
+
+    return parse(html)
+
+
+_INTS = ("node", "parent", "last", "depth", "nth", "siblings")
+_PLACES = ("text_from", "text_to", "html_from", "html_to", "inner_from", "inner_to")
+_ELEMENT_TYPE = pa.struct([("text", pa.string()), ("elements", pa.list_(pa.struct([*[(n, pa.int32()) for n in _INTS], ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), *[(n, pa.int32()) for n in _PLACES]])))])

@@ -271,3 +271,31 @@ def cookie_domain_matches(h: Column, d: Column, host_only: Column) -> Column:
 
 def cookie_path_matches(requested: Column, own: Column) -> Column:
     return (requested == own) | (requested.startswith(own) & (own.endswith("/") | (F.substr(requested, F.length(own) + 1, F.lit(1)) == "/")))
+
+
+#: Scheme, authority with its slashes, path, query with its mark, fragment with its mark (RFC 3986, appendix B).
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dot_segments(path: Column) -> Column:
+    """A path without its . and .. segments (RFC 3986, 5.2.4), as a fold over its segments; a path without a leading slash and
+    one without a dot segment stay as they are."""
+    segments = F.split(F.substr(path, F.lit(2)), "/", -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.startswith("/") & path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference as an absolute URL against the base it was found under (RFC 3986, 5.2.2, strict). Space around either is
+    dropped; a null gives null. A base without a scheme gives what a reference alone can say."""
+    b, r = F.trim(base), F.trim(reference)
+    part = lambda u, k: F.regexp_extract(u, REFERENCE, k)
+    scheme, authority, path, query = (part(r, k) for k in (1, 2, 3, 4))
+    merged = F.when((part(b, 2) != "") & (part(b, 3) == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(part(b, 3), r"(?s)^(.*/)?", 0), path))
+    own = (scheme != "") | (authority != "")
+    new_path = F.when(own | path.startswith("/"), without_dot_segments(path)).when(path == "", part(b, 3)).otherwise(without_dot_segments(merged))
+    new_query = F.when(own | (path != "") | (query != ""), query).otherwise(part(b, 4))
+    new_scheme = F.when(scheme != "", scheme).otherwise(part(b, 1))
+    new_authority = F.when(own, authority).otherwise(part(b, 2))
+    return F.concat(F.when(new_scheme != "", F.concat(new_scheme, F.lit(":"))).otherwise(""), new_authority, new_path, new_query, part(r, 5))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, markup, pages, payloads, questions, ranking, reports, requests, research, state, texts, urls, verdicts
+from . import dom, evidence, markup, pages, payloads, questions, ranking, reports, requests, research, state, texts, urls, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, evidence, reports, payloads, pages, markup)
+MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, evidence, reports, payloads, pages, markup, dom)
 
 
 def queries() -> dict[str, Query]:
