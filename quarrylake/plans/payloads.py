@@ -79,8 +79,41 @@ def sitemap_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("domain", F.posexplode(P.sitemap_candidates(F.col("domain"), F.col("robots"))).alias("place", "url"))
 
 
-QUERIES = {"service_hits": service_hits, "forum_posts": forum_posts, "feed_entries": feed_entries, "sitemap_rows": sitemap_rows, "sitemap_places": sitemap_places}
+#: Entries of each kind of link; the feed names its own site or, for odd ids, doesn't.
+LINKED = '<item><title>Whole</title><link>https://w.example/{i}?a=1&amp;b=2</link><pubDate>Thu, 01 Jan 2026 23:00:00 GMT</pubDate></item><item><title>Relative</title><link>posts/{i}</link><dc:creator>Who</dc:creator></item><item><title>Rooted</title><link>/r/../{i}</link></item><item><title>Host</title><link>//h.example/{i}</link></item><item><title>Guid</title><guid>https://g.example/{i}</guid></item><item><title>Lost</title><guid>tag:{i}</guid></item><entry><title>Atom</title><link rel="self" href="https://no.example/"/><link href="?p={i}"/><author><name>A</name></author><updated>2026-02-03T00:30:00+02:00</updated></entry>'
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    head = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<title>Feed "), i, F.lit("</title><link>https://site.example/sub/index.html</link>"))).otherwise("")
+    body = F.concat(F.lit("<rss><channel>"), head, F.when(F.col("page_id") % 5 == 4, "").otherwise(F.replace(F.lit(LINKED), F.lit("{i}"), i)), F.lit("</channel></rss>"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("https://feeds.example/a/feed.xml").alias("url"), body.alias("body"))
+
+
+def feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.linked_feed(_feeds(spark, sf_dir)).withColumn("published_at", F.col("published_at").cast("string"))
+
+
+def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.feed_documents(_feeds(spark, sf_dir), limit=6).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+FEED_LINKS_SQL = """WITH p AS (SELECT page_id AS id, CAST(page_id AS VARCHAR) AS i, page_id % 2 = 0 AS own FROM pages WHERE page_id % 5 <> 4)
+SELECT id, 1 AS position, 'Whole' AS title, 'https://w.example/' || i || '?a=1&b=2' AS url, '2026-01-01' AS published_at, '' AS guid, '' AS author, CAST(NULL AS VARCHAR) AS warning FROM p
+UNION ALL SELECT id, 2, 'Relative', CASE WHEN own THEN 'https://site.example/sub/posts/' ELSE 'https://feeds.example/a/posts/' END || i, NULL, '', 'Who', NULL FROM p
+UNION ALL SELECT id, 3, 'Rooted', CASE WHEN own THEN 'https://site.example/' ELSE 'https://feeds.example/' END || i, NULL, '', '', NULL FROM p
+UNION ALL SELECT id, 4, 'Host', 'https://h.example/' || i, NULL, '', '', NULL FROM p
+UNION ALL SELECT id, 5, 'Guid', 'https://g.example/' || i, NULL, 'https://g.example/' || i, '', NULL FROM p
+UNION ALL SELECT id, 6, 'Lost', '', NULL, 'tag:' || i, '', 'entry has no link and no URL guid; the permalink is unknown' FROM p
+UNION ALL SELECT id, 7, 'Atom', CASE WHEN own THEN 'https://site.example/sub/index.html' ELSE 'https://feeds.example/a/feed.xml' END || '?p=' || i, '2026-02-02', '', 'A', NULL FROM p"""
+FEED_STATUS_SQL = """SELECT page_id AS id, CASE WHEN page_id % 10 = 9 THEN 'unparsed' ELSE 'ok' END AS status, CASE WHEN page_id % 2 = 0 THEN 'Feed ' || page_id ELSE 'https://feeds.example/a/feed.xml' END AS title,
+ CASE WHEN page_id % 2 = 0 THEN 'https://site.example/sub/index.html' ELSE '' END AS link, CASE WHEN page_id % 5 = 4 THEN 0 ELSE 7 END AS entries, CASE WHEN page_id % 5 = 4 THEN 0 ELSE 6 END AS returned,
+ CASE WHEN page_id % 5 = 4 THEN '' ELSE 'entry has no link and no URL guid; the permalink is unknown' END AS warnings FROM pages"""
+
+QUERIES = {"service_hits": service_hits, "forum_posts": forum_posts, "feed_entries": feed_entries, "sitemap_rows": sitemap_rows, "sitemap_places": sitemap_places, "feed_links": feed_links, "feed_status": feed_status}
 SQL = {
+    "feed_links": FEED_LINKS_SQL,
+    "feed_status": FEED_STATUS_SQL,
     "service_hits": """WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'g'), '\\s+', ' ', 'g')) AS t, CAST(DATE '2026-01-01' + CAST(page_id % 300 AS INTEGER) AS VARCHAR) AS day FROM pages)
 SELECT 'pages' AS service, 1 AS position, 'Page ' || page_id AS title, url, rtrim(left(t, 400)) AS snippet, day AS published_at, NULL AS modified_at FROM p WHERE regexp_matches(url, '^https?://[^/?#]+') UNION ALL
 SELECT 'pages_found', 1, 'Page ' || page_id, 'https://en.wikipedia.org/wiki/Page_' || page_id, rtrim(left(t, 400)), NULL, day FROM p UNION ALL SELECT * FROM """ + sql_literal("service, position, title, url, snippet, published_at, modified_at", HITS),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import text as T
 from ..functions import url as U
 
@@ -148,6 +149,52 @@ def feed(bodies: DataFrame, limit: int = 50) -> DataFrame:
     return out.where("title <> '' AND url <> ''").withColumn("position", place).where(F.col("position") <= limit).drop("at")
 
 
+ENTRY = r"(?is)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)>"
+NO_LINK = "entry has no link and no URL guid; the permalink is unknown"
+BAD_LINK = "entry link could not be resolved: "
+
+
+def _own_link(xml: Column) -> Column:
+    """The text of <link>, or the href of the first one that isn't for something else than the thing itself."""
+    tags = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[a-z]+:)?link\s[^>]*>"), F.lit(0))
+    own = F.filter(tags, lambda t: ~F.lower(F.regexp_extract(t, r"(?is)\srel\s*=\s*[\"']([^\"']*)", 1)).isin("self", "edit", "replies", "enclosure", "related", "via", "hub", "next", "prev"))
+    hrefs = F.transform(own, lambda t: _plain(F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']([^\"']*)", 1), 2000))
+    return _first(_tag(xml, "link"), F.get(F.filter(hrefs, lambda h: h != ""), F.lit(0)))
+
+
+def linked_feed(documents: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, position, title, url, published_at, guid, author, warning): entries of feeds (id, url, body) with absolute links.
+
+    A relative link is resolved against the feed's own link, if that is absolute,
+    else against where the feed was read; a guid that is a URL stands in for a
+    missing link. An entry whose link is unknown or can't be resolved stays, with
+    a warning. published_at is the UTC day, null if it is no whole date.
+    """
+    rows = documents.select("id", F.trim("url").alias("feed_url"), F.regexp_replace(F.coalesce("body", F.lit("")), "(?is)<(item|entry)[ >].*", "").alias("head"), F.posexplode(F.regexp_extract_all("body", F.lit(ENTRY), F.lit(0))).alias("at", "x")).where(F.col("at") < limit)
+    web = lambda c: F.lower(c).rlike("^https?://")
+    rows = rows.select("id", "at", "x", "feed_url", _own_link(F.col("head")).alias("feed_link"), _own_link(F.col("x")).alias("link"), _first(_tag(F.col("x"), "guid"), _tag(F.col("x"), "id")).alias("guid"))
+    raw = F.when(F.col("link") != "", F.col("link")).when(web(F.col("guid")), F.col("guid")).otherwise("")
+    rows = rows.withColumn("raw", raw).withColumn("base", F.when(web(F.col("feed_link")), F.col("feed_link")).otherwise(F.coalesce("feed_url", F.lit(""))))
+    whole = F.col("raw").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]")
+    url = F.when((F.col("raw") == "") | whole, F.col("raw")).when(F.col("raw").startswith("//"), F.concat(F.lit("https:"), "raw")).otherwise(U.resolve(F.col("base"), F.col("raw")))
+    rows = rows.withColumn("resolved", url)
+    lost = (F.col("raw") != "") & ~F.col("resolved").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    warning = F.when(F.col("raw") == "", NO_LINK).when(lost, F.concat(F.lit(BAD_LINK), F.substring("raw", 1, 120)))
+    when = _first(_tag(F.col("x"), "pubDate"), _tag(F.col("x"), "published"), _tag(F.col("x"), "date"), _tag(F.col("x"), "updated"))
+    return rows.select("id", (F.col("at") + 1).alias("position"), _tag(F.col("x"), "title").alias("title"), F.when(lost, F.col("raw")).otherwise(F.col("resolved")).alias("url"), D.normalize_timestamp(when).alias("published_at"), "guid", _first(_tag(F.col("x"), "creator"), _tag(F.regexp_extract("x", r"(?is)<author(?:\s[^>]*)?>.*?</author>", 0), "name"), _tag(F.col("x"), "author")).alias("author"), warning.alias("warning"))
+
+
+def feed_documents(documents: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, status, title, link, entries, returned, warnings): a row for each feed; `unparsed` if it has neither entries nor a title.
+    A title that is missing is the feed's URL; warnings are those of the entries returned, in order."""
+    head = F.regexp_replace(F.coalesce("body", F.lit("")), "(?is)<(item|entry)[ >].*", "")
+    heads = documents.select("id", "url", _tag(head, "title").alias("own"), _own_link(head).alias("link"), F.coalesce(F.regexp_count("body", F.lit(ENTRY)), F.lit(0)).alias("entries"))
+    found = linked_feed(documents, limit).groupBy("id").agg(F.count("*").cast("int").alias("returned"), F.transform(F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("position", "warning")))), lambda w: w["warning"]).alias("warnings"))
+    out = heads.join(found, "id", "left")
+    status = F.when((F.col("entries") == 0) & (F.col("own") == ""), "unparsed").otherwise("ok")
+    return out.select("id", status.alias("status"), F.when(F.col("own") != "", F.col("own")).otherwise(F.col("url")).alias("title"), "link", "entries", F.coalesce("returned", F.lit(0)).alias("returned"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
 def sitemap(bodies: DataFrame) -> DataFrame:
     """(id, kind, url, lastmod, published, title): `index` rows name further sitemaps, `page` rows pages."""
     entries = F.regexp_extract_all("body", F.lit(r"(?is)<(?:url|sitemap)(?:\s[^>]*)?>.*?</(?:url|sitemap)>"), F.lit(0))
