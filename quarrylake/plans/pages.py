@@ -11,6 +11,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..operators import state as A
 from ..sources import service as V
+from ..sources.keyed import KeyedTable, ResponseCache
 from ..streaming import state as W
 from . import state as L
 from .inputs import literal, shared_folder, sql_literal, table
@@ -99,10 +100,35 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key's last event, as a stream that merges into a table leaves it."""
     folder = _folder(spark)
     rows = _events(spark, sf_dir).select("key", "at", "seq", "ok", "event_type")
-    query = W.keep_latest(rows, f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = spark.read.parquet(f"{folder}/table")
-    return done.where(F.col("version") == done.agg(F.max("version")).first()[0]).select("key", "seq", "ok", "event_type")
+    table = KeyedTable(spark, f"{folder}/table")
+    W.keep_latest(rows, table).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.latest().select("key", "seq", "ok", "event_type")
+
+
+def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as answers and questions of a cache: what three of four requests answer is stored in two batches, errors are refused,
+    one namespace is dropped and one is expired; then each user's request is asked for in each namespace."""
+    e = table(spark, sf_dir, "events")
+    payload = F.concat(F.lit('{"user": '), (F.col("user_id") % 50).cast("string"), F.lit(', "k": 1}'))
+    made = e.where("event_id % 4 <> 0").select("event_id", F.col("event_type").alias("namespace"), payload.alias("payload"), F.concat(F.lit('{"n": '), F.col("event_id").cast("string"), F.lit("}")).alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") != "error").alias("cacheable"))
+    cache = ResponseCache(spark, f"{_folder(spark)}/cache")
+    cache.put(made.where("event_id % 2 = 0").drop("event_id"), "log", 0)
+    cache.put(made.where("event_id % 2 = 1").drop("event_id"), "log", 1)
+    cache.put(made.drop("event_id"), "log", 1)  # the same batch again
+    cache.invalidate("signup")
+    cache.table.compact()
+    now = e.agg(F.unix_micros(F.max("ts").cast("timestamp")).cast("double").alias("now"))
+    asked = e.select(F.col("event_type").alias("namespace"), F.concat(F.lit('{"k":1,"user":'), (F.col("user_id") % 50).cast("string"), F.lit("}")).alias("payload")).distinct().crossJoin(F.broadcast(now))
+    found = cache.get(asked, CACHE_TTL)
+    return found.select("namespace", "payload", "value", F.col("age").cast("long").alias("age"))
+
+
+#: A week, in microseconds, as the log's times are.
+CACHE_TTL = 7 * 24 * 3600 * 1e6
+
+CACHE_SQL = f"""WITH e AS (SELECT event_id, event_type, user_id % 50 AS u, epoch_us(ts) AS t FROM events), last AS (SELECT event_type, u, max(t) AS t, arg_max(event_id, t) AS n FROM e WHERE event_id % 4 <> 0 AND event_type NOT IN ('error', 'signup') GROUP BY 1, 2),
+asked AS (SELECT DISTINCT event_type, u FROM e), now AS (SELECT max(t) AS now FROM e)
+SELECT a.event_type AS namespace, '{{"k":1,"user":' || a.u || '}}' AS payload, CASE WHEN now - l.t <= {int(CACHE_TTL)} THEN '{{"n": ' || l.n || '}}' END AS value, CASE WHEN now - l.t <= {int(CACHE_TTL)} THEN CAST(now - l.t AS BIGINT) END AS age FROM asked a CROSS JOIN now LEFT JOIN last l ON l.event_type = a.event_type AND l.u = a.u"""
 
 
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +155,14 @@ def filter_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.filter_modes(spark, literal(spark, "question_id int, active array<string>", [(1, ["include_domains", "date"]), (2, ["file_type"]), (3, [])]))
 
 
-QUERIES = {"page_markdown": page_markdown, "page_text": page_text, "breaker_stream": breaker_stream, "event_windows": event_windows, "user_sessions": user_sessions, "first_requests": first_requests, "session_table": session_table, "retry_delays": retry_delays, "captured_hits": captured_hits, "filter_modes": filter_modes}
+QUERIES = {"page_markdown": page_markdown, "page_text": page_text, "breaker_stream": breaker_stream, "event_windows": event_windows, "user_sessions": user_sessions, "first_requests": first_requests, "session_table": session_table, "response_cache": response_cache, "retry_delays": retry_delays, "captured_hits": captured_hits, "filter_modes": filter_modes}
 SQL = {
     "breaker_stream": BREAKER_SQL,
     "event_windows": WINDOWS_SQL,
     "user_sessions": SESSIONS_SQL,
     "first_requests": "SELECT user_id % 50 AS key, 1 AS asked FROM events GROUP BY 1",
     "session_table": "SELECT user_id % 50 AS key, arg_max(event_id, (ts, event_id)) AS seq, arg_max(event_type <> 'error', (ts, event_id)) AS ok, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
+    "response_cache": CACHE_SQL,
     "retry_delays": DELAYS_SQL,
     "captured_hits": "SELECT 'a' AS engine, 'q' || (page_id % 5) AS query, CAST(page_id // 15 + 1 AS INTEGER) AS position, 'Page ' || page_id AS title, url FROM pages WHERE page_id % 3 = 0 AND page_id // 15 + 1 <= 10",
     "filter_modes": "SELECT * FROM " + sql_literal("question_id, engine, filter, mode", [(1, "a", "include_domains", "native"), (1, "a", "date", "post_filtered"), (1, "b", "include_domains", "emulated"), (1, "b", "date", "unsupported"), (1, "c", "include_domains", "unsupported"), (1, "c", "date", "unsupported"), (2, "a", "file_type", "unsupported"), (2, "b", "file_type", "emulated"), (2, "c", "file_type", "unsupported")]),

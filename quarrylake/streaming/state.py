@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.state import SMOOTH, THRESHOLD
+from ..sources.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,16 +67,7 @@ def windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, l
     return found.select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "event_type", "events")
 
 
-def keep_latest(updates: DataFrame, folder: str, key: str = "key", order: tuple[str, ...] = ("at", "seq")) -> DataStreamWriter:
-    """A writer that merges each batch of a stream into a table of each key's last row, in `folder`.
-
-    Each batch writes the table anew, as a version of its own that is read only
-    when it is whole; a batch that is run again writes the same version again.
-    """
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}"))
-        last = rows.groupBy(key).agg(F.max(F.struct(*order, F.struct(*batch.columns).alias("row"))).alias("last")).select("last.row.*")
-        last.write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return updates.writeStream.foreachBatch(merge).outputMode("append")
+def keep_latest(updates: DataFrame, table: KeyedTable, source: str = "stream") -> DataStreamWriter:
+    """A writer that merges each batch of a stream into a table of each key's last row. A batch adds its own rows only; files are
+    merged after some tens of batches, and a batch that is run again is left out."""
+    return table.sink(updates, source)
