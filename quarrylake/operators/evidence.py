@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import score as C
 from ..functions import text as T
 from ..functions import url as U
+from . import greedy
 
 # Fixed values.
 BOILERPLATE = r"(?i)\b(find out|find .{0,30}information|learn more|read more|welcome to|official (site|website)|sign in|log in|sign up|all rights reserved|we use cookies|cookie policy|privacy policy|terms of (use|service)|skip to (main )?content|toggle navigation|breadcrumb|you are here)\b"
@@ -50,21 +51,26 @@ def dated_groups(hits: DataFrame) -> DataFrame:
 
 
 def conflicts(results: DataFrame) -> DataFrame:
-    """(question_id, unit, values, spread): units whose figures differ by more than 5 % between results of several domains.
+    """(question_id, unit, values, spread, sides): units whose figures differ by more than 5 % between results of several domains.
 
-    `results` has question_id, place, url, title, snippet: a question's ranked
-    results, whose number top k bounds. In their order a value is kept if it
-    differs from all kept before; two or more make a conflict.
+    `results` has question_id, place, url, title, snippet and may have published_at:
+    a question's ranked results, whose number top k bounds. In their order a value
+    is kept if it differs from all kept before; two or more make a conflict. sides
+    has what each kept value was found with, in that order: value, url, domain,
+    title, published_at.
     """
-    figures = results.select("question_id", "place", U.domain(F.col("url")).alias("domain"), F.explode(T.unit_values(F.concat_ws(" ", "title", "snippet"))).alias("unit", "value"))
-    per = figures.groupBy("question_id", "unit").agg(F.countDistinct("domain").alias("domains"), F.sort_array(F.collect_list(F.struct("place", "value"))).alias("rows"))
+    rows = results if "published_at" in results.columns else results.withColumn("published_at", F.lit(None).cast("date"))
+    figures = rows.select("question_id", "place", "url", "title", "published_at", U.domain(F.col("url")).alias("domain"), F.explode(T.unit_values(F.concat_ws(" ", "title", "snippet"))).alias("unit", "value"))
+    side = F.struct("value", "url", "domain", "title", "published_at")
+    per = figures.groupBy("question_id", "unit").agg(F.countDistinct("domain").alias("domains"), F.sort_array(F.collect_list(F.struct("place", "value", side.alias("side")))).alias("rows"))
+    none = F.array().cast("array<struct<value: double, url: string, domain: string, title: string, published_at: date>>")
 
     def keep(kept: Column, row: Column) -> Column:
-        return F.when(F.forall(kept, lambda v: T.materially_different(row["value"], v)), F.concat(kept, F.array(row["value"]))).otherwise(kept)
+        return F.when(F.forall(kept, lambda k: T.materially_different(row["value"], k["value"])), F.concat(kept, F.array(row["side"]))).otherwise(kept)
 
-    kept = per.where("domains >= 2").withColumn("values", F.array_sort(F.aggregate("rows", F.array().cast("array<double>"), keep))).where(F.size("values") >= 2)
+    kept = per.where("domains >= 2").withColumn("sides", F.aggregate("rows", none, keep)).where(F.size("sides") >= 2).withColumn("values", F.array_sort(F.transform("sides", lambda s: s["value"])))
     low, high = F.col("values")[0], F.element_at("values", -1)
-    return kept.select("question_id", "unit", "values", F.when(low != 0, C.round4(high / low)).alias("spread"))
+    return kept.select("question_id", "unit", "values", F.when(low != 0, C.round4(high / low)).alias("spread"), "sides")
 
 
 def sufficiency(results: DataFrame) -> DataFrame:
@@ -90,38 +96,61 @@ def merge_log(hits: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def syndicated(results: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(question_id, url, kept): copies of one wire story on several hosts, with the copy that stays.
+    """(question_id, url, kept): copies of one wire story on several hosts, with the copy that each gave way to.
 
-    `results` has question_id, place, url, title: a question's ranked results,
-    whose number top k bounds. Pairs with alike titles (without names of outlets)
-    on different hosts are taken one by one, the first in order of the results; of
-    each the less credible copy goes (ties: the later), until no pair is left.
+    `results` has question_id, place (a long, unique in a question), url and title,
+    and any number of rows. Pairs with alike titles (without names of outlets) on
+    different hosts are taken one by one, the first in the order of the results;
+    of each the less credible copy goes (ties: the later), until no pair is left.
+
+    Titles meet by their rarest words, and pairs are settled in rounds: a row
+    meets all its later partners once no earlier row can still take one of them.
     """
-    row = F.struct("place", "url", U.registrable(F.col("url")).alias("host"), T.syndication_terms(F.col("title")).alias("wire"), U.source_quality(F.col("url")).alias("quality"))
-    lists = results.groupBy("question_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def pair(rows: Column) -> Column:
-        """Places in the list of the first pair that is left, or null."""
-        alike = lambda a, b: (a["host"] != b["host"]) & (T.jaccard(a["wire"], b["wire"]) >= threshold)
-        partner = F.transform(rows, lambda a, i: F.array_min(F.filter(F.transform(rows, lambda b, j: F.when((j > i) & alike(a, b), j)), lambda j: j.isNotNull())))
-        found = F.filter(F.transform(partner, lambda j, i: F.when(j.isNotNull(), F.struct(i.alias("i"), j.alias("j")))), lambda p: p.isNotNull())
-        return F.get(found, F.lit(0))
-
-    def step(state: Column, _: Column) -> Column:
-        rows = state["rows"]
-
-        def merged(p: Column) -> Column:
-            a, b = F.get(rows, p["i"]), F.get(rows, p["j"])
-            keep, drop = F.when(a["quality"] >= b["quality"], a).otherwise(b), F.when(a["quality"] >= b["quality"], b).otherwise(a)
-            fewer = F.filter(rows, lambda r: r["url"] != drop["url"])
-            return F.when(p.isNull(), state).otherwise(F.struct(fewer.alias("rows"), F.concat(state["log"], F.array(F.struct(drop["url"].alias("url"), keep["url"].alias("kept")))).alias("log")))
-
-        return T.let(pair(rows), merged)
-
-    zero = F.struct(F.col("rows").alias("rows"), F.array().cast("array<struct<url:string,kept:string>>").alias("log"))
-    # Each step merges one pair at most, so as many steps as results are enough.
-    folded = lists.select("question_id", F.explode(F.aggregate("rows", zero, step)["log"]).alias("m"))
-    return folded.select("question_id", "m.url", "m.kept")
+    rows = results.select("question_id", "place", "url", U.registrable(F.col("url")).alias("host"), U.source_quality(F.col("url")).alias("quality"), F.array_sort(T.syndication_terms(F.col("title"))).alias("words"))
+    nodes = rows.where(F.size("words") > 0).select(F.struct("question_id").alias("block"), F.struct("question_id", "place").alias("node"), "words", "url", "host", "quality").checkpoint()
+    facts = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("host", "quality")])
+    pairs = greedy.alike_pairs(nodes.select("block", "node", "words"), threshold).join(facts("a"), "a").join(facts("b"), "b").where("host_a <> host_b").select("a", "b", (F.col("quality_b") > F.col("quality_a")).alias("better")).checkpoint()
+    gone = None
+    while not pairs.isEmpty():
+        # A row acts if it waits for none itself and is the first to reach each of its partners.
+        waits = pairs.select(F.col("b").alias("a")).distinct()
+        reached = pairs.groupBy("b").agg(F.min("a").alias("first"))
+        blocked = pairs.join(reached, "b").where("a <> first").select("a").distinct()
+        acting = pairs.join(waits, "a", "left_anti").join(blocked, "a", "left_anti")
+        met = acting.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "better"))).alias("met"))
+        # Partners go up to the first that is better; to that one the row itself gives way.
+        better = F.array_position(F.transform("met", lambda x: x["better"]), F.lit(True))
+        moves = F.transform(F.slice("met", 1, F.when(better > 0, better.cast("int") - 1).otherwise(F.size("met"))), lambda x: F.struct(x["b"].alias("node"), F.col("a").alias("kept")))
+        moves = F.when(better > 0, F.concat(moves, F.array(F.struct(F.col("a").alias("node"), F.get("met", better.cast("int") - 1)["b"].alias("kept"))))).otherwise(moves)
+        now = met.select("a", F.explode_outer(moves).alias("m")).select("a", "m.node", "m.kept").checkpoint()
+        gone = now if gone is None else gone.unionByName(now)
+        acted = now.select("a").distinct()
+        lost = now.where("node IS NOT NULL").select("node")
+        pairs = pairs.join(acted, "a", "left_anti").join(lost.withColumnRenamed("node", "a"), "a", "left_anti").join(lost.withColumnRenamed("node", "b"), "b", "left_anti").checkpoint()
+    urls = nodes.select("node", "url")
+    if gone is None:
+        return urls.where("false").select("node.question_id", "url", F.col("url").alias("kept"))
+    named = gone.where("node IS NOT NULL").join(urls, "node").join(urls.withColumnsRenamed({"node": "kept", "url": "kept_url"}), "kept")
+    return named.select("node.question_id", "url", F.col("kept_url").alias("kept"))
+
+
+def merge_syndicated(groups: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, log): groups of hits (as ranking.merge_canonical gives them) without the copies in `moved` (question_id, url, kept), whose
+    hits, engines and best ranks go to the page that is kept in the end; a page without a date takes the earliest of its copies. The
+    log has a row for each copy: question_id, reason, kept, merged, similarity (null), as merge_log."""
+    end = moved.select("question_id", "url", "kept")
+    while True:
+        further = end.select("question_id", F.col("url").alias("kept"), F.col("kept").alias("next"))
+        end = end.join(further, ["question_id", "kept"], "left").select("question_id", "url", F.coalesce("next", "kept").alias("kept"), F.col("next").isNotNull().alias("on")).checkpoint()
+        if end.where("on").isEmpty():
+            break
+        end = end.drop("on")
+    told = groups.join(end.select("question_id", "url", "kept"), ["question_id", "url"], "left").withColumn("to", F.coalesce("kept", "url"))
+    engines = told.select("question_id", "to", F.explode("engine_ranks").alias("e", "r")).groupBy("question_id", "to", "e").agg(F.min("r").alias("r")).groupBy("question_id", "to").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "r")))).alias("all_ranks"))
+    sums = told.groupBy("question_id", "to").agg(F.sum("hits").alias("all_hits"), F.min("best_rank").alias("all_best"), F.min("published_at").alias("earliest")).join(engines, ["question_id", "to"])
+    own = told.where("kept IS NULL").drop("kept", "to").join(sums.withColumnRenamed("to", "url"), ["question_id", "url"])
+    out = own.withColumns({"hits": F.col("all_hits"), "best_rank": F.col("all_best"), "engine_ranks": F.col("all_ranks"), "published_at": F.coalesce("published_at", "earliest")}).select(*groups.columns)
+    return out, moved.select("question_id", F.lit("syndication").alias("reason"), "kept", F.col("url").alias("merged"), F.lit(None).cast("double").alias("similarity"))
 
 
 def verified(results: DataFrame, pages: DataFrame, questions: DataFrame, today: Column, top_n: int = 3) -> DataFrame:

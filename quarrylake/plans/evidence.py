@@ -13,7 +13,7 @@ from ..operators import ranking as R
 from . import ranking as K
 from . import sqltext as S
 from . import urls
-from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, table
+from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, stored, table
 
 _R4 = "floor(({0}) * 10000 + 0.5) / 10000"
 
@@ -62,26 +62,29 @@ FIGURES = [
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All hits of pages in order of arrival, as if ranked; the first forty of each question."""
-    hits = K.hits(spark, sf_dir).select("question_id", F.col("arrival_seq").alias("place"), "url", "title", F.concat_ws(" ", "snippet", F.concat((F.col("arrival_seq") % 9).cast("string"), F.lit(" percent"))).alias("snippet"))
-    return hits.where("place < 200").unionByName(literal(spark, "question_id long, place long, url string, title string, snippet string", FIGURES))
+    """All hits of pages as ranked results: forty to a question."""
+    hits = K.hits(spark, sf_dir).select((F.floor(F.col("arrival_seq") / 40) + 100).cast("long").alias("question_id"), F.col("arrival_seq").alias("place"), "url", "title", F.concat_ws(" ", "snippet", F.concat((F.col("arrival_seq") % 9).cast("string"), F.lit(" percent"))).alias("snippet"), "published_at")
+    return hits.unionByName(literal(spark, "question_id long, place long, url string, title string, snippet string", FIGURES), allowMissingColumns=True)
 
 
 def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = V.conflicts(_ranked(spark, sf_dir))
-    return found.select("question_id", "unit", F.array_join(F.transform("values", lambda v: F.floor(v * 1000 + 0.5).cast("long").cast("string")), ",").alias("values"), micro(F.col("spread")).alias("spread"))
+    text = lambda c: F.array_join(F.transform("sides", lambda s: F.coalesce(s[c].cast("string"), F.lit("-"))), "|").alias(f"{c}s")
+    return found.select("question_id", "unit", F.array_join(F.transform("values", lambda v: F.floor(v * 1000 + 0.5).cast("long").cast("string")), ",").alias("values"), micro(F.col("spread")).alias("spread"), text("url"), text("domain"), text("published_at"))
 
 
 _UNIT = "CASE u " + " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in T.UNITS.items() if k) + " ELSE 'count' END"
-CONFLICTS_SQL = f"""WITH RECURSIVE {K._HITS}, rk AS (SELECT question_id, arrival_seq AS place, url, title, concat_ws(' ', snippet, (arrival_seq % 9) || ' percent') AS snippet FROM hits WHERE arrival_seq < 200 UNION ALL SELECT * FROM {sql_literal('question_id, place, url, title, snippet', FIGURES)}),
-n AS (SELECT question_id, place, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS dom, unnest(list_zip(regexp_extract_all(concat_ws(' ', title, snippet), {S.lit(T.MEASURE)}, 1), regexp_extract_all(concat_ws(' ', title, snippet), {S.lit(T.MEASURE)}, 2))) AS p FROM rk),
-u AS (SELECT question_id, place, dom, CAST(replace(p[1], ',', '') AS DOUBLE) AS value, lower(regexp_replace(coalesce(p[2], ''), '\\s+', ' ', 'g')) AS u, row_number() OVER () AS o FROM n),
-f AS (SELECT question_id, place, dom, {_UNIT} AS unit, arg_min(value, o) AS value FROM u GROUP BY ALL),
-g AS (SELECT question_id, unit, place, value, row_number() OVER (PARTITION BY question_id, unit ORDER BY place, value) AS k FROM f WHERE (question_id, unit) IN (SELECT (question_id, unit) FROM f GROUP BY question_id, unit HAVING count(DISTINCT dom) >= 2)),
-w AS (SELECT question_id, unit, k, [value] AS kept FROM g WHERE k = 1 UNION ALL
-  SELECT g.question_id, g.unit, g.k, CASE WHEN len(list_filter(kept, lambda v: v = g.value OR (least(abs(v), abs(g.value)) <> 0 AND (greatest(abs(v), abs(g.value)) - least(abs(v), abs(g.value))) / least(abs(v), abs(g.value)) <= 0.05))) = 0 THEN list_append(kept, g.value) ELSE kept END FROM w JOIN g ON g.question_id = w.question_id AND g.unit = w.unit AND g.k = w.k + 1),
-z AS (SELECT question_id, unit, list_sort(arg_max(kept, k)) AS vals FROM w GROUP BY question_id, unit)
-SELECT question_id, unit, array_to_string(list_transform(vals, lambda v: CAST(floor(v * 1000 + 0.5) AS BIGINT)), ',') AS "values", {sql_micro('CASE WHEN vals[1] <> 0 THEN ' + _R4.format('vals[-1] / vals[1]') + ' END')} AS spread FROM z WHERE len(vals) >= 2"""
+CONFLICTS_SQL = f"""WITH RECURSIVE {K._HITS}, rk AS (SELECT arrival_seq // 40 + 100 AS question_id, arrival_seq AS place, url, title, concat_ws(' ', snippet, (arrival_seq % 9) || ' percent') AS snippet, published_at FROM hits UNION ALL SELECT *, NULL FROM {sql_literal('question_id, place, url, title, snippet', FIGURES)}),
+n AS (SELECT question_id, place, url, published_at, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS dom, unnest(list_zip(regexp_extract_all(concat_ws(' ', title, snippet), {S.lit(T.MEASURE)}, 1), regexp_extract_all(concat_ws(' ', title, snippet), {S.lit(T.MEASURE)}, 2))) AS p FROM rk),
+u AS (SELECT question_id, place, dom, url, published_at, CAST(replace(p[1], ',', '') AS DOUBLE) AS value, lower(regexp_replace(coalesce(p[2], ''), '\\s+', ' ', 'g')) AS u, row_number() OVER () AS o FROM n),
+f AS (SELECT question_id, place, dom, url, published_at, {_UNIT} AS unit, arg_min(value, o) AS value FROM u GROUP BY ALL),
+g AS (SELECT question_id, unit, place, value, {{'v': value, 'u': url, 'd': dom, 'p': coalesce(CAST(published_at AS VARCHAR), '-')}} AS side, row_number() OVER (PARTITION BY question_id, unit ORDER BY place, value) AS k FROM f WHERE (question_id, unit) IN (SELECT (question_id, unit) FROM f GROUP BY question_id, unit HAVING count(DISTINCT dom) >= 2)),
+w AS (SELECT question_id, unit, k, [value] AS kept, [side] AS sides FROM g WHERE k = 1 UNION ALL
+  SELECT g.question_id, g.unit, g.k, CASE WHEN len(list_filter(kept, lambda v: v = g.value OR (least(abs(v), abs(g.value)) <> 0 AND (greatest(abs(v), abs(g.value)) - least(abs(v), abs(g.value))) / least(abs(v), abs(g.value)) <= 0.05))) = 0 THEN list_append(kept, g.value) ELSE kept END,
+   CASE WHEN len(list_filter(kept, lambda v: v = g.value OR (least(abs(v), abs(g.value)) <> 0 AND (greatest(abs(v), abs(g.value)) - least(abs(v), abs(g.value))) / least(abs(v), abs(g.value)) <= 0.05))) = 0 THEN list_append(sides, g.side) ELSE sides END FROM w JOIN g ON g.question_id = w.question_id AND g.unit = w.unit AND g.k = w.k + 1),
+z AS (SELECT question_id, unit, list_sort(arg_max(kept, k)) AS vals, arg_max(sides, k) AS sides FROM w GROUP BY question_id, unit)
+SELECT question_id, unit, array_to_string(list_transform(vals, lambda v: CAST(floor(v * 1000 + 0.5) AS BIGINT)), ',') AS "values", {sql_micro('CASE WHEN vals[1] <> 0 THEN ' + _R4.format('vals[-1] / vals[1]') + ' END')} AS spread,
+ array_to_string(list_transform(sides, lambda x: x.u), '|') AS urls, array_to_string(list_transform(sides, lambda x: x.d), '|') AS domains, array_to_string(list_transform(sides, lambda x: x.p), '|') AS published_ats FROM z WHERE len(vals) >= 2"""
 
 
 def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +110,14 @@ WIRE = [
 
 
 def syndicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = K.hits(spark, sf_dir).where("arrival_seq < 60").select("question_id", F.col("arrival_seq").alias("place"), "url", "title").dropDuplicates(["question_id", "url"])
-    return V.syndicated(hits.unionByName(literal(spark, "question_id long, place long, url string, title string", WIRE)))
+    """Copies among all groups of pages, before they are ranked, and among given wire stories; what is kept gets their hits."""
+    checkpoints(spark)
+    groups = R.merge_canonical(K.hits(spark, sf_dir)).unionByName(R.merge_canonical(literal(spark, "question_id long, arrival_seq long, url string, title string", WIRE).withColumns({"engine": F.lit("e"), "position": F.col("arrival_seq").cast("int"), "snippet": F.lit(""), "published_at": F.lit(None).cast("date")})))
+    groups = stored(groups, "groups")
+    moved = V.syndicated(groups.withColumnRenamed("arrival_seq", "place"), 0.5)
+    merged, log = V.merge_syndicated(groups, moved)
+    gained = merged.join(log.select("question_id", F.col("kept").alias("url")).distinct(), ["question_id", "url"], "left_semi").select("question_id", F.lit("kept").alias("what"), "url", F.col("hits").cast("string").alias("told"))
+    return gained.unionByName(log.select("question_id", F.lit("merged").alias("what"), F.col("merged").alias("url"), F.col("kept").alias("told")))
 
 
 def _news(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,8 +149,8 @@ SELECT question_id, coalesce(failed, 0) AS failed, coalesce(so, 0) AS snippet_on
 
 
 def provenance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the report on one question: pages as sources, conversations' turns as claims of them."""
-    rows = _results(spark, sf_dir).where("question_id = 1")
+    """Edges of one report on all results: pages as sources, conversations' turns as claims of them."""
+    rows = _results(spark, sf_dir)
     queries = rows.select(F.substring("query", 2, 9).alias("query_no")).distinct()
     returned = rows.select(F.substring("query", 2, 9).alias("query_no"), (F.col("seq") % 50).alias("source_id"))
     claims = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), (F.col("conv_id") % 60).alias("source_id"))
@@ -160,7 +160,7 @@ def provenance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.unionByName(nodes.select(F.col("node").alias("src"), F.lit("").alias("dst"), F.concat(F.lit("is:"), F.col("kind")).alias("relation")))
 
 
-GRAPH_SQL = f"""WITH {_RESULTS}, r AS (SELECT substr(query, 2) AS qn, seq % 50 AS sid FROM rs WHERE question_id = 1), c AS (SELECT conv_id * 1000 + turn AS cid, conv_id % 60 AS sid FROM conversations),
+GRAPH_SQL = f"""WITH {_RESULTS}, r AS (SELECT substr(query, 2) AS qn, seq % 50 AS sid FROM rs), c AS (SELECT conv_id * 1000 + turn AS cid, conv_id % 60 AS sid FROM conversations),
 e AS (SELECT 'question' AS src, 'q:' || qn AS dst, 'issued' AS relation FROM r UNION SELECT 'q:' || qn, 'src:' || sid, 'returned' FROM r WHERE sid IN (SELECT sid FROM c) UNION SELECT 'src:' || sid, 'claim:' || cid, 'states' FROM c
   UNION SELECT 'claim:' || cid, 'stmt:' || (cid % 40), 'supports' FROM c UNION SELECT 'claim:' || cid, 'x:' || (cid % 40), 'conflicts_with' FROM c WHERE cid % 40 % 9 = 0),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
@@ -201,16 +201,20 @@ MISSES_SQL = f"""WITH {_RESULTS}, x AS (SELECT question_id, seq, url, domain, lo
 p AS (SELECT question_id, regexp_extract(scope, '^[^/]*') AS h, regexp_extract(scope, '^[^/]*/(.*)$', 1) AS q FROM s)
 SELECT question_id, seq, url FROM x WHERE question_id IN (SELECT question_id FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE p.question_id = x.question_id AND (x.domain = h OR ends_with(x.domain, '.' || h)) AND (q = '' OR pth = '/' || q OR starts_with(pth, '/' || q || '/')))"""
 
-EXPECTED = [(0, ["example.org"], [], 300), (1, ["nowhere.test"], ["zzz"], None), (2, [], ["der"], 30), (3, ["example.net"], [], None), (8, ["a.org"], [], 5)]
+EXPECTED = [(0, ["example.org"], [], 300), (1, ["nowhere.test"], ["zzz"], None), (2, [], ["der"], 30), (3, ["example.net"], [], None), (4, ["a.org"], [], 5)]
 
 
 def scored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = K.hits(spark, sf_dir).select("question_id", F.col("arrival_seq").alias("place"), "url", "title", "snippet", "published_at").where("place < 30").withColumn("place", F.floor(F.col("place") / 5) + 1)
-    return R.scored_queries(results, literal(spark, "question_id long, domains array<string>, phrases array<string>, recency_days int", EXPECTED), K.today())
+    """Each 25 pages as the results of one query, in their order; what is expected of it, its number decides. One query has no results."""
+    results = K.hits(spark, sf_dir).select(F.floor(F.col("arrival_seq") / 25).alias("question_id"), (F.col("arrival_seq") % 25 + 1).alias("place"), "url", "title", "snippet", "published_at")
+    kinds = literal(spark, "kind long, domains array<string>, phrases array<string>, recency_days int", EXPECTED)
+    asked = results.select("question_id").unionByName(literal(spark, "question_id long", [(-1,)])).distinct().withColumn("kind", F.pmod("question_id", F.lit(5)))
+    return R.scored_queries(results, asked.join(F.broadcast(kinds), "kind").drop("kind"), K.today())
 
 
 _EXPECTED = ", ".join(f"({i}, CAST([{S.words(d)}] AS VARCHAR[]), CAST([{S.words(p)}] AS VARCHAR[]), {r if r else 'NULL'})" for i, d, p, r in EXPECTED)
-SCORED_SQL = f"""WITH {K._HITS}, e AS (SELECT * FROM (VALUES {_EXPECTED}) t(question_id, domains, phrases, recency)), r AS (SELECT question_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS dom, lower(concat_ws(' ', title, snippet)) AS hay, published_at FROM hits WHERE arrival_seq < 30 AND arrival_seq // 5 + 1 <= 5)
+SCORED_SQL = f"""WITH {K._HITS}, wanted AS (SELECT * FROM (VALUES {_EXPECTED}) t(kind, domains, phrases, recency)), e AS (SELECT question_id, wanted.* FROM (SELECT DISTINCT arrival_seq // 25 AS question_id FROM hits UNION SELECT -1) q JOIN wanted ON (question_id % 5 + 5) % 5 = kind),
+r AS (SELECT arrival_seq // 25 AS question_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS dom, lower(concat_ws(' ', title, snippet)) AS hay, published_at FROM hits WHERE arrival_seq % 25 < 5)
 SELECT CAST(e.question_id AS BIGINT) AS question_id, count(dom) > 0 AS available, coalesce(bool_or(len(list_filter(domains, lambda d: dom = d OR ends_with(dom, '.' || d))) > 0 OR len(list_filter(phrases, lambda p: contains(hay, p))) > 0), FALSE) AS quality_hit,
   CASE WHEN any_value(recency) IS NOT NULL THEN coalesce(bool_or(DATE '{K.TODAY}' - published_at <= recency), FALSE) END AS fresh FROM e LEFT JOIN r ON r.question_id = e.question_id GROUP BY e.question_id"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import html, request, text, verdicts
 from quarrylake.operators import evidence, greedy, ranking
+from quarrylake.plans.inputs import checkpoints
 
 RESULTS = "question_id long, place long, url string, title string"
 
@@ -17,22 +18,55 @@ def _jaccard(a, b):
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def test_syndication_is_a_fixed_point(spark):
-    rnd = random.Random(3)
-    words = "flood water rise old river town night bank rate cut".split()
-    rows = [(q, p, f"https://h{rnd.randrange(6)}.example/{q}-{p}", " ".join(rnd.sample(words, 9))) for q in range(4) for p in range(12)]
-    found = {(r.question_id, r.url): r.kept for r in evidence.syndicated(spark.createDataFrame(rows, RESULTS), 0.8).collect()}
-    wanted = {}
-    for q in range(4):
+QUALITY = {"nasa.gov": 0.95, "reuters.com": 0.85, "one.example": 0.5, "two.example": 0.5, "six.test": 0.5}
+
+
+def _syndicated(rows, threshold):
+    """Pairs one by one, the first in order, until none is left."""
+    wanted, host = {}, lambda r: r[2].split("/")[2]
+    terms = lambda r: {w for w in r[3].split() if len(w) > 2}
+    for q in {r[0] for r in rows}:
         left = [r for r in rows if r[0] == q]
         while True:
-            pair = next(((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a[2][8:10] != b[2][8:10] and _jaccard({w for w in a[3].split() if len(w) > 2}, {w for w in b[3].split() if len(w) > 2}) >= 0.8), None)
+            pair = next(((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if host(a) != host(b) and _jaccard(terms(a), terms(b)) >= threshold), None)
             if pair is None:
                 break
-            left.remove(pair[1])  # of equal quality the first stays
-            wanted[q, pair[1][2]] = pair[0][2]
-    assert found == wanted and wanted
-    assert evidence.syndicated(spark.createDataFrame([], RESULTS)).count() == 0
+            keep, drop = pair if QUALITY[host(pair[0])] >= QUALITY[host(pair[1])] else pair[::-1]
+            left.remove(drop)
+            wanted[q, drop[2]] = keep[2]
+    return wanted
+
+
+@pytest.mark.parametrize("threshold,count", [(0.8, 9), (0.5, 7)])
+def test_syndication_is_a_fixed_point(spark, threshold, count):
+    rnd = random.Random(3)
+    words = "flood water rise old river town night bank rate cut".split()
+    rows = [(q, p, f"https://{rnd.choice(list(QUALITY))}/{q}-{p}", " ".join(rnd.sample(words, count))) for q in range(5) for p in range(14)]
+    wanted = _syndicated(rows, threshold)
+    checkpoints(spark)
+    table = spark.createDataFrame(rows, RESULTS)
+    moved = evidence.syndicated(table, threshold)
+    assert {(r.question_id, r.url): r.kept for r in moved.collect()} == wanted and len(wanted) > 10
+    assert evidence.syndicated(table.where("false")).count() == 0
+    groups = table.selectExpr("question_id", "url AS canonical", "place AS arrival_seq", "url", "'' AS snippet", "title", "IF(place % 2 = 0, NULL, date_add(DATE '2026-01-01', CAST(place AS INT))) AS published_at", "CAST(place AS INT) AS best_rank", "1L AS hits", "map(concat('e', place % 3), CAST(place AS INT)) AS engine_ranks")
+    merged, log = evidence.merge_syndicated(groups, moved)
+
+    def end(q, url):
+        while (q, url) in wanted:
+            url = wanted[q, url]
+        return url
+
+    hits = {}
+    for q, p, url, _ in rows:
+        hits.setdefault((q, end(q, url)), []).append((p, url))
+    for r in merged.collect():
+        mine = hits.pop((r.question_id, r.url))
+        ranks = {f"e{k}": min(p for p, _ in mine if p % 3 == k) for k in {p % 3 for p, _ in mine}}
+        own = next(p for p, u in mine if u == r.url)
+        dated = [own] if own % 2 else [p for p, _ in mine if p % 2]
+        day = datetime.date(2026, 1, 1) + datetime.timedelta(min(dated)) if dated else None
+        assert (r.hits, r.best_rank, r.engine_ranks, r.published_at) == (len(mine), min(p for p, _ in mine), ranks, day)
+    assert not hits and log.count() == len(wanted)
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.85])
