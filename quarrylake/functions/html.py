@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 # What main content has at least, and where it may be.
 LEAST_CHARS, LEAST_SHARE = 200, 0.5
@@ -179,6 +181,18 @@ def to_markdown(html: Column, main: bool = True) -> Column:
     return convert(html)
 
 
+def with_markdown(rows: DataFrame, html: str, name: str, main: bool = True) -> DataFrame:
+    """`rows` with the column `html` replaced by its markdown `name`, as a step of its own that Spark moves nothing through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([None if x is None else markdown(x, main) for x in batch.column(html).to_pylist()], pa.string())
+            kept = [c for c in batch.schema.names if c != html]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], names=[*kept, name])
+
+    kept = StructType([f for f in rows.schema.fields if f.name != html])
+    return rows.mapInArrow(run, kept.add(name, StringType()))
+
+
 def to_text(html: Column) -> Column:
     """Markdown without the targets of links."""
     return F.regexp_replace(F.regexp_replace(to_markdown(html), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\*\*", "")

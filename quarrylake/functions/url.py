@@ -299,3 +299,56 @@ def resolve(base: Column, reference: Column) -> Column:
     new_scheme = F.when(scheme != "", scheme).otherwise(part(b, 1))
     new_authority = F.when(own, authority).otherwise(part(b, 2))
     return F.concat(F.when(new_scheme != "", F.concat(new_scheme, F.lit(":"))).otherwise(""), new_authority, new_path, new_query, part(r, 5))
+
+
+def _byte(data: Column, at: Column) -> Column:
+    """The byte at a place from 0, as a number; null beyond the end."""
+    return F.when(at < F.length(data), F.conv(F.hex(F.substr(data, at.cast("int") + 1, F.lit(1))), 16, 10).cast("long"))
+
+
+def _varint(data: Column, at: Column) -> Column:
+    """(value, next): the varint at a place; next is null if it doesn't end within nine bytes."""
+    zero = F.struct(F.lit(0).cast("long").alias("value"), at.cast("long").alias("at"), F.lit(None).cast("long").alias("next"))
+
+    def step(state: Column, k: Column) -> Column:
+        b = _byte(data, state["at"])
+        more = F.struct((state["value"] + (b % 128) * F.pow(F.lit(2), k * 7).cast("long")).alias("value"), (state["at"] + 1).alias("at"), F.when(b < 128, state["at"] + 1).alias("next"))
+        return F.when(state["next"].isNotNull() | b.isNull(), state).otherwise(more)
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(8)), zero, step)
+    return F.struct(done["value"].alias("value"), done["next"].alias("next"))
+
+
+def wire_fields(data: Column, most: int = 16) -> Column:
+    """The first `most` fields of a message in protobuf's wire format: an array of (number, kind, bytes), with the content of
+    those that have a length (kind 2). It ends where the bytes do or make no sense."""
+    none = F.array().cast("array<struct<number: long, kind: long, bytes: binary>>")
+
+    def step(state: Column, _: Column) -> Column:
+        def field(tag: Column) -> Column:
+            kind = tag["value"] % 8
+
+            def sized(length: Column) -> Column:
+                begin = F.when(kind == 2, length["next"]).otherwise(tag["next"])
+                size = F.when(kind == 2, length["value"]).when(kind == 0, length["next"] - tag["next"]).when(kind == 1, F.lit(8).cast("long")).when(kind == 5, F.lit(4).cast("long"))
+                good = tag["next"].isNotNull() & (tag["value"] >= 8) & size.isNotNull() & (size >= 0) & (begin + size <= F.length(data))
+                one = F.struct(F.floor(tag["value"] / 8).alias("number"), kind.alias("kind"), F.when(kind == 2, F.substr(data, begin.cast("int") + 1, size.cast("int"))).alias("bytes"))
+                return F.when(F.coalesce(good, F.lit(False)), F.struct((begin + size).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))).otherwise(F.struct(F.lit(None).cast("long").alias("at"), state["found"].alias("found")))
+
+            return F.get(F.transform(F.array(_varint(data, tag["next"])), sized), F.lit(0))
+
+        return F.when(state["at"].isNull() | (state["at"] >= F.length(data)), state).otherwise(F.get(F.transform(F.array(_varint(data, state["at"])), field), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step)["found"]
+
+
+def coded_news(url: Column) -> Column:
+    """The publisher's URL that a news wrapper's path holds as a message: its first field that is one. Where the message can't be
+    read as fields, the first run of printable characters that begins as a URL; without either the wrapper itself."""
+    last = F.regexp_extract(F.regexp_replace(path(url), "/+$", ""), "[^/]*$", 0)
+    plain = F.translate(last, "-_", "+/")
+    data = F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="), F.lit("base64"))
+    texts = F.transform(F.filter(wire_fields(data), lambda f: f["kind"] == 2), lambda f: F.decode(f["bytes"], "ISO-8859-1"))
+    field = F.get(F.filter(texts, lambda t: t.rlike(r"^https?://[\x20-\x7e]+$")), F.lit(0))
+    loose = F.nullif(F.regexp_extract(F.decode(data, "ISO-8859-1"), r"https?://[\x20-\x7e]+", 0), F.lit(""))
+    return F.when(host(url).endswith("news.google.com") & (last != ""), F.coalesce(field, loose, url)).otherwise(url)

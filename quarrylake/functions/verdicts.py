@@ -71,29 +71,32 @@ def challenge(text: Column, status: Column, headers: Column) -> Column:
     provider, a reference number or a refusing status), then a login wall, then a
     refusal, which needs such a sign too. `headers` are names and values in one text.
     """
-    sample = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, SCANNED))
-    head = F.lower(F.coalesce(headers, F.lit("")))
-    inside = lambda m: F.contains(sample, m)
-    widget, script = _named(CAPTCHAS, inside), _named(CHALLENGES, inside)
-    provider = F.coalesce(_named(PROVIDERS, lambda m: F.contains(sample, m) | F.contains(head, m))["provider"], F.lit(""))
-    phrase, auth, denied = _first(BOT_PHRASES, inside), _first(AUTH_PHRASES, inside), _first(DENIED_PHRASES, inside)
-    numbered = sample.rlike(REFERENCE_ID)
-    walled = auth.isNotNull() & (F.coalesce(status == 401, F.lit(False)) | sample.rlike("login|signin|session"))
-    refused = denied.isNotNull() & (F.coalesce(status.isin(401, 403), F.lit(False)) | numbered | (provider != ""))
-
-    def verdict(kind: str, by: Column, marker: Column, sure: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), by.alias("provider"), marker.alias("marker"), sure.alias("confident"))
-
-    yes, no, nothing = F.lit(True), F.lit(False), F.lit("")
-    return (
-        F.when(F.trim(sample) == "", verdict("none", nothing, nothing, no))
-        .when(widget.isNotNull(), verdict("captcha", widget["provider"], widget["marker"], yes))
-        .when(script.isNotNull(), verdict("bot_challenge", script["provider"], script["marker"], yes))
-        .when(phrase.isNotNull(), verdict("bot_challenge", provider, phrase, (provider != "") | numbered | F.coalesce(status.isin(403, 429, 503), no)))
-        .when(walled, verdict("auth_required", nothing, auth, yes))
-        .when(refused, verdict("access_denied", provider, denied, yes))
-        .otherwise(verdict("none", nothing, nothing, no))
-    )
+    def of(bound: Column) -> Column:
+        """The verdict on texts in lower case, which the marks of all kinds are looked for in."""
+        sample, head = bound["sample"], bound["head"]
+        inside = lambda m: F.contains(sample, m)
+        widget, script = _named(CAPTCHAS, inside), _named(CHALLENGES, inside)
+        provider = F.coalesce(_named(PROVIDERS, lambda m: F.contains(sample, m) | F.contains(head, m))["provider"], F.lit(""))
+        phrase, auth, denied = _first(BOT_PHRASES, inside), _first(AUTH_PHRASES, inside), _first(DENIED_PHRASES, inside)
+        numbered = sample.rlike(REFERENCE_ID)
+        walled = auth.isNotNull() & (F.coalesce(status == 401, F.lit(False)) | sample.rlike("login|signin|session"))
+        refused = denied.isNotNull() & (F.coalesce(status.isin(401, 403), F.lit(False)) | numbered | (provider != ""))
+
+        def verdict(kind: str, by: Column, marker: Column, sure: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), by.alias("provider"), marker.alias("marker"), sure.alias("confident"))
+
+        yes, no, nothing = F.lit(True), F.lit(False), F.lit("")
+        return (
+            F.when(F.trim(sample) == "", verdict("none", nothing, nothing, no))
+            .when(widget.isNotNull(), verdict("captcha", widget["provider"], widget["marker"], yes))
+            .when(script.isNotNull(), verdict("bot_challenge", script["provider"], script["marker"], yes))
+            .when(phrase.isNotNull(), verdict("bot_challenge", provider, phrase, (provider != "") | numbered | F.coalesce(status.isin(403, 429, 503), no)))
+            .when(walled, verdict("auth_required", nothing, auth, yes))
+            .when(refused, verdict("access_denied", provider, denied, yes))
+            .otherwise(verdict("none", nothing, nothing, no))
+        )
+
+    return T.let(F.struct(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, SCANNED)).alias("sample"), F.lower(F.coalesce(headers, F.lit(""))).alias("head")), of)
 
 
 def status_error(status: Column, layer: Column, mode: Column, retry_after: Column) -> Column:
