@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,7 +35,7 @@ COST_LEET, COST_MASK, COST_DROP, COST_BREAK, COST_ALIKE = 1.0, 2.5, 0.7, 2.0, 0.
 COST_ONE_OF_MANY, COST_TWO_OF_MANY, COST_ONE_OF_TWO = 0.3, 0.6, 2.5
 EDGES = ".,;:!?\"'()[]{}<>/\\~^=_-%&*#`«»“”‘’…¿¡"
 _TWICE = re.compile(r"(.)\1")
-#: Characters of a token that are decoded at once; longer tokens are decoded in such pieces.
+#: After so many characters of a token what all paths share is written down.
 PIECE = 64
 #: Words of one or two letters that make up a smaller share of all letters may be pieces of a broken word.
 RARE = 1e-5
@@ -133,12 +134,12 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> list[str
     or a break between words; with `breaks` a word may also end anywhere, as in
     letters set apart. All paths are followed: of those that end in the same
     ORDER - 1 characters, on which alone what follows depends, the best is kept.
-    A token of more than PIECE characters is decoded in pieces of that length.
+    A token may be of any length, as its whole lattice decides: what all kept
+    paths have in common is written down as it grows, so time is in proportion.
     """
-    if len(token) > PIECE:
-        return [w for i in range(0, len(token), PIECE) for w in restore(token[i : i + PIECE], model, breaks)]
-    best = min((cost - model.log(last[1 - ORDER :], EDGE) if last != EDGE else cost, text) for last, (cost, text) in _paths(token, model, breaks).items())
-    return best[1].split()
+    sure: list[str] = []
+    best = min((cost - model.log(last[1 - ORDER :], EDGE) if last != EDGE else cost, text) for last, (cost, text) in _paths(token, model, breaks, sure).items())
+    return ("".join(sure) + best[1]).split()
 
 
 def _choices(c: str, n: int) -> list[tuple[float, str]]:
@@ -159,11 +160,16 @@ def _choices(c: str, n: int) -> list[tuple[float, str]]:
     return [*options, (COST_DROP, ""), (COST_BREAK, EDGE)]
 
 
-def _paths(token: str, model: CharacterModel, breaks: bool) -> dict[str, tuple[float, str]]:
-    """By last characters, the cost and text of the best path through the token's lattice."""
+def _paths(token: str, model: CharacterModel, breaks: bool, sure: list[str]) -> dict[str, tuple[float, str]]:
+    """By last characters, the cost and text of the best path through the token's lattice, without the beginning that all paths
+    share: it goes to `sure` after every PIECE characters."""
     beam: dict[str, tuple[float, str]] = {EDGE: (0.0, "")}  # last characters -> (cost, text so far)
-    i = 0
+    i, told = 0, 0
     while i < len(token):
+        if i - told >= PIECE:
+            told, shared = i, os.path.commonprefix([text for _, text in beam.values()])
+            sure.append(shared)
+            beam = {last: (cost, text[len(shared) :]) for last, (cost, text) in beam.items()}
         c, n = token[i], 1
         while i + n < len(token) and token[i + n] == c:
             n += 1

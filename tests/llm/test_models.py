@@ -134,7 +134,7 @@ def test_toxicity(spark, docs, rows, nothing, insults):
 
 
 @pytest.mark.parametrize("breaks", [False, True])
-def test_viterbi_is_the_best_path(breaks):
+def test_viterbi_is_the_best_path(breaks, monkeypatch):
     counts, letter = np.zeros(toxicity.CELLS + 1, np.int64), toxicity._letters()
     toxicity._count(" ".join(w for ws in WORDS.values() for w in ws) + " idiot moron loser" * 3, letter, counts)
     model = toxicity.CharacterModel(counts[: toxicity.CELLS], int(counts[toxicity.CELLS]))
@@ -160,10 +160,17 @@ def test_viterbi_is_the_best_path(breaks):
 
     for _ in range(60):
         token = "".join(rnd.choice("idotmrns10*@.o") for _ in range(rnd.randrange(1, 7)))
-        found = toxicity._paths(token, model, breaks)
+        found = toxicity._paths(token, model, breaks, [])
         least = min(x - model.log(last[1 - toxicity.ORDER :], toxicity.EDGE) if last != toxicity.EDGE else x for last, (x, _) in found.items())
         assert abs(least - best(token)) < 1e-9
     assert toxicity.restore("m0r0n" * 40, model)
+    # Where the shared beginning is written down changes nothing, and a long token is restored as a whole.
+    long = ["".join(rnd.choice("idotmrns10*@.o") for _ in range(rnd.randrange(60, 400))) for _ in range(6)] + ["a-" * 31 + "1d10t", "x" * 5000 + "m0r0n"]
+    once = []
+    for piece in (10_000, 64, 3):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        once.append([toxicity.restore(t, model, breaks) for t in long])
+    assert once[0] == once[1] == once[2]
 
 
 def _katz(rows, modulus=7, held=2):
