@@ -10,15 +10,16 @@ from ..operators import reading as R
 from ..operators import routing as G
 from . import urls as P
 from .inputs import literal, micro, stored, table
-from .texts import TITLE
 
 _KINDS = 9
+#: A paragraph that each page's article ends with, so that none is too short to tell from an empty shell.
+MORE = "<p>" + "This page has a paragraph of plain prose that anyone can read. " * 6 + "</p>"
 CAPTCHA = '<html><body><div class="g-recaptcha" data-sitekey="x"></div>Prove it</body></html>'
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captured answers; what came instead of some of them, their ids decide."""
-    k, html = F.col("page_id") % _KINDS, F.col("html")
+    k, html = F.col("page_id") % _KINDS, F.replace("html", F.lit("</article>"), F.lit(MORE + "</article>"))
     body = F.when(k == 3, CAPTCHA).when(k == 4, F.concat(F.lit("%PDF-1.7 "), F.col("page_id").cast("string"))).when(k == 5, "<html><body><script>app()</script></body></html>").when(k == 6, "<html><head><title>Page not found</title></head><body><p>Sorry, page not found. It may have been moved to another place on this site.</p></body></html>").when(k == 8, None).otherwise(html)
     status = F.when(k == 1, 404).when(k == 2, 429).otherwise(200)
     return table(spark, sf_dir, "pages").select("page_id", F.when(k == 7, "http://127.0.0.1/admin").otherwise(F.col("url")).alias("url"), status.alias("status"), F.lit("server: x").alias("headers"), F.when(k == 2, 30.0).alias("retry_after"), body.alias("html"))
