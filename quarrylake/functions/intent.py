@@ -133,35 +133,3 @@ def status_class(status: Column) -> Column:
         F.when(status.isin(301, 302, 303, 307, 308), "redirect_loop").when(status == 404, "not_found").when(status.isin(401, 403), "denied").when(status == 429, "rate_limited").when(status.between(500, 599), "server_error").otherwise("unavailable")
     )
     return F.struct(kind.alias("kind"), F.when(kind == "redirect_loop", kind).otherwise(F.concat(F.lit("http_"), status.cast("string"))).alias("detail"))
-
-# Fixed values.
-SYNONYMS = {"buy": "purchase", "cheap": "affordable", "car": "automobile", "doctor": "physician", "fix": "repair", "price": "cost"}
-
-
-def keywords(question: Column) -> Column:
-    """Quoted phrases, tokens that mean something and site scopes, each once."""
-    bare = T.without_sites(question)
-    phrases = F.transform(T.quoted(bare), lambda p: F.concat(F.lit('"'), p, F.lit('"')))
-    kept = F.filter(T.tokens(bare), lambda t: t.rlike(r"[+#.]") | (~t.isin(T.STOPWORDS) & ((F.length(t) > 2) | t.rlike(r"[^\x00-\x7F]"))))
-    scopes = F.transform(T.site_scopes(question), lambda s: F.concat(F.lit("site:"), s))
-    return F.array_distinct(F.concat(phrases, kept, scopes))
-
-
-def reformulate(question: Column, most: int = 3) -> Column:
-    """Forms of a question in order of preference: (text, strategy) of the original, its parts, its keywords, and one with
-    a synonym; the same text, whatever its case, comes once. No form of an empty question."""
-    q = T.squeeze(F.coalesce(question, F.lit("")))
-    form = lambda text, name: F.struct(text.alias("text"), F.lit(name).alias("strategy"))
-    parts = F.filter(F.transform(F.split(q, r"\?|;| and | vs\.? | versus "), lambda p: F.regexp_replace(p, r"^[ ?.;:]+|[ ?.;:]+$", "")), lambda p: F.size(F.split(p, " ")) >= 3)
-    scope = F.array_join(F.transform(T.site_scopes(q), lambda s: F.concat(F.lit("site:"), s)), " ")
-    subs = F.when(F.size(parts) > 1, F.transform(parts, lambda p: form(F.trim(F.concat(p, F.lit(" "), scope)), "sub_question"))).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<text: STRING, strategy: STRING>>)"))
-    words = keywords(q)
-    by_words = F.when(F.size(words) >= 3, form(F.array_join(words, " "), "keywords"))
-    swapped = F.lit(None).cast("string")
-    for term, other in reversed(list(SYNONYMS.items())):
-        at = rf"(?i)^(.*?)\b{term}\b"
-        swapped = F.when(q.rlike(rf"(?i)\b{term}\b"), F.regexp_replace(q, at, f"$1{other}")).otherwise(swapped)
-    by_synonym = F.when(swapped.isNotNull(), form(swapped, "synonym"))
-    forms = F.array_compact(F.concat(F.array(F.when(q != "", form(q, "original"))), subs, F.array(by_words, by_synonym)))
-    fresh = F.filter(forms, lambda f, i: ~F.exists(F.slice(forms, F.lit(1), i), lambda g: F.lower(g["text"]) == F.lower(f["text"])))
-    return F.slice(fresh, 1, most)

@@ -99,12 +99,8 @@ def _date_like(low: Column) -> Column:
     return _among(low, MONTH_WORDS) | low.rlike("[0-9]")
 
 
-def _begin(words: Column) -> Column:
-    """At which of a question's words its request begins (from 0); null where it has none that can be cut off."""
-    return T.let(F.transform(words, F.lower), _begin_of)
-
-
-def _begin_of(low: Column) -> Column:
+def _phrase_size(low: Column) -> Column:
+    """How many of a question's last words are the longest known request; null if none are or nothing is before them."""
     plain = F.filter(F.transform(low, lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]\"']+|[.,;:!?()\[\]\"']+$", "")), lambda w: w != "")
     sizes = F.create_map(*[F.lit(x) for p in PHRASES for x in (p, len(p.split()))])
 
@@ -112,6 +108,15 @@ def _begin_of(low: Column) -> Column:
         tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(max(len(p.split()) for p in PHRASES)), F.size(kept) - 1)), lambda k: F.try_element_at(sizes, F.array_join(F.slice(kept, -k, k), " ")))
         return F.when(F.size(kept) > 1, F.array_max(tails))
 
+    return T.let(plain, longest_of)
+
+
+def _begin(words: Column) -> Column:
+    """At which of a question's words its request begins (from 0); null where it has none that can be cut off."""
+    return T.let(F.transform(words, F.lower), _begin_of)
+
+
+def _begin_of(low: Column) -> Column:
     n = F.size(low)
     every = F.sequence(F.lit(0), n - 1)
     at = lambda i: F.get(low, i)
@@ -125,10 +130,28 @@ def _begin_of(low: Column) -> Column:
         return F.when(_among(at(last), MARKERS), F.when(last > 0, F.coalesce(before + 1, F.lit(0)))).when(year, n - 1)
 
     by_scan = F.when(~F.coalesce(_among(opener, MARKERS), F.lit(False)), T.let(stops, scanned))
-    found = T.let(T.let(plain, longest_of), lambda longest: F.when(longest.isNotNull(), n - longest).otherwise(by_scan))
+    found = T.let(_phrase_size(low), lambda longest: F.when(longest.isNotNull(), n - longest).otherwise(by_scan))
     return F.when(n >= 2, T.let(found, lambda x: F.when(x > 0, x)))
 
 
+def _cut(raw: Column, begin: Column) -> Column:
+    """(subject, request) of a question without site scopes whose request begins at a word (from 0)."""
+    begin = F.when(F.size(T.site_scopes(raw)) == 0, begin)
+    head = T.let(begin, lambda n: F.call_function("regexp_extract", raw, F.concat(F.lit(f"^(?:{NOT_RUN}{T.RUN}){{"), n.cast("string"), F.lit("}" + NOT_RUN)), F.lit(0)))
+    return T.let(head, lambda h: F.struct(F.trim(F.regexp_replace(F.trim(h), r"[:;,\-\x{2014} ]+$", "")).alias("subject"), F.trim(F.substr(raw, F.length(h) + 1)).alias("request")))
+
+
+def known_request(question: Column) -> Column:
+    """(subject, request) as split_subject gives them, but only where a question ends in a known request; else null."""
+    def begin(words: Column) -> Column:
+        return T.let(F.transform(words, F.lower), lambda low: T.let(_phrase_size(low), lambda n: F.when(F.size(low) > n, F.size(low) - n)))
+
+    def known(raw: Column) -> Column:
+        return T.let(_cut(raw, begin(T._all(raw, T.RUN))), lambda c: F.when((c["subject"] != "") & (c["request"] != ""), c))
+
+    return T.let(T.squeeze(F.coalesce(question, F.lit(""))), known)
+
+
 def split_subject(question: Column) -> Column:
     """(subject, request): what a question is about, and the words at its end that ask for a kind of source.
 
@@ -136,13 +159,8 @@ def split_subject(question: Column) -> Column:
     marker back over words that requests are made of; else a year at the end. A
     question with a site scope, or that begins with a marker, is all subject.
     """
-    def cut(raw: Column) -> Column:
-        begin = F.when(F.size(T.site_scopes(raw)) == 0, _begin(T._all(raw, T.RUN)))
-        head = T.let(begin, lambda n: F.call_function("regexp_extract", raw, F.concat(F.lit(f"^(?:{NOT_RUN}{T.RUN}){{"), n.cast("string"), F.lit("}" + NOT_RUN)), F.lit(0)))
-        return T.let(head, lambda h: F.struct(F.trim(F.regexp_replace(F.trim(h), r"[:;,\-\x{2014} ]+$", "")).alias("subject"), F.trim(F.substr(raw, F.length(h) + 1)).alias("request")))
-
     def whole(raw: Column) -> Column:
-        return T.let(cut(raw), lambda c: F.when((c["subject"] != "") & (c["request"] != ""), c).otherwise(F.struct(raw.alias("subject"), F.lit("").alias("request"))))
+        return T.let(_cut(raw, _begin(T._all(raw, T.RUN))), lambda c: F.when((c["subject"] != "") & (c["request"] != ""), c).otherwise(F.struct(raw.alias("subject"), F.lit("").alias("request"))))
 
     return T.let(T.squeeze(F.coalesce(question, F.lit(""))), whole)
 

@@ -134,10 +134,8 @@ def syndicated(results: DataFrame, threshold: float = 0.85) -> DataFrame:
     return named.select("node.question_id", "url", F.col("kept_url").alias("kept"))
 
 
-def merge_syndicated(groups: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, log): groups of hits (as ranking.merge_canonical gives them) without the copies in `moved` (question_id, url, kept), whose
-    hits, engines and best ranks go to the page that is kept in the end; a page without a date takes the earliest of its copies. The
-    log has a row for each copy: question_id, reason, kept, merged, similarity (null), as merge_log."""
+def last_kept(moved: DataFrame) -> DataFrame:
+    """(question_id, url, kept): for each copy in `moved` (of these columns) the page that is kept in the end, by doubling."""
     end = moved.select("question_id", "url", "kept")
     while True:
         further = end.select("question_id", F.col("url").alias("kept"), F.col("kept").alias("next"))
@@ -145,7 +143,15 @@ def merge_syndicated(groups: DataFrame, moved: DataFrame) -> tuple[DataFrame, Da
         if end.where("on").isEmpty():
             break
         end = end.drop("on")
-    told = groups.join(end.select("question_id", "url", "kept"), ["question_id", "url"], "left").withColumn("to", F.coalesce("kept", "url"))
+    return end.select("question_id", "url", "kept")
+
+
+def merge_syndicated(groups: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, log): groups of hits (as ranking.merge_canonical gives them) without the copies in `moved` (question_id, url, kept), whose
+    hits, engines and best ranks go to the page that is kept in the end; a page without a date takes the earliest of its copies. The
+    log has a row for each copy: question_id, reason, kept, merged, similarity (null), as merge_log."""
+    end = last_kept(moved)
+    told = groups.join(end, ["question_id", "url"], "left").withColumn("to", F.coalesce("kept", "url"))
     engines = told.select("question_id", "to", F.explode("engine_ranks").alias("e", "r")).groupBy("question_id", "to", "e").agg(F.min("r").alias("r")).groupBy("question_id", "to").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "r")))).alias("all_ranks"))
     sums = told.groupBy("question_id", "to").agg(F.sum("hits").alias("all_hits"), F.min("best_rank").alias("all_best"), F.min("published_at").alias("earliest")).join(engines, ["question_id", "to"])
     own = told.where("kept IS NULL").drop("kept", "to").join(sums.withColumnRenamed("to", "url"), ["question_id", "url"])

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import intent as I
 from ..functions import score as C
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.forms import reformulate
 from . import research as R
 
 # Forms of a question in the first round, coverage that is enough, characters of a page that are kept, contested
@@ -48,7 +48,7 @@ class Report:
 def expand(active: DataFrame, round_no: int, contested: DataFrame) -> DataFrame:
     """(question_id, nth, text, strategy): the question's forms in the first round; later what is contested, by its subject's first
     words, and twice as many forms. `contested` has question_id, nth and subject_terms."""
-    forms = active.select("question_id", F.posexplode(I.reformulate(F.col("question"), FORMS if round_no == 1 else 2 * FORMS)).alias("nth", "f"))
+    forms = active.select("question_id", F.posexplode(reformulate(F.col("question"), FORMS if round_no == 1 else 2 * FORMS)).alias("nth", "f"))
     out = forms.select("question_id", (F.col("nth") + CONTESTED).alias("nth"), "f.text", "f.strategy")
     if round_no > 1:
         words = F.concat(F.array_join(F.slice("subject_terms", 1, CONTESTED_TERMS), " "), F.lit(" evidence"))

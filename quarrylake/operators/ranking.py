@@ -44,7 +44,7 @@ def score_groups(groups: DataFrame, questions: DataFrame, today: Column) -> Data
     return g.withColumn("score", C.combine({k: F.col(k) for k in C.WEIGHTS})).drop("q_terms", "phrases")
 
 
-def top_k(scored: DataFrame, k: int, capped: Column | None = None, cap: int = 2, offset: int = 0) -> DataFrame:
+def top_k(scored: DataFrame, k: int, capped: Column | None = None, cap: int | Column = 2, offset: int = 0) -> DataFrame:
     """The k best rows of each question by falling score, then URL, after `offset`; of the rows that `capped` marks at
     most `cap`, without others in their place beyond k."""
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "url")

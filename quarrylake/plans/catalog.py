@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dom, evidence, loop, markup, nested, pages, payloads, questions, ranking, reading, reports, requests, research, state, texts, urls, verdicts
+from . import dom, evidence, loop, markup, nested, pages, payloads, questions, ranking, reading, reports, requests, research, search, state, texts, urls, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, evidence, reports, payloads, pages, markup, dom, nested, loop, reading)
+MODULES = (urls, texts, ranking, research, state, questions, requests, verdicts, evidence, reports, payloads, pages, markup, dom, nested, loop, reading, search)
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import intent as I
+from ..functions.forms import reformulate
 from ..sources import markup as M
 from .inputs import literal, sql_literal, table
 
@@ -49,12 +49,13 @@ def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFORMULATED = [
     (1, 1, "buy cheap car insurance in delhi", "original"), (1, 2, "buy cheap car insurance delhi", "keywords"), (1, 3, "purchase cheap car insurance in delhi", "synonym"),
     (2, 1, "solar panel output and wind turbine cost per year", "original"), (2, 2, "solar panel output", "sub_question"), (2, 3, "wind turbine cost per year", "sub_question"), (3, 1, "c++", "original"),
+    (6, 1, "exoplanet atmosphere spectroscopy replication failures primary literature", "original"), (6, 2, "exoplanet atmosphere spectroscopy", "focus"),
 ]
 
 
 def reformulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = literal(spark, "id int, q string", [(1, "buy cheap  car insurance in delhi"), (2, "solar panel output and wind turbine cost per year"), (3, "c++"), (4, ""), (5, None)])
-    return asked.select("id", F.posexplode(I.reformulate(F.col("q"), 3)).alias("at", "r")).select("id", (F.col("at") + 1).alias("place"), "r.text", "r.strategy")
+    asked = literal(spark, "id int, q string", [(1, "buy cheap  car insurance in delhi"), (2, "solar panel output and wind turbine cost per year"), (3, "c++"), (4, ""), (5, None), (6, "exoplanet atmosphere spectroscopy replication failures primary literature")])
+    return asked.select("id", F.posexplode(reformulate(F.col("q"), 3)).alias("at", "r")).select("id", (F.col("at") + 1).alias("place"), "r.text", "r.strategy")
 
 
 QUERIES = {"result_pages": result_pages, "article_dates": article_dates, "page_dates": page_dates, "reformulated": reformulated}
