@@ -164,11 +164,12 @@ def network_bits(network: str) -> str:
 
 
 def is_public(url: Column) -> Column:
-    """Whether a URL is clearly public http(s): no white space, control character, backslash or user, no private host."""
+    """Whether a URL is clearly public http(s): no white space, control character, backslash or user, no private host or
+    address; an IPv6 address in brackets counts by its network."""
     u = F.trim(url)
     full = F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u))
     h = F.regexp_replace(host(full), r"\.+$", "")
-    private = h.isin(PRIVATE_HOSTS) | ~(h.contains(".") | h.startswith("[")) | is_blocked_ipv4(h) | h.startswith("[")
+    private = h.isin(PRIVATE_HOSTS) | ~(h.contains(".") | h.startswith("[")) | is_blocked_ipv4(h) | (h.startswith("[") & (ipv6_hex(h).isNull() | is_blocked_ipv6(h)))
     for s in PRIVATE_SUFFIXES:
         private = private | h.endswith(s)
     good = scheme(full).isin("http", "https") & (h != "") & ~authority_part(full).contains("@") & ~h.contains("%") & ~private

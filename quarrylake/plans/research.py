@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as C
 from ..functions import text as T
+from ..functions import url as U
 from ..operators import research as R
 from . import sqltext as S
 from .inputs import checkpoints, literal, micro, sql_literal, sql_micro, stored, table
@@ -103,19 +104,26 @@ o AS (SELECT *, floor(greatest(0.0, least(1.0, (0.3 + 0.2 * (domains - 1)) * qua
 SELECT report, row_number() OVER (PARTITION BY report ORDER BY conf DESC, text) AS place, leader, CASE WHEN contested THEN 'contested' WHEN domains >= 2 THEN 'corroborated' ELSE 'single_source' END AS status, {sql_micro("conf")} AS confidence, md5(text) AS text, domains, sources, CAST(claims AS BIGINT) AS claims FROM o"""
 
 
+#: Ends of the hosts that documents are taken to be from, and their title.
+SUFFIXES = ["gov", "edu", "org", "com"]
+TITLE = "On the question"
+
+
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance, quality, recency and score of each document as a source; the content's first 4000 characters count."""
-    d = table(spark, sf_dir, "documents")
-    rel = C.round4(T.evidence_relevance(F.lit(QUESTION), F.substring("text", 1, 4000)))
+    """Relevance, quality, recency and score of each document as a source on a host of its own; of the content its first 4000
+    characters count, beside title and snippet."""
+    url = F.concat(F.lit("https://docs.example."), F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int")), F.lit("/"), F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents").withColumn("url", url)
+    rel = C.round4(T.evidence_relevance(F.lit(QUESTION), F.concat_ws(" ", F.lit(TITLE), F.substring("text", 1, 4000))))
     fresh = C.freshness(F.when(F.col("doc_id") % 3 != 0, F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))), F.lit("2027-01-01").cast("date"))
     flagged = F.exists(T.flags(F.col("text")), lambda f: f.startswith("prompt_injection"))
-    return d.select("doc_id", micro(rel).alias("relevance"), micro(fresh).alias("recency"), micro(C.evidence_score(rel, F.lit(0.5), fresh, flagged)).alias("score"))
+    return d.select("doc_id", micro(rel).alias("relevance"), micro(U.authority(F.col("url"))).alias("quality"), micro(fresh).alias("recency"), micro(C.evidence_score(rel, U.authority(F.col("url")), fresh, flagged)).alias("score"))
 
 
 _R4 = "floor(({0}) * 10000 + 0.5) / 10000"
-EVIDENCE_SQL = f"""WITH a AS (SELECT doc_id, {_R4.format(f"len(list_intersect({S.content_terms(f'{chr(39)}{QUESTION}{chr(39)}')}, {S.content_terms('substr(text, 1, 4000)')})) / len({S.content_terms(f'{chr(39)}{QUESTION}{chr(39)}')})")} AS rel,
- CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE {_R4.format("pow(0.5, greatest(DATE '2027-01-01' - (DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER)), 0) / 365.0)")} END AS fresh, len(list_filter({S.flags("text")}, lambda f: starts_with(f, 'prompt_injection'))) > 0 AS bad FROM documents)
-SELECT doc_id, {sql_micro("rel")} AS relevance, {sql_micro("fresh")} AS recency, {sql_micro(_R4.format("greatest(0.0, least(1.0, (rel * 0.5 + 0.5 * 0.3 + fresh * 0.2) / 1.0 - CASE WHEN bad THEN 0.2 ELSE 0.0 END))"))} AS score FROM a"""
+EVIDENCE_SQL = f"""WITH a AS (SELECT doc_id, {_R4.format(f"len(list_intersect({S.content_terms(f'{chr(39)}{QUESTION}{chr(39)}')}, {S.content_terms(f"'{TITLE} ' || substr(coalesce(text, ''), 1, 4000)")})) / len({S.content_terms(f'{chr(39)}{QUESTION}{chr(39)}')})")} AS rel,
+ CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE {_R4.format("pow(0.5, greatest(DATE '2027-01-01' - (DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER)), 0) / 365.0)")} END AS fresh, len(list_filter({S.flags("text")}, lambda f: starts_with(f, 'prompt_injection'))) > 0 AS bad, CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.6 ELSE 0.5 END AS quality FROM documents)
+SELECT doc_id, {sql_micro("rel")} AS relevance, {sql_micro("quality")} AS quality, {sql_micro("fresh")} AS recency, {sql_micro(_R4.format("greatest(0.0, least(1.0, (rel * 0.5 + quality * 0.3 + fresh * 0.2) / 1.0 - CASE WHEN bad THEN 0.2 ELSE 0.0 END))"))} AS score FROM a"""
 
 EDGES = [("q1", "s1"), ("q1", "s2"), ("s1", "c1"), ("s2", "c2"), ("c1", "st1"), ("c2", "st1"), ("c2", "x1"), ("x1", "c1"), ("q2", "s3"), ("s3", "c9"), ("q1", "s1")]
 

@@ -188,3 +188,9 @@ def test_forms_of_a_question(spark, question, strategy, text):
     order = ["original", "focus", "jurisdiction", "sub_question", "keywords", "synonym"]
     assert [order.index(f.strategy) for f in found] == sorted(order.index(f.strategy) for f in found)
     assert all("site:github.com/scipy/scipy" in f.text for f in found) or "site:" not in question
+
+
+def test_ipv6_hosts_count_by_their_network(spark):
+    urls = {"https://[2606:4700:4700::1111]/a": True, "http://[2a00:1450::5]:8080/": True, "https://[::1]/": False, "https://[fe80::1]/": False, "https://[::ffff:10.0.0.1]/": False, "https://[fd00::2]/": False, "https://[2001:db8::1]/": False, "https://[zz::1]/": False, "https://[fe80::1%25eth0]/": False}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", U.is_public(F.col("url")).alias("p")).collect()
+    assert {r.url: r.p for r in rows} == urls
