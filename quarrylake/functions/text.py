@@ -282,16 +282,23 @@ def longest_link_run(text: Column) -> Column:
     return F.aggregate(lines, zero, step, lambda a: a["best"])
 
 
-def is_script_shell(text: Column) -> Column:
-    """Whether text looks like an application's shell: a notice, hardly any text, mostly links, no sentences, or a menu."""
+def is_empty_shell(text: Column) -> Column:
+    """Whether a text is none: a notice that asks for scripts, or hardly any text."""
     t = squeeze(F.coalesce(text, F.lit("")))
-    low, n = F.lower(t), F.length(t)
+    low = F.lower(t)
     notice = low.contains(SHELL_NOTICES[0])
     for m in SHELL_NOTICES[1:]:
         notice = notice | low.contains(m)
+    return notice | (F.length(t) < 150)
+
+
+def is_script_shell(text: Column) -> Column:
+    """Whether text looks like an application's shell: a notice, hardly any text, mostly links, no sentences, or a menu."""
+    t = squeeze(F.coalesce(text, F.lit("")))
+    n = F.length(t)
     labels = F.aggregate(_all(t, r"\[([^\]]*)\]\([^)]*\)", 1), F.lit(0), lambda a, x: a + F.length(x))
     ends = F.regexp_count(t, F.lit(r"[.!?](?:\s|$)"))
-    return notice | (n < 150) | (labels >= n * 0.55) | ((n >= 400) & ((ends * 1000.0 < n * 1.2) | (longest_link_run(text) >= 4)))
+    return is_empty_shell(text) | (labels >= n * 0.55) | ((n >= 400) & ((ends * 1000.0 < n * 1.2) | (longest_link_run(text) >= 4)))
 
 
 def is_prose(segment: Column) -> Column:

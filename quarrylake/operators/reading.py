@@ -34,12 +34,14 @@ def sound(value: Column) -> Column:
 
 
 def read_pages(pages: DataFrame, key: str = "page_id", mode: str = "auto", most: int = MAX_CHARS) -> DataFrame:
-    """(key, url, failed, cause, title, content, truncated, flags): a row for each captured answer, in whatever order.
+    """(key, url, failed, cause, title, content, truncated, flags, shell): a row for each captured answer, in whatever order.
 
     `pages` has the key, url, status, headers, retry_after and html. `failed` is null
     for a page that could be read, or its first error: an URL that isn't public, a
     refusing status, a document that isn't HTML, a challenge in place of the page,
-    a shell that a script would fill, no text, a page that says it isn't there.
+    no text, a page that says it isn't there, a shell that a script would fill.
+    A page of some length that only has a shell's shape (few sentences, mostly
+    links) is read: nothing here renders it, so it keeps its text, as `shell` says.
     `cause` is the bucket that an error belongs to. One page's failure changes
     no other's row, and nulls fail as what they lack. The content is markdown,
     cut at `most` characters with a note.
@@ -56,13 +58,14 @@ def read_pages(pages: DataFrame, key: str = "page_id", mode: str = "auto", most:
     rows = H.with_markdown(rows, "html", "markdown_")
     rows = failing(rows, F.when(F.trim("markdown_") == "", error("extraction_failed", "empty_response")))
     rows = failing(rows, F.when(T.is_soft_404(F.col("markdown_")), error("page_unavailable", "soft_404")))
-    rows = failing(rows, F.when(T.is_script_shell(F.col("markdown_")), error("extraction_failed", "js_shell")))
+    rows = failing(rows, F.when(T.is_empty_shell(F.col("markdown_")), error("extraction_failed", "js_shell")))
     title = V.resolved_title(F.col("title_"), F.col("markdown_"), F.col("url"))
     content = T.truncate(F.col("markdown_"), most)
     cause = V.failure_cause(F.col("failed.error"), F.col("failed.detail"), F.lit("failed"), F.lit(False), F.lit(True), F.lit(-1))["cause"]
     return rows.select(
         key, "url", "failed", F.when(F.col("failed").isNotNull(), cause).alias("cause"), sound(title["title"]).alias("title"), sound(content).alias("content"), sound(F.length("markdown_") > most).alias("truncated"),
         sound(V.flags_merged(title["title"], F.col("markdown_"), F.lit(None).cast("array<string>"))).alias("flags"),
+        sound(T.is_script_shell(F.col("markdown_"))).alias("shell"),
     )
 
 

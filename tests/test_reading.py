@@ -80,6 +80,17 @@ def test_each_page_has_its_own_outcome(spark):
     assert errors[7] == ("extraction_failed", "not_enough_text", None) and errors[9] == ("extraction_failed", "wrong_format", None) and set(errors) == {2, 3, 4, 5, 7, 8, 9}
 
 
+def test_pages_that_look_like_shells_keep_their_text(spark):
+    """A word said over and over has no sentences and a menu only links, but both are texts; a page without any fails, as does one with hardly any."""
+    body = lambda x: f"<html><head><title>T</title></head><body><article>{x}</article></body></html>"
+    junk = "<p>" + "oner " * 900 + "</p>" + "<p>This page has a paragraph of plain prose that anyone can read.</p>" * 5
+    pages = [(1, body(junk)), (2, body("<ul>" + "".join(f"<li><a href='/{k}'>A menu's item number {k}</a></li>" for k in range(40)) + "</ul>")), (3, body("<p>Short.</p>")), (4, body("<p>" + "A sentence of some ten words that says a thing or two. " * 20 + "</p>")), (5, body("<script>app()</script>"))]
+    rows = spark.createDataFrame([(k, "https://a.org/", 200, None, None, h) for k, h in pages], "page_id int, url string, status int, headers string, retry_after double, html string")
+    found = {r["page_id"]: r for r in R.read_pages(rows).collect()}
+    assert {k: (r["shell"], r["failed"] and r["failed"]["detail"]) for k, r in found.items()} == {1: (True, None), 2: (True, None), 3: (None, "js_shell"), 4: (False, None), 5: (None, "empty_response")}
+    assert found[1]["content"].startswith("oner oner") and "number 39" in found[2]["content"]
+
+
 def test_cards(spark):
     link = '<a class=x href="https://f.example/post/{}">{}</a>'
     page = link.format("one", "One") + "<p>12 comments" + link.format("two", "<i></i>") + "3 upvotes" + link.format("three", "Th&amp;ree") + "x" * 1300 + "9 upvotes" + link.format("one", "Again") + "5 upvotes" + link.format("two", "Two") + "1.5 upvotes, 1,000 upvotes 2 COMMENT <a href='/me'>me.x</a>"
