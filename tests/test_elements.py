@@ -137,3 +137,30 @@ def test_references(spark):
         assert x["u"] == OTHERWISE.get((x["b"], x["r"]), urljoin(x["b"], x["r"])), x
     nulls = spark.range(1).select(U.resolve(F.lit(None).cast("string"), F.lit("x")).alias("a"), U.resolve(F.lit("http://a/"), F.lit(None).cast("string")).alias("b")).first()
     assert nulls["a"] is None and nulls["b"] is None
+
+
+def test_results_leave_python_in_pieces(spark):
+    """However many rows and characters a batch has, few results are held at a time; order, nulls and values stay."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from quarrylake.functions import html as H
+
+    held, texts = [], [None if k % 7 == 0 else f"<p>{k}" for k in range(5000)] + ["x" * 400_000] * 7
+    def make(x):
+        held[-1] += 1
+        return x + "!"
+
+    found = []
+    batches = (pa.array(x, pa.string()) for x in (texts, [], [None]))
+    held.append(0)
+    for piece in H.in_pieces(batches, make, pa.string()):
+        assert held[-1] <= len(piece) <= H.PIECE_TEXTS and len(piece) * 400_000 <= 2 * H.PIECE_CHARS or len(piece[0].as_py() or "") < 100
+        found += piece.to_pylist()
+        held.append(0)
+    assert found == [None if x is None else x + "!" for x in [*texts, None]] and max(held) <= H.PIECE_TEXTS
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else f"<p>page {k}</p>" + "<br>" * (k % 3)) for k in range(3000)], "page_id int, html string").coalesce(1)
+    sizes = rows.select(H.parse_elements(F.col("html")).alias("p"), "page_id", H.to_markdown(F.col("html")).alias("md"), H.normal_form(F.col("html"), "NFKC").alias("n"), "html").collect()
+    assert all((r["p"] is None and r["md"] is None and r["n"] is None) if r["page_id"] % 5 == 0 else (len(r["p"]["elements"]) == 1 + r["page_id"] % 3 and r["md"] == f"page {r['page_id']}" and r["n"] == r["html"]) for r in sizes)
+    moved = H.with_markdown(rows, "html", "md").collect()
+    assert len(moved) == 3000 and all(r["md"] == (None if r["page_id"] % 5 == 0 else f"page {r['page_id']}") for r in moved)
