@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def alike_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): nodes of one block whose word sets have a Jaccard similarity of at least `threshold`, a before b.
+def meeting(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): nodes of one block whose sets of words may have a Jaccard similarity of `threshold`, a before b; none that has is lost.
 
-    `nodes` has block, node (unique; its order is theirs) and words. Prefix filter:
-    sets meet by the rarest of their words only, so many that two sets as alike as
-    that must share one of them; nothing is lost.
+    Two sets as alike as that share at least as many words as the threshold asks of
+    the larger. Where that is two, they share two of those that are left when all
+    that it asks of a set, less two, are cut off its most frequent words. Sets meet
+    by such pairs of words, which stay rare where a vocabulary doesn't grow with
+    the rows; those that may share one word only meet by words, too.
     """
-    each = nodes.select("block", "node", F.explode("words").alias("t"))
+    each = sets.select("block", "node", F.explode("words").alias("t"))
     often = each.groupBy("block", "t").agg(F.count("*").alias("n"))
     ranked = each.join(often, ["block", "t"]).groupBy("block", "node").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("by"))
     size = F.size("by")
-    prefix = F.slice("by", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
-    keys = ranked.select("block", "node", F.explode(prefix).alias("k")).select("block", "node", F.col("k.t").alias("t"))
-    x, y = keys.withColumnRenamed("node", "a"), keys.withColumnRenamed("node", "b")
-    met = x.join(y, ["block", "t"]).where("a < b").select("a", "b").distinct()
-    one, two = nodes.select(F.col("node").alias("a"), F.col("words").alias("wa")), nodes.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return met.join(one, "a").join(two, "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
+    shared = F.ceil(size * threshold - 1e-9).cast("int")
+    head = ranked.select("block", "node", size.alias("n"), shared.alias("shared"), F.transform(F.slice("by", F.lit(1), F.least(size, size - shared + 2)), lambda k: k["t"]).alias("head"))
+    pairs = F.flatten(F.transform("head", lambda t, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+    single = F.when(F.col("shared") <= 1, F.transform("head", lambda t: F.struct(t.alias("t"), F.lit("").alias("u")))).otherwise(F.array())
+    keys = head.select("block", "node", "n", F.explode(F.concat(pairs, single)).alias("k")).select("block", "k.t", "k.u", "node", "n")
+    x, y = keys.withColumnsRenamed({"node": "a", "n": "na"}), keys.withColumnsRenamed({"node": "b", "n": "nb"})
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & ((F.col("u") != "") | (F.col("na") + F.col("nb") - 1 <= 1 / threshold + 1e-9))
+    return x.join(y, ["block", "t", "u"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
+def alike_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): nodes of one block whose word sets have a Jaccard similarity of at least `threshold`, a before b.
+
+    `nodes` has block, node (unique; its order is theirs) and words, of which repeats count once.
+    """
+    sets = nodes.select("block", "node", F.array_distinct("words").alias("words"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("words").alias("wa")), sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
+    return meeting(sets, threshold).join(one, "a").join(two, "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
 
 
 def leaders(nodes: DataFrame, threshold: float) -> DataFrame:

@@ -156,3 +156,34 @@ def test_snippets_speak_to_the_question(spark):
     found = {(r.question_id, r.canonical): r.snippet for r in evidence.best_snippets(hits, asked).collect()}
     assert found == {(1, "p"): "Stripe fees: 2.9% + 30c", (1, "q"): "nothing at all here", (2, "p"): "long words only"}
     assert ranking.near_titles(ranking.merge_canonical(spark.createDataFrame([], "question_id long, arrival_seq long, engine string, position int, title string, url string, snippet string, published_at date"))).count() == 0
+
+
+def test_copies_of_a_story_are_no_pairs(spark):
+    """Titles that come again and again, also with a word repeated, on hosts of several qualities, interleaved with alike ones."""
+    rnd = random.Random(5)
+    titles = ["flood water rise old river", "flood water rise old town", "bank rate cut", "bank bank bank bank bank rate", "rate"]
+    rows = [(q, p, f"https://{rnd.choice(list(QUALITY))}/{q}-{p}", rnd.choice(titles)) for q in range(4) for p in range(45)]
+    checkpoints(spark)
+    moved = evidence.syndicated(spark.createDataFrame(rows, RESULTS), 0.5)
+    assert {(r.question_id, r.url): r.kept for r in moved.collect()} == _syndicated(rows, 0.5)
+    seen, alike_pairs = [], greedy.alike_pairs
+    greedy.alike_pairs = lambda nodes, threshold: seen.append(nodes.count()) or alike_pairs(nodes, threshold)
+    try:
+        evidence.syndicated(spark.createDataFrame([(1, p, f"https://{'one' if p % 3 else 'two'}.example/{p}", titles[p % 2]) for p in range(400)], RESULTS), 0.5)
+    finally:
+        greedy.alike_pairs = alike_pairs
+    assert seen == [2]
+
+
+def test_alike_pairs_are_all_found_and_few_meet(spark):
+    """All pairs of sets by brute force, repeated words too; and, of a small vocabulary, few sets meet that aren't alike."""
+    rnd = random.Random(8)
+    rows = [(b, p, [rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 7))]) for b in range(3) for p in range(40)] + [(0, 100, ["a"] * 9 + ["z"]), (0, 101, ["z"]), (0, 102, ["z", "z", "y"])]
+    table = spark.createDataFrame(rows, "block long, p long, words array<string>").select("block", F.struct("block", "p").alias("node"), "words")
+    for threshold in (0.3, 0.5, 0.85, 1.0):
+        wanted = {(b, p, q) for b, p, x in rows for c, q, y in rows if b == c and p < q and _jaccard(set(x), set(y)) >= threshold}
+        found = greedy.alike_pairs(table, threshold).collect()
+        assert {(r.a.block, r.a.p, r.b.p) for r in found} == wanted and len(found) == len(wanted)
+    words = [f"w{k}" for k in range(300)]
+    many = spark.createDataFrame([(0, p, rnd.sample(words, 8)) for p in range(3000)], "block long, node long, words array<string>")
+    assert greedy.meeting(many, 0.5).count() < 60_000
