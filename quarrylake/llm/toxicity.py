@@ -40,6 +40,7 @@ PIECE = 64
 #: Words of one or two letters that make up a smaller share of all letters may be pieces of a broken word.
 RARE = 1e-5
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_HIDDEN = tuple(map(chr, HIDDEN))
 
 
 #: Multiplier of the hash of n-grams; all of it is arithmetic on 64 bits.
@@ -79,7 +80,9 @@ def _count(text: str, letter: np.ndarray, counts: np.ndarray) -> None:
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(HIDDEN).split() if text and not text.isascii() else (text or "").lower().split()
+    text = (text or "").lower()
+    # Each sign is looked for by itself: few texts have any, and translating goes letter by letter.
+    return (text.translate(HIDDEN) if not text.isascii() and any(c in text for c in _HIDDEN) else text).split()
 
 
 def _plain(token: str) -> bool:
@@ -174,8 +177,18 @@ def _paths(token: str, model: CharacterModel, breaks: bool, sure: list[str]) ->
         while i + n < len(token) and token[i + n] == c:
             n += 1
         i += n
-        options = _choices(c, n)
         new: dict[str, tuple[float, str]] = {}
+        if n == 1 and not breaks and c.isalpha() and c not in ALIKE:
+            # A letter that stands for itself only.
+            for last, (cost, text) in beam.items():
+                p = model.known.get((last, c))
+                one = (cost - (model.log(last, c) if p is None else p), text + c)
+                last = (last + c)[1 - ORDER :]
+                if last not in new or one < new[last]:
+                    new[last] = one
+            beam = new
+            continue
+        options = _choices(c, n)
         for last, (cost, text) in beam.items():
             for more, letters in options:
                 _extend(new, model, last, cost + more, text, letters)
@@ -220,11 +233,11 @@ class Restorer:
             return [bare]
         if not any(c.isalpha() for c in token):
             return []
-        found = self.known.get(token)
+        found = self.known.get(bare)
         if found is None:
             if len(self.known) > KEEP:
                 self.known = {}
-            found = self.known[token] = restore(bare, self.model)
+            found = self.known[bare] = restore(bare, self.model)
         return found
 
     def piece(self, token: str) -> str:
@@ -245,7 +258,10 @@ class Restorer:
         """The words behind each run of pieces: of three or more, not all alike, with the short tokens beside them; of fewer, if
         one is rarely a word by itself, with the tokens beside them."""
         piece = self.piece
-        at = [i for i, t in enumerate(tokens) if len(t) < 6 and piece(t)]
+        short = {t for t in set(tokens) if len(t) < 6 and piece(t)}
+        if not short:
+            return []
+        at = [i for i, t in enumerate(tokens) if t in short]
         runs, k = [], 0
         while k < len(at):
             begin = at[k]
@@ -276,6 +292,13 @@ class ToxicityModel:
 
     def __init__(self, counts: np.ndarray, letters: int, weights: dict[str, float], leak: float):
         self.counts, self.letters, self.weights, self.leak = counts, letters, weights, leak
+        self.known: Restorer | None = None
+
+    def restorer(self) -> Restorer:
+        """This worker's restorer; Spark reuses workers, so words restored in one task serve the next."""
+        if self.known is None:
+            self.known = Restorer(CharacterModel(self.counts, self.letters))
+        return self.known
 
 
 def feature_counts(docs: DataFrame, counts: np.ndarray, letters: int) -> DataFrame:
@@ -361,7 +384,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        restorer = Restorer(CharacterModel(known.counts, known.letters))
+        restorer = known.restorer()
         seen: set[str] = set()
         marked: dict[str, set[str]] = {}
         begins = tuple(sorted({f.rstrip("$")[:3] for f in known.weights}))

@@ -112,6 +112,29 @@ def insults():
     return rows
 
 
+def test_words_are_restored_once(monkeypatch):
+    """A word with signs at its edges is the word without them, texts without hidden signs aren't translated, and a model's
+    restorer stays with it."""
+    counts, letter = np.zeros(toxicity.CELLS + 1, np.int64), toxicity._letters()
+    toxicity._count("letter idiot moron \u00fcber", letter, counts)
+    model = toxicity.ToxicityModel(counts[: toxicity.CELLS], int(counts[toxicity.CELLS]), {}, 0.0)
+    calls, real = [], toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda token, *a, **b: calls.append(token) or real(token, *a, **b))
+    found = [model.restorer().words(t) for t in ("letter", "letter.", '"letter"', "letter,")]
+    assert calls == ["letter"] and found == [found[0]] * 4
+
+    class Untranslated(str):
+        def lower(self):
+            return Untranslated(str.lower(self))
+
+        def translate(self, table):
+            raise AssertionError("translated")
+
+    assert toxicity.words_of(Untranslated("\u00dcber ALLES")) == ["\u00fcber", "alles"]
+    for c in map(chr, toxicity.HIDDEN):
+        assert toxicity.words_of(f"\u00dcb{c}er i{c}d{c}iot") == ["\u00fcber", "idiot"]
+
+
 def test_toxicity(spark, docs, rows, nothing, insults):
     texts = spark.createDataFrame([(i, t, "x") for i, t, _ in insults], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, x) for i, _, x in insults] + [(None, 1), (3, None)], "doc_id long, toxic int")
