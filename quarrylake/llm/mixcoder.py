@@ -6,17 +6,17 @@ learns all of them. So a block has one model, whatever its lanes, and numpy does
 a step of all lanes at once.
 
 An id is a path through a tree with 16 branches at a node, in which frequent ids
-lie near the root; the block's header holds the depth of each id. At the three upper
-levels the branches have probabilities that mix three orders: counts of the node
+lie near the root; the block's header holds the depth of each id. At the three
+upper levels the branches have probabilities that mix three orders: counts of the node
 (order 0), of the node after the id before (order 1) and, at the root, after the
-two ids before (order 2). Each order starts from what the lower one says and
-weighs it as so many counts of its own: the more a context has been seen, the
-more it decides. Which id of a deeper node it is goes by order 0 alone, in one
-step. The counts of orders 1 and 2 lie in tables of hashed contexts, as sums over
-the branches before each, which is what is coded.
-
-What is coded are integers. They come from single operations on floats, so that
-what one machine writes another reads.
+two ids before (order 2). Each context of orders 1 and 2 has a row: the sums of
+frequencies before each branch. It begins as the lower order's and with each id
+moves towards it, by much at first and by less later; at the root what is coded is
+the mean of both rows. Which id of a deeper node it is goes by order 0 alone, in
+one step. The rows lie in tables of hashed contexts.
+
+All of it is arithmetic on integers, but for the shares of order 0, which come from
+single operations on floats: what one machine writes another reads.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import zlib
 
 import numpy as np
 
-#: Bits of the tables of contexts, and how many counts the lower order weighs, in orders 1 and 2.
-TABLE_BITS, PRIOR = 17, (8.0, 4.0)
+#: Bits of the tables of contexts.
+TABLE_BITS = 17
 #: Branches of a node; bits of their frequencies.
 WAYS, FREQUENCY_BITS = 16, 15
 #: The state has 64 bits; units of 16 bits leave it. A lane's range is at least 2**40 when it is settled, so that it can be
@@ -37,9 +37,19 @@ LANES, LANE_IDS = 8192, 256
 _ONE, _UNIT, _DOWN = np.uint64(1), np.uint64(16), np.uint64(48)
 #: Levels whose branches are mixed; ids below are found in one step, by order 0, which is counted anew each REFRESH steps.
 LEVELS, REFRESH = 3, 16
-#: What a branch adds to a context's row: the sums before later branches, and the sum of all, which stands in the first place.
-_AFTER = np.triu(np.ones((WAYS, WAYS), np.uint8), 1)
-_AFTER[:, 0] = 1
+#: After so many steps rows learn from one of LEARN_EACH only.
+ALL_STEPS, LEARN_EACH = 64, 4
+#: A row is two numbers, so that it is read and written in few pieces; nothing is reckoned with them.
+_HALF, _ROW = np.complex128, np.dtype("V32")
+#: What a row moves towards when a branch comes: all but what the others keep at least.
+_AIM = np.tile(np.arange(WAYS, dtype=np.int16), (WAYS, 1))
+_AIM[np.triu_indices(WAYS, 1)] += np.int16((1 << FREQUENCY_BITS) - WAYS)
+_AIM = _AIM.view(_ROW).ravel()
+#: By how many bits the way is shortened, by the ids that the row has learned, in orders 1 and 2; a row's first place has that number.
+_SHIFT = [np.repeat(np.array(x, np.int16), WAYS).view(_ROW) for x in ([3, 3, 3, 4, 4, 4, 4, 5], [2, 3, 3, 3, 3, 4])]
+#: Multipliers of the hashes of contexts: of the id before, of both ids before, and of the node in either order.
+_IDS, _NODES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))), tuple(map(np.uint64, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
+_HASHED = np.uint64(64 - TABLE_BITS)
 
 
 def depths(counts: np.ndarray) -> np.ndarray:
@@ -109,75 +119,90 @@ class Tree:
 class Model:
     def __init__(self, tree: Tree, lanes: int):
         self.tree = tree
-        self.sums = [np.zeros(WAYS << TABLE_BITS, np.uint8) for _ in PRIOR]
-        self.before = np.zeros(lanes, np.uint32)
+        self.sums = [np.zeros(2 << TABLE_BITS, _HALF) for _ in _SHIFT]
+        self.before = np.zeros(lanes, np.uint64)
         self.contexts = (self.before, self.before)
+        self.places = np.arange(0, lanes * WAYS, WAYS)
         self.count = np.full(max(tree.nodes, 1) * WAYS, 0.4)
-        self.step, self.deep = 0, _Deep(tree)
+        self.step, self.deep, self.fresh = 0, _Deep(tree), []
 
     def begin(self) -> None:
-        """Before each step: order 0 as the steps before have left it."""
-        count = self.count.reshape(-1, WAYS)
-        upto = np.cumsum(count, axis=1)
-        self.zero = np.zeros((len(count), WAYS), np.float32)
-        self.zero[:, 1:] = upto[:, :-1] / upto[:, -1:]
-        self.zero = self.zero.ravel()
+        """Before each step: order 0 as the steps before have left it, from time to time."""
         if self.step < REFRESH and self.step & (self.step - 1) == 0 or self.step % REFRESH == 0:
-            self.deep.refresh()
-        self.seen: list[np.ndarray] = []
-
-    def look(self, node: np.ndarray, live: np.ndarray | None, level: int) -> None:
-        """Weighs the orders at a node of each lane."""
-        self.node, self.rows = node * WAYS, []
-        u = node.astype(np.uint32)
-        room = np.float32((1 << FREQUENCY_BITS) - WAYS)
-        self.weights = []
-        below = None
+            new = np.bincount(np.concatenate(self.fresh)) if self.fresh else np.zeros(0, np.int64)
+            self.fresh = []
+            ids = np.flatnonzero(new)
+            for path in self.tree.path[:LEVELS]:
+                place = path[ids]
+                some = place >= 0
+                self.count += np.bincount(place[some], new[ids[some]], len(self.count))
+            self.deep.refresh(ids, new[ids])
+            upto = np.cumsum(self.count.reshape(-1, WAYS), axis=1)
+            zero = np.zeros(upto.shape, np.int16)
+            zero[:, 1:] = np.floor(upto[:, :-1] / upto[:, -1:] * ((1 << FREQUENCY_BITS) - WAYS)) + np.arange(1, WAYS)
+            self.zero = zero.view(_ROW).ravel()
+
+    def look(self, node: np.ndarray | None, live: np.ndarray | None, level: int) -> None:
+        """Mixes the rows of a node in each lane (None: the root)."""
+        self.rows = []
         for k in range(2 if level == 0 else 1):
-            context = self.contexts[k]
-            at = u * np.uint32((0x85EBCA6B, 0xC2B2AE35)[k])
-            at += context if live is None else context.take(live)
-            at ^= at >> np.uint32(15)
-            at *= np.uint32((0x2C1B3C6D, 0x297A2D39)[k])
-            at >>= np.uint32(32 - TABLE_BITS)
-            at = at.astype(np.int64)
-            at *= WAYS
-            n = self.sums[k].take(at)
-            share = np.float32(1) / (n.astype(np.float32) + np.float32(PRIOR[k]))
-            lower = share * np.float32(PRIOR[k])
-            self.weights = [w * lower for w in self.weights] + [share * room]
-            below = lower * room if below is None else below * lower
-            self.rows.append((at, n))
-        self.weights.append(below)
-
-    def sum_before(self, branch: np.ndarray) -> np.ndarray:
-        """The frequencies of all branches before the given one, in each lane; not for the first, before which is none."""
-        out = self.zero.take(self.node + branch) * self.weights[-1]
-        for k, (at, _) in enumerate(self.rows):
-            out += self.sums[k].take(at + branch) * self.weights[k]
-        np.floor(out, out=out)
-        out += branch
-        return out
+            at = self.contexts[k] if live is None else self.contexts[k].take(live)
+            if node is not None:
+                at = at + node.view(np.uint64) * _NODES[k]
+            at = (at >> _HASHED).view(np.int64)
+            # One place more, for what comes after the last lane.
+            room = np.empty((len(at) + 1) * WAYS, np.int16)
+            row = room[:-WAYS]
+            self.sums[k].view(_ROW).take(at, out=row.view(_ROW), mode="clip")
+            age = row[::WAYS].copy()
+            new = np.flatnonzero(age == 0)
+            if len(new):
+                row.view(_ROW)[new] = self.rows[0][2].view(_ROW).take(new) if k else self.zero.take(node.take(new)) if level else self.zero[0]
+            self.rows.append((at, age, row))
+        self.lane, self.mixed = self.places[: len(at)], room.view(np.uint16)
+        if level == 0:
+            self.mixed = np.empty_like(self.mixed)
+            np.add(self.rows[0][2].view(np.uint16), row.view(np.uint16), out=self.mixed[:-WAYS])
+            self.mixed >>= 1
+        self.mixed[::WAYS] = 0
+
+    def part(self, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a branch's part of the frequencies begins, and its width."""
+        place = self.lane + branch
+        begin = self.mixed.take(place)
+        place += 1
+        # After the last branch comes the next lane's 0, which here is the end.
+        width = (self.mixed.take(place) - begin) & np.uint16((1 << FREQUENCY_BITS) - 1)
+        return begin.astype(np.uint64), width.astype(np.uint64)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The branch in whose part a frequency lies, in each lane."""
+        value = value.astype(np.uint16)
+        place = self.lane.copy()
+        for half in (8, 4, 2, 1):
+            place += (self.mixed.take(place + half) <= value) * half
+        return place - self.lane
 
     def learn(self, branch: np.ndarray) -> None:
-        self.seen.append(self.node + branch)
-        more = _AFTER.take(branch, axis=0)
-        for sums, (at, n) in zip(self.sums, self.rows):
-            place = at >> 4
-            table = sums.view(np.complex128)
-            rows = table.take(place)
-            counts = rows.view(np.uint8).reshape(-1, WAYS)
-            full = np.flatnonzero(n == 255)
-            if len(full):
-                counts[full] >>= 1
-            counts += more
-            table[place] = rows
+        if self.step >= ALL_STEPS and self.step % LEARN_EACH:
+            return
+        aim = _AIM.take(branch).view(np.int16)
+        for sums, shift, (at, age, row) in zip(self.sums, _SHIFT, self.rows):
+            way = aim - row
+            way >>= shift.take(age).view(np.int16)
+            row += way
+            row[::WAYS] = np.minimum(age + 1, len(shift) - 1)
+            halves = np.empty((len(at), 2), np.int64)
+            halves[:, 0] = halves[:, 1] = at
+            halves = halves.ravel()
+            halves += halves
+            halves[1::2] += 1
+            sums[halves] = row.view(_HALF)
 
     def end(self, ids: np.ndarray) -> None:
-        self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
-        self.deep.learn(ids)
-        ids = ids.astype(np.uint32)
-        self.contexts = (ids * np.uint32(0x9E3779B1), ids * np.uint32(0x9E3779B1) + self.before * np.uint32(0x7FEB352D))
+        self.fresh.append(ids)
+        ids = ids.view(np.uint64)
+        self.contexts = (ids * _IDS[0], ids * _IDS[1] + self.before * _IDS[2])
         self.before = ids
         self.step += 1
 
@@ -200,16 +225,13 @@ class _Deep:
             self.place = np.zeros(len(self.node), np.int64)
             self.place[self.ids] = np.arange(len(self.ids))
             self.count = np.full(len(self.node), 0.4)
-            self.fresh: list[np.ndarray] = []
         else:
             self.ids = np.zeros(0, np.int64)
 
-    def refresh(self) -> None:
+    def refresh(self, ids: np.ndarray, more: np.ndarray) -> None:
         if not len(self.ids):
             return
-        if self.fresh:
-            self.count += np.bincount(np.concatenate(self.fresh), minlength=len(self.count))
-            self.fresh = []
+        self.count[ids] += more
         count = self.count[self.ids]
         sizes = np.diff(np.append(self.first, len(self.ids)))
         upto = np.cumsum(count)
@@ -222,10 +244,6 @@ class _Deep:
         self.stop[last] = 1 << FREQUENCY_BITS
         self.key = self.of * (1 << FREQUENCY_BITS) + self.begin
 
-    def learn(self, ids: np.ndarray) -> None:
-        if len(self.ids):
-            self.fresh.append(ids)
-
     def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.place[ids]
         return self.begin[at], self.stop[at]
@@ -261,22 +279,22 @@ class _Coder:
             self.range[some] = part * width
 
     def settle(self) -> None:
-        """Units that are settled leave; a small range that straddles a unit's border is cut there.
-
-        A range of 2**48 stays though its unit is settled: shifted, it would be 2**64.
-        """
-        low, size = self.low, self.range
-        same = ((low ^ (low + (size - _ONE))) < TOP) & (size < TOP)
-        lanes = np.flatnonzero(same | (size < BOT))
-        low, size, same = low[lanes], size[lanes], same[lanes]
-        while len(lanes):
-            size = np.where(same, size, (~low + _ONE) & (BOT - _ONE))
+        """Where ranges are small, units leave; a range that straddles a unit's border is cut there."""
+        lanes = np.flatnonzero(self.range < BOT)
+        if not len(lanes):
+            return
+        low, size = self.low.take(lanes), self.range.take(lanes)
+        while True:
+            apart = np.flatnonzero((low ^ (low + (size - _ONE))) >= TOP)
+            if len(apart):
+                size[apart] = (~low[apart] + _ONE) & (BOT - _ONE)
             self.pass_unit(lanes, low >> _DOWN)
             low, size = low << _UNIT, size << _UNIT
             self.low[lanes], self.range[lanes] = low, size
-            same = ((low ^ (low + (size - _ONE))) < TOP) & (size < TOP)
-            more = same | (size < BOT)
-            lanes, low, size, same = lanes[more], low[more], size[more], same[more]
+            more = np.flatnonzero(size < BOT)
+            if not len(more):
+                return
+            lanes, low, size = lanes.take(more), low.take(more), size.take(more)
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray) -> None:
         raise NotImplementedError
@@ -289,14 +307,14 @@ class _Writer(_Coder):
         self.n = np.zeros(lanes, np.int64)
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray) -> None:
-        at = self.n[lanes]
-        if len(at) and at.max() >= self.units.shape[1]:
+        at = self.n.take(lanes)
+        if at.max() >= self.units.shape[1]:
             self.units = np.pad(self.units, ((0, 0), (0, self.units.shape[1])))
-        self.units[lanes, at] = units
+        self.units.reshape(-1)[lanes * self.units.shape[1] + at] = units
         self.n[lanes] = at + 1
 
     def finish(self) -> bytes:
-        # Ranges are 2**40 or more: a number whose lower half is zero lies in each. Zeros needn't be written.
+        # Ranges are 2**40 or more: in each lie all numbers of some upper half. Lower halves needn't be written.
         code = (self.low + np.uint64((1 << 32) - 1)) & np.uint64((1 << 64) - (1 << 32))
         lanes = np.arange(len(self.low))
         for _ in range(2):
@@ -313,8 +331,7 @@ class _Reader(_Coder):
         size = int.from_bytes(payload[:4], "little")
         n = np.frombuffer(zlib.decompress(payload[4 : 4 + size]), np.uint8).reshape(4, lanes).T.copy().view("<u4").ravel().astype(np.int64)
         self.units = np.append(np.frombuffer(payload[4 + size :], "<u2"), np.uint16(0))
-        self.end = np.cumsum(n)
-        self.next = self.end - n
+        self.next = np.cumsum(n) - n
         self.code = np.zeros(lanes, np.uint64)
         for _ in range(4):
             self.pass_unit(np.arange(lanes), None)
@@ -328,9 +345,10 @@ class _Reader(_Coder):
         return np.minimum(ahead // (size >> np.uint64(FREQUENCY_BITS)), np.uint64((1 << FREQUENCY_BITS) - 1))
 
     def pass_unit(self, lanes: np.ndarray, units: np.ndarray | None) -> None:
-        at = self.next[lanes]
-        unit = np.where(at < self.end[lanes], self.units[np.minimum(at, len(self.units) - 1)], np.uint16(0))
-        self.code[lanes] = (self.code[lanes] << _UNIT) | unit
+        # After a lane's last unit any others do: its code then lies in the last range with all that may follow.
+        at = self.next.take(lanes)
+        unit = self.units.take(np.minimum(at, len(self.units) - 1))
+        self.code[lanes] = (self.code.take(lanes) << _UNIT) | unit
         self.next[lanes] = at + 1
 
 
@@ -358,13 +376,13 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, bytes]:
                     break
             if level == LEVELS:
                 begin, stop = model.deep.part(now.take(live))
+                begin, width = begin.astype(np.uint64), (stop - begin).astype(np.uint64)
             else:
-                branch = place & 15
-                model.look(place >> 4, live, level)
-                begin = np.where(branch > 0, model.sum_before(branch), np.float32(0))
-                stop = np.where(branch < WAYS - 1, model.sum_before(np.minimum(branch + 1, WAYS - 1)), np.float32(1 << FREQUENCY_BITS))
+                branch = place & 15 if level else place
+                model.look(place >> 4 if level else None, live, level)
+                begin, width = model.part(branch)
                 model.learn(branch)
-            out.narrow(live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+            out.narrow(live, begin, width)
             if level == 1:
                 out.settle()
         out.settle()
@@ -382,26 +400,21 @@ def decode(n: int, lanes: int, steps: int, payload: bytes, vocabulary: int) -> n
     table = np.empty((steps, lanes), np.int64)
     for now in table:
         model.begin()
-        live, node = None, np.zeros(lanes, np.int64)
+        live, node = None, None
         for level in range(min(LEVELS + 1, tree.levels)):
             value = coder.value(live)
             if level == LEVELS:
                 ids = model.deep.find(node, value.astype(np.float64))
                 begin, stop = model.deep.part(ids)
+                begin, width = begin.astype(np.uint64), (stop - begin).astype(np.uint64)
                 child = -1 - ids
             else:
                 model.look(node, live, level)
-                value = value.astype(np.float32)
-                branch = np.zeros(len(node), np.int64)
-                begin, stop = np.zeros(len(node), np.float32), np.full(len(node), 1 << FREQUENCY_BITS, np.float32)
-                for half in (8, 4, 2, 1):
-                    middle = model.sum_before(branch + half)
-                    above = value >= middle
-                    branch += half * above
-                    begin, stop = np.where(above, middle, begin), np.where(above, stop, middle)
+                branch = model.find(value)
+                begin, width = model.part(branch)
                 model.learn(branch)
-                child = tree.child.take(node << 4 | branch)
-            coder.narrow(live, begin.astype(np.uint64), (stop - begin).astype(np.uint64))
+                child = tree.child.take(node << 4 | branch if level else branch)
+            coder.narrow(live, begin, width)
             if level == 1:
                 coder.settle()
             done = np.flatnonzero(child < 0)

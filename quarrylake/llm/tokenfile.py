@@ -24,7 +24,7 @@ from .common import documents, shared_dir, small_batches
 from .mixcoder import decode, encode
 from .tokens import encoder, load, slices, word_bpe_path
 
-MAGIC = b"QLTOKEN2"
+MAGIC = b"QLTOKEN3"
 #: mark, size of the vocabulary, CRC-32 of both.
 HEAD = "<8sII"
 #: documents, tokens, lanes, steps, bytes of the table of documents, bytes of the payload, CRC-32 of the tokens, and of all else.

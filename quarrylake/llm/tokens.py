@@ -103,15 +103,20 @@ _CLASS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]]
 _CLASS[48:58] = 2
 _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 3
 #: What looks like a letter above but isn't one, or changes its length in lower case.
-_ODD = [b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc5\x89", b"<|"]
+_ODD = [b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc5\x89"]
+_FINE = np.flatnonzero(_CLASS != 9).astype(np.uint8).tobytes()
+#: The first k bytes of a number of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bits of the number of slots in which pieces are looked up first.
+SLOT_BITS = 20
 
 
 class _Pieces:
     """Ids of texts of ASCII and Latin letters, piece by piece: runs of letters, digits, runs of signs.
 
-    Pieces of at most 16 bytes are found in a sorted table by their bytes, all of
-    a group of texts at once; longer ones in a dict. At most `keep` pieces are
-    remembered.
+    Pieces of at most 16 bytes are found by their bytes, all of a group of texts
+    at once: in the slot of their hash, or, if another one lies there, in a sorted
+    table; longer ones in a dict. At most `keep` pieces are remembered.
     """
 
     def __init__(self, letters: _LetterModel, through: Callable[[list[bytes]], list[bytes]], dtype: np.dtype, keep: int = 1_500_000):
@@ -119,14 +124,17 @@ class _Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
-        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # Entry 0 is no piece's: none has a byte zero.
+        self.low, self.high = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.place, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.slot = np.zeros(1 << SLOT_BITS, np.int64)
         self.long: dict[bytes, tuple[int, int]] = {}
         self.ids, self.filled = np.zeros(1 << 16, self.dtype), 0
 
     @staticmethod
     def fits(data: bytes) -> bool:
-        return not (_CLASS[np.frombuffer(data, np.uint8)] == 9).any() and not any(x in data for x in _ODD)
+        return not data.translate(None, _FINE) and b"<|" not in data and (data.isascii() or not any(x in data for x in _ODD))
 
     def _add(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place and size of the ids of new pieces."""
@@ -146,12 +154,36 @@ class _Pieces:
         self.filled += len(new)
         return place, size
 
+    def _sorted(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, pieces: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+        """The entries of pieces that didn't lie in their slots, and from now on do; new ones are added."""
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if (low[first][inverse] != low).any() or (high[first][inverse] != high).any():
+            raise RuntimeError("two pieces share a key")
+        where = np.searchsorted(self.key, unique)
+        hit = np.zeros(len(unique), bool)
+        inside = where < len(self.key)
+        hit[inside] = self.key[where[inside]] == unique[inside]
+        entry = np.zeros(len(unique), np.int64)
+        entry[hit] = self.entry[where[hit]]
+        seen = entry[hit]
+        if (self.low[seen] != low[first[hit]]).any() or (self.high[seen] != high[first[hit]]).any():
+            raise RuntimeError("two pieces share a key")
+        new = np.flatnonzero(~hit)
+        if len(new):
+            spots = first[new]
+            place, size = self._add(pieces(spots))
+            entry[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self.key, self.entry = np.insert(self.key, where[new], unique[new]), np.insert(self.entry, where[new], entry[new])
+            self.low, self.high = np.concatenate([self.low, low[spots]]), np.concatenate([self.high, high[spots]])
+            self.place, self.size = np.concatenate([self.place, place]), np.concatenate([self.size, size])
+        self.slot[(unique >> np.uint64(64 - SLOT_BITS)).view(np.int64)] = entry
+        return entry[inverse]
+
     def encode(self, group: list[bytes]) -> list[np.ndarray]:
         if len(self.key) + len(self.long) > self.keep:
             self.forget()
         text = b"\n".join(group) + b"\n"
-        a = np.frombuffer(text + bytes(16), np.uint8)
-        c = _CLASS[a[: len(text)]]
+        c = np.frombuffer(text.translate(_CLASS.tobytes()), np.uint8)
         # The text begins and ends a line: no piece crosses its borders.
         change = np.concatenate([[True], (c[1:] != c[:-1]) | (c[1:] == 2)])
         begin = np.flatnonzero(change & (c != 0))
@@ -160,35 +192,16 @@ class _Pieces:
         place, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         short = np.flatnonzero(length <= 16)
         at, n = begin[short], length[short]
-        low, high = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for k in range(16):
-            some = np.flatnonzero(n > k)
-            if not len(some):
-                break
-            (low if k < 8 else high)[some] |= a[at[some] + k].astype(np.uint64) << np.uint64(8 * (k % 8))
+        eight = np.ndarray(len(text) + 8, "<u8", text + bytes(16), strides=(1,))  # the eight bytes from each on
+        low, high = eight[at] & _FIRST.take(np.minimum(n, 8)), eight[at + 8] & _FIRST.take(np.maximum(n, 8) - 8)
         key = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1))
         key ^= key >> np.uint64(29)
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if (low[first][inverse] != low).any() or (high[first][inverse] != high).any():
-            raise RuntimeError("two pieces share a key")
-        where = np.searchsorted(self.key, unique)
-        hit = np.zeros(len(unique), bool)
-        inside = where < len(self.key)
-        hit[inside] = self.key[where[inside]] == unique[inside]
-        seen = where[hit]
-        if (self.low[seen] != low[first[hit]]).any() or (self.high[seen] != high[first[hit]]).any():
-            raise RuntimeError("two pieces share a key")
-        u_place, u_size = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        u_place[hit], u_size[hit] = self.place[seen], self.size[seen]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            spots = short[first[new]]
-            u_place[new], u_size[new] = self._add([text[i:j] for i, j in zip(begin[spots].tolist(), end[spots].tolist())])
-            into = where[new]
-            self.key = np.insert(self.key, into, unique[new])
-            self.low, self.high = np.insert(self.low, into, low[first[new]]), np.insert(self.high, into, high[first[new]])
-            self.place, self.size = np.insert(self.place, into, u_place[new]), np.insert(self.size, into, u_size[new])
-        place[short], size[short] = u_place[inverse], u_size[inverse]
+        entry = self.slot.take((key >> np.uint64(64 - SLOT_BITS)).view(np.int64))
+        other = np.flatnonzero((self.low.take(entry) != low) | (self.high.take(entry) != high))
+        if len(other):
+            spots = short[other]
+            entry[other] = self._sorted(key[other], low[other], high[other], lambda some: [text[i:j] for i, j in zip(begin[spots[some]].tolist(), end[spots[some]].tolist())])
+        place[short], size[short] = self.place.take(entry), self.size.take(entry)
         rest = np.flatnonzero(length > 16)
         if len(rest):
             pieces = [text[i:j] for i, j in zip(begin[rest].tolist(), end[rest].tolist())]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylake.llm import bpe, katz, mixcoder, packing, tokenfile, wordtable
+from quarrylake.llm import bpe, katz, mixcoder, packing, tokenfile, tokens, wordtable
 from quarrylake.llm.tokens import WordEncoder, word_bpe_path
 
 SIGNS = "abcXYZéßÖñÉĀžŽ.,!?%&*$#@;:|-+()<>^_~`0129  \n\t'İıſKÅ日本語ªǅ’²½́­​×÷\x0b\x1c\x00"
@@ -101,6 +101,38 @@ def test_coder_learns_what_follows():
     assert (mixcoder.decode(n, lanes, steps, payload, 49408) == ids).all()
 
 
+def test_rows_leave_each_branch_its_part():
+    """Whatever a row has learned, each branch keeps a part of the range and is found in it, in integers alone."""
+    rng = np.random.default_rng(3)
+    tree = mixcoder.Tree(mixcoder.depths(np.arange(1, 400)))
+    model, n = mixcoder.Model(tree, 50), 400
+    for step in range(n):
+        model.begin()
+        model.look(None, None, 0)
+        parts = [model.part(np.full(50, b)) for b in range(mixcoder.WAYS)]
+        begins, widths = (np.array([p[k] for p in parts]).astype(np.int64) for k in range(2))
+        assert (widths > 0).all() and (begins[0] == 0).all() and (begins + widths == np.append(begins[1:], np.full((1, 50), 1 << mixcoder.FREQUENCY_BITS), axis=0)).all()
+        branch = rng.integers(0, mixcoder.WAYS, 50) if step % 3 else np.full(50, step // 60)
+        begin, width = model.part(branch)
+        assert (model.find(begin) == branch).all() and (model.find(begin + width - np.uint64(1)) == branch).all()
+        model.learn(branch)
+        model.end(np.full(50, step % 7, np.int64))
+
+
+def test_seen_pieces_are_not_sorted_again(library, monkeypatch):
+    """A piece that lies in its slot is found there; pieces that share slots are still found right."""
+    texts = [f"word{i} some other pieces {i * i}, ünd" for i in range(300)] * 2
+    coder = tokens.WordEncoder(word_bpe_path())
+    first = [x.tolist() for x in coder.encode(texts)]
+    assert first == [_ids(library, t) for t in texts]
+    with monkeypatch.context() as patch:
+        patch.setattr(tokens._Pieces, "_sorted", None)
+        assert [x.tolist() for x in coder.encode(texts[:100])] == first[:100]
+    monkeypatch.setattr(tokens, "SLOT_BITS", 2)
+    crowded = tokens.WordEncoder(word_bpe_path())
+    assert [[x.tolist() for x in crowded.encode(texts)] for _ in range(2)] == [first] * 2
+
+
 @pytest.mark.parametrize("counts", [[0, 5], [1] * 16, [1] * 17, [2**k for k in range(40)], list(range(1, 3000))])
 def test_tree_has_a_path_for_each_id(counts):
     tree = mixcoder.Tree(mixcoder.depths(np.array(counts)))
