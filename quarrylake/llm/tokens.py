@@ -116,7 +116,8 @@ class _Pieces:
 
     Pieces of at most 16 bytes are found by their bytes, all of a group of texts
     at once: in the slot of their hash, or, if another one lies there, in a sorted
-    table; longer ones in a dict. At most `keep` pieces are remembered.
+    table of hashes; longer ones, and those whose hash another one has, in a dict.
+    At most `keep` pieces are remembered.
     """
 
     def __init__(self, letters: _LetterModel, through: Callable[[list[bytes]], list[bytes]], dtype: np.dtype, keep: int = 1_500_000):
@@ -154,20 +155,23 @@ class _Pieces:
         self.filled += len(new)
         return place, size
 
+    @staticmethod
+    def _key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of each piece's bytes; without the shift between, words that are alike in both halves often share one."""
+        key = low * np.uint64(0x9E3779B97F4A7C15)
+        key = ((key ^ key >> np.uint64(32)) + high) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return key ^ key >> np.uint64(29)
+
     def _sorted(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, pieces: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
-        """The entries of pieces that didn't lie in their slots, and from now on do; new ones are added."""
+        """The entries of pieces that didn't lie in their slots, and from now on do; new ones are added, and 0 stands for
+        those whose hash another piece has."""
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if (low[first][inverse] != low).any() or (high[first][inverse] != high).any():
-            raise RuntimeError("two pieces share a key")
         where = np.searchsorted(self.key, unique)
         hit = np.zeros(len(unique), bool)
         inside = where < len(self.key)
         hit[inside] = self.key[where[inside]] == unique[inside]
         entry = np.zeros(len(unique), np.int64)
         entry[hit] = self.entry[where[hit]]
-        seen = entry[hit]
-        if (self.low[seen] != low[first[hit]]).any() or (self.high[seen] != high[first[hit]]).any():
-            raise RuntimeError("two pieces share a key")
         new = np.flatnonzero(~hit)
         if len(new):
             spots = first[new]
@@ -177,7 +181,8 @@ class _Pieces:
             self.low, self.high = np.concatenate([self.low, low[spots]]), np.concatenate([self.high, high[spots]])
             self.place, self.size = np.concatenate([self.place, place]), np.concatenate([self.size, size])
         self.slot[(unique >> np.uint64(64 - SLOT_BITS)).view(np.int64)] = entry
-        return entry[inverse]
+        entry = entry[inverse]
+        return np.where((self.low.take(entry) == low) & (self.high.take(entry) == high), entry, 0)
 
     def encode(self, group: list[bytes]) -> list[np.ndarray]:
         if len(self.key) + len(self.long) > self.keep:
@@ -194,15 +199,14 @@ class _Pieces:
         at, n = begin[short], length[short]
         eight = np.ndarray(len(text) + 8, "<u8", text + bytes(16), strides=(1,))  # the eight bytes from each on
         low, high = eight[at] & _FIRST.take(np.minimum(n, 8)), eight[at + 8] & _FIRST.take(np.maximum(n, 8) - 8)
-        key = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1))
-        key ^= key >> np.uint64(29)
+        key = self._key(low, high)
         entry = self.slot.take((key >> np.uint64(64 - SLOT_BITS)).view(np.int64))
         other = np.flatnonzero((self.low.take(entry) != low) | (self.high.take(entry) != high))
         if len(other):
             spots = short[other]
             entry[other] = self._sorted(key[other], low[other], high[other], lambda some: [text[i:j] for i, j in zip(begin[spots[some]].tolist(), end[spots[some]].tolist())])
         place[short], size[short] = self.place.take(entry), self.size.take(entry)
-        rest = np.flatnonzero(length > 16)
+        rest = np.concatenate([np.flatnonzero(length > 16), short[entry == 0]])
         if len(rest):
             pieces = [text[i:j] for i, j in zip(begin[rest].tolist(), end[rest].tolist())]
             missing = list({p for p in pieces if p not in self.long})

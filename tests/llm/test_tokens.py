@@ -133,6 +133,17 @@ def test_seen_pieces_are_not_sorted_again(library, monkeypatch):
     assert [[x.tolist() for x in crowded.encode(texts)] for _ in range(2)] == [first] * 2
 
 
+@pytest.mark.parametrize("key", [None, lambda low, high: low * 0, lambda low, high: low % np.uint64(5) << np.uint64(62)])
+def test_pieces_whose_hashes_are_equal(library, monkeypatch, key):
+    """Words that were given one hash, and any words under a hash that tells few apart, have the ids of the library."""
+    if key:
+        monkeypatch.setattr(tokens._Pieces, "_key", staticmethod(key), raising=False)
+    texts = ["theingbmtionrerk one word", "its equal: theingbttionrere", "theingbmtionrerk theingbttionrere theingbmtionrerk", "again; theingrationretw, theingrotionretk"]
+    coder = WordEncoder(word_bpe_path())
+    for some in (texts[:1], texts[1:], texts, [f"{t} {i} w{'o' * i}rd" for i, t in enumerate(texts * 5)]):
+        assert [x.tolist() for x in coder.encode(some)] == [_ids(library, t) for t in some]
+
+
 @pytest.mark.parametrize("counts", [[0, 5], [1] * 16, [1] * 17, [2**k for k in range(40)], list(range(1, 3000))])
 def test_tree_has_a_path_for_each_id(counts):
     tree = mixcoder.Tree(mixcoder.depths(np.array(counts)))
