@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import url as U
 from quarrylake.operators import elements as E
+from quarrylake.plans import dom
+
+from .compare import SF
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><base href="/base/"></head><body class="x main">
 <ul><li>one<li class="a b">two <b>bold<li>three</ul><p>first<p id=second>second<div><p>in div</div></p>
@@ -121,6 +124,15 @@ def test_names_of_controls(spark):
     assert found[-2]["href"] == "https://site.example/up"
 
 
+def test_whole_pages_are_listed(spark):
+    """The given pages' own links stand before the controls added to them; nothing of a page is left out."""
+    found = dom.interactive_elements(spark, SF).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    refs = {p: [r["tag"] for r in sorted(found, key=lambda r: r["ref"]) if r["page_id"] == p] for p in pages}
+    assert all(tags == ["a"] * pages[p].count("<a href=") + ["input", "input", "select", "textarea", "input", "button", "span"] for p, tags in refs.items())
+    assert sum(x.count("<a href=") for x in pages.values())
+
+
 BASES = ["http://a/b/c/d;p?q", "http://a", "https://h.example:8080/x/y/?k=v#f", "http://a/b/"]
 #: The normal and abnormal examples of RFC 3986, 5.4, and others.
 REFERENCES = ["g:h", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g?y/../x", "g#s/./x", "g#s/../x", "//h2/a/../b", "mailto:x@y.z", "é/ü?ß"]
